@@ -4,7 +4,7 @@ from __future__ import annotations
 import html.entities
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
@@ -14,10 +14,28 @@ WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+SEPARATOR = "\u0001"
+
+
 def lit_array(values) -> Column:
-    """A literal array<string>; typed even when empty."""
+    """A literal array<string>: one string that the optimizer splits once, not a node per value."""
     values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.split(F.lit(SEPARATOR.join(values)), SEPARATOR) if values else F.array().cast("array<string>")
+
+
+def lit_map(table: dict[str, str]) -> Column:
+    """A literal map<string,string>, folded once like ``lit_array``."""
+    return F.map_from_arrays(lit_array(table), lit_array(table.values()))
+
+
+def materialize(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps read but never recompute.
+
+    A filter or projection above a plain projection is merged with it, and a
+    costly expression is then evaluated once per use.  The one-row ``inline`` is
+    a boundary the optimizer keeps; it adds no shuffle.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def text_or_empty(c: Column) -> Column:
@@ -29,7 +47,8 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, WS + "+", " ")
+    """Runs of white space become one blank."""
+    return F.regexp_replace(F.translate(c, WHITESPACE, " " * len(WHITESPACE)), "  +", " ")
 
 
 def non_empty(c: Column) -> Column:
@@ -83,7 +102,7 @@ def clean_text(c: Column) -> Column:
 def unescape(c: Column) -> Column:
     """Resolve named and numeric character references; work is done only on rows that have one."""
     names = {k: chr(v) for k, v in html.entities.name2codepoint.items()} | {"apos": "'"}
-    table = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
+    table = lit_map(names)
 
     def codepoint(number: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
@@ -145,24 +164,38 @@ def _decompositions():
 _SINGLE, _SEVERAL = _decompositions()
 
 
-def ascii_fold(c: Column) -> Column:
-    """Compatibility decomposition, then drop whatever is not ASCII.
+# a few wide ranges that cover every key of _SEVERAL; a long list of characters is slow to test
+_MAY_EXPAND = r"[\u00bc-\u00be\u0132\u0133\u01c4-\u01f3\u2025-\u33ff\ufb00-\uffff]"
+_NON_WORD = "".join(ch for ch in map(chr, range(128)) if not (ch.isalnum() or ch == "_"))
+
+
+def _expanded(c: Column) -> Column:
+    """Replace the characters that expand to several; rows without one pass through."""
+    table = lit_map(_SEVERAL)
+    present = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({_MAY_EXPAND})"), 1))
+    replaced = F.reduce(present, c, lambda acc, ch: F.replace(acc, ch, F.coalesce(F.element_at(table, ch), ch)))
+    return F.when(c.rlike(_MAY_EXPAND), replaced).otherwise(c)
 
-    ASCII rows pass through; the long replacement list runs only for the rows
-    that hold a character which expands to more than one letter.
-    """
-    expand = F.reduce(
-        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _SEVERAL.items()]),
-        c, lambda acc, x: F.replace(acc, x["k"], x["v"]))
-    expanded = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), expand).otherwise(c)
-    folded = F.translate(expanded, "".join(_SINGLE), "".join(_SINGLE.values()))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]+", "")).otherwise(c)
+
+def _drop_non_ascii(c: Column) -> Column:
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(c, r"[^\x00-\x7F]+", "")).otherwise(c)
+
+
+def ascii_fold(c: Column) -> Column:
+    """Compatibility decomposition, then drop whatever is not ASCII."""
+    return _drop_non_ascii(F.translate(_expanded(c), "".join(_SINGLE), "".join(_SINGLE.values())))
 
 
 def norm_text(c: Column) -> Column:
-    """ASCII words separated by single blanks, lower case."""
-    words = F.regexp_replace(F.lower(ascii_fold(text_or_empty(c))), "[^a-z0-9_]+", " ")
-    return F.trim(words)
+    """ASCII words separated by single blanks, lower case.
+
+    One character map folds the letters and blanks the punctuation; patterns
+    run only for what is left, because a pattern that matches at every word is
+    several times slower than the map.
+    """
+    targets = {ch: v if v.isalnum() or v == "_" else " " for ch, v in _SINGLE.items()} | dict.fromkeys(_NON_WORD, " ")
+    mapped = F.translate(_expanded(text_or_empty(c)), "".join(targets), "".join(targets.values()))
+    return F.trim(F.regexp_replace(F.lower(_drop_non_ascii(mapped)), "  +", " "))
 
 
 def norm_words(value: str) -> str:

@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import contains_any, lit_array, non_empty, norm_text, text_or_empty
+from pressweave.functions.text import (contains_any, lit_array, lit_map, materialize, non_empty, norm_text,
+                                       text_or_empty)
 from pressweave.functions.values import fee_text, numeric_fee, story_key
 from pressweave.operators.match import best_entity, entity_terms, org_terms, orgs_in_order, phrase_hits
 
@@ -41,40 +42,43 @@ def fallback_entity(title: Column, org_aliases, default: str = fv.DEFAULT_ENTITY
     """First capitalised word pair of the title unless it names an organisation."""
     pair = F.regexp_extract(
         title, r"(?U)\b([A-ZÀ-ÿ][a-zà-ÿ]+(?:\s+[A-ZÀ-ÿ][a-zà-ÿ]+))\b", 1)
-    known = F.array_contains(lit_array(a for a in org_aliases), F.lower(pair))
+    known = F.array_contains(lit_array(org_aliases), F.lower(pair))
     return F.when((pair != "") & ~known, pair).otherwise(default)
 
 
-def direction(norm: Column, norm_title: Column, first: Column, second: Column, current: Column,
+def direction(norm: Column, norm_title: Column, first_org: Column, second_org: Column, current: Column,
               extension=fv.EXTENSION_WORDS, towards=fv.TOWARDS_WORDS, leaves=fv.LEAVES_WORDS) -> Column:
     """struct(org_from, org_to) from the first two organisations, the known current one and the wording.
 
+    The organisations are structs (canonical, plain) as ``orgs_in_order`` gives them.
+
     Wordings are literal text around an organisation, so each is one substring
     test with a concatenated operand; no pattern is built per row.
     """
     none = F.lit("")
+    first, second = first_org["canonical"], second_org["canonical"]
 
     def pair(a, b):
         return F.struct(a.alias("org_from"), b.alias("org_to"))
 
     def said(prefixes, org):
-        name, test = norm_text(org), F.lit(False)
+        test = F.lit(False)
         for p in prefixes:
-            test = test | F.contains(norm, F.concat(F.lit(p + " "), name))
+            test = test | F.contains(norm, F.concat(F.lit(p + " "), org["plain"]))
         return test
 
     def pays(org):
         before, after = fv.PAYS_ORG_FOR
         return said(fv.PAYS_ORG_PREFIXES, org) | F.contains(
-            norm, F.concat(F.lit(before + " "), norm_text(org), F.lit(" " + after)))
+            norm, F.concat(F.lit(before + " "), org["plain"], F.lit(" " + after)))
 
     anchor = F.coalesce(non_empty(current), first, none)
-    two = (F.when(pays(second), pair(second, first))
-           .when(pays(first), pair(first, second))
-           .when(said([fv.OFFER_FROM_PREFIX], first), pair(second, first))
-           .when(said([fv.OFFER_FROM_PREFIX], second), pair(first, second))
-           .when(said(fv.TOWARDS_ORG_PREFIXES, second), pair(first, second))
-           .when(said(fv.TOWARDS_ORG_PREFIXES, first), pair(second, first))
+    two = (F.when(pays(second_org), pair(second, first))
+           .when(pays(first_org), pair(first, second))
+           .when(said([fv.OFFER_FROM_PREFIX], first_org), pair(second, first))
+           .when(said([fv.OFFER_FROM_PREFIX], second_org), pair(first, second))
+           .when(said(fv.TOWARDS_ORG_PREFIXES, second_org), pair(first, second))
+           .when(said(fv.TOWARDS_ORG_PREFIXES, first_org), pair(second, first))
            .when(current == second, pair(second, first))
            .otherwise(pair(first, second)))
     one = (F.when(current == first, pair(current, none))
@@ -90,8 +94,10 @@ def direction(norm: Column, norm_title: Column, first: Column, second: Column, c
 
 def attribute(name: Column, table: dict[str, str]) -> Column:
     """Exact lookup in a small parameter table; NULL when absent."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), name) if table \
-        else F.lit(None).cast("string")
+    return F.element_at(lit_map(table), name) if table else F.lit(None).cast("string")
+
+
+ANNOTATED = ["entity", "nationality", "org_from", "org_to", "status", "league", "fee_text"]
 
 
 def annotate(df: DataFrame, entities: dict, org_aliases: dict[str, str],
@@ -107,30 +113,26 @@ def annotate(df: DataFrame, entities: dict, org_aliases: dict[str, str],
     title, summary = text_or_empty(F.col("title")), text_or_empty(F.col("summary"))
     orgs_of = {n: a["org"] for n, a in entities.items() if a.get("org")}
     nations = {n: a["nationality"] for n, a in entities.items() if a.get("nationality")}
-    step = (df
-            .withColumn("_norm", norm_text(F.concat_ws(" ", title, summary)))
-            .withColumn("_norm_title", norm_text(title))
-            .withColumn("_entity", best_entity(phrase_hits(F.col("_norm"), entity_terms(entities))))
-            .withColumn("_hits", phrase_hits(F.col("_norm"), org_terms(org_aliases)))
-            .withColumn("_orgs", orgs_in_order(F.col("_hits"), F.col("_norm"))["canonical"])
-            .withColumn("_first", F.try_element_at("_orgs", F.lit(1)))
-            .withColumn("_second", F.try_element_at("_orgs", F.lit(2)))
-            .withColumn("_current", attribute(F.col("_entity"), orgs_of))
-            .withColumn("_direction", direction(F.col("_norm"), F.col("_norm_title"), F.col("_first"),
-                                                F.col("_second"), F.col("_current"), **(wording or {}))))
+    step = df if "_norm" in df.columns else materialize(df, _norm=norm_text(F.concat_ws(" ", title, summary)))
+    norm = F.col("_norm")
+    step = materialize(step, _norm_title=norm_text(title), _hits=phrase_hits(norm, org_terms(org_aliases)),
+                       _entity=best_entity(phrase_hits(norm, entity_terms(entities))))
+    step = materialize(step, _orgs=orgs_in_order(F.col("_hits"), norm), _current=attribute(F.col("_entity"), orgs_of))
+    step = materialize(step, _direction=direction(
+        norm, F.col("_norm_title"), F.try_element_at("_orgs", F.lit(1)), F.try_element_at("_orgs", F.lit(2)),
+        F.col("_current"), **(wording or {})))
     fee = F.coalesce(fee_text(F.concat_ws(" ", title, summary)), F.lit(fv.UNKNOWN_FEE))
-    out = (step
-           .withColumn("entity", F.coalesce("_entity", fallback_entity(title, org_aliases)))
-           .withColumn("nationality", F.coalesce(attribute(F.col("_entity"), nations), F.lit(fv.DEFAULT_NATIONALITY)))
-           .withColumn("org_from", F.col("_direction.org_from"))
-           .withColumn("org_to", F.col("_direction.org_to"))
-           .withColumn("status", status_of(title, status_words))
-           .withColumn("league", classify(F.col("_norm"), classes, default_class))
+    out = materialize(
+        step.drop(*[c for c in ANNOTATED if c in df.columns]),
+        entity=F.coalesce("_entity", fallback_entity(title, org_aliases)),
+        nationality=F.coalesce(attribute(F.col("_entity"), nations), F.lit(fv.DEFAULT_NATIONALITY)),
+        org_from=F.col("_direction.org_from"), org_to=F.col("_direction.org_to"),
+        status=status_of(title, status_words), league=classify(norm, classes, default_class), fee_text=fee)
+    out = (out
            .withColumn("sentiment", status_sentiment(F.col("status")))
-           .withColumn("fee_text", fee)
            .withColumn("fee_numeric", numeric_fee(F.when(F.col("fee_text") != fv.UNKNOWN_FEE, F.col("fee_text"))))
            .withColumn("story_key", story_key(F.col("entity"), F.col("org_from"), F.col("org_to"))))
-    drop = ["_norm_title", "_entity", "_hits", "_orgs", "_first", "_second", "_current", "_direction"]
+    drop = ["_norm_title", "_entity", "_hits", "_orgs", "_current", "_direction"]
     return out.drop(*drop, *([] if keep_norm else ["_norm"]))
 
 

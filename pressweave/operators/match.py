@@ -16,6 +16,7 @@ Two plans give the same rows:
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,23 +56,24 @@ def org_terms(aliases: dict[str, str]) -> list[Term]:
     return [Term(a, aliases[a], rank) for rank, a in enumerate(ordered) if a.strip()]
 
 
-def _term_struct(t: Term) -> Column:
-    return F.struct(F.lit(t.rank).alias("rank"), F.lit(t.term).alias("term"), F.lit(t.canonical).alias("canonical"))
+HITS = "array<struct<rank:int,term:string,canonical:string,plain:string>>"
 
 
 def phrase_hits(norm: Column, terms: list[Term]) -> Column:
-    """array<struct<rank,term,canonical>> of the terms that occur in the text."""
+    """array<struct<rank,term,canonical,plain>> of the terms that occur in the text.
+
+    ``plain`` is the normalised canonical name.
+    """
     if len(terms) > INLINE_LIMIT:
         raise ValueError(f"{len(terms)} terms: use phrase_hits_join for dictionaries above {INLINE_LIMIT}")
     if not terms:
-        return F.array().cast("array<struct<rank:int,term:string,canonical:string>>")
-    by_word: dict[str, list[Term]] = {}
+        return F.array().cast(HITS)
+    by_word: dict[str, list[dict]] = {}
     for t in terms:
-        by_word.setdefault(t.term.split(" ")[0], []).append(t)
-    table = F.create_map(*[
-        x for word, group in by_word.items()
-        for x in (F.lit(word), F.array(*[_term_struct(t) for t in group]))
-    ])
+        by_word.setdefault(t.term.split(" ")[0], []).append(
+            {"rank": t.rank, "term": t.term, "canonical": t.canonical, "plain": norm_words(t.canonical)})
+    # one JSON literal; the optimizer turns it into a constant map
+    table = F.from_json(F.lit(json.dumps(by_word)), f"map<string,{HITS}>")
     starts = F.array_intersect(F.split(norm, " "), lit_array(by_word))
     candidates = F.flatten(F.transform(starts, lambda w: F.element_at(table, w)))
     padded = F.concat(F.lit(" "), norm, F.lit(" "))
@@ -95,7 +97,7 @@ def orgs_in_order(hits: Column, norm: Column) -> Column:
     first = F.filter(ranked, lambda h, i: F.array_position(names, h["canonical"]) == i + 1)
     placed = F.transform(first, lambda h: F.struct(
         (F.instr(padded, F.concat(F.lit(" "), h["term"], F.lit(" "))) - 1).alias("position"),
-        h["rank"].alias("rank"), h["canonical"].alias("canonical")))
+        h["rank"].alias("rank"), h["canonical"].alias("canonical"), h["plain"].alias("plain")))
     return F.array_sort(placed)
 
 

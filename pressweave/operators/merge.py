@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import key_text, strip, text_or_empty
+from pressweave.functions.text import key_text, materialize, strip, text_or_empty
 from pressweave.operators.score import quality_score
 
 FILLED = ["entity", "org_from", "org_to", "fee_text", "nationality", "league"]
@@ -43,13 +43,12 @@ def merge_stories(df: DataFrame, order: str, key: str = "story_key", strict: boo
     ``order`` is a unique column that settles ties in quality.
     """
     columns = df.columns
-    keyed = df.withColumn("_key", merge_key(F.col(key), F.col("entity") if strict else None))
-    loose = keyed.filter(F.col("_key").isNull()).drop("_key")
-    rank = F.struct((-F.col("_quality")).alias("q"), F.col(order).alias("o"))
-
     filled = [f for f in FILLED if f in columns]
-    rows = keyed.filter(F.col("_key").isNotNull()).withColumn("_quality", quality_score(df))
-    rows = rows.withColumn("_rank", rank).withColumn("_row", F.struct(*columns))
+    # a row without a usable key is a story of its own: one scan, and the merge of one row is that row
+    own = F.concat(F.lit("\u0001"), F.col(order).cast("string"))
+    rows = materialize(df, _key=F.coalesce(merge_key(F.col(key), F.col("entity") if strict else None), own),
+                       _rank=F.struct((-quality_score(df)).alias("q"), F.col(order).alias("o")),
+                       _row=F.struct(*columns))
 
     aggs = [F.min_by("_row", "_rank").alias("_best")]
     for f in filled:
@@ -86,4 +85,4 @@ def merge_stories(df: DataFrame, order: str, key: str = "story_key", strict: boo
         return best
 
     types = {f.name: f.dataType for f in df.schema}
-    return merged.select(*[result(c).cast(types[c]).alias(c) for c in columns]).unionByName(loose.select(*columns))
+    return merged.select(*[result(c).cast(types[c]).alias(c) for c in columns])

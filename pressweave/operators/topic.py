@@ -1,13 +1,14 @@
 """Topic filter, blocked sources and the purge / skip predicates built on them."""
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import contains_any, non_empty, norm_text, text_or_empty
+from pressweave.functions.text import contains_any, materialize, non_empty, norm_text, text_or_empty
 from pressweave.operators.match import Term, has_hit
 
 
@@ -28,36 +29,46 @@ def any_pattern(c: Column, patterns) -> Column:
 
 def is_blocked(source: Column, title: Column, blocked=fv.BLOCKED_SOURCES) -> Column:
     """The normalised source (the title when there is none) contains a blocked term."""
-    return contains_any(norm_text(F.coalesce(non_empty(text_or_empty(source)), title)), blocked)
+    name = norm_text(F.coalesce(non_empty(text_or_empty(source)), title))
+    return name.rlike("|".join(re.escape(b) for b in blocked)) if blocked else F.lit(False)
 
 
-def on_topic(title: Column, summary: Column, source: Column, rules: TopicRules, norm: Column | None = None) -> Column:
-    """Keep rule: not empty, not blocked, and (entity or organisation or (positive and not negative)).
+def flag_topic(df: DataFrame, rules: TopicRules, title="title", summary="summary", source="source") -> DataFrame:
+    """Add ``_norm`` and ``on_topic``.
 
-    The cheap tests come first; CASE branches are evaluated only when reached.
+    Keep rule: not empty, not blocked, and (entity or organisation or (positive
+    and not negative)).  Cheap tests come first; CASE branches are evaluated
+    only when reached.
     """
-    raw = F.concat_ws(" ", text_or_empty(title), text_or_empty(summary))
-    norm = norm_text(raw) if norm is None else norm
+    raw = F.concat_ws(" ", text_or_empty(F.col(title)), text_or_empty(F.col(summary)))
+    rows = df if "_norm" in df.columns else materialize(df, _norm=norm_text(raw))
+    norm = F.col("_norm")
     positive = any_pattern(norm, rules.patterns) | contains_any(raw, rules.raw_words)
     known = has_hit(norm, rules.entities + rules.orgs)
-    return (F.when(norm == "", False)
-            .when(is_blocked(source, title, rules.blocked), False)
+    keep = (F.when(norm == "", False)
+            .when(is_blocked(F.col(source), F.col(title), rules.blocked), False)
             .when(known, True)
             .otherwise(positive & ~any_pattern(norm, rules.off_topic)))
+    return materialize(rows, on_topic=keep)
 
 
-def keep_on_topic(df: DataFrame, rules: TopicRules, title="title", summary="summary", source="source") -> DataFrame:
-    """Rows on topic.  Blocked sources are dropped before any text is normalised."""
+def keep_on_topic(df: DataFrame, rules: TopicRules, title="title", summary="summary", source="source",
+                  keep_norm: bool = False) -> DataFrame:
+    """Rows on topic.  Blocked sources are dropped before any text is normalised.
+
+    ``keep_norm`` leaves the normalised text for the annotation that follows.
+    """
     open_sources = df.filter(~is_blocked(F.col(source), F.col(title), rules.blocked))
-    return open_sources.filter(on_topic(F.col(title), F.col(summary), F.col(source), rules))
+    kept = flag_topic(open_sources, rules, title, summary, source).filter("on_topic")
+    return kept.drop("on_topic", *([] if keep_norm else ["_norm"]))
 
 
-def purge_counts(df: DataFrame, keep: Column) -> DataFrame:
+def purge_counts(df: DataFrame, rules: TopicRules) -> DataFrame:
     """Dry run of a purge: what would go and what would stay."""
-    return df.agg(
+    return flag_topic(df, rules).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(~keep).alias("purged"),
-        F.count_if(keep).alias("remaining"),
+        F.count_if(~F.col("on_topic")).alias("purged"),
+        F.count_if("on_topic").alias("remaining"),
     )
 
 

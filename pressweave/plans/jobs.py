@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import non_empty, norm_text, polish_text, shorten, text_or_empty
+from pressweave.functions.text import non_empty, polish_text, shorten, text_or_empty
 from pressweave.functions.urls import is_http, normalize_image_url
 from pressweave.functions.values import external_key, parse_date, parse_float
 from pressweave.operators.annotate import (annotate, bullet_summary, classify, fill_placeholders, headline,
@@ -17,7 +17,7 @@ from pressweave.operators.query import article_filter, page_of
 from pressweave.operators.report import (cards, category_digest, category_kpis, in_report_order, report_index,
                                          report_rows)
 from pressweave.operators.score import source_score
-from pressweave.operators.topic import TopicRules, is_blocked, keep_on_topic, on_topic
+from pressweave.operators.topic import TopicRules, keep_on_topic
 from pressweave.sources.aliases import first_by_alias
 
 LOCAL_CREDIBILITY = 4.0
@@ -27,7 +27,7 @@ def annotate_job(items: DataFrame, order: str, rules: TopicRules, entities: dict
                  cache: DataFrame, badges: dict[str, str], pages: DataFrame | None = None,
                  external: DataFrame | None = None, scores: dict[str, int] = fv.SOURCE_SCORES, **lexicon) -> DataFrame:
     """Landed items -> topic filter -> annotation -> image -> story merge -> source score."""
-    rows = keep_on_topic(items, rules)
+    rows = keep_on_topic(items, rules, keep_norm=True)
     rows = annotate(rows, entities, org_aliases, **lexicon).withColumn("credibility", F.lit(LOCAL_CREDIBILITY))
     if external is not None:
         rows = merge_annotations(rows, external, order)
@@ -68,11 +68,9 @@ def normalize_import(raw: DataFrame, order: str, rules: TopicRules, entities: di
         pick("transfer_fee", "fee", "fee_text").alias("fee_text"),
         pick("status").alias("status"),
     )
-    rows = rows.filter(F.col("title") != "")
-    rows = rows.filter(on_topic(F.col("title"), F.col("summary"), F.col("source"), rules))
+    rows = keep_on_topic(rows.filter(F.col("title") != ""), rules, keep_norm=True)
     rows = (rows
-            .withColumn("category", F.coalesce(non_empty(F.col("category")), classify(
-                norm_text(F.concat_ws(" ", "title", "summary")), classes, default_class)))
+            .withColumn("category", F.coalesce(non_empty(F.col("category")), classify(F.col("_norm"), classes, default_class)))
             .withColumn("summary", F.coalesce(non_empty(F.col("summary")), shorten(F.col("title"), 220)))
             .withColumn("sentiment", F.coalesce(non_empty(F.col("sentiment")),
                                                 lexicon_sentiment(F.concat_ws(" ", "title", "summary"))))
@@ -106,7 +104,7 @@ def report_job(raw: DataFrame, order: str) -> dict[str, DataFrame]:
 def reannotate(stored: DataFrame, rules: TopicRules, entities: dict, org_aliases: dict[str, str], cache: DataFrame,
                badges: dict[str, str], pages: DataFrame | None = None, **lexicon) -> DataFrame:
     """Drop off-topic rows, recompute entity, organisations, status and image of the rest."""
-    kept = stored.filter(on_topic(F.col("title"), F.col("summary"), F.lit(""), rules))
+    kept = keep_on_topic(stored.withColumn("_none", F.lit("")), rules, source="_none", keep_norm=True).drop("_none")
     fresh = annotate(kept.select("*", *[F.col(c).alias("_in_" + c) for c in ("league", "sentiment", "fee_text",
                                                                             "fee_numeric", "story_key", "nationality")
                                         if c in stored.columns]), entities, org_aliases, **lexicon)
@@ -127,7 +125,4 @@ def backfill_images(stored: DataFrame, cache: DataFrame, badges: dict[str, str],
 
 def purge(stored: DataFrame, rules: TopicRules) -> DataFrame:
     """Stored rows that stay: source not blocked and on topic."""
-    return stored.filter(~is_blocked(F.col("source"), F.col("source"), rules.blocked)
-                         & on_topic(F.col("title"), F.col("summary"), F.col("source"), rules))
-
-
+    return keep_on_topic(stored, rules)

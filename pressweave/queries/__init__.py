@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text"]
+MODULES = ["text", "annotation", "listing"]
 
 
 def registry() -> dict:

@@ -7,7 +7,7 @@ from pressweave import fixed_values as fv
 from pressweave.functions import text as tx
 from pressweave.functions import urls as ux
 from pressweave.functions import values as vx
-from pressweave.plans.views import docs, published, table
+from pressweave.plans.views import docs, pages, published, table
 from pressweave.queries import sql as s
 from pressweave.sources.aliases import canonical_columns, first_by_alias, first_by_column
 
@@ -177,7 +177,7 @@ c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h,
 SELECT page_id, md5(trim(regexp_replace(h, '[\\s\\x{a0}]+', ' ', 'g'))) AS text,
  length(trim(regexp_replace(h, '[\\s\\x{a0}]+', ' ', 'g'))) AS text_len FROM c""")
 def clean_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.clean_html(F.col("html")).alias("v")).select(
+    return pages(spark, sf).select("page_id", tx.clean_html(F.col("html")).alias("v")).select(
         "page_id", F.md5("v").alias("text"), F.length("v").cast("bigint").alias("text_len"))
 
 
@@ -209,7 +209,7 @@ SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^
  OR regexp_matches(seg[-1], '[A-Z0-9]{6,}') END AS article_like FROM w""")
 def url_article_like(spark, sf):
     u = F.col("url")
-    return table(spark, sf, "pages").select(
+    return pages(spark, sf).select(
         "page_id", ux.url_host(u).alias("host"), F.btrim(ux.url_path(u), F.lit("/")).alias("path"),
         ux.is_article_like_url(u).alias("article_like"))
 
@@ -220,7 +220,7 @@ def url_article_like(spark, sf):
  SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages))""")
 def resolve_urls(spark, sf):
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    return (table(spark, sf, "pages")
+    return (pages(spark, sf)
             .select("page_id", base.alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("position", "href"))
             .select("page_id", F.col("position").cast("bigint").alias("position"),
                     ux.resolve_url(F.col("base"), F.col("href")).alias("link")))
