@@ -28,14 +28,17 @@ def lit_map(table: dict[str, str]) -> Column:
     return F.map_from_arrays(lit_array(table), lit_array(table.values()))
 
 
-def materialize(df: DataFrame, **columns: Column) -> DataFrame:
+def materialize(df: DataFrame, keep=("*",), **columns: Column) -> DataFrame:
     """Add columns that later steps read but never recompute.
 
     A filter or projection above a plain projection is merged with it, and a
     costly expression is then evaluated once per use.  The one-row ``inline`` is
-    a boundary the optimizer keeps; it adds no shuffle.
+    a boundary the optimizer keeps; it adds no shuffle.  The values are computed
+    in the projection below it, which shares common subexpressions.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    computed = df.select(*keep, *[c.alias("_m_" + n) for n, c in columns.items()])
+    rest = [c for c in computed.columns if not c.startswith("_m_")]
+    return computed.select(*rest, F.inline(F.array(F.struct(*[F.col("_m_" + n).alias(n) for n in columns]))))
 
 
 def text_or_empty(c: Column) -> Column:
@@ -71,9 +74,12 @@ def clean_value(c: Column) -> Column:
     return F.when((F.length(t) <= longest) & F.lower(t).isin(fv.EMPTY_WORDS), "").otherwise(t)
 
 
-def polish_text(c: Column) -> Column:
-    """Repair glued text: single blanks, a blank after punctuation, split aB / 1x / x1."""
-    t = collapse(clean_value(c))
+def polish_text(c: Column, cleaned: bool = False) -> Column:
+    """Repair glued text: single blanks, a blank after punctuation, split aB / 1x / x1.
+
+    ``cleaned`` says that the value already went through ``clean_value``.
+    """
+    t = collapse(c if cleaned else clean_value(c))
     t = F.regexp_replace(t, "([,;:!?])([^" + WS[1:-1] + "])", "$1 $2")
     t = F.regexp_replace(t, "([a-zà-öø-ÿ])([A-ZÀ-ÖØ-Þ])", "$1 $2")
     t = F.regexp_replace(t, "([0-9])([A-Za-zÀ-ÿ])", "$1 $2")

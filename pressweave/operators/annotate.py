@@ -199,13 +199,8 @@ def merge_annotations(local: DataFrame, external: DataFrame, key: str) -> DataFr
 
 def fill_placeholders(df: DataFrame, entities: dict, org_aliases: dict[str, str]) -> DataFrame:
     """Replace empty or placeholder fields of stored rows by the local annotation."""
-    stored = {f: F.col(f) for f in ("entity", "org_from", "org_to", "status", "fee_text")}
-    keep = df.select("*", *[c.alias("_in_" + f) for f, c in stored.items()])
-    done = annotate(keep, entities, org_aliases)
-    for f in stored:
-        bad = fv.PLACEHOLDERS.get(f, ["", "nan"])
-        was = text_or_empty(F.col("_in_" + f))
-        done = done.withColumn(f, F.when(was.isin(bad), F.col(f)).otherwise(was))
-    return done.drop(*["_in_" + f for f in stored])
-
-
+    fields = ["entity", "org_from", "org_to", "status", "fee_text"]
+    done = annotate(df.select("*", *[F.col(f).alias("_in_" + f) for f in fields]), entities, org_aliases)
+    filled = {f: F.when(F.col("_in_" + f).isNull() | F.col("_in_" + f).isin(*fv.PLACEHOLDERS.get(f, []), "", "nan"),
+                        F.col(f)).otherwise(F.col("_in_" + f)) for f in fields}
+    return done.withColumns(filled).drop(*["_in_" + f for f in fields])

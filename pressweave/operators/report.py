@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import (category_slug, clean_value, non_empty, normalize_category, polish_text,
+from pressweave.functions.text import (category_slug, clean_value, materialize, non_empty, normalize_category, polish_text,
                                        shorten_clean)
 from pressweave.functions.urls import normalize_image_url
 from pressweave.functions.values import parse_date
@@ -29,20 +29,22 @@ def report_rows(raw: DataFrame, ord_column: str) -> DataFrame:
     def pick(*aliases):
         return first_by_column(raw.columns, aliases)
 
-    title, summary = polish_text(pick("title", "titre")), polish_text(pick("summary", "resume"))
-    rows = raw.select(
-        F.col(ord_column).alias("ord"),
-        title.alias("title"),
-        F.coalesce(non_empty(polish_text(pick("source"))), F.lit(fv.UNKNOWN_SOURCE)).alias("source"),
-        pick("date").alias("date"),
-        normalize_category(polish_text(pick("category", "categorie", "discipline"))).alias("category"),
+    picked = materialize(
+        raw, (F.col(ord_column).alias("ord"),),
+        title=pick("title", "titre"), source=pick("source"), date=pick("date"),
+        category=pick("category", "categorie", "discipline"), summary=pick("summary", "resume"),
+        url=pick("url", "lien"), image=pick("image", "image_url"), image_caption=pick("image_caption", "caption"),
+        credibility=pick("credibility"))
+    polished = materialize(picked, ("ord", "date", "url", "image", "credibility"), **{
+        c: polish_text(F.col(c), cleaned=True) for c in ("title", "source", "category", "summary", "image_caption")})
+    title, summary = F.col("title"), F.col("summary")
+    rows = polished.select(
+        "ord", "title", F.coalesce(non_empty(F.col("source")), F.lit(fv.UNKNOWN_SOURCE)).alias("source"), "date",
+        normalize_category(F.col("category")).alias("category"),
         F.when((summary == "") | (summary == title), shorten_clean(title, 200)).otherwise(summary).alias("summary"),
-        pick("url", "lien").alias("url"),
-        normalize_image_url(clean_value(pick("image", "image_url"))).alias("image"),
-        polish_text(pick("image_caption", "caption")).alias("image_caption"),
-        pick("credibility").alias("credibility"),
+        "url", normalize_image_url(F.col("image")).alias("image"), "image_caption", "credibility",
     ).filter(F.col("title") != "")
-    rows = rows.withColumn("sort_date", parse_date(F.col("date"))).withColumn("has_image", F.col("image") != "")
+    rows = materialize(rows, sort_date=parse_date(F.col("date")), has_image=F.col("image") != "")
     return first_per_group(rows, ["title", "source", "url"], [report_order()])
 
 

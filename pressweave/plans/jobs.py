@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import non_empty, polish_text, shorten, text_or_empty
+from pressweave.functions.text import materialize, non_empty, polish_text, shorten, text_or_empty
 from pressweave.functions.urls import is_http, normalize_image_url
 from pressweave.functions.values import external_key, parse_date, parse_float
 from pressweave.operators.annotate import (annotate, bullet_summary, classify, fill_placeholders, headline,
@@ -48,41 +48,37 @@ def normalize_import(raw: DataFrame, order: str, rules: TopicRules, entities: di
     def pick(*aliases):
         return first_by_alias(raw.columns, aliases)
 
-    rows = raw.select(
-        F.col(order).alias("ord"),
-        polish_text(pick("title", "titre")).alias("title"),
-        polish_text(pick("summary", "summary.1", "resume", "resume.1")).alias("summary"),
-        F.coalesce(non_empty(polish_text(pick("source"))), F.lit(fv.UNKNOWN_SOURCE)).alias("source"),
-        pick("date", "raw_date", "published_at").alias("raw_date"),
-        pick("url", "lien").alias("url"),
-        polish_text(pick("category", "categorie", "discipline", "league")).alias("category"),
-        pick("lang", "language").alias("language"),
-        pick("sentiment").alias("sentiment"),
-        normalize_image_url(pick("image", "image_url", "image.1", "image_url.1")).alias("image_url"),
-        polish_text(pick("image_caption", "caption")).alias("image_caption"),
-        parse_float(pick("credibility", "credibilite")).alias("credibility"),
-        pick("player_name", "player", "entity").alias("entity"),
-        pick("from_club", "org_from").alias("org_from"),
-        pick("to_club", "org_to").alias("org_to"),
-        pick("league").alias("_league"),
-        pick("transfer_fee", "fee", "fee_text").alias("fee_text"),
-        pick("status").alias("status"),
-    )
+    rows = materialize(
+        raw, (F.col(order).alias("ord"),),
+        title=pick("title", "titre"), summary=pick("summary", "summary.1", "resume", "resume.1"), source=pick("source"),
+        raw_date=pick("date", "raw_date", "published_at"), url=pick("url", "lien"),
+        category=pick("category", "categorie", "discipline", "league"), language=pick("lang", "language"),
+        sentiment=pick("sentiment"), image_url=pick("image", "image_url", "image.1", "image_url.1"),
+        image_caption=pick("image_caption", "caption"), credibility=pick("credibility", "credibilite"),
+        entity=pick("player_name", "player", "entity"), org_from=pick("from_club", "org_from"),
+        org_to=pick("to_club", "org_to"), _league=pick("league"), fee_text=pick("transfer_fee", "fee", "fee_text"),
+        status=pick("status"))
+    polished = ["title", "summary", "source", "category", "image_caption"]
+    rest = [c for c in rows.columns if c not in (*polished, "image_url", "credibility")]
+    rows = materialize(rows, rest, image_url=normalize_image_url(F.col("image_url")),
+                       credibility=parse_float(F.col("credibility")),
+                       **{c: polish_text(F.col(c), cleaned=True) for c in polished})
+    rows = rows.withColumn("source", F.coalesce(non_empty(F.col("source")), F.lit(fv.UNKNOWN_SOURCE)))
     rows = keep_on_topic(rows.filter(F.col("title") != ""), rules, keep_norm=True)
-    rows = (rows
-            .withColumn("category", F.coalesce(non_empty(F.col("category")), classify(F.col("_norm"), classes, default_class)))
-            .withColumn("summary", F.coalesce(non_empty(F.col("summary")), shorten(F.col("title"), 220)))
-            .withColumn("sentiment", F.coalesce(non_empty(F.col("sentiment")),
-                                                lexicon_sentiment(F.concat_ws(" ", "title", "summary"))))
-            .withColumn("_said_league", F.coalesce(non_empty(F.col("_league")), F.col("category")))
-            .withColumn("_said_sentiment", F.col("sentiment")))
+    said = F.concat_ws(" ", "title", "summary")
+    rows = materialize(
+        rows, [c for c in rows.columns if c not in ("category", "summary", "sentiment")],
+        category=F.coalesce(non_empty(F.col("category")), classify(F.col("_norm"), classes, default_class)),
+        summary=F.coalesce(non_empty(F.col("summary")), shorten(F.col("title"), 220)),
+        _sentiment=F.coalesce(non_empty(F.col("sentiment")), lexicon_sentiment(said)))
     rows = fill_placeholders(rows, entities, org_aliases)
     rows = (rows
-            .withColumn("league", F.col("_said_league")).withColumn("sentiment", F.col("_said_sentiment"))
+            .withColumn("league", F.coalesce(non_empty(F.col("_league")), F.col("category")))
+            .withColumn("sentiment", F.col("_sentiment"))
             .withColumn("image_url", F.when(is_http(F.col("image_url")), F.col("image_url")))
             .withColumn("external_key", external_key(*[F.col(c) for c in ("source", "title", "url", "raw_date")]))
             .withColumn("published_at", parse_date(F.col("raw_date"), rfc822=True)))
-    rows = first_per_group(rows.drop("_league", "_said_league", "_said_sentiment"), ["external_key"], ["ord"])
+    rows = first_per_group(rows.drop("_league", "_sentiment"), ["external_key"], ["ord"])
     for c in ("url", "language", "image_caption"):
         rows = rows.withColumn(c, non_empty(F.col(c)))
     return rows

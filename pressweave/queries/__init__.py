@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "annotation", "listing"]
+MODULES = ["text", "annotation", "listing", "landing"]
 
 
 def registry() -> dict:
