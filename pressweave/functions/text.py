@@ -105,32 +105,24 @@ def clean_text(c: Column) -> Column:
     return strip(t)
 
 
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
 def unescape(c: Column) -> Column:
-    """Resolve named and numeric character references; work is done only on rows that have one."""
+    """Resolve named and numeric character references; only those present are looked at."""
     names = {k: chr(v) for k, v in html.entities.name2codepoint.items()} | {"apos": "'"}
     table = lit_map(names)
 
-    def codepoint(number: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit("&([A-Za-z][A-Za-z0-9]*);"), 1))
-    named = F.reduce(
-        F.array_except(found, lit_array(["amp"])), c,
-        lambda acc, n: F.coalesce(
-            F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.element_at(table, n)), acc))
-    decimal = F.reduce(
-        F.array_distinct(F.regexp_extract_all(named, F.lit("&#([0-9]{1,6});"), 1)), named,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), codepoint(n.cast("bigint"))))
-    hexed = F.reduce(
-        F.array_distinct(F.regexp_extract_all(decimal, F.lit("&#[xX]([0-9a-fA-F]{1,5});"), 1)), decimal,
-        lambda acc, n: F.regexp_replace(
-            acc, F.concat(F.lit("&#[xX]"), n, F.lit(";")), codepoint(F.conv(n, 16, 10).cast("bigint"))))
-    simple = F.reduce(
-        F.array(*[F.struct(F.lit(f"&{e};").alias("e"), F.lit(v).alias("v"))
-                  for e, v in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "))]),
-        c, lambda acc, x: F.replace(acc, x["e"], x["v"]))
-    common_only = ~c.rlike("&(?!lt;|gt;|quot;|nbsp;|amp;)#?[A-Za-z0-9]+;")
-    text = F.when(common_only, simple).otherwise(hexed)
+    def value(ref: Column) -> Column:
+        hexed = F.conv(F.substring(ref, 3, 6), 16, 10)
+        number = F.when(F.lower(ref).startswith("#x"), hexed).otherwise(F.substring(ref, 2, 7)).try_cast("bigint")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.when(ref.startswith("#"), char).otherwise(F.element_at(table, ref))
+
+    found = F.array_except(F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), 1)), lit_array(["amp"]))
+    text = F.reduce(found, c, lambda acc, ref: F.coalesce(
+        F.replace(acc, F.concat(F.lit("&"), ref, F.lit(";")), value(ref)), acc))
     return F.when(c.contains("&"), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import clean_html, contains_any, non_empty, strip, text_or_empty, unescape
+from pressweave.functions.text import clean_html, materialize, non_empty, strip, text_or_empty, unescape
 from pressweave.operators.topic import TopicRules, keep_on_topic
 from pressweave.sources.pages import feed_page_image
 
@@ -24,34 +24,33 @@ def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _child(item: Column, tag: str) -> Column:
-    """Text of the first child element: character data as it is, otherwise unescaped."""
-    inner = F.regexp_extract(item, rf"(?is)<{tag}\b[^>]*?(?<!/)>(.*?)</{tag}\s*>", 1)
-    cdata = F.regexp_extract(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
-    return F.when(inner.contains("<![CDATA["), cdata).otherwise(unescape(inner))
+    """Raw text of the first child element."""
+    return F.regexp_extract(item, rf"(?is)<{tag}\b[^>]*?(?<!/)>(.*?)</{tag}\s*>", 1)
+
+
+def _text(raw: Column) -> Column:
+    """Character data as it is, other text with its references resolved."""
+    cdata = F.regexp_extract(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
+    return F.when(raw.contains("<![CDATA["), cdata).otherwise(unescape(raw))
 
 
 def _attribute(element: Column, name: str) -> Column:
-    return unescape(F.regexp_extract(element, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1))
+    return F.regexp_extract(element, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1)
 
 
 def item_image(item: Column, description: Column) -> Column:
     """Image of an item: enclosure, media element, picture in the description, <image>; '' otherwise."""
-    def http(c):
-        return F.when(c.startswith("http"), c)
-
     enclosure = _attribute(F.regexp_extract(item, r"(?is)(<enclosure\b[^>]*>)", 1), "url")
     media = F.transform(F.regexp_extract_all(item, F.lit(r"(?is)(<[a-z0-9_:]*(?:content|thumbnail)[a-z0-9_:]*\s[^>]*>)"), 1),
                         lambda e: _attribute(e, "url"))
     picture = F.regexp_extract(description, r"(?is)(<img\b[^>]*>)", 1)
-    source = F.coalesce(non_empty(_attribute(picture, "src")), non_empty(_attribute(picture, "data-src")))
     image = F.regexp_extract(item, r"(?is)(<image\b[^>]*>)", 1)
-    image_text = strip(_child(item, "image"))
-    return F.coalesce(
-        F.when(contains_any(F.lower(enclosure), fv.IMAGE_EXTENSIONS), enclosure),
-        F.try_element_at(F.filter(media, lambda u: u.startswith("http")), F.lit(1)),
-        http(source),
-        http(F.coalesce(non_empty(_attribute(image, "url")), image_text)),
-        F.lit(""))
+    kind = F.lower(enclosure).rlike("|".join(e.replace(".", r"\.") for e in fv.IMAGE_EXTENSIONS))
+    later = F.concat(media, F.array(
+        F.coalesce(non_empty(_attribute(picture, "src")), _attribute(picture, "data-src")),
+        F.coalesce(non_empty(_attribute(image, "url")), strip(_child(item, "image")))))
+    return unescape(F.coalesce(F.when(kind, enclosure), F.try_element_at(
+        F.filter(later, lambda u: u.startswith("http")), F.lit(1)), F.lit("")))
 
 
 def feed_items(feeds: DataFrame, today: str, keep=("feed",)) -> DataFrame:
@@ -59,18 +58,17 @@ def feed_items(feeds: DataFrame, today: str, keep=("feed",)) -> DataFrame:
     items = F.slice(F.regexp_extract_all("xml", F.lit(r"(?is)(<item\b.*?</item\s*>)"), 1), 1, ITEM_LIMIT)
     rows = feeds.select(*keep, F.posexplode(items).alias("position", "_item"))
     item = F.col("_item")
-    rows = rows.withColumn("_description", _child(item, "description"))
-    rows = rows.select(
-        *keep, "position",
-        clean_html(_child(item, "title")).alias("title"),
-        strip(_child(item, "link")).alias("url"),
-        F.coalesce(non_empty(strip(_child(item, "pubDate"))), F.lit(today)).alias("raw_date"),
-        clean_html(F.col("_description")).alias("_summary"),
-        (F.col("_description") == "").alias("_bare"),
-        item_image(item, F.col("_description")).alias("image_url"),
-    ).filter((F.col("title") != "") & (F.col("url") != ""))
-    summary = F.when(F.col("_bare"), F.col("title")).otherwise(F.col("_summary"))
-    return rows.withColumn("summary", summary).drop("_summary", "_bare")
+    children = F.transform(F.array(*[_child(item, t) for t in ("title", "link", "description", "pubDate")]), _text)
+    rows = materialize(rows, _children=children)
+    title, link, description, date = (F.element_at("_children", i) for i in (1, 2, 3, 4))
+    rows = materialize(
+        rows, (*keep, "position"), _clean=F.transform(F.array(title, description), clean_html), url=strip(link),
+        raw_date=F.coalesce(non_empty(strip(date)), F.lit(today)), _bare=description == "",
+        image_url=item_image(item, description))
+    title, summary = F.element_at("_clean", 1), F.element_at("_clean", 2)
+    return (rows.filter((title != "") & (F.col("url") != ""))
+            .select(*keep, "position", title.alias("title"), "url", "raw_date",
+                    F.when(F.col("_bare"), title).otherwise(summary).alias("summary"), "image_url"))
 
 
 def land_items(items: DataFrame, catalog: DataFrame, rules: TopicRules | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressweave.functions.text import clean_html, clean_text, drop_elements, non_empty, strip, text_or_empty
+from pressweave.functions.text import clean_html, clean_text, drop_elements, materialize, non_empty, strip, text_or_empty
 from pressweave.functions.urls import clean_image_url, resolve_url
 
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
@@ -63,17 +63,22 @@ def page_cards(pages: DataFrame, source: Column, base_url: Column, today: str,
                     resolve_url(F.col("_base"), F.col("c.href")).alias("url"), F.col("c.date").alias("date")))
 
 
-def meta_content(html: Column, attribute: str, value: str) -> Column:
-    """Content of the first <meta attribute="value">, attributes in either order; '' when absent."""
+def meta_raw(html: Column, attribute: str, value: str) -> Column:
+    """Raw content of the first <meta attribute="value">, attributes in either order; NULL when absent or empty."""
     name, quote = rf"\b{attribute}\s*=\s*", r"""["']"""
-    forward = rf"""(?is)<meta\b[^>]*?{name}{quote}{value}{quote}[^>]*?\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    backward = rf"""(?is)<meta\b[^>]*?\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*?{name}{quote}{value}{quote}"""
-    values = [F.regexp_extract(html, p, g) for p in (forward, backward) for g in (1, 2)]
-    return clean_text(clean_html(F.coalesce(*[non_empty(v) for v in values], F.lit(""))))
+    tag = F.regexp_extract(html, rf"(?is)(<meta\b(?=[^>]*?{name}{quote}{value}{quote})[^>]*>)", 1)
+    content = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'[^']*')""", 1)
+    single = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*'([^']*)'""", 1)
+    return F.coalesce(non_empty(content), non_empty(single))
 
 
-def _first_meta(html: Column, pairs) -> Column:
-    return F.coalesce(*[non_empty(meta_content(html, a, v)) for a, v in pairs], F.lit(""))
+def metas(html: Column, *groups) -> Column:
+    """array<string>: for each group of (attribute, value) pairs its first non-empty cleaned content, or ''.
+
+    Groups are cleaned together, in one pass over the array.
+    """
+    first = F.array(*[F.coalesce(*[meta_raw(html, a, v) for a, v in pairs], F.lit("")) for pairs in groups])
+    return F.transform(first, lambda v: clean_text(clean_html(v)))
 
 
 def first_paragraph(html: Column, limit: int = 300, longer_than: int = 60) -> Column:
@@ -85,43 +90,41 @@ def first_paragraph(html: Column, limit: int = 300, longer_than: int = 60) -> Co
     return F.when(F.length(first) > limit, F.concat(F.substring(first, 1, limit), F.lit("..."))).otherwise(first)
 
 
+DESCRIPTION = [("property", "og:description"), ("name", "description"), ("name", "twitter:description")]
+IMAGE = [("property", "og:image"), ("name", "twitter:image"), ("property", "twitter:image")]
+CAPTION = [("property", "og:image:alt"), ("name", "twitter:image:alt")]
+OG_IMAGE = [("property", "og:image"), ("name", "og:image")]
+TWITTER_IMAGE = [("property", "twitter:image"), ("name", "twitter:image")]
+
+
 def page_metadata(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, summary, image_url, image_caption) of each page.
 
     A paragraph is searched only on pages without a description.
     """
     html = text_or_empty(F.col("html"))
-    description = _first_meta(html, [("property", "og:description"), ("name", "description"),
-                                     ("name", "twitter:description")])
-    image = _first_meta(html, [("property", "og:image"), ("name", "twitter:image"), ("property", "twitter:image")])
-    caption = _first_meta(html, [("property", "og:image:alt"), ("name", "twitter:image:alt")])
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    step = pages.select(key, "url", "html", description.alias("_d"), image.alias("_i"), caption.alias("_c"))
-    step = step.withColumn("summary", F.when(F.col("_d") != "", F.col("_d")).otherwise(first_paragraph(html)))
+    step = materialize(pages.select(key, "url", "html"), _meta=metas(html, DESCRIPTION, IMAGE, CAPTION))
+    description, image, caption = (F.element_at("_meta", i) for i in (1, 2, 3))
+    step = materialize(step, (key, "url", "_meta"),
+                       summary=F.when(description != "", description).otherwise(first_paragraph(html)))
     return step.select(
         key, "url", "summary",
-        F.when(F.col("_i") == "", "").otherwise(resolve_url(base, F.col("_i"))).alias("image_url"),
-        F.coalesce(non_empty(F.col("_c")), F.col("summary")).alias("image_caption"))
+        F.when(image == "", "").otherwise(resolve_url(base, image)).alias("image_url"),
+        F.coalesce(non_empty(caption), F.col("summary")).alias("image_caption"))
 
 
 def page_image(html: Column) -> Column:
     """Usable preview image: og:image, then twitter:image; '' otherwise."""
-    def usable(*pairs):
-        return non_empty(clean_image_url(_first_meta(html, pairs)))
-
-    return F.coalesce(usable(("property", "og:image"), ("name", "og:image")),
-                      usable(("property", "twitter:image"), ("name", "twitter:image")), F.lit(""))
+    usable = F.filter(F.transform(metas(html, OG_IMAGE, TWITTER_IMAGE), clean_image_url), lambda u: u != "")
+    return F.coalesce(F.try_element_at(usable, F.lit(1)), F.lit(""))
 
 
 def feed_page_image(html: Column) -> Column:
     """Page image for feed items: og:image, twitter:image, then the first picture unless it is a logo or icon."""
-    def http(c):
-        return F.when(c.startswith("http"), c)
-
     first = F.regexp_extract(html, r"(?is)(<img\b[^>]*>)", 1)
     src = F.coalesce(*[non_empty(F.regexp_extract(first, rf"""(?is)\s{a}\s*=\s*["']([^"']*)["']""", 1))
                        for a in ("src", "data-src")], F.lit(""))
-    plain = ~F.lower(src).contains("logo") & ~F.lower(src).contains("icon")
-    return F.coalesce(http(_first_meta(html, [("property", "og:image"), ("name", "og:image")])),
-                      http(_first_meta(html, [("name", "twitter:image"), ("property", "twitter:image")])),
-                      F.when(plain, http(src)), F.lit(""))
+    plain = F.when(~F.lower(src).rlike("logo|icon"), src).otherwise("")
+    choices = F.concat(metas(html, OG_IMAGE, TWITTER_IMAGE), F.array(plain))
+    return F.coalesce(F.try_element_at(F.filter(choices, lambda u: u.startswith("http")), F.lit(1)), F.lit(""))
