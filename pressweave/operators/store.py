@@ -62,11 +62,16 @@ def upsert_sources(existing: DataFrame, rolled_up: DataFrame) -> DataFrame:
         *rest)
 
 
+def by_date(df: DataFrame) -> DataFrame:
+    """Gather rows by date for writing: few files per date, and a date with many rows is split."""
+    return df.hint("rebalance", F.col(PARTITION))
+
+
 def write_articles(df: DataFrame, path: str) -> None:
     """Drop and reload: the table is written anew; rows without a key are left out."""
     rows = df.filter(F.col("external_key").isNotNull() & (F.col("external_key") != ""))
     rows = rows.withColumn(PARTITION, F.to_date("published_at"))
-    rows.write.mode("overwrite").partitionBy(PARTITION).parquet(path)
+    by_date(rows).write.mode("overwrite").partitionBy(PARTITION).parquet(path)
 
 
 def upsert_articles(spark: SparkSession, path: str, batch: DataFrame, staging: str) -> DataFrame:
@@ -76,19 +81,25 @@ def upsert_articles(spark: SparkSession, path: str, batch: DataFrame, staging: s
     ones from there, so a lost executor or a failed run never reads what it is
     overwriting; repeating the batch gives the same table.
     """
-    rows = first_per_group(batch, ["external_key"], ["updated_at"]).withColumn(PARTITION, F.to_date("published_at"))
+    fresh = first_per_group(batch, ["external_key"], ["updated_at"]).withColumn(PARTITION, F.to_date("published_at"))
+    # the batch is used more than once below, so it is computed once and written
+    fresh.write.mode("overwrite").parquet(f"{staging}/batch")
+    rows = spark.read.parquet(f"{staging}/batch")
     if not exists(spark, path):
         merged = rows.withColumn("op", F.lit("insert"))
     else:
         table = spark.read.parquet(path).withColumn(PARTITION, F.col(PARTITION).cast("date"))
+        # one row per calendar day, so small at any data size; the semi join prunes partitions at run time
         days = rows.select(PARTITION).distinct()
-        # the semi join on the partition column prunes partitions at run time
-        dated = table.join(days, PARTITION, "left_semi")
-        undated = table.filter(F.col(PARTITION).isNull())
+        dated = table.join(F.broadcast(days), PARTITION, "left_semi")
+        # at most one row: whether the batch has undated articles
+        has_undated = rows.filter(F.col(PARTITION).isNull()).select(F.lit(True).alias("_undated")).distinct()
+        undated = (table.filter(F.col(PARTITION).isNull()).withColumn("_undated", F.lit(True))
+                   .join(F.broadcast(has_undated), "_undated", "left_semi").drop("_undated"))
         touched = dated.unionByName(undated)
         merged = upsert(touched.select(*rows.columns), rows, "external_key")
-    merged.write.mode("overwrite").partitionBy(PARTITION).parquet(staging)
-    staged = spark.read.parquet(staging)
+    by_date(merged).write.mode("overwrite").partitionBy(PARTITION).parquet(f"{staging}/merged")
+    staged = spark.read.parquet(f"{staging}/merged")
     (staged.drop("op").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(PARTITION).parquet(path))
     return upsert_counts(staged)

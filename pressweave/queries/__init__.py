@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "annotation", "listing", "landing"]
+MODULES = ["text", "annotation", "listing", "landing", "storing"]
 
 
 def registry() -> dict:

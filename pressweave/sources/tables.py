@@ -30,11 +30,14 @@ SOURCE = T.StructType([
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
+
+    Only where the session has none (local tests) a temporary folder is set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="pressweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pressweave-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -24,16 +24,21 @@ def fresh(df: DataFrame, ts: str, as_of: Column | None = None, window: str = "24
     return df.filter(F.col(ts) >= now - F.expr(f"INTERVAL {window}"))
 
 
+def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermark on a column that may be a time-zone-free timestamp."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def distinct_by_key(df: DataFrame, key: str, ts: str, delay: str = "24 hours") -> DataFrame:
     """First row of each key; state is kept for ``delay`` of event time, later rows are dropped."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return with_event_time(df, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(df: DataFrame, ts: str, *labels: str, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Rolling counts per label in event-time windows."""
-    return (df.withWatermark(ts, delay).groupBy(F.window(ts, window), *labels)
+    return (with_event_time(df, ts, delay).groupBy(F.window(ts, window), *labels)
             .agg(F.count(F.lit(1)).alias("articles"))
-            .select(F.col("window.start").alias("window_start"), *labels, "articles"))
+            .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), *labels, "articles"))
 
 
 def upsert_stream(df: DataFrame, table: str, staging: str, status: str, checkpoint: str,
