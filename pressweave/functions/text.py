@@ -41,6 +41,11 @@ def materialize(df: DataFrame, keep=("*",), **columns: Column) -> DataFrame:
     return computed.select(*rest, F.inline(F.array(F.struct(*[F.col("_m_" + n).alias(n) for n in columns]))))
 
 
+def bind(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c`` evaluated once, where ``fn`` uses it several times inside one expression."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -120,17 +125,18 @@ def unescape(c: Column) -> Column:
         char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
         return F.when(ref.startswith("#"), char).otherwise(F.element_at(table, ref))
 
-    found = F.array_except(F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), 1)), lit_array(["amp"]))
-    text = F.reduce(found, c, lambda acc, ref: F.coalesce(
-        F.replace(acc, F.concat(F.lit("&"), ref, F.lit(";")), value(ref)), acc))
-    return F.when(c.contains("&"), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(c)
+    def resolved(t: Column) -> Column:
+        found = F.array_except(F.array_distinct(F.regexp_extract_all(t, F.lit(REFERENCE), 1)), lit_array(["amp"]))
+        text = F.reduce(found, t, lambda acc, ref: F.coalesce(
+            F.replace(acc, F.concat(F.lit("&"), ref, F.lit(";")), value(ref)), acc))
+        return F.when(t.contains("&"), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+
+    return bind(c, resolved)
 
 
 def drop_elements(c: Column, *names: str) -> Column:
     """Remove whole elements, content included."""
-    for name in names:
-        c = F.regexp_replace(c, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
-    return c
+    return F.regexp_replace(c, rf"(?is)<({'|'.join(names)})\b[^>]*>.*?</\1\s*>", " ")
 
 
 def strip_tags(c: Column) -> Column:
@@ -139,10 +145,11 @@ def strip_tags(c: Column) -> Column:
 
 def clean_html(c: Column) -> Column:
     """Visible text of an html fragment."""
-    body = text_or_empty(c)
-    for name in ("script", "style", "template"):
-        body = F.regexp_replace(body, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
-    return strip(collapse(unescape(strip_tags(body))))
+    def stripped(t: Column) -> Column:
+        body = F.regexp_replace(t, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", "")
+        return F.when(t.contains("<"), strip_tags(body)).otherwise(t)
+
+    return strip(collapse(unescape(bind(text_or_empty(c), stripped))))
 
 
 def _decompositions():

@@ -22,7 +22,7 @@ def name_groups(names: DataFrame, category: str, name: str, short: str, order: s
     """(category, chunk, query_names, first_short): consecutive blocks of five names per category."""
     placed = dense_positions(names.select(category, name, short, order), category, order, "_position")
     placed = placed.withColumn("chunk", F.floor(F.col("_position") / GROUP))
-    quoted = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(name)))),
+    quoted = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(name)))),
                          lambda x: F.concat(F.lit('"'), x[name], F.lit('"')))
     return placed.groupBy(category, "chunk").agg(
         F.concat(F.lit("("), F.array_join(quoted, " OR "), F.lit(")")).alias("query_names"),
@@ -30,8 +30,9 @@ def name_groups(names: DataFrame, category: str, name: str, short: str, order: s
 
 
 def language_configs(spark: SparkSession, languages: dict[str, list[str]] = fv.CATEGORY_LANGUAGES) -> DataFrame:
-    return spark.createDataFrame(
-        [(c, lang) for c, ls in languages.items() for lang in ls], "category string, language string")
+    """One row per category and language; a handful of rows, so it is broadcast."""
+    return F.broadcast(spark.createDataFrame(
+        [(c, lang) for c, ls in languages.items() for lang in ls], "category string, language string"))
 
 
 def _feed_rows(rows: DataFrame, category: str, tag: Column, keywords: dict, editions: dict) -> DataFrame:
@@ -48,9 +49,10 @@ def _feed_rows(rows: DataFrame, category: str, tag: Column, keywords: dict, edit
 def person_feeds(groups: DataFrame, category: str, configs: DataFrame, default_languages=fv.DEFAULT_LANGUAGES,
                  keywords=fv.SEARCH_KEYWORDS, editions=fv.EDITIONS) -> DataFrame:
     """Feeds per group and language; categories without a configuration use the default languages."""
-    known = configs.groupBy(F.col("category").alias(category)).agg(F.collect_list("language").alias("_languages"))
     default = F.array(*[F.lit(x) for x in default_languages])
-    rows = groups.join(known, category, "left").withColumn("language", F.explode(F.coalesce("_languages", default)))
+    joined = groups.join(configs.withColumnRenamed("category", category), category, "left")
+    languages = F.when(F.col("language").isNotNull(), F.array("language")).otherwise(default)
+    rows = joined.select(category, "chunk", "query_names", "first_short", F.explode(languages).alias("language"))
     tag = F.concat(F.lit("VIP "), F.upper("language"))
     return _feed_rows(rows, category, tag, keywords, editions).withColumn("credibility", F.lit(fv.PERSON_FEED_CREDIBILITY))
 

@@ -90,7 +90,7 @@ def token_overlap_join(titles: DataFrame, title_key: str, title: str,
     frequency = c.select(F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
     known = (t.select(title_key, "_need", F.explode("_tokens").alias("_token")).join(frequency, "_token")
              .groupBy(title_key, "_need")
-             .agg(F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_pairs"))
+             .agg(F.sort_array(F.collect_list(F.struct("_df", "_token"))).alias("_pairs"))
              .filter(F.size("_pairs") >= F.col("_need"))
              .select(title_key, "_need", F.transform("_pairs", lambda p: p["_token"]).alias("_sorted")))
     probes = known.select(title_key, "_need", "_sorted", F.explode(

@@ -92,17 +92,19 @@ def best_entity(hits: Column) -> Column:
 def orgs_in_order(hits: Column, norm: Column) -> Column:
     """Canonical organisations by position; each is placed at its longest alias."""
     padded = F.concat(F.lit(" "), norm, F.lit(" "))
-    ranked = F.array_sort(hits)
+    ranked = F.sort_array(hits)
     names = F.transform(ranked, lambda h: h["canonical"])
     first = F.filter(ranked, lambda h, i: F.array_position(names, h["canonical"]) == i + 1)
     placed = F.transform(first, lambda h: F.struct(
         (F.instr(padded, F.concat(F.lit(" "), h["term"], F.lit(" "))) - 1).alias("position"),
         h["rank"].alias("rank"), h["canonical"].alias("canonical"), h["plain"].alias("plain")))
-    return F.array_sort(placed)
+    return F.sort_array(placed)
 
 
 def terms_table(spark: SparkSession, terms: list[Term]) -> DataFrame:
-    return spark.createDataFrame([(t.rank, t.term, t.canonical) for t in terms], "rank int, term string, canonical string")
+    """Terms as a table; broadcast only within the inline limit."""
+    df = spark.createDataFrame([(t.rank, t.term, t.canonical) for t in terms], "rank int, term string, canonical string")
+    return F.broadcast(df) if len(terms) <= INLINE_LIMIT else df
 
 
 def phrase_hits_join(texts: DataFrame, key: str, norm: str, terms: DataFrame, max_words: int) -> DataFrame:
@@ -111,11 +113,12 @@ def phrase_hits_join(texts: DataFrame, key: str, norm: str, terms: DataFrame, ma
     Only the key, a position and the n-gram leave the row, never the text.
     """
     words = texts.select(key, F.split(norm, " ").alias("w"))
-    grams = [F.col("w")]
-    for n in range(2, max_words + 1):
-        shifted = F.slice("w", n, F.size("w"))
-        grams.append(F.zip_with(grams[-1], shifted, lambda g, x: F.concat(g, F.lit(" "), x)))
-    placed = [F.transform(g, lambda x, i: F.struct(i.alias("word_position"), x.alias("gram"))) for g in grams]
-    exploded = words.select(key, F.inline(F.flatten(F.array(*placed)))).filter(F.col("gram").isNotNull())
+    following = [F.slice("w", n, F.size("w")).alias(f"w{n}") for n in range(2, max_words + 1)]
+    columns = ["word_position", "w1", *[f"w{n}" for n in range(2, max_words + 1)]]
+    rows = words.select(key, F.inline(F.arrays_zip(
+        F.sequence(F.lit(0), F.size("w") - 1), F.col("w").alias("w1"), *following)).alias(*columns))
+    grams = F.array(*[F.concat_ws(" ", *columns[1:n + 1]) if n == 1 else
+                      F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *columns[1:n + 1])) for n in range(1, max_words + 1)])
+    exploded = rows.select(key, "word_position", F.explode(grams).alias("gram"))
     return (exploded.join(terms, F.col("gram") == F.col("term"))
             .groupBy(key, "rank", "term", "canonical").agg(F.min("word_position").alias("word_position")))

@@ -75,7 +75,7 @@ def category_digest(rows: DataFrame) -> DataFrame:
     def bounded(column, k):
         # at most k values per category are collected
         return first_seen(rows, column, k).groupBy("category").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", column))), lambda x: x[column]).alias(column))
+            F.transform(F.sort_array(F.collect_list(F.struct("rank", column))), lambda x: x[column]).alias(column))
 
     counts = rows.groupBy("category").agg(F.count(F.lit(1)).alias("articles"))
     digest = counts.join(bounded("title", 2), "category").join(bounded("source", 3), "category")

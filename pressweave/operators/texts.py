@@ -15,12 +15,13 @@ def word_counts(c: Column, stop_words=fv.STOP_WORDS) -> Column:
     Row-local: the sorted tokens are one string, in which a repeated word is a
     run.  No token leaves the row, so nothing is shuffled.
     """
-    stop = lit_array(stop_words)
-    tokens = F.array_sort(F.filter(all_tokens(c), lambda t: ~F.array_contains(stop, t)))
-    runs = F.regexp_extract_all(F.array_join(tokens, " "), F.lit(r"(?<![^ ])([^ ]+)(?: \1(?![^ ]))*+"), 0)
+    ordered = F.array_join(F.sort_array(all_tokens(c)), " ")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?<![^ ])([^ ]+)(?: \1(?![^ ]))*+"), 0)
     counted = F.transform(runs, lambda r: F.struct(
-        (-F.size(F.split(r, " "))).alias("n"), F.split_part(r, F.lit(" "), F.lit(1)).alias("word")))
-    return F.transform(F.array_sort(counted), lambda x: F.struct((-x["n"]).alias("count"), x["word"].alias("word")))
+        (-F.size(F.split(r, " "))).alias("n"), F.substring_index(r, " ", 1).alias("word")))
+    stop = lit_array(stop_words)
+    kept = F.filter(counted, lambda x: ~F.array_contains(stop, x["word"]))
+    return F.transform(F.sort_array(kept), lambda x: F.struct((-x["n"]).alias("count"), x["word"].alias("word")))
 
 
 def top_keywords(df: DataFrame, key: str, text: str, k: int = 5, stop_words=fv.STOP_WORDS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import clean_html, materialize, non_empty, strip, text_or_empty, unescape
+from pressweave.functions.text import bind, clean_html, materialize, non_empty, strip, text_or_empty, unescape
 from pressweave.operators.topic import TopicRules, keep_on_topic
 from pressweave.sources.pages import feed_page_image
 
@@ -40,17 +40,17 @@ def _attribute(element: Column, name: str) -> Column:
 
 def item_image(item: Column, description: Column) -> Column:
     """Image of an item: enclosure, media element, picture in the description, <image>; '' otherwise."""
-    enclosure = _attribute(F.regexp_extract(item, r"(?is)(<enclosure\b[^>]*>)", 1), "url")
     media = F.transform(F.regexp_extract_all(item, F.lit(r"(?is)(<[a-z0-9_:]*(?:content|thumbnail)[a-z0-9_:]*\s[^>]*>)"), 1),
                         lambda e: _attribute(e, "url"))
-    picture = F.regexp_extract(description, r"(?is)(<img\b[^>]*>)", 1)
-    image = F.regexp_extract(item, r"(?is)(<image\b[^>]*>)", 1)
-    kind = F.lower(enclosure).rlike("|".join(e.replace(".", r"\.") for e in fv.IMAGE_EXTENSIONS))
-    later = F.concat(media, F.array(
-        F.coalesce(non_empty(_attribute(picture, "src")), _attribute(picture, "data-src")),
-        F.coalesce(non_empty(_attribute(image, "url")), strip(_child(item, "image")))))
-    return unescape(F.coalesce(F.when(kind, enclosure), F.try_element_at(
-        F.filter(later, lambda u: u.startswith("http")), F.lit(1)), F.lit("")))
+    picture = bind(F.regexp_extract(description, r"(?is)(<img\b[^>]*>)", 1), lambda e: F.coalesce(
+        non_empty(_attribute(e, "src")), _attribute(e, "data-src")))
+    image = F.coalesce(non_empty(_attribute(F.regexp_extract(item, r"(?is)(<image\b[^>]*>)", 1), "url")),
+                       strip(_child(item, "image")))
+    kind = "|".join(e.replace(".", r"\.") for e in fv.IMAGE_EXTENSIONS)
+    enclosure = F.filter(F.array(_attribute(F.regexp_extract(item, r"(?is)(<enclosure\b[^>]*>)", 1), "url")),
+                         lambda u: F.lower(u).rlike(kind))
+    linked = F.filter(F.concat(media, F.array(picture, image)), lambda u: u.startswith("http"))
+    return unescape(F.coalesce(F.get(enclosure, F.lit(0)), F.get(linked, F.lit(0)), F.lit("")))
 
 
 def feed_items(feeds: DataFrame, today: str, keep=("feed",)) -> DataFrame:
