@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import non_empty, strip, text_or_empty, tokenize
+from pressweave.functions.text import materialize, non_empty, strip, text_or_empty, tokenize
 from pressweave.functions.urls import clean_image_url, is_article_like_url, is_wiki_image
 from pressweave.operators.score import first_contained
 
@@ -38,24 +38,28 @@ def resolve_images(df: DataFrame, cache: DataFrame, badges: dict[str, str], page
         raw = text_or_empty(F.col(c))
         return F.when(~raw.isin("", *fv.IMAGE_ORG_PLACEHOLDERS), strip(raw))
 
-    out = (df.withColumn("_own", non_empty(clean_image_url(F.col("image_url"))))
-           .withColumn("_to", org("org_to")).withColumn("_from", org("org_from"))
-           # rows with an own image need no lookup, so their keys stay NULL
-           .withColumn("_k1", F.when(F.col("_own").isNull(), F.concat(F.lit("player:"), entity)))
-           .withColumn("_k2", F.when(F.col("_own").isNull(), F.concat(F.lit("badge:"), F.lower("_to"))))
-           .withColumn("_k3", F.when(F.col("_own").isNull(), F.concat(F.lit("badge:"), F.lower("_from")))))
+    # rows without a lookup get one of many keys that match nothing: NULLs would all meet in one task
+    nothing = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*[c for c in df.columns if c not in ("summary", "_norm")]), F.lit(4096)).cast("string"))
+
+    def lookup(key: Column) -> Column:
+        return F.coalesce(F.when(F.col("_own").isNull(), key), nothing)
+
+    url = text_or_empty(F.col("url"))
+    wants_page = url.startswith("http") & ~url.contains(fv.NO_PAGE_IMAGE_HOST)
+    out = materialize(df, _own=non_empty(clean_image_url(F.col("image_url"))), _to=org("org_to"), _from=org("org_from"))
+    out = materialize(out, _k1=lookup(F.concat(F.lit("player:"), entity)), _k2=lookup(F.concat(F.lit("badge:"), F.lower("_to"))),
+                      _k3=lookup(F.concat(F.lit("badge:"), F.lower("_from"))), _k4=lookup(F.when(wants_page, url)))
     for n in ("1", "2", "3"):
         out = out.join(cache.select(F.col("key").alias("_k" + n), F.col("value").alias("_v" + n)), "_k" + n, "left")
     if pages is not None:
-        out = out.join(pages.select("url", F.col("image_url").alias("_page")), "url", "left")
+        out = out.join(pages.select(F.col("url").alias("_k4"), F.col("image_url").alias("_page")), "_k4", "left")
     else:
         out = out.withColumn("_page", F.lit(None).cast("string"))
-    page = F.when(F.col("url").startswith("http") & ~F.col("url").contains(fv.NO_PAGE_IMAGE_HOST),
-                  non_empty(clean_image_url(F.col("_page"))))
+    page = non_empty(clean_image_url(F.col("_page")))
     best = F.coalesce(F.col("_own"), non_empty(F.col("_v1")),
                       non_empty(F.col("_v2")), non_empty(first_contained(F.col("_to"), badges)),
                       non_empty(F.col("_v3")), non_empty(first_contained(F.col("_from"), badges)), page, F.lit(""))
-    return out.withColumn("best_image", best).drop("_own", "_to", "_from", "_k1", "_k2", "_k3", "_v1", "_v2", "_v3", "_page")
+    return out.withColumn("best_image", best).drop("_own", "_to", "_from", "_k1", "_k2", "_k3", "_k4", "_v1", "_v2", "_v3", "_page")
 
 
 def needed_overlap(size: Column) -> Column:
@@ -79,15 +83,13 @@ def token_overlap_join(titles: DataFrame, title_key: str, title: str,
     Exact, without comparing all pairs.  Of the n title tokens that occur in any
     candidate, at least t must be shared, so one of the n-t+1 rarest is: only
     those are joined.  A token found in many candidates is joined only for
-    titles that have nothing rarer.  The pair is kept at its rarest shared
-    token, so no second de-duplication is needed.
+    titles that have nothing rarer.
     """
     t = titles.select(F.col(title_key), tokenize(F.col(title), stop_words).alias("_tokens"))
-    t = t.select(title_key, "_tokens", needed_overlap(F.size("_tokens")).alias("_need")).filter(F.size("_tokens") > 0)
-    c = candidates.select(F.col(candidate_key), tokenize(F.col(candidate), stop_words).alias("_tokens"))
-    postings = c.select(candidate_key, F.explode("_tokens").alias("_token"), F.col("_tokens").alias("_all"))
+    t = materialize(t, (title_key, "_tokens"), _need=needed_overlap(F.size("_tokens"))).filter(F.size("_tokens") > 0)
+    postings = candidates.select(F.col(candidate_key), F.explode(tokenize(F.col(candidate), stop_words)).alias("_token"))
 
-    frequency = c.select(F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
+    frequency = postings.groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
     known = (t.select(title_key, "_need", F.explode("_tokens").alias("_token")).join(frequency, "_token")
              .groupBy(title_key, "_need")
              .agg(F.sort_array(F.collect_list(F.struct("_df", "_token"))).alias("_pairs"))
@@ -95,8 +97,10 @@ def token_overlap_join(titles: DataFrame, title_key: str, title: str,
              .select(title_key, "_need", F.transform("_pairs", lambda p: p["_token"]).alias("_sorted")))
     probes = known.select(title_key, "_need", "_sorted", F.explode(
         F.slice("_sorted", F.lit(1), F.size("_sorted") - F.col("_need") + 1)).alias("_token"))
-    shared = F.array_intersect("_sorted", "_all")
-    return (probes.join(postings, "_token")
-            .select(title_key, candidate_key, "_token", "_need", shared.alias("_shared"))
-            .filter((F.size("_shared") >= F.col("_need")) & (F.col("_token") == F.try_element_at("_shared", F.lit(1))))
-            .select(title_key, candidate_key, F.size("_shared").alias("overlap")))
+    pairs = (probes.join(postings, "_token").groupBy(title_key, candidate_key, "_need")
+             .agg(F.any_value("_sorted").alias("_sorted")))
+    # the texts of the candidates never travel: overlap is counted on (candidate, token)
+    return (pairs.select(title_key, candidate_key, "_need", F.explode("_sorted").alias("_token"))
+            .join(postings, [candidate_key, "_token"])
+            .groupBy(title_key, candidate_key, "_need").agg(F.count(F.lit(1)).alias("overlap"))
+            .filter(F.col("overlap") >= F.col("_need")).drop("_need"))

@@ -69,21 +69,20 @@ def stats(articles: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("credibility").alias("s"), F.count("credibility").alias("c"))
     sets = base.groupingSets([[], ["category"], ["source"]], "category", "source").agg(
         F.grouping_id().alias("g"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
-    totals = sets.agg(
-        F.sum(F.when(F.col("g") == 3, F.col("n"))).alias("total_articles"),
-        F.count_if(F.col("g") == 1).alias("total_categories"),
-        F.count_if((F.col("g") == 2) & F.col("source").isNotNull()).alias("total_sources"),
-        F.round(F.coalesce(F.sum(F.when(F.col("g") == 3, F.col("s"))) / F.nullif(
-            F.sum(F.when(F.col("g") == 3, F.col("c"))), F.lit(0)), F.lit(0.0)), 2).alias("average_credibility"))
-    names = ["total_articles", "total_categories", "total_sources", "average_credibility"]
-    long_totals = totals.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("metric"), F.lit("").alias("label"), F.col(n).cast("double").alias("value"))
-        for n in names])))
-    maps = sets.filter("g in (1, 2)").select(
-        F.when(F.col("g") == 1, "category").otherwise("source").alias("metric"),
-        F.when(F.col("g") == 1, F.col("category")).otherwise(F.col("source")).alias("label"),
-        F.col("n").cast("double").alias("value"))
-    return long_totals.unionByName(maps.filter(F.col("label").isNotNull()))
+
+    def line(metric: str, label: Column, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), label.alias("label"), value.cast("double").alias("value"))
+
+    none, one = F.lit(""), F.lit(1)
+    mean = F.round(F.coalesce(F.try_divide("s", "c"), F.lit(0.0)), 2)
+    lines = sets.filter((F.col("g") != 2) | F.col("source").isNotNull()).select(F.inline(
+        F.when(F.col("g") == 3, F.array(line("total_articles", none, F.col("n")), line("average_credibility", none, mean)))
+        .when(F.col("g") == 1, F.array(line("category", F.col("category"), F.col("n")), line("total_categories", none, one)))
+        .otherwise(F.array(line("source", F.col("source"), F.col("n")), line("total_sources", none, one)))))
+    # an empty table still has its totals
+    names = ("total_articles", "average_credibility", "total_categories", "total_sources")
+    zeros = articles.sparkSession.range(1).select(F.inline(F.array(*[line(m, none, F.lit(0.0)) for m in names])))
+    return lines.unionByName(zeros).groupBy("metric", "label").agg(F.sum("value").alias("value"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -71,7 +71,10 @@ def first_seen(rows: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def category_digest(rows: DataFrame) -> DataFrame:
-    """One sentence block per category: count, two top titles, three sources."""
+    """One sentence block per category: count, two top titles, three sources.
+
+    ``rows`` is read three times; pass a written table (``sources.tables.settle``).
+    """
     def bounded(column, k):
         # at most k values per category are collected
         return first_seen(rows, column, k).groupBy("category").agg(

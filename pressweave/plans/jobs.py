@@ -19,6 +19,7 @@ from pressweave.operators.report import (cards, category_digest, category_kpis,
 from pressweave.operators.score import source_score
 from pressweave.operators.topic import TopicRules, keep_on_topic
 from pressweave.sources.aliases import first_by_alias
+from pressweave.sources.tables import settle
 
 LOCAL_CREDIBILITY = 4.0
 
@@ -92,7 +93,7 @@ def query_job(articles: DataFrame, key: str, page: int = 1, page_size: int = 200
 
 def report_job(raw: DataFrame, order: str) -> dict[str, DataFrame]:
     """Cards, KPIs, digest and index of the daily report."""
-    rows = report_rows(raw, order)
+    rows = settle(report_rows(raw, order), "report")
     return {"cards": cards(in_report_order(rows)), "kpis": category_kpis(rows),
             "digest": category_digest(rows), "index": report_index(rows)}
 

@@ -51,12 +51,16 @@ def published() -> F.Column:
     return day.cast("timestamp_ntz")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing columns: short title and summary, dates, category, credibility."""
-    rows = docs(spark, sf_dir).select(
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing columns that need no join: short title and summary, dates, category."""
+    return docs(spark, sf_dir).select(
         "doc_id", shorten(F.col("title"), 120).alias("title"), shorten(F.col("summary"), 400).alias("summary"),
         "language", "source", F.col("language").alias("category"), published().alias("published_at"))
-    return with_credibility(rows, spark, sf_dir)
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``listing`` with the credibility of the labels."""
+    return with_credibility(listing(spark, sf_dir), spark, sf_dir)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

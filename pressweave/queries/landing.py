@@ -179,8 +179,9 @@ IMAGE_FROM = """keyed d LEFT JOIN cache c1 ON c1.key = k1 LEFT JOIN cache c2 ON
 
 def image_inputs(spark, sf):
     d = F.col("doc_id")
-    rows = annotated(spark, sf).select(
-        "doc_id", "entity", "org_from", "org_to", "title", "source",
+    # the rows and the cache keys both come from the annotation, so it is written once
+    rows = tb.settle(annotated(spark, sf).select("doc_id", "entity", "org_from", "org_to", "title", "source"), "annotated").select(
+        "*",
         F.when(d % 5 == 0, F.expr(MERGE_IMAGE)).when(d % 5 == 1, "https://x.example.org/pixel.gif").otherwise("").alias("image_url"),
         F.concat(F.lit("https://n.example.org/"), (d % 50).cast("string")).alias("url"))
     keys = rows.select(F.explode(F.array(

@@ -14,11 +14,12 @@ from pressweave.operators import texts as tt
 from pressweave.operators.dedup import first_per_group, keep_first
 from pressweave.operators.joins import needs_image, needs_page, needs_summary
 from pressweave.plans.jobs import query_job
-from pressweave.plans.views import articles, docs, published, table, with_credibility
+from pressweave.plans.views import articles, docs, listing, published, table, with_credibility
 from pressweave.queries import params as p
 from pressweave.queries import sql as s
 from pressweave.queries.annotation import ANNOTATED_SQL, MERGE_FEE, annotated
 from pressweave.queries.text import IMAGES
+from pressweave.sources.tables import settle
 
 QUERIES: dict = {}
 
@@ -35,9 +36,9 @@ ARTS = f"""{s.DOCS}, arts AS (SELECT doc_id, {s.shorten('title', 120)} AS title,
 
 
 # categories with blanks and NULLs
-def odd_articles(spark, sf):
+def odd_categories(rows):
     d = F.col("doc_id")
-    return articles(spark, sf).withColumn("category", F.when(d % 17 == 0, "").when(d % 19 == 0, F.lit(None)).otherwise(F.col("category")))
+    return rows.withColumn("category", F.when(d % 17 == 0, "").when(d % 19 == 0, F.lit(None)).otherwise(F.col("category")))
 
 
 ODD = f"""{ARTS}, odd AS (SELECT * REPLACE (CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN NULL ELSE category END AS category) FROM arts)"""
@@ -45,7 +46,7 @@ ODD = f"""{ARTS}, odd AS (SELECT * REPLACE (CASE WHEN doc_id % 17 = 0 THEN '' WH
 
 @query("category_counts", f"WITH {ODD} SELECT coalesce(nullif(category, ''), 'Autre') AS category, count(*) AS articles FROM odd GROUP BY 1")
 def category_counts(spark, sf):
-    return qy.category_counts(odd_articles(spark, sf))
+    return qy.category_counts(odd_categories(listing(spark, sf)))
 
 
 @query("total_count", "SELECT count(*) AS total FROM documents")
@@ -61,7 +62,7 @@ def sources(spark, sf) -> DataFrame:
 def by_source_id(spark, sf) -> DataFrame:
     """Articles that carry a source id; some ids have no source."""
     ids = sources(spark, sf).select(F.col("name").alias("source"), "source_id")
-    return articles(spark, sf).join(ids, "source").withColumn(
+    return listing(spark, sf).join(ids, "source").withColumn(
         "source_id", F.when(F.col("doc_id") % 23 == 0, -1).otherwise(F.col("source_id")))
 
 
@@ -96,7 +97,7 @@ SELECT 'total_categories', '', CAST(count(DISTINCT c) AS DOUBLE) FROM l UNION AL
 UNION ALL SELECT 'average_credibility', '', round(coalesce(avg(credibility), 0), 2) FROM l
 UNION ALL SELECT 'category', c, CAST(count(*) AS DOUBLE) FROM l GROUP BY 2 UNION ALL SELECT 'source', source, CAST(count(*) AS DOUBLE) FROM l GROUP BY 2""")
 def stats(spark, sf):
-    return qy.stats(odd_articles(spark, sf))
+    return qy.stats(odd_categories(articles(spark, sf)))
 
 
 def listed(spark, sf) -> DataFrame:
@@ -258,7 +259,8 @@ SELECT category, articles, articles || ' article' || pl || ' suivi' || pl || ' a
  ' Sources les plus presentes: ' || (SELECT string_agg(source, ', ' ORDER BY k) FROM so WHERE so.category = c.category AND k <= 3) || '.' AS digest
 FROM (SELECT category, count(*) AS articles, CASE WHEN count(*) > 1 THEN 's' ELSE '' END AS pl FROM rep GROUP BY 1) c""")
 def report_digest(spark, sf):
-    return rp.category_digest(report(spark, sf))
+    # three aggregates read the rows, so they are written once
+    return rp.category_digest(settle(report(spark, sf), "report"))
 
 
 @query("report_index", f"""WITH {REPORT} SELECT category, count(*) AS articles, count(DISTINCT source) AS sources,

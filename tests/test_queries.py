@@ -6,7 +6,7 @@ from check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 REGISTRY = entry.registry()
-WRITES = {"csv_scan", "upsert_table", "stream_ingest", "stream_status", "stream_distinct", "stream_fresh", "stream_event_counts"}
+WRITES = {"report_digest", "image_resolve", "image_backfill", "csv_scan", "upsert_table", "stream_ingest", "stream_status", "stream_distinct", "stream_fresh", "stream_event_counts"}
 
 
 @pytest.fixture(scope="module")
