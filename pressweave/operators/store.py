@@ -88,7 +88,8 @@ def upsert_articles(spark: SparkSession, path: str, batch: DataFrame, staging: s
     if not exists(spark, path):
         merged = rows.withColumn("op", F.lit("insert"))
     else:
-        table = spark.read.parquet(path).withColumn(PARTITION, F.col(PARTITION).cast("date"))
+        # the explicit schema types the partition column and adds columns that are new in the batch
+        table = spark.read.schema(rows.schema).parquet(path)
         # one row per calendar day, so small at any data size; the semi join prunes partitions at run time
         days = rows.select(PARTITION).distinct()
         dated = table.join(F.broadcast(days), PARTITION, "left_semi")
@@ -99,7 +100,7 @@ def upsert_articles(spark: SparkSession, path: str, batch: DataFrame, staging: s
         touched = dated.unionByName(undated)
         merged = upsert(touched.select(*rows.columns), rows, "external_key")
     by_date(merged).write.mode("overwrite").partitionBy(PARTITION).parquet(f"{staging}/merged")
-    staged = spark.read.parquet(f"{staging}/merged")
+    staged = spark.read.schema(merged.schema).parquet(f"{staging}/merged")
     (staged.drop("op").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(PARTITION).parquet(path))
     return upsert_counts(staged)
