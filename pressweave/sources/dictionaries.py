@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressweave.operators.match import INLINE_LIMIT, Term
+from pressweave.operators.match import INLINE_LIMIT
 
 
 def _bounded(df: DataFrame, limit: int):
@@ -32,6 +32,3 @@ def aliases_from(df: DataFrame, limit: int = INLINE_LIMIT) -> dict[str, str]:
 def term_rows(df: DataFrame) -> DataFrame:
     """A table (alias, canonical) of any size as (rank, term, canonical): longer aliases rank first."""
     return df.select((-F.length("alias")).alias("rank"), F.col("alias").alias("term"), "canonical")
-
-
-__all__ = ["Term", "aliases_from", "entities_from", "term_rows"]
