@@ -37,7 +37,7 @@ def test_feed_items(spark, tmp_path):
     catalog = spark.createDataFrame([("f1", "Feed One", "en", "c")], "feed string, name string, language string, category string")
     rules = TopicRules(orgs=org_terms({"blue": "Blues"}), patterns=[])
     landed = fd.land_items(items, catalog, rules)
-    assert {r["url"][-1] for r in landed.collect()} == {"2", "3", "4", "6"} | ({"1"} if "Blue" in one[0]["title"] else set())
+    assert {r["url"][-1] for r in landed.collect()} == {"2", "3", "4", "6"}
     pages = spark.createDataFrame([("https://a.b/6", '<img class="a" src="https://i/logo.png">'), ("https://a.b/6", '<meta property="og:image" content="https://i/6.jpg">')], "url string, html string")
     assert fd.fill_from_pages(landed, pages).filter("url like '%6'").first()["image_url"] == "https://i/6.jpg"
 
@@ -82,7 +82,7 @@ def test_import_and_report(spark):
     assert kpis["Football"] == ("Football", 1, 1, 0, "5.0/5") and kpis["Autre"][4] == "1.0/5"
     digest = {r["category"]: r["digest"] for r in report["digest"].collect()}
     assert digest["Football"] == "1 article suivi aujourd'hui dans Football. Temps fort: Premier sujet football. Sources les plus presentes: BBC Sport."
-    assert [r["link"] for r in report["index"].collect()] == ["Autre_latest.html", "Football_latest.html"] or len(report["index"].collect()) == 2
+    assert [r["link"] for r in report["index"].collect()] == ["Football_latest.html", "Autre_latest.html"]
     assert report["cards"].first()["title"] == "Premier sujet football"
 
 
@@ -103,8 +103,9 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark):
     assert run() == {"a": "A", "b": "B"}
     time.sleep(0.1)
     landing_rows(spark, base + "/in", [("a", "A", day, 1), ("b", "B", day, 1)])
+    time.sleep(1.1)
     landing_rows(spark, base + "/in", [("c", "C", None, 1), ("a", "A3", day, 2)])
-    assert run() == {"a": "A3", "b": "B", "c": "C"} or run() == {"a": "A", "b": "B", "c": "C"}
+    assert run() == {"a": "A3", "b": "B", "c": "C"}
     status = ingest.run_status(spark, base + "/status")
     assert status.agg(F.sum("inserted")).first()[0] == 3 and status.count() == 3
 
