@@ -29,9 +29,12 @@ def _child(item: Column, tag: str) -> Column:
 
 
 def _text(raw: Column) -> Column:
-    """Character data as it is, other text with its references resolved."""
-    cdata = F.regexp_extract(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
-    return F.when(raw.contains("<![CDATA["), cdata).otherwise(unescape(raw))
+    """Element text: character data as it is, the rest with its references resolved."""
+    sections = F.regexp_extract_all(raw, F.lit(r"(?s)<!\[CDATA\[(.*?)\]\]>"), 1)
+    # & is escaped inside the sections, so one pass of unescape fits both kinds of text
+    escaped = F.reduce(sections, raw, lambda acc, s: F.replace(
+        acc, F.concat(F.lit("<![CDATA["), s, F.lit("]]>")), F.replace(s, F.lit("&"), F.lit("&amp;"))))
+    return unescape(F.when(raw.contains("<![CDATA["), escaped).otherwise(raw))
 
 
 def _attribute(element: Column, name: str) -> Column:

@@ -37,7 +37,7 @@ def test_feed_items(spark, tmp_path):
     catalog = spark.createDataFrame([("f1", "Feed One", "en", "c")], "feed string, name string, language string, category string")
     rules = TopicRules(orgs=org_terms({"blue": "Blues"}), patterns=[])
     landed = fd.land_items(items, catalog, rules)
-    assert {r["url"][-1] for r in landed.collect()} == {"2", "3", "4", "6"}
+    assert {r["url"][-1] for r in landed.collect()} == {"1", "2", "3", "4", "6"} and one[0]["title"] == "Blue & x"
     pages = spark.createDataFrame([("https://a.b/6", '<img class="a" src="https://i/logo.png">'), ("https://a.b/6", '<meta property="og:image" content="https://i/6.jpg">')], "url string, html string")
     assert fd.fill_from_pages(landed, pages).filter("url like '%6'").first()["image_url"] == "https://i/6.jpg"
 
