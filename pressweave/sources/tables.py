@@ -1,7 +1,6 @@
 """Table files: CSV and Parquet readers and writers, preferred tables, shared scratch space."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +31,22 @@ SOURCE = T.StructType([
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session has none (local tests) a temporary folder is set.
+    Where the session names none, a folder below the warehouse is set: like the
+    checkpoint folder, the warehouse is shared by the driver and all executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pressweave-"))
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate result that ``settle`` or ``shared_dir`` made."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from the table.
 
