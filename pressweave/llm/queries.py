@@ -5,13 +5,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressweave.llm import mixing, packing, sharding, token_codes, warc
+from pressweave.llm import html_main, langid, mixing, packing, sharding, token_codes, warc
 from pressweave.llm.common import table
 from pressweave.sources.tables import shared_dir
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_main.extract_main(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
@@ -94,6 +105,8 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": (op1_language_id, None),
+    "op2_html_main_text": (op2_html_main_text, None),
     "op3_packing": (op3_packing, None),
     "op4_warc": (op4_warc, OP4_SQL),
     "op7_mixing": (op7_mixing, OP7_SQL),
