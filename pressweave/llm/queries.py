@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressweave.llm import html_main, langid, mixing, packing, sharding, token_codes, warc
+from pressweave.llm import html_main, langid, mixing, packing, parity_join, sharding, token_codes, warc
 from pressweave.llm.common import table
 from pressweave.sources.tables import shared_dir
 
@@ -75,6 +75,28 @@ FROM w
 """
 
 
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+             ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT shared.a, shared.b FROM shared JOIN n x ON x.doc_id = shared.a JOIN n y ON y.doc_id = shared.b
+         WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d
+LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "source", "slot", "shard")
@@ -110,6 +132,7 @@ QUERIES = {
     "op3_packing": (op3_packing, None),
     "op4_warc": (op4_warc, OP4_SQL),
     "op7_mixing": (op7_mixing, OP7_SQL),
+    "op8_parity_join": (op8_parity_join, OP8_SQL),
     "op9_sharding": (op9_sharding, OP9_SQL),
     "op10_token_codes": (op10_token_codes, None),
 }
