@@ -108,10 +108,8 @@ class Bands:
         if band not in self.plans:
             top = self.growth ** (band + 1)
             most = math.floor((1 - self.t) / (1 + self.t) * (top + top / self.t) + 1e-9)
-            blocks = most + 1
-            for _ in range(20):  # room for the blocks that stay empty, which are no keys
-                empty = blocks * math.exp(-(self.growth ** band) / blocks)
-                blocks = most + 1 + math.ceil(empty + 4 * math.sqrt(empty))
+            empty = (most + 1) * math.exp(-(self.growth ** band) / (most + 1))
+            blocks = most + 1 + math.ceil(empty + 3 * math.sqrt(empty))  # room for blocks that stay empty, which are no keys
             self.plans[band] = (most, blocks if most else 0)
         return self.plans[band]
 
