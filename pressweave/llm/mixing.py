@@ -59,9 +59,11 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epoch
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-        weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+        weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = SEED, with_row: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): how many words of each row the mix takes.
 
+    With ``with_row`` also ``row``, the whole row as a struct.
+
     A null or empty text has size 0 and nothing is taken of it; a null source is a
     source of its own, the last; repeated rows count each by itself; a null id is
     hashed like an empty one; an empty table gives no rows.  Only these three
@@ -69,8 +71,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     documents by hash, and the mark is set in each bucket, so a hot source does not
     meet in one window and the taken words miss the target by less than a word a bucket.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"))
-    targets = source_targets(rows, weights, share, epochs).select(
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"),
+                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []))
+    targets = source_targets(rows.drop("row"), weights, share, epochs).select(
         F.coalesce("source", F.lit("")).alias("_s"), F.isnull("source").alias("_n"), F.col("size").alias("source_size"), "docs", "target")
     joined = rows.join(targets, (F.coalesce(rows.source, F.lit("")) == F.col("_s")) & (F.isnull(rows.source) == F.col("_n"))).drop("_s", "_n")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -83,31 +86,28 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     mark = F.floor(F.col("_all") * (F.col("_rate") - F.floor("_rate")) + 0.5)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), mark - F.col("_upto") + F.col("size")))
     return summed.select("doc_id", "source", "size", "source_size", "target",
-                         (F.floor("_rate") * F.col("size") + extra).cast("long").alias("taken"))
+                         (F.floor("_rate") * F.col("size") + extra).cast("long").alias("taken"), *(["row"] if with_row else []))
 
 
 def leading_words(text: Column, words: Column) -> Column:
-    """The text up to the end of its n-th word."""
+    """The text up to the end of its n-th word; null stays null."""
     @F.pandas_udf("string")
     def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
         def one(text: str, n: int) -> str:
             ends = (m.end() for m in re.finditer(WORD, text, re.ASCII))
             return text[:next(end for i, end in enumerate(ends, 1) if i == n)]
-        return pd.Series([one(t, int(n)) for t, n in zip(texts, counts)], dtype=object)
+        return pd.Series([None if t is None else one(t, int(n)) for t, n in zip(texts, counts)], dtype=object)
     return cut(text, words)
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **parameters) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: whole repetitions as they are, fractional ones cut after their words.
-
-    ``key`` must be unique and not null: rows get their share by a join on it.
-    """
+def mixed_documents(docs: DataFrame, text_column: str = "text", **parameters) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: whole repetitions as they are, fractional ones cut after their words."""
     importable(docs.sparkSession)
-    shares = mix(docs, id_column=key, **parameters).filter("taken > 0").select(F.col("doc_id").alias(key), "size", "taken")
-    rows = docs.join(shares, key)
-    text = parameters.get("text_column", "text")
-    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
-    copies = rows.filter(whole > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), whole)))
-    parts = rows.filter(F.col("taken") % F.col("size") > 0).withColumn(
-        text, leading_words(F.col(text), F.col("taken") % F.col("size")))
-    return copies.select(*docs.columns).unionByName(parts.select(*docs.columns))
+    shares = mix(docs, text_column=text_column, with_row=True, **parameters).filter("taken > 0").select("size", "taken", "row")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    words = F.when(rest > 0, rest).otherwise(0)
+    lengths = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(words)).otherwise(F.array().cast("array<bigint>")))
+    copies = shares.select("row", F.explode(lengths).alias("_words"))
+    text = F.col(f"row.`{text_column}`")
+    cut = copies.withColumn("_text", leading_words(F.when(F.col("_words") > 0, text), F.col("_words")))
+    return cut.select(*[F.coalesce("_text", text).alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

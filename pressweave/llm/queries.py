@@ -1,11 +1,12 @@
 """Registered queries of the subpackage: the operators over their whole tables, with production parameters."""
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressweave.llm import html_main, langid, mixing, packing, parity_join, sharding, token_codes, warc
+from pressweave.llm import collision, covertree, html_main, langid, mixing, packing, parity_join, sharding, token_codes, vectors, warc
 from pressweave.llm.common import table
 from pressweave.sources.tables import shared_dir
 
@@ -47,6 +48,28 @@ FROM r
 """
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    whole = rows.filter(vectors.finite(F.col("embedding"))).withColumn(
+        "embedding", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))))
+    found = covertree.top_inner_products(whole, F.col("vec_id") % 20 == 0, 20)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+def op6_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -131,10 +154,13 @@ QUERIES = {
     "op2_html_main_text": (op2_html_main_text, None),
     "op3_packing": (op3_packing, None),
     "op4_warc": (op4_warc, OP4_SQL),
+    "op5_cover_tree": (op5_cover_tree, OP5_SQL),
+    "op6_collision_counting": (op6_collision_counting, None),
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_parity_join": (op8_parity_join, OP8_SQL),
     "op9_sharding": (op9_sharding, OP9_SQL),
     "op10_token_codes": (op10_token_codes, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
