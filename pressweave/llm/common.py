@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def hash_number(hexadecimal: Column, digits: int) -> Column:
     """The leading digits of a hexadecimal hash as a number."""
     return F.conv(F.substring(hexadecimal, 1, digits), 16, 10).cast("long")
+
+
+def whole(shown: str | None) -> int | None:
+    """A whole number sent as text, as pandas turns number columns with nulls into floats, which round."""
+    return None if shown is None else int(shown)
+
+
+def framed(rows: list[tuple], names: list[str], *nullable: str) -> pd.DataFrame:
+    """Rows as a frame whose ``nullable`` columns are whole numbers or null, without rounding."""
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pd.DataFrame({name: pd.array(list(c), "Int64") if name in nullable else pd.Series(list(c), dtype=object if not rows else None)
+                         for name, c in zip(names, columns)})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pressweave.llm.vectors import finite, search_in_blocks, topk
 
-LEAF, FAN = 1024, 8
+LEAF, QUERY_LEAF, FAN = 1024, 128, 8
 
 
 class Tree:
@@ -68,7 +68,7 @@ class Search:
 
     def __init__(self, ids, data, query_ids, queries, floors, k):
         self.ids, self.query_ids, self.k = ids, query_ids, k
-        self.data, self.queries = Tree(data), Tree(queries)
+        self.data, self.queries = Tree(data), Tree(queries, QUERY_LEAF)
         largest = max(np.abs(data).max(initial=0), np.abs(queries).max(initial=0))
         whole = bool((data == np.floor(data)).all() and (queries == np.floor(queries)).all())
         self.exact = whole and largest ** 2 * data.shape[1] >= 2 ** 53

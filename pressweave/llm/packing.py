@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressweave.llm.common import importable
+from pressweave.llm.common import framed, importable, whole
 from pressweave.llm.tokens import encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -118,8 +118,7 @@ class Packer:
 
     def frame(self) -> pd.DataFrame:
         rows, self.rows = self.rows, []
-        out = pd.DataFrame(rows, columns=COLUMNS)
-        return out.astype({"doc_id": "Int64"})
+        return framed(rows, COLUMNS, "doc_id")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 0,
@@ -144,11 +143,11 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         for batch in batches:
             for doc_id, text in zip(batch["id"], batch["text"]):
                 ids = np.frombuffer(encode.ids(text or "") + end, "<u4")
-                packer.add(None if pd.isna(doc_id) else int(doc_id), ids)
+                packer.add(whole(doc_id), ids)
                 if len(packer.rows) >= 4096:
                     yield packer.frame()
         packer.close()
         yield packer.frame()
 
     text: Column = F.col(text_column)
-    return docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col(id_column).cast("long").cast("string").alias("id"), text.alias("text")).mapInPandas(run, SCHEMA)

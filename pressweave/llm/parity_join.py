@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressweave.llm.common import importable, settled, shuffle_partitions
+from pressweave.llm.common import framed, importable, settled, shuffle_partitions, whole
 from pressweave.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -147,10 +147,10 @@ def sign(docs: DataFrame, words: int = WORDS) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 found = shingles(text, words)
-                rows.append((None if pd.isna(doc_id) else int(doc_id), len(found), *((set_name(found), bit_sketch(found)) if len(found) else (None, None))))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "set_id": "Int64"})
+                rows.append((whole(doc_id), len(found), *((set_name(found), bit_sketch(found)) if len(found) else (None, None))))
+            yield framed(rows, names, "doc_id", "set_id")
 
-    return docs.mapInPandas(run, SIGNS)
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, SIGNS)
 
 
 def block_keys(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
@@ -201,9 +201,10 @@ def equal_blocks(keys: DataFrame) -> DataFrame:
         stars = pd.DataFrame({"x": x, "center": center}).groupby(["x", "center"], as_index=False).size().rename(columns={"size": "n"})
         stars["members"] = None
         classes = {pairs["set"][f:f + s].tobytes() for f, s in zip(first[size > 2], size[size > 2])}
-        wide = pd.DataFrame({"x": None, "center": None, "n": None, "members": [np.frombuffer(c, "<i8") for c in sorted(classes)]})
-        out = pd.concat([stars, wide]) if len(wide) else stars
-        return out.astype({"x": "Int64", "center": "Int64", "n": "Int64"})
+        wide = pd.DataFrame({"members": [np.frombuffer(c, "<i8") for c in sorted(classes)]}, dtype=object)
+        numbers = {"x": "Int64", "center": "Int64", "n": "Int64"}
+        none = pd.DataFrame({c: pd.array([None] * len(wide), "Int64") for c in numbers})
+        return pd.concat([stars.astype(numbers), pd.concat([none, wide], axis=1)], ignore_index=True)
 
     return keys.groupBy("bucket").applyInPandas(lambda rows: run(rows), FOUND)
 

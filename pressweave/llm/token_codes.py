@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressweave.llm.common import importable, shuffle_partitions
+from pressweave.llm.common import framed, importable, shuffle_partitions, whole
 from pressweave.llm.tokens import encoder
 
 MAGIC = b"PWDAC001"
@@ -155,7 +155,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, id_column: str = "do
                 ids = encode.ids(text or "") + end
                 held.append(ids)
                 n += len(ids) // 4
-                names.append(None if pd.isna(doc_id) else int(doc_id))
+                names.append(whole(doc_id))
                 ends.append(n)
                 if n >= file_ids:
                     done.append(close())
@@ -169,7 +169,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, id_column: str = "do
     order = ["id", F.xxhash64("text")]
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     files = (rows.repartitionByRange(partitions or shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-             .mapInPandas(run, MANIFEST))
+             .select(F.col("id").cast("string"), "text").mapInPandas(run, MANIFEST))
     files.write.parquet(f"{path}/manifest")
     return read_manifest(docs.sparkSession, path)
 
@@ -205,7 +205,7 @@ def read_codes(manifest: DataFrame, path: str, with_ids: bool = True, docs_per_b
                     rows.append((codes.doc_ids[k], start, len(ids), zlib.crc32(ids.tobytes()), ids.astype("i4") if with_ids else None))
                     start += len(ids)
                     if len(rows) >= docs_per_batch or k == codes.n_docs - 1:
-                        yield pd.DataFrame(rows, columns=[f.split()[0] for f in DOCS.split(", ")]).astype({"doc_id": "Int64"})
+                        yield framed(rows, [f.split()[0] for f in DOCS.split(", ")], "doc_id")
                         rows = []
 
     spread = manifest.select("path", "first").repartition(shuffle_partitions(manifest.sparkSession), "path")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressweave.llm.common import importable
+from pressweave.llm.common import framed, importable
 
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 6000
@@ -130,9 +130,9 @@ def read_archive(spark: SparkSession, path: str, rows_per_batch: int = 500) -> D
                 for row in records_of(bytes(raw)):
                     rows.append(row)
                     if len(rows) >= rows_per_batch:
-                        yield pd.DataFrame(rows, columns=names).astype({"http_length": "Int64", "payload_bytes": "Int64"})
+                        yield framed(rows, names, "http_length", "payload_bytes")
                         rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"http_length": "Int64", "payload_bytes": "Int64"})
+                yield framed(rows, names, "http_length", "payload_bytes")
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInPandas(run, RECORD)
@@ -171,4 +171,4 @@ def orphans(records: DataFrame) -> DataFrame:
 
 def capture_key(uri: Column) -> Column:
     """The key in a record id that ``write_archive`` made."""
-    return F.regexp_extract(uri, r"^<urn:capture:(-?\d+):", 1).cast("long")
+    return F.regexp_extract(uri, r"^<urn:capture:(-?\d+):", 1).try_cast("long")
