@@ -3,9 +3,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, duck
+from pressweave.queries import registry
 
 SF = "/root/testdata/sf0.001"
-REGISTRY = entry.registry()
+REGISTRY = registry()
 WRITES = {"report_digest", "image_resolve", "image_backfill", "csv_scan", "upsert_table", "stream_ingest", "stream_status", "stream_distinct", "stream_fresh", "stream_event_counts"}
 
 
