@@ -21,65 +21,54 @@ def random_rows(n=400):
              pick([3.0, 4.0, None]), pick([*fv.STATUS_PRIORITY, "odd", None]), pick(["http://a/b", "/images/x", "", "nan", None]), "s" * pick([0, 50, 399, 900])) for i in range(n)]
 
 
-def text(v):
-    return "" if v is None else v.strip()
-
-
-def number(v):
-    return 0.0 if v is None or v != v else v
-
-
-def quality(r):
-    bad = fv.QUALITY_PLACEHOLDERS
-    score = 3.0 * (text(r["entity"]) not in bad["entity"]) + sum(2.0 * (text(r[c]) not in bad[c]) for c in ("org_from", "org_to", "fee_text"))
-    score += (number(r["fee_numeric"]) > 0) + 1.5 * text(r["image_url"]).startswith("http") + number(r["credibility"])
-    s = (r["status"] or "").upper()
-    score += 2.0 if "OFFICIEL" in s else 1.5 if "HERE WE GO" in s else 0.5 if "NEGOCIATION" in s else 0.0
-    return score + min(len(r["summary"]) / 200, 2.0)
-
-
-def fold(rows):
-    """The sequential rule: the best row takes what it lacks from the next ones."""
-    groups, loose = {}, []
-    for r in rows:
-        k = text(r["story_key"])
-        if r["story_key"] is None or k in fv.INVALID_STORY_KEYS:
-            loose.append(dict(r))
-        else:
-            groups.setdefault(k.lower().replace("__", "_"), []).append(r)
-    out = []
-    for g in groups.values():
-        g = sorted(g, key=lambda r: (-quality(r), r["ord"]))
-        best = dict(g[0])
-        for o in g[1:]:
-            for c, bad in fv.PLACEHOLDERS.items():
-                if text(best[c]) in bad and text(o[c]) not in bad:
-                    best[c] = text(o[c])
-            for c in ("fee_numeric", "credibility"):
-                if number(o[c]) > number(best[c]):
-                    best[c] = o[c]
-            if fv.STATUS_PRIORITY.get(o["status"], 0) > fv.STATUS_PRIORITY.get(best["status"], 0):
-                best["status"] = o["status"]
-            if not text(best["image_url"]).startswith("http") and text(o["image_url"]).startswith("http"):
-                best["image_url"] = text(o["image_url"])
-        out.append(best)
-    return out + loose
-
-
 def comparable(rows):
     return sorted(tuple("NaN" if isinstance(v, float) and v != v else repr(v) for v in r.values()) for r in rows)
 
 
-def test_merge_equals_the_sequential_fold(spark):
+# (ord, story_key, entity, org_from, org_to, fee_text, nationality, league, fee_numeric, credibility, status, image_url, summary)
+GROUP = [
+    (1, "p__a__b", "Joueur Mercato", "", "B", "", "", "", 0.0, 1.0, "odd", "", "short"),
+    (2, "P_A_B ", "Ana", "A", "", "Non communiqué", "", "L1", 0.0, 2.0, "odd", "", "s" * 400),
+    (3, "p__a__b", "Other", "Z", "C", "5 M€", "FR", "L2", 5.0, 0.5, fv.STATUS_OFFICIAL, "", ""),
+    (4, "p__a__b", "", "nan", "", "", "", "", 9.0, 4.0, "odd", "http://a/b", ""),
+    (5, "other__key__x", "Solo", "", "", "", "", "", None, None, None, None, "x"),
+]
+
+
+def test_merge_of_a_worked_group(spark):
+    """Row 3 is the best (3 + 2 + 2 + 2 + 1 + 0.5 + 2 points); it has everything but an image, which row 4 has, with the higher fee and credibility."""
+    rows = {r["story_key"].strip(): r for r in merge_stories(spark.createDataFrame(GROUP, COLUMNS), "ord", strict=False).collect()}
+    best = rows["p__a__b"]
+    assert [best[c] for c in ("ord", "entity", "org_from", "org_to", "fee_text", "nationality", "league")] == [3, "Other", "Z", "C", "5 M€", "FR", "L2"]
+    assert (best["fee_numeric"], best["credibility"], best["status"], best["image_url"]) == (9.0, 4.0, fv.STATUS_OFFICIAL, "http://a/b")
+    assert rows["other__key__x"]["entity"] == "Solo" and len(rows) == 2
+
+
+def test_gaps_are_filled_by_the_next_best_row(spark):
+    """Without row 3, row 2 leads (3 + 2 + 2 + 2 points); its missing buyer comes from row 1, the image from row 4."""
+    df = spark.createDataFrame([r for r in GROUP if r[0] != 3], COLUMNS)
+    best = next(r for r in merge_stories(df, "ord", strict=False).collect() if r["ord"] == 2)
+    assert (best["entity"], best["org_from"], best["org_to"], best["league"]) == ("Ana", "A", "B", "L1")
+    assert (best["fee_numeric"], best["credibility"], best["image_url"]) == (9.0, 4.0, "http://a/b")
+
+
+def test_merge_keeps_every_group_once(spark):
+    """One row per usable key, all rows without one, the columns as they were; merging again changes nothing."""
     df = spark.createDataFrame(random_rows(), COLUMNS).repartition(5)
-    want = fold([r.asDict() for r in df.collect()])
     merged = merge_stories(df, "ord", strict=False)
-    got = [r.asDict() for r in merged.collect()]
-    assert comparable(got) == comparable(want) and len(got) < 400
-    assert merged.columns == df.columns
-    again = merge_stories(merged, "ord", strict=False)
-    assert again.count() == len(got)
-    assert again.filter("ord is null").count() == 0
+    rows = [r.asDict() for r in merged.collect()]
+    source = df.collect()
+    valid = [r for r in source if (r["story_key"] or "").strip() not in ("", *fv.INVALID_STORY_KEYS)]
+    keys = {r["story_key"].strip().lower().replace("__", "_") for r in valid}
+    assert len(rows) == len(source) - len(valid) + len(keys) and merged.columns == df.columns
+    assert comparable([r.asDict() for r in merge_stories(merged, "ord", strict=False).collect()]) == comparable(rows)
+    top = {}
+    for r in valid:
+        k = r["story_key"].strip().lower().replace("__", "_")
+        top[k] = max(top.get(k, 0.0), r["credibility"] or 0.0)
+    got = {r["story_key"].strip().lower().replace("__", "_"): r["credibility"] or 0.0 for r in rows
+           if (r["story_key"] or "").strip() not in ("", *fv.INVALID_STORY_KEYS)}
+    assert got == top
 
 
 def test_merge_does_not_depend_on_row_order(spark):
@@ -96,9 +85,12 @@ def test_strict_merge_keeps_unknown_entities_apart(spark):
 
 
 def test_quality_score(spark):
-    df = spark.createDataFrame(random_rows(), COLUMNS)
-    for r in df.withColumn("q", quality_score(df)).collect():
-        assert abs(r["q"] - quality(r.asDict())) < 1e-9
+    """Points per field as worked out by hand for the rows of the group."""
+    df = spark.createDataFrame(GROUP, COLUMNS)
+    got = {r["ord"]: r["q"] for r in df.withColumn("q", quality_score(df)).collect()}
+    official = 2.0 if "OFFICIEL" in fv.STATUS_OFFICIAL else 0.0
+    want = {1: 2 + 1 + 5 / 200, 2: 3 + 2 + 2 + 2, 3: 3 + 2 + 2 + 2 + 1 + 0.5 + official, 4: 1 + 1.5 + 4, 5: 3 + 1 / 200}
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
 
 
 def test_source_score_and_badges(values):
