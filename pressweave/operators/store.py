@@ -1,35 +1,55 @@
-"""Upserts, purge and re-annotation over stored tables.
+"""Upserts and versions of stored tables.
 
-The article key is a hash that includes the publication date, so equal keys
-have equal dates: a batch touches only the date partitions it has rows for, and
-only those are read and rewritten.
+An article table is a folder of data files that never change and of manifests.  A
+manifest names, for each publication date, the folder that holds its rows now; the
+manifest with the highest number is the table.  A write adds data folders and then
+one manifest, created under its final name in one step, so readers see the old table or the new one.
+
+The article key is a hash that includes the publication date, so equal keys have
+equal dates: a batch reads and rewrites only the dates it has rows for.
 """
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressweave.functions.text import non_empty, text_or_empty
 from pressweave.operators.dedup import first_per_group
-from pressweave.sources.tables import exists
+from pressweave.sources.tables import remove
 
 PARTITION = "published_date"
+UNDATED = "__HIVE_DEFAULT_PARTITION__"
 
 
-def upsert(existing: DataFrame, batch: DataFrame, key: str, keep_existing=("created_at",), op: str = "op") -> DataFrame:
-    """Full-outer upsert: batch rows win; ``op`` is insert, update or keep.
+def upsert(existing: DataFrame, batch: DataFrame, key: str, keep_existing=("created_at",), op: str = "op",
+           version: str | None = None) -> DataFrame:
+    """Full-outer upsert; ``op`` is insert, update or keep.
 
-    The batch must be unique on the key (see ``keep_first``).
+    Batch rows win, or with ``version`` those whose version is not below the
+    stored row's.  The batch must be unique on the key (see ``keep_first``).
+    Columns that one side lacks are kept: a stored value stays where the batch has no such column.
     """
-    columns = existing.columns
-    old = existing.select(key, F.struct(*columns).alias("_old"))
-    new = batch.select(key, F.struct(*[F.col(c) for c in columns]).alias("_new"))
+    columns = existing.columns + [c for c in batch.columns if c not in existing.columns]
+    types = {f.name: f.dataType for f in [*batch.schema, *existing.schema]}
+
+    def all_of(df: DataFrame) -> Column:
+        return F.struct(*[F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in columns])
+
+    old = existing.select(key, all_of(existing).alias("_old"))
+    new = batch.select(key, all_of(batch).alias("_new"))
     joined = old.join(new, key, "full_outer")
+    if version:
+        older = F.col("_new")[version] < F.col("_old")[version]
+        joined = joined.withColumn("_new", F.when(~F.coalesce(older, F.lit(False)), F.col("_new")))
 
     def value(c: str) -> Column:
         if c == key:
             return F.col(key)
-        if c in keep_existing:
+        if c in keep_existing or c not in batch.columns:
             return F.when(F.col("_old").isNotNull(), F.col("_old")[c]).otherwise(F.col("_new")[c])
         return F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col("_old")[c])
 
@@ -67,48 +87,151 @@ def by_date(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", F.col(PARTITION))
 
 
+def usable(batch: DataFrame) -> DataFrame:
+    """Rows with a key, with their date."""
+    rows = batch.filter(F.col("external_key").isNotNull() & (F.col("external_key") != ""))
+    return rows.withColumn(PARTITION, F.to_date("published_at"))
+
+
+def newest(batch: DataFrame, version: str = "updated_at") -> DataFrame:
+    """One row per key: the highest version, on ties the one with the smallest hash of all columns."""
+    return first_per_group(batch, ["external_key"], [F.desc(version), F.xxhash64(*batch.columns)])
+
+
+def manifests(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+
+
+def current(spark: SparkSession, path: str) -> dict | None:
+    """The manifest that is the table now; None if there is no table."""
+    names = manifests(spark, path)
+    if not names:
+        return None
+    text = spark.read.text(f"{path}/_manifests/{names[-1]}", wholetext=True).first()
+    return json.loads(text["value"])
+
+
+def publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Create the next manifest; it fails if another writer has published that version meanwhile."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/{manifest['version']:012d}.json")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/.{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        raise RuntimeError(f"version {manifest['version']} of {path} has been written by another job")
+
+
+def rows_of(spark: SparkSession, path: str, manifest: dict, dates: list[str] | None = None) -> DataFrame:
+    """The rows of the table, or of some of its dates."""
+    schema = T.StructType.fromJson(manifest["schema"])
+    wanted = [d for d in manifest["dates"] if dates is None or d in dates]
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    folders = [f"{path}/data/{manifest['dates'][d]['batch']}/{PARTITION}={d}" for d in wanted]
+    full = T.StructType([*schema.fields, *([] if PARTITION in schema.names else [T.StructField(PARTITION, T.DateType())])])
+    return spark.read.schema(full).option("basePath", f"{path}/data").parquet(*folders).select(*schema.names)
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """The table as it is now, all columns that any batch brought."""
+    manifest = current(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(path)
+    return rows_of(spark, path, manifest)
+
+
+def land(spark: SparkSession, path: str, rows: DataFrame) -> tuple[str, dict, dict]:
+    """Write rows (with ``op``) as a data folder; its name, the rows per date, and the rows per kind of change."""
+    name = f"batch={uuid.uuid4().hex}"
+    by_date(rows).write.partitionBy(PARTITION).parquet(f"{path}/data/{name}")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/data/{name}")
+    dates, kinds = {}, {}
+    for r in stored.groupBy(PARTITION, "op").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per day and kind
+        day = UNDATED if r[PARTITION] is None else str(r[PARTITION])
+        dates[day] = {"batch": name, "rows": dates.get(day, {"rows": 0})["rows"] + r["n"]}
+        kinds[r["op"]] = kinds.get(r["op"], 0) + r["n"]
+    return name, dates, kinds
+
+
+def stored_schema(df: DataFrame) -> dict:
+    return T.StructType([f for f in df.schema if f.name != "op"]).jsonValue()
+
+
 def write_articles(df: DataFrame, path: str) -> None:
     """Drop and reload: the table is written anew; rows without a key are left out."""
-    rows = df.filter(F.col("external_key").isNotNull() & (F.col("external_key") != ""))
-    rows = rows.withColumn(PARTITION, F.to_date("published_at"))
-    by_date(rows).write.mode("overwrite").partitionBy(PARTITION).parquet(path)
+    spark = df.sparkSession
+    before = current(spark, path)
+    rows = usable(df).withColumn("op", F.lit("insert"))
+    _, dates, _ = land(spark, path, rows)
+    publish(spark, path, {"version": (before or {"version": 0})["version"] + 1, "schema": stored_schema(rows), "dates": dates, "last": None})
 
 
-def upsert_articles(spark: SparkSession, path: str, batch: DataFrame, staging: str) -> DataFrame:
-    """Merge a batch into the partitioned table at ``path`` and return the counters.
+def upsert_articles(spark: SparkSession, path: str, batch: DataFrame, batch_id: str | int | None = None) -> DataFrame:
+    """Merge a batch into the table at ``path`` and return its counters.
 
-    The merged partitions are written to ``staging`` first and replace the old
-    ones from there, so a lost executor or a failed run never reads what it is
-    overwriting; repeating the batch gives the same table.
+    The newest ``updated_at`` wins, inside the batch and against the stored row, so
+    the table does not depend on how rows fall into batches.  Rows without a key are
+    left out and counted as ``skipped``; stored columns that the batch lacks stay.
+    A batch whose id is that of the last one published changes nothing and returns the counters stored with it.
     """
-    fresh = first_per_group(batch, ["external_key"], ["updated_at"]).withColumn(PARTITION, F.to_date("published_at"))
-    # the batch is used more than once below, so it is computed once and written
-    fresh.write.mode("overwrite").parquet(f"{staging}/batch")
-    rows = spark.read.parquet(f"{staging}/batch")
-    if not exists(spark, path):
-        merged = rows.withColumn("op", F.lit("insert"))
-    else:
-        # the explicit schema types the partition column and adds columns that are new in the batch
-        table = spark.read.schema(rows.schema).parquet(path)
-        # one row per calendar day, so small at any data size; the semi join prunes partitions at run time
-        days = rows.select(PARTITION).distinct()
-        dated = table.join(F.broadcast(days), PARTITION, "left_semi")
-        # at most one row: whether the batch has undated articles
-        has_undated = rows.filter(F.col(PARTITION).isNull()).select(F.lit(True).alias("_undated")).distinct()
-        undated = (table.filter(F.col(PARTITION).isNull()).withColumn("_undated", F.lit(True))
-                   .join(F.broadcast(has_undated), "_undated", "left_semi").drop("_undated"))
-        touched = dated.unionByName(undated)
-        merged = upsert(touched.select(*rows.columns), rows, "external_key")
-    by_date(merged).write.mode("overwrite").partitionBy(PARTITION).parquet(f"{staging}/merged")
-    staged = spark.read.schema(merged.schema).parquet(f"{staging}/merged")
-    (staged.drop("op").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(PARTITION).parquet(path))
-    return upsert_counts(staged)
+    manifest = current(spark, path) or {"version": 0, "schema": None, "dates": {}, "last": None}
+    last = manifest["last"]
+    if batch_id is None or not last or last["id"] != str(batch_id):
+        staging = f"{path}/staging/{uuid.uuid4().hex}"
+        # the batch is used more than once below, so it is computed once and written
+        batch.withColumn(PARTITION, F.to_date("published_at")).write.parquet(staging)
+        written = spark.read.parquet(staging)
+        rows = newest(usable(written))
+        skipped = written.count() - usable(written).count()
+        days = [UNDATED if r[0] is None else str(r[0]) for r in usable(written).select(PARTITION).distinct().collect()]
+        if manifest["schema"] is None:
+            merged = rows.withColumn("op", F.lit("insert"))
+        else:
+            # only the dates of the batch are read and written again
+            merged = upsert(rows_of(spark, path, manifest, days), rows, "external_key", version="updated_at")
+        _, dates, kinds = land(spark, path, merged)
+        manifest["dates"].update(dates)
+        counters = {"inserted": kinds.get("insert", 0), "updated": kinds.get("update", 0), "skipped": skipped,
+                    "total": sum(d["rows"] for d in manifest["dates"].values())}
+        last = {"id": str(batch_id), "counters": counters}
+        publish(spark, path, {"version": manifest["version"] + 1, "schema": stored_schema(merged), "dates": manifest["dates"], "last": last})
+        remove(spark, staging)
+    return spark.createDataFrame([tuple(last["counters"][c] for c in ("inserted", "updated", "skipped", "total"))],
+                                 "inserted long, updated long, skipped long, total long")
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Remove the date folders and manifests that the table no longer uses; for times without readers of old versions."""
+    manifest, names = current(spark, path), manifests(spark, path)
+    used = {f"{d['batch']}/{PARTITION}={day}" for day, d in manifest["dates"].items()}
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/batch=*/{PARTITION}=*")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    folders = [f"{f.getPath().getParent().getName()}/{f.getPath().getName()}" for f in found]
+    old = [f for f in folders if f not in used]
+    for name in old:
+        remove(spark, f"{path}/data/{name}")
+    for name in names[:-1]:
+        remove(spark, f"{path}/_manifests/{name}")
+    return len(old)
 
 
 def import_if_empty(spark: SparkSession, path: str, batch: DataFrame) -> bool:
     """Bootstrap: write the batch only when the table is missing or has no row."""
-    if exists(spark, path) and not spark.read.parquet(path).isEmpty():
+    manifest = current(spark, path)
+    if manifest and any(d["rows"] for d in manifest["dates"].values()):
         return False
     write_articles(batch, path)
     return True
+
+
+def find_article(spark: SparkSession, path: str, key: str, published: str | None = None) -> DataFrame:
+    """The row of a key; with its date only that date's files are read."""
+    manifest = current(spark, path)
+    return rows_of(spark, path, manifest, None if published is None else [published]).filter(F.col("external_key") == key)

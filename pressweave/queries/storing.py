@@ -14,7 +14,7 @@ from pressweave.queries import sql as s
 from pressweave.queries.annotation import (ANNOTATED_SQL, BULLETS_SQL, HEADLINE_SQL, NORMED, RULES, TOPIC_SQL, first_good)
 from pressweave.queries.landing import IMAGE_FROM, IMAGE_ROWS, IMAGE_SQL, badge_case, image_inputs
 from pressweave.queries.listing import REPORT, report_raw
-from pressweave.sources.tables import shared_dir
+from pressweave.sources.tables import ARTICLE, add_columns, read_preferred, shared_dir
 from pressweave.streaming import ingest
 
 QUERIES: dict = {}
@@ -36,7 +36,7 @@ def keyed(spark, sf) -> DataFrame:
 
 KEYED = f"""{s.DOCS}, keyed AS (SELECT doc_id, title, source, language, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS TIMESTAMP) AS published_at,
  sha1(concat_ws('|', source, md5(summary), CAST(doc_id % 400 AS VARCHAR), strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER), '%Y-%m-%d'))) AS external_key FROM docs),
-old AS (SELECT external_key, title, language, doc_id AS version, published_at, 0 AS created FROM keyed WHERE doc_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY external_key ORDER BY doc_id) = 1),
+old AS (SELECT external_key, title, language, doc_id AS version, published_at, 0 AS created FROM keyed WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0 QUALIFY row_number() OVER (PARTITION BY external_key ORDER BY doc_id) = 1),
 new AS (SELECT external_key, 'new ' || title AS title, language, -doc_id AS version, published_at, 1 AS created FROM keyed WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY external_key ORDER BY doc_id DESC) = 1),
 merged AS (SELECT coalesce(n.external_key, o.external_key) AS external_key, CASE WHEN n.external_key IS NULL THEN o.title ELSE n.title END AS title,
  CASE WHEN n.external_key IS NULL THEN o.version ELSE n.version END AS version, coalesce(o.created, n.created) AS created,
@@ -45,7 +45,7 @@ merged AS (SELECT coalesce(n.external_key, o.external_key) AS external_key, CASE
 
 def old_and_new(spark, sf):
     rows = keyed(spark, sf)
-    old = rows.filter("doc_id % 3 <> 0").select("external_key", "title", "language", F.col("doc_id").alias("version"), "published_at", F.lit(0).alias("created_at"))
+    old = rows.filter("doc_id % 3 <> 0 OR doc_id % 2 <> 0").select("external_key", "title", "language", F.col("doc_id").alias("version"), "published_at", F.lit(0).alias("created_at"))
     new = rows.filter("doc_id % 2 = 0").select("external_key", F.concat(F.lit("new "), F.col("title")).alias("title"), "language",
                                                (-F.col("doc_id")).alias("version"), "published_at", F.lit(1).alias("created_at"))
     return (st.first_per_group(old, ["external_key"], ["version"]), st.first_per_group(new, ["external_key"], ["version"]))
@@ -70,8 +70,8 @@ def upsert_table(spark, sf):
     path = shared_dir(spark, "articles")
     st.write_articles(old.withColumn("updated_at", F.col("version")), path)
     for attempt in range(2):
-        st.upsert_articles(spark, path, new.withColumn("updated_at", F.col("version")), f"{path}-staging-{attempt}")
-    return spark.read.parquet(path).select("external_key", "title", "version")
+        st.upsert_articles(spark, path, new.withColumn("updated_at", F.abs("version") + 1_000_000_000), attempt)
+    return st.read_articles(spark, path).select("external_key", "title", "version")
 
 
 @query("source_rollup", f"""WITH {s.DOCS}, v AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN '' ELSE language END AS language, {s.CRED} AS credibility FROM docs d)
@@ -172,59 +172,90 @@ def import_job(spark, sf):
 
 
 # --- streams -----------------------------------------------------------------
-def landed(spark, sf, name) -> DataFrame:
-    """A stream over a table file or directory."""
-    path = f"{sf}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return ingest.landing(spark, f"{path}*", schema)
+def landed(spark, rows, name) -> DataFrame:
+    """Rows landed as several files, out of order, and streamed one file a batch."""
+    path = shared_dir(spark, f"landed-{name}")
+    rows.repartition(4, F.md5(F.col(rows.columns[0]).cast("string"))).write.parquet(path)
+    return ingest.landing(spark, path, rows.schema, files_per_batch=1)
 
 
-@query("stream_ingest", f"""WITH {KEYED}, f AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY external_key ORDER BY doc_id) = 1)
+def stream_documents(spark, sf) -> DataFrame:
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("version"),
+        external_key(F.col("source"), F.md5("text"), (F.col("doc_id") % 400).cast("string"), F.date_format(day, "yyyy-MM-dd")).alias("external_key"),
+        F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("updated_at"), day.cast("timestamp_ntz").alias("published_at"))
+    return landed(spark, rows, "documents")
+
+
+@query("stream_ingest", f"""WITH {KEYED}, f AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY external_key ORDER BY doc_id DESC) = 1)
 SELECT external_key, title, doc_id AS version FROM f""")
 def stream_ingest(spark, sf):
     """Landed documents through a stream of upserts into the article table."""
     base = shared_dir(spark, "stream")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
-    rows = landed(spark, sf, "documents").select(
-        external_key(F.col("source"), F.md5("text"), (F.col("doc_id") % 400).cast("string"), F.date_format(day, "yyyy-MM-dd")).alias("external_key"),
-        F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("version"), F.col("doc_id").alias("updated_at"),
-        day.cast("timestamp_ntz").alias("published_at"))
-    ingest.upsert_stream(rows, base + "/table", base + "/staging", base + "/status", base + "/checkpoint").awaitTermination()
-    return spark.read.parquet(base + "/table").select("external_key", "title", "version")
+    ingest.upsert_stream(stream_documents(spark, sf), base + "/table", base + "/status", base + "/checkpoint").awaitTermination()
+    return st.read_articles(spark, base + "/table").select("external_key", "title", "version")
 
 
-@query("stream_status", """SELECT count(DISTINCT (source, text, doc_id % 400, doc_id % 30)) AS inserted, 0 AS updated, count(DISTINCT (source, text, doc_id % 400, doc_id % 30)) AS total FROM documents""")
+@query("stream_status", """SELECT count(DISTINCT (source, text, doc_id % 400, doc_id % 30)) AS inserted, count(DISTINCT (source, text, doc_id % 400, doc_id % 30)) AS total,
+ 0 AS skipped FROM documents""")
 def stream_status(spark, sf):
     base = shared_dir(spark, "stream")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
-    rows = landed(spark, sf, "documents").select(
-        external_key(F.col("source"), F.md5("text"), (F.col("doc_id") % 400).cast("string"), F.date_format(day, "yyyy-MM-dd")).alias("external_key"),
-        F.col("doc_id").alias("updated_at"), day.cast("timestamp_ntz").alias("published_at"))
-    ingest.upsert_stream(rows, base + "/table", base + "/staging", base + "/status", base + "/checkpoint").awaitTermination()
+    ingest.upsert_stream(stream_documents(spark, sf), base + "/table", base + "/status", base + "/checkpoint").awaitTermination()
     status = ingest.run_status(spark, base + "/status")
-    return status.agg(F.sum("inserted").alias("inserted"), F.sum("updated").alias("updated"), F.max("total").alias("total"))
+    return status.agg(F.sum("inserted").alias("inserted"), F.max("total").alias("total"), F.sum("skipped").alias("skipped"))
 
 
 @query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(spark, sf):
     base = shared_dir(spark, "distinct")
-    rows = landed(spark, sf, "events").withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
-    ingest.stream_to_table(ingest.distinct_by_key(rows, "key", "ts").select("user_id", "event_type"), base + "/out", base + "/checkpoint")
-    return spark.read.parquet(base + "/out")
+    rows = landed(spark, table(spark, sf, "events"), "events").withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    ingest.distinct_stream(rows.select("key", "user_id", "event_type"), "key", base + "/out", base + "/checkpoint").awaitTermination()
+    return spark.read.parquet(base + "/out").select("user_id", "event_type")
 
 
 @query("stream_fresh", f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{p.AS_OF}' - INTERVAL 24 HOURS")
 def stream_fresh(spark, sf):
     base = shared_dir(spark, "fresh")
-    rows = ingest.fresh(landed(spark, sf, "events"), "ts", F.lit(p.AS_OF).cast("timestamp_ntz")).select("event_id", "user_id")
+    rows = ingest.fresh(landed(spark, table(spark, sf, "events"), "events"), "ts", F.lit(p.AS_OF).cast("timestamp_ntz")).select("event_id", "user_id")
     ingest.stream_to_table(rows, base + "/out", base + "/checkpoint")
     return spark.read.schema(rows.schema).parquet(base + "/out")
 
 
-@query("stream_event_counts", """WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS mark FROM events)
-SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS articles FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT mark FROM m) GROUP BY 1, 2""")
+@query("stream_event_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS articles FROM events GROUP BY 1, 2")
 def stream_event_counts(spark, sf):
-    """Hourly counts of the windows that the watermark has closed."""
+    """Hourly counts over all batches."""
     base = shared_dir(spark, "windows")
-    ingest.stream_to_table(ingest.windowed_counts(landed(spark, sf, "events"), "ts", "event_type"), base + "/out", base + "/checkpoint")
-    return spark.read.parquet(base + "/out")
+    ingest.count_stream(landed(spark, table(spark, sf, "events"), "events"), "ts", ["event_type"], base + "/out", base + "/checkpoint").awaitTermination()
+    return ingest.window_counts(spark, base + "/out", "event_type")
+
+
+# --- store and tables -----------------------------------------------------------
+@query("bootstrap_if_empty", f"WITH {KEYED} SELECT external_key, title, version FROM old")
+def bootstrap_if_empty(spark, sf):
+    """The first import fills the table, the second finds it filled."""
+    old, new = old_and_new(spark, sf)
+    path = shared_dir(spark, "articles")
+    for rows in (old, new):
+        st.import_if_empty(spark, path, rows.withColumn("updated_at", F.col("version")))
+    return st.read_articles(spark, path).select("external_key", "title", "version")
+
+
+@query("schema_change", "SELECT doc_id, lang AS language, 'new' AS status, CAST(0 AS DOUBLE) AS fee_numeric FROM documents")
+def schema_change(spark, sf):
+    """Columns that a later schema has are added with their defaults."""
+    rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"))
+    wide = add_columns(rows, ARTICLE, {"status": "new", "fee_numeric": 0.0})
+    return wide.select("doc_id", "language", "status", "fee_numeric")
+
+
+@query("preferred_table", "SELECT doc_id, source FROM documents")
+def preferred_table(spark, sf):
+    """Of two CSV tables in a folder the preferred one is read, whose files differ in the order of their columns."""
+    root = shared_dir(spark, "preferred")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "lang")
+    even, odd = rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 <> 0").select("lang", "source", "doc_id")
+    for part in (even, odd):
+        part.write.mode("append").option("header", True).csv(f"{root}/{fv.PREFERRED_TABLES[0]}.csv")
+    even.write.option("header", True).csv(f"{root}/{fv.PREFERRED_TABLES[1]}.csv")
+    return read_preferred(spark, root).select(F.col("doc_id").cast("long").alias("doc_id"), "source")

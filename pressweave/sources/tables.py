@@ -63,14 +63,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a CSV folder (or the one file) by their header line."""
+    firsts = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    heads = (firsts.filter("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+             .groupBy("head").agg(F.collect_list("file").alias("files")))
+    return {r["head"]: sorted(r["files"]) for r in heads.collect()}
+
+
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """All columns as strings: names drift, so types are settled after alias resolution.
 
-    Quoted line breaks are supported, which makes a file the unit of work; write
-    many files (as ``write_csv`` does) to read in parallel.
+    Files with other columns, or the same in another order, are read by their own
+    header and put together by name.  ``line_breaks`` allows quoted line breaks,
+    which makes a file the unit of work; without it large files are split.
     """
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').option("enforceSchema", False)
+    parts = []
+    for _, files in sorted(header_groups(spark, path).items()):
+        df = reader.csv(files)
+        parts.append(df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns]))
+    out = parts[0] if parts else reader.csv(path)
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def ordered_columns(columns: list[str]) -> list[str]:

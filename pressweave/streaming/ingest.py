@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pressweave.operators.store import upsert_articles
+from pressweave.sources.tables import exists
 
 
 def landing(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int | None = None,
@@ -30,34 +31,72 @@ def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
 
 def distinct_by_key(df: DataFrame, key: str, ts: str, delay: str = "24 hours") -> DataFrame:
-    """First row of each key; state is kept for ``delay`` of event time, later rows are dropped."""
+    """First row of each key within ``delay`` of event time; state is bounded, so a key that returns later passes again (``distinct_stream`` has no such limit)."""
     return with_event_time(df, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(df: DataFrame, ts: str, *labels: str, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Rolling counts per label in event-time windows."""
+    """Rolling counts per label in event-time windows; rows that land more than ``delay`` after newer ones are left out (``count_stream`` counts all)."""
     return (with_event_time(df, ts, delay).groupBy(F.window(ts, window), *labels)
             .agg(F.count(F.lit(1)).alias("articles"))
             .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), *labels, "articles"))
 
 
-def upsert_stream(df: DataFrame, table: str, staging: str, status: str, checkpoint: str,
-                  interval: str | None = None) -> StreamingQuery:
+def run_batches(df: DataFrame, write, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def upsert_stream(df: DataFrame, table: str, status: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Upsert every micro-batch into the article table and record its counters.
 
-    A batch that is repeated after a failure gives the same table (upsert by
-    key) and the same status row (one directory per batch id).  Without an
-    interval all landed files are processed and the query stops.
+    A batch that is repeated after a failure, wherever it stopped, gives the same
+    table and the same status row: the table's manifest names the last batch and
+    keeps its counters.  The newest version of a key wins in whatever batch it
+    comes.  Without an interval all landed files are processed and the query stops.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        counters = upsert_articles(spark, table, batch, f"{staging}/batch={batch_id}")
+        counters = upsert_articles(spark, table, batch, batch_id)
         (counters.withColumn("finished_at", F.current_timestamp())
          .write.mode("overwrite").parquet(f"{status}/batch_id={batch_id}"))
 
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(**trigger).start())
+    return run_batches(df, write, checkpoint, interval)
+
+
+def distinct_stream(df: DataFrame, key: str, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """One row per key over all batches, whatever the order and the age of the rows.
+
+    A batch is made unique and rows whose key an earlier batch has brought are left
+    out.  Each batch has its own folder, so repeating one writes the same rows.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        if batch_id and exists(spark, path):
+            known = spark.read.schema(f"{key} string, batch_id long").parquet(path).filter(F.col("batch_id") < batch_id)
+            fresh = fresh.join(known.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return run_batches(df, write, checkpoint, interval)
+
+
+def count_stream(df: DataFrame, ts: str, labels: list[str], path: str, checkpoint: str, window: str = "1 hour",
+                 interval: str | None = None) -> StreamingQuery:
+    """Counts per window and label of every batch, each in its own folder; ``window_counts`` adds them up.
+
+    No row is too late for it and nothing waits for a watermark, so the sums do not depend on how rows fall into batches.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = (batch.groupBy(F.window(F.col(ts).cast("timestamp"), window), *labels).agg(F.count(F.lit(1)).alias("articles"))
+                  .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), *labels, "articles"))
+        counts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return run_batches(df, write, checkpoint, interval)
+
+
+def window_counts(spark: SparkSession, path: str, *labels: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("window_start", *labels).agg(F.sum("articles").alias("articles"))
 
 
 def run_status(spark: SparkSession, status: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pressweave.operators.match import org_terms
 from pressweave.plans import jobs
 from pressweave.sources import feeds as fd
 from pressweave.sources import pages as pg
+from pressweave.operators import store as st
 from pressweave.sources import tables as tb
 from pressweave.streaming import ingest
 
@@ -96,8 +97,8 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark):
 
     def run():
         stream = ingest.landing(spark, base + "/in", spark.read.parquet(base + "/in").schema, files_per_batch=1)
-        ingest.upsert_stream(stream, base + "/table", base + "/staging", base + "/status", base + "/cp").awaitTermination()
-        return {r["external_key"]: r["title"] for r in spark.read.parquet(base + "/table").collect()}
+        ingest.upsert_stream(stream, base + "/table", base + "/status", base + "/cp").awaitTermination()
+        return {r["external_key"]: r["title"] for r in st.read_articles(spark, base + "/table").collect()}
 
     landing_rows(spark, base + "/in", [("a", "A", day, 1), ("b", "B", day, 1)])
     assert run() == {"a": "A", "b": "B"}
@@ -127,6 +128,20 @@ def test_late_rows_are_dropped_by_the_watermark(spark):
     assert run() == {1: 2, 2: 1, 3: 1, 20: 1, 23: 1}  # the late row of hour 1 is not counted
 
 
+def test_streams_do_not_depend_on_batches(spark):
+    rows = [(f"k{i % 7}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)) for i, h in enumerate((3, 90, 1, 2, 1, 20, 1, 70, 3, 3, 0))]
+    seen = []
+    for files in (1, 5):
+        base = tb.shared_dir(spark, "o")
+        spark.createDataFrame(rows, "key string, ts timestamp_ntz").repartition(files, "ts").write.parquet(base + "/in")
+        stream = ingest.landing(spark, base + "/in", spark.read.parquet(base + "/in").schema, files_per_batch=1)
+        ingest.distinct_stream(stream, "key", base + "/keys", base + "/cp1").awaitTermination()
+        ingest.count_stream(stream, "ts", [], base + "/counts", base + "/cp2").awaitTermination()
+        keys = sorted(r["key"] for r in spark.read.parquet(base + "/keys").collect())
+        seen.append((keys, sorted(tuple(r) for r in ingest.window_counts(spark, base + "/counts").collect())))
+    assert seen[0] == seen[1] and len(seen[0][0]) == 7 and sum(n for _, n in seen[0][1]) == len(rows)
+
+
 @pytest.mark.parametrize("limit", [1])
 def test_fresh(spark, limit):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 11),), (dt.datetime(2023, 12, 30),)], "ts timestamp_ntz")

@@ -16,30 +16,64 @@ def batch(spark, rows):
 D1, D2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
 
 
+def counters(df):
+    return tuple(df.select("inserted", "updated", "skipped", "total").first())
+
+
 def test_upsert_table(spark):
     path = tb.shared_dir(spark, "t")
-    first = batch(spark, [("a", "A", D1, 1, 1), ("b", "B", D2, 1, 1), ("c", "C", None, 1, 1), ("b", "B2", D2, 1, 2)])
-    assert tuple(st.upsert_articles(spark, path, first, path + "-s1").first()) == (3, 0, 3)
-    second = batch(spark, [("b", "new", D2, 2, 2), ("d", "D", D2, 2, 2)])
-    files_of_a = spark.read.parquet(path + "/published_date=2024-01-01").inputFiles()
-    assert tuple(st.upsert_articles(spark, path, second, path + "-s2").first()) == (1, 1, 2)
-    read = {r["external_key"]: (r["title"], r["created_at"]) for r in spark.read.parquet(path).collect()}
+    first = batch(spark, [("a", "A", D1, 1, 1), ("b", "B", D2, 1, 1), ("c", "C", None, 1, 1), ("b", "B2", D2, 1, 2), (None, "x", D1, 1, 1), ("", "y", D1, 1, 1)])
+    assert counters(st.upsert_articles(spark, path, first)) == (3, 0, 2, 3)
+    second = batch(spark, [("b", "new", D2, 2, 2), ("d", "D", D2, 2, 2), (None, "x", D1, 1, 1)])
+    folder = st.current(spark, path)["dates"]["2024-01-01"]
+    assert counters(st.upsert_articles(spark, path, second, 7)) == (1, 1, 1, 4)
+    read = {r["external_key"]: (r["title"], r["created_at"]) for r in st.read_articles(spark, path).collect()}
     assert read == {"a": ("A", 1), "b": ("new", 1), "c": ("C", 1), "d": ("D", 2)}
-    # a date without new rows is not rewritten
-    assert spark.read.parquet(path + "/published_date=2024-01-01").inputFiles() == files_of_a
-    assert tuple(st.upsert_articles(spark, path, second, path + "-s3").first()) == (0, 2, 2)
+    assert st.current(spark, path)["dates"]["2024-01-01"] == folder  # a date without new rows is not rewritten
+    # a replay of the batch that was published last, wherever the run stopped, gives the same table and the same counters
+    version = st.current(spark, path)["version"]
+    assert counters(st.upsert_articles(spark, path, second, 7)) == (1, 1, 1, 4) and st.current(spark, path)["version"] == version
     undated = batch(spark, [("c", "C2", None, 5, 5)])
-    assert tuple(st.upsert_articles(spark, path, undated, path + "-s4").first()) == (0, 1, 1)
-    assert spark.read.parquet(path).count() == 4
+    assert counters(st.upsert_articles(spark, path, undated)) == (0, 1, 0, 4)
+    assert st.read_articles(spark, path).count() == 4
+    assert [r["title"] for r in st.find_article(spark, path, "b", "2024-01-02").collect()] == ["new"]
+    assert st.vacuum(spark, path) > 0 and st.read_articles(spark, path).count() == 4
+
+
+def test_upsert_does_not_depend_on_batches(spark):
+    rows = [("a", "new", D1, 1, 3), ("a", "old", D1, 1, 1), ("b", "x", D1, 1, 2), ("b", "y", D1, 1, 2)]
+    seen = set()
+    for order in ([rows], [rows[:1], rows[1:]], [rows[1:], rows[:1]]):
+        path = tb.shared_dir(spark, "t")
+        for part in order:
+            st.upsert_articles(spark, path, batch(spark, part))
+        seen.add(tuple(sorted((r["external_key"], r["title"]) for r in st.read_articles(spark, path).collect())))
+    assert len(seen) == 1 and ("a", "new") in seen.pop()
+
+
+def test_narrow_batch_keeps_stored_columns(spark):
+    path = tb.shared_dir(spark, "t")
+    st.upsert_articles(spark, path, batch(spark, [("a", "A", D1, 1, 1), ("b", "B", D1, 1, 1)]).selectExpr("*", "title || '!' AS extra"))
+    st.upsert_articles(spark, path, batch(spark, [("a", "A2", D1, 1, 2)]))
+    st.upsert_articles(spark, path, batch(spark, [("z", "Z", D2, 1, 2)]).selectExpr("*", "5 AS more"))
+    got = {r["external_key"]: (r["title"], r["extra"], r["more"]) for r in st.read_articles(spark, path).collect()}
+    assert got == {"a": ("A2", "A!", None), "b": ("B", "B!", None), "z": ("Z", None, 5)}
+
+
+def test_a_second_writer_of_a_version_fails(spark):
+    path = tb.shared_dir(spark, "t")
+    st.write_articles(batch(spark, [("a", "A", D1, 1, 1)]), path)
+    with pytest.raises(RuntimeError):
+        st.publish(spark, path, st.current(spark, path))
 
 
 def test_bootstrap_and_reload(spark):
     path = tb.shared_dir(spark, "t")
     rows = batch(spark, [("a", "A", D1, 1, 1), (None, "x", D1, 1, 1), ("", "y", D1, 1, 1)])
     assert st.import_if_empty(spark, path, rows) and not st.import_if_empty(spark, path, rows)
-    assert spark.read.parquet(path).count() == 1
+    assert st.read_articles(spark, path).count() == 1
     st.write_articles(batch(spark, [("z", "Z", D1, 1, 1)]), path)
-    assert [r["external_key"] for r in spark.read.parquet(path).collect()] == ["z"]
+    assert [r["external_key"] for r in st.read_articles(spark, path).collect()] == ["z"]
 
 
 def test_source_upsert(spark):
@@ -59,6 +93,16 @@ def test_csv_round_trip_with_mark_and_line_breaks(spark, tmp_path):
     assert tb.read_preferred(spark, str(tmp_path / "none")) is None
 
 
+def test_csv_files_with_other_columns(spark, tmp_path):
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("title,source,lang\nt1,s1,fr\n")
+    (folder / "b.csv").write_text("source,title,lang\ns2,t2,en\n")
+    (folder / "c.csv").write_text("lang,more\nes,m\n")
+    rows = {(r["title"], r["source"], r["lang"], r["more"]) for r in tb.read_csv(spark, str(folder)).collect()}
+    assert rows == {("t1", "s1", "fr", None), ("t2", "s2", "en", None), (None, None, "es", "m")}
+
+
 def test_schema_change_union_and_cache(spark, tmp_path):
     df = spark.createDataFrame([("k", "x")], "external_key string, extra string")
     wide = tb.add_columns(df, tb.ARTICLE, {"fee_numeric": 0.0, "status": "s"})
