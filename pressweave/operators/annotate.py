@@ -8,7 +8,8 @@ from pressweave import fixed_values as fv
 from pressweave.functions.text import (contains_any, lit_array, lit_map, materialize, non_empty, norm_text,
                                        text_or_empty)
 from pressweave.functions.values import fee_text, numeric_fee, story_key
-from pressweave.operators.match import best_entity, entity_terms, org_terms, orgs_in_order, phrase_hits
+from pressweave.operators.match import best_entity, entity_terms, org_terms, orgs_in_order, phrase_hits, with_hits
+from pressweave.sources.dictionaries import entity_term_rows, org_term_rows
 
 
 def classify(norm: Column, classes: dict[str, list[str]] = fv.CLASS_KEYWORDS, default: str = fv.DEFAULT_LEAGUE) -> Column:
@@ -38,12 +39,14 @@ def status_of(title: Column, words: dict[str, list[str]] = fv.STATUS_WORDS, defa
     return chosen
 
 
-def fallback_entity(title: Column, org_aliases, default: str = fv.DEFAULT_ENTITY) -> Column:
+def name_pair(title: Column) -> Column:
+    return F.regexp_extract(title, r"(?U)\b([A-ZÀ-ÿ][a-zà-ÿ]+(?:\s+[A-ZÀ-ÿ][a-zà-ÿ]+))\b", 1)
+
+
+def fallback_entity(title: Column, known_org, default: str = fv.DEFAULT_ENTITY) -> Column:
     """First capitalised word pair of the title unless it names an organisation."""
-    pair = F.regexp_extract(
-        title, r"(?U)\b([A-ZÀ-ÿ][a-zà-ÿ]+(?:\s+[A-ZÀ-ÿ][a-zà-ÿ]+))\b", 1)
-    known = F.array_contains(lit_array(org_aliases), F.lower(pair))
-    return F.when((pair != "") & ~known, pair).otherwise(default)
+    pair = name_pair(title)
+    return F.when((pair != "") & ~known_org(F.lower(pair)), pair).otherwise(default)
 
 
 def direction(norm: Column, norm_title: Column, first_org: Column, second_org: Column, current: Column,
@@ -100,39 +103,57 @@ def attribute(name: Column, table: dict[str, str]) -> Column:
 ANNOTATED = ["entity", "nationality", "org_from", "org_to", "status", "league", "fee_text"]
 
 
-def annotate(df: DataFrame, entities: dict, org_aliases: dict[str, str],
+def annotate(df: DataFrame, entities: dict | DataFrame, org_aliases: dict[str, str] | DataFrame,
              classes: dict[str, list[str]] = fv.CLASS_KEYWORDS, default_class: str = fv.DEFAULT_LEAGUE,
              status_words: dict[str, list[str]] = fv.STATUS_WORDS, wording: dict[str, list[str]] | None = None,
-             keep_norm: bool = False) -> DataFrame:
+             keep_norm: bool = False, key: str | None = None) -> DataFrame:
     """Add the local annotation to rows with ``title`` and ``summary``.
 
     ``entities``: ``{name: {"org": current, "nationality": text, "aliases": [..]}}``.
     ``wording`` replaces the extension, towards or leaves words of ``direction``.
-    Row-local: no join and no shuffle.
+    With dictionaries that are parameters it is row-local: no join and no shuffle.
+    Both may instead be tables of any size, (name, org, nationality, aliases, ord)
+    and (alias, canonical, ord), which are joined; rows then need a unique ``key``.
     """
     title, summary = text_or_empty(F.col("title")), text_or_empty(F.col("summary"))
-    orgs_of = {n: a["org"] for n, a in entities.items() if a.get("org")}
-    nations = {n: a["nationality"] for n, a in entities.items() if a.get("nationality")}
     step = df if "_norm" in df.columns else materialize(df, _norm=norm_text(F.concat_ws(" ", title, summary)))
     norm = F.col("_norm")
-    step = materialize(step, _norm_title=norm_text(title), _hits=phrase_hits(norm, org_terms(org_aliases)),
-                       _entity=best_entity(phrase_hits(norm, entity_terms(entities))))
-    step = materialize(step, _orgs=orgs_in_order(F.col("_hits"), norm), _current=attribute(F.col("_entity"), orgs_of))
+    listed = not isinstance(org_aliases, DataFrame)
+    step = with_hits(step, "_norm", "_hits", org_terms(org_aliases) if listed else org_term_rows(org_aliases), key)
+    if isinstance(entities, DataFrame):
+        step = with_hits(step, "_norm", "_found", entity_term_rows(entities), key)
+        known = entities.select(F.col("name").alias("_entity"), non_empty(F.col("org")).alias("_current"), non_empty(F.col("nationality")).alias("_nation"))
+        step = step.withColumn("_entity", best_entity(F.col("_found"))).drop("_found").join(known, "_entity", "left")
+    else:
+        step = materialize(step, _entity=best_entity(phrase_hits(norm, entity_terms(entities))))
+        step = step.withColumns({f"_{to}": attribute(F.col("_entity"), {n: a[c] for n, a in entities.items() if a.get(c)})
+                                 for to, c in (("current", "org"), ("nation", "nationality"))})
+    step = materialize(step, _norm_title=norm_text(title), _orgs=orgs_in_order(F.col("_hits"), norm))
+    if listed:
+        def known_org(pair: Column) -> Column:
+            return F.array_contains(lit_array(org_aliases), pair)
+    else:
+        step = step.withColumn("_pair", F.lower(name_pair(title)))
+        names = org_aliases.select(F.col("alias").alias("_pair"), F.lit(True).alias("_is_org")).distinct()
+        step = step.join(names, "_pair", "left").drop("_pair")
+
+        def known_org(pair: Column) -> Column:
+            return F.coalesce("_is_org", F.lit(False))
     step = materialize(step, _direction=direction(
         norm, F.col("_norm_title"), F.try_element_at("_orgs", F.lit(1)), F.try_element_at("_orgs", F.lit(2)),
         F.col("_current"), **(wording or {})))
     fee = F.coalesce(fee_text(F.concat_ws(" ", title, summary)), F.lit(fv.UNKNOWN_FEE))
     out = materialize(
         step.drop(*[c for c in ANNOTATED if c in df.columns]),
-        entity=F.coalesce("_entity", fallback_entity(title, org_aliases)),
-        nationality=F.coalesce(attribute(F.col("_entity"), nations), F.lit(fv.DEFAULT_NATIONALITY)),
+        entity=F.coalesce("_entity", fallback_entity(title, known_org)),
+        nationality=F.coalesce("_nation", F.lit(fv.DEFAULT_NATIONALITY)),
         org_from=F.col("_direction.org_from"), org_to=F.col("_direction.org_to"),
         status=status_of(title, status_words), league=classify(norm, classes, default_class), fee_text=fee)
     out = (out
            .withColumn("sentiment", status_sentiment(F.col("status")))
            .withColumn("fee_numeric", numeric_fee(F.when(F.col("fee_text") != fv.UNKNOWN_FEE, F.col("fee_text"))))
            .withColumn("story_key", story_key(F.col("entity"), F.col("org_from"), F.col("org_to"))))
-    drop = ["_norm_title", "_entity", "_hits", "_orgs", "_current", "_direction"]
+    drop = ["_norm_title", "_entity", "_hits", "_orgs", "_current", "_nation", "_is_org", "_direction"]
     return out.drop(*drop, *([] if keep_norm else ["_norm"]))
 
 

@@ -5,14 +5,14 @@ whole phrase" is "`` term `` occurs in `` text ``".
 
 Two plans give the same rows:
 
-* ``phrase_hits`` stays inside the row.  Words of the text that start some term
-  are found with one hash intersection, and only the terms behind those words
-  are looked up.  No explode, no shuffle; meant for dictionaries that are
-  parameters (at most ``INLINE_LIMIT`` terms, checked).
+* ``phrase_hits`` takes terms that are parameters of a job and stays inside the
+  row.  Words of the text that start some term are found with one hash
+  intersection, and only the terms behind those words are looked up.
 * ``phrase_hits_join`` takes a dictionary table of any size: word n-grams of the
-  text are equi-joined to it.  Spark broadcasts the table only when it is
-  within its own size threshold; otherwise the join shuffles, and adaptive skew
-  handling splits frequent n-grams.
+  text are equi-joined to it.  The join's strategy follows the table's size, and
+  adaptive execution splits frequent n-grams.
+
+``with_hits`` adds the hits by the plan that fits what it is given.
 """
 from __future__ import annotations
 
@@ -22,9 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressweave.functions.text import lit_array, norm_words
+from pressweave.functions.text import lit_array, materialize, norm_text, norm_words
 
-INLINE_LIMIT = 5000
 MIN_ALIAS = 4
 
 
@@ -56,7 +55,7 @@ def org_terms(aliases: dict[str, str]) -> list[Term]:
     return [Term(a, aliases[a], rank) for rank, a in enumerate(ordered) if a.strip()]
 
 
-HITS = "array<struct<rank:int,term:string,canonical:string,plain:string>>"
+HITS = "array<struct<rank:bigint,term:string,canonical:string,plain:string>>"
 
 
 def phrase_hits(norm: Column, terms: list[Term]) -> Column:
@@ -64,8 +63,6 @@ def phrase_hits(norm: Column, terms: list[Term]) -> Column:
 
     ``plain`` is the normalised canonical name.
     """
-    if len(terms) > INLINE_LIMIT:
-        raise ValueError(f"{len(terms)} terms: use phrase_hits_join for dictionaries above {INLINE_LIMIT}")
     if not terms:
         return F.array().cast(HITS)
     by_word: dict[str, list[dict]] = {}
@@ -102,9 +99,24 @@ def orgs_in_order(hits: Column, norm: Column) -> Column:
 
 
 def terms_table(spark: SparkSession, terms: list[Term]) -> DataFrame:
-    """Terms as a table; broadcast only within the inline limit."""
-    df = spark.createDataFrame([(t.rank, t.term, t.canonical) for t in terms], "rank int, term string, canonical string")
-    return F.broadcast(df) if len(terms) <= INLINE_LIMIT else df
+    """Terms as a table."""
+    return spark.createDataFrame([(t.rank, t.term, t.canonical) for t in terms], "rank long, term string, canonical string")
+
+
+def with_hits(df: DataFrame, norm: str, into: str, terms: list[Term] | DataFrame, key: str | None = None) -> DataFrame:
+    """Adds the hits of ``phrase_hits``; for a table (rank, term, canonical) rows need a unique ``key``.
+
+    The hits of a text are gathered by key, so a group holds the terms of one text.
+    """
+    if not isinstance(terms, DataFrame):
+        return materialize(df, **{into: phrase_hits(F.col(norm), terms)})
+    if key is None:
+        raise ValueError("a dictionary table needs the key of the rows")
+    longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    hits = phrase_hits_join(df, key, norm, terms, longest)
+    gathered = hits.groupBy(key).agg(F.collect_list(F.struct(
+        F.col("rank").cast("long").alias("rank"), "term", "canonical", norm_text(F.col("canonical")).alias("plain"))).alias(into))
+    return df.join(gathered, key, "left").withColumn(into, F.coalesce(into, F.array().cast(HITS)))
 
 
 def phrase_hits_join(texts: DataFrame, key: str, norm: str, terms: DataFrame, max_words: int) -> DataFrame:

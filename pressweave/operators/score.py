@@ -1,6 +1,8 @@
 """Quality, source, ranking and credibility scores."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,14 +10,6 @@ from pressweave import fixed_values as fv
 from pressweave.functions.text import lit_array, strip, text_or_empty
 from pressweave.functions.values import total
 
-INLINE_LIMIT = 500
-
-
-def _check_inline(table) -> None:
-    if len(table) > INLINE_LIMIT:
-        raise ValueError(f"{len(table)} entries: an inline table holds at most {INLINE_LIMIT}")
-
-
 def quality_score(df: DataFrame, placeholders=fv.QUALITY_PLACEHOLDERS) -> Column:
     """Completeness of an annotated row; higher is better."""
     weights = {"entity": 3.0, "org_from": 2.0, "org_to": 2.0, "fee_text": 2.0}
@@ -34,23 +28,50 @@ def quality_score(df: DataFrame, placeholders=fv.QUALITY_PLACEHOLDERS) -> Column
     return total(parts)
 
 
+def literal_pairs(table: dict) -> Column:
+    """The entries of a parameter table, in order, as one literal array<struct<key,value>>; keys in lower case."""
+    rows = json.dumps([{"key": str(k).lower(), "value": str(v)} for k, v in table.items()])
+    return F.from_json(F.lit(rows), "array<struct<key:string,value:string>>")
+
+
 def source_score(source: Column, scores: dict[str, int] = fv.SOURCE_SCORES, default: int = fv.DEFAULT_SOURCE_SCORE) -> Column:
-    """Score of the first key that contains, or is contained in, the source name."""
-    _check_inline(scores)
+    """Score of the first key that contains, or is contained in, the source name.
+
+    For a parameter table; ``contained_value`` does the same with a table of any size.
+    """
     name = F.lower(text_or_empty(source))
-    chosen = F.lit(default)
-    for key, score in reversed(list(scores.items())):
-        chosen = F.when(name.contains(key.lower()) | F.contains(F.lit(key.lower()), name), score).otherwise(chosen)
-    return F.when(name == "", default).otherwise(chosen)
+    found = F.filter(literal_pairs(scores), lambda p: F.contains(name, p["key"]) | F.contains(p["key"], name))
+    return F.when(name == "", default).otherwise(F.coalesce(F.get(found, F.lit(0))["value"].cast("int"), F.lit(default)))
 
 
 def first_contained(name: Column, table: dict[str, str]) -> Column:
     """Value of the first key contained in the name, case-insensitive; '' when none is."""
-    _check_inline(table)
-    low, chosen = F.lower(text_or_empty(name)), F.lit("")
-    for key, value in reversed(list(table.items())):
-        chosen = F.when(low.contains(key.lower()), value).otherwise(chosen)
-    return F.when(low == "", "").otherwise(chosen)
+    low = F.lower(text_or_empty(name))
+    found = F.filter(literal_pairs(table), lambda p: F.contains(low, p["key"]))
+    return F.when(low == "", "").otherwise(F.coalesce(F.get(found, F.lit(0))["value"], F.lit("")))
+
+
+def substrings(c: Column) -> Column:
+    """All distinct substrings of a short text."""
+    n = F.length(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+        F.sequence(F.lit(1), n - i + 1), lambda size: F.substring(c, i, size)))))
+
+
+def contained_value(df: DataFrame, column: str, table: DataFrame, into: str, both_ways: bool = False) -> DataFrame:
+    """Adds the value of the first key (by ``ord``) of a table (key, value, ord) that the column contains; NULL when none is.
+
+    With ``both_ways`` also keys that contain the column.  Containment becomes an
+    equi-join of substrings, over distinct names only, so neither side is limited.
+    """
+    names = df.select(F.lower(text_or_empty(F.col(column))).alias("_name")).filter("_name <> ''").distinct()
+    keys = table.select(F.lower("key").alias("_key"), F.col("value").alias("_value"), F.col("ord").alias("_ord")).filter("_key <> ''")
+    hits = names.select("_name", F.explode(substrings(F.col("_name"))).alias("_key")).join(keys, "_key").select("_name", "_value", "_ord")
+    if both_ways:
+        parts = keys.select(F.explode(substrings(F.col("_key"))).alias("_name"), "_value", "_ord")
+        hits = hits.unionByName(names.join(parts, "_name").select("_name", "_value", "_ord"))
+    first = hits.groupBy("_name").agg(F.min_by("_value", "_ord").alias(into))
+    return (df.withColumn("_name", F.lower(text_or_empty(F.col(column)))).join(first, "_name", "left").drop("_name"))
 
 
 def age_hours(published: Column, as_of: Column) -> Column:

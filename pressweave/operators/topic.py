@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
 from pressweave.functions.text import contains_any, materialize, non_empty, norm_text, text_or_empty
-from pressweave.operators.match import Term, has_hit
+from pressweave.operators.match import Term, has_hit, with_hits
 
 
 @dataclass(frozen=True)
 class TopicRules:
-    entities: list[Term] = field(default_factory=list)
-    orgs: list[Term] = field(default_factory=list)
+    """Entities and organisations are terms, or tables (rank, term, canonical) of any size."""
+
+    entities: list[Term] | DataFrame = field(default_factory=list)
+    orgs: list[Term] | DataFrame = field(default_factory=list)
     blocked: list[str] = field(default_factory=lambda: fv.BLOCKED_SOURCES)
     patterns: list[str] = field(default_factory=lambda: fv.TOPIC_PATTERNS)
     raw_words: list[str] = field(default_factory=lambda: fv.TOPIC_RAW_WORDS)
@@ -33,8 +35,8 @@ def is_blocked(source: Column, title: Column, blocked=fv.BLOCKED_SOURCES) -> Col
     return name.rlike("|".join(re.escape(b) for b in blocked)) if blocked else F.lit(False)
 
 
-def flag_topic(df: DataFrame, rules: TopicRules, title="title", summary="summary", source="source") -> DataFrame:
-    """Add ``_norm`` and ``on_topic``.
+def flag_topic(df: DataFrame, rules: TopicRules, title="title", summary="summary", source="source", key: str | None = None) -> DataFrame:
+    """Add ``_norm`` and ``on_topic``; with dictionary tables ``key`` names the rows.
 
     Keep rule: not empty, not blocked, and (entity or organisation or (positive
     and not negative)).  Cheap tests come first; CASE branches are evaluated
@@ -44,22 +46,28 @@ def flag_topic(df: DataFrame, rules: TopicRules, title="title", summary="summary
     rows = df if "_norm" in df.columns else materialize(df, _norm=norm_text(raw))
     norm = F.col("_norm")
     positive = any_pattern(norm, rules.patterns) | contains_any(raw, rules.raw_words)
-    known = has_hit(norm, rules.entities + rules.orgs)
+    tables = [t for t in (rules.entities, rules.orgs) if isinstance(t, DataFrame)]
+    for i, terms in enumerate(tables):
+        rows = with_hits(rows, "_norm", f"_known{i}", terms, key)
+    listed = [t for t in (rules.entities, rules.orgs) if not isinstance(t, DataFrame)]
+    known = has_hit(norm, sum(listed, []))
+    for i in range(len(tables)):
+        known = known | (F.size(f"_known{i}") > 0)
     keep = (F.when(norm == "", False)
             .when(is_blocked(F.col(source), F.col(title), rules.blocked), False)
             .when(known, True)
             .otherwise(positive & ~any_pattern(norm, rules.off_topic)))
-    return materialize(rows, on_topic=keep)
+    return materialize(rows, on_topic=keep).drop(*[f"_known{i}" for i in range(len(tables))])
 
 
 def keep_on_topic(df: DataFrame, rules: TopicRules, title="title", summary="summary", source="source",
-                  keep_norm: bool = False) -> DataFrame:
+                  keep_norm: bool = False, key: str | None = None) -> DataFrame:
     """Rows on topic.  Blocked sources are dropped before any text is normalised.
 
     ``keep_norm`` leaves the normalised text for the annotation that follows.
     """
     open_sources = df.filter(~is_blocked(F.col(source), F.col(title), rules.blocked))
-    kept = flag_topic(open_sources, rules, title, summary, source).filter("on_topic")
+    kept = flag_topic(open_sources, rules, title, summary, source, key).filter("on_topic")
     return kept.drop("on_topic", *([] if keep_norm else ["_norm"]))
 
 

@@ -28,8 +28,8 @@ def annotate_job(items: DataFrame, order: str, rules: TopicRules, entities: dict
                  cache: DataFrame, badges: dict[str, str], pages: DataFrame | None = None,
                  external: DataFrame | None = None, scores: dict[str, int] = fv.SOURCE_SCORES, **lexicon) -> DataFrame:
     """Landed items -> topic filter -> annotation -> image -> story merge -> source score."""
-    rows = keep_on_topic(items, rules, keep_norm=True)
-    rows = annotate(rows, entities, org_aliases, **lexicon).withColumn("credibility", F.lit(LOCAL_CREDIBILITY))
+    rows = keep_on_topic(items, rules, keep_norm=True, key=order)
+    rows = annotate(rows, entities, org_aliases, key=order, **lexicon).withColumn("credibility", F.lit(LOCAL_CREDIBILITY))
     if external is not None:
         rows = merge_annotations(rows, external, order)
     rows = resolve_images(rows, cache, badges, pages)

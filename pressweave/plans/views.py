@@ -8,30 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressweave.functions.text import shorten
-
-
-SPLIT_BYTES = 128 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that is too small to give every core a file split.
-
-    A table of normal size is read as it is: its splits already feed the cores,
-    and no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
-
-
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title (first line), summary (whole text), language, source, n_chars."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("summary"),
         F.col("lang").alias("language"), "source", "n_chars")
 
@@ -52,9 +36,9 @@ def published() -> F.Column:
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing columns that need no join: short title and summary, dates, category."""
+    """Listing columns that need no join: title and summary, dates, category."""
     return docs(spark, sf_dir).select(
-        "doc_id", shorten(F.col("title"), 120).alias("title"), shorten(F.col("summary"), 400).alias("summary"),
+        "doc_id", "title", "summary",
         "language", "source", F.col("language").alias("category"), published().alias("published_at"))
 
 
@@ -64,4 +48,4 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id")
+    return table(spark, sf_dir, "pages")

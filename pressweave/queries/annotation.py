@@ -60,6 +60,27 @@ def entity_match_join(spark, sf):
     return hits.groupBy("doc_id").agg(F.min_by("canonical", "rank").alias("entity"))
 
 
+@query("dictionary_match", f"""WITH {NORMED}, terms AS (SELECT DISTINCT term FROM (SELECT unnest(string_split(norm_title, ' ')) AS term FROM normed) WHERE length(term) >= 4),
+hits AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(norm, ' ')) AS w FROM normed) JOIN terms ON w = term)
+SELECT doc_id, count(*) AS terms, first(w ORDER BY length(w) DESC, w) AS longest FROM hits GROUP BY doc_id""")
+def dictionary_match(spark, sf):
+    """A dictionary that grows with the corpus: every word of a title."""
+    rows = materialize(combined(spark, sf), norm_title=norm_text(F.col("title")))
+    words = rows.select(F.explode(F.split("norm_title", " ")).alias("term")).filter(F.length("term") >= 4).distinct()
+    hits = m.phrase_hits_join(rows, "doc_id", "norm", words.select(F.lit(0).cast("long").alias("rank"), "term", F.col("term").alias("canonical")), 1)
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.min_by("term", F.struct(-F.length("term"), "term")).alias("longest"))
+
+
+@query("source_scores_by_table", f"""WITH {s.DOCS}, k AS (SELECT 'SRC' || n_nationkey AS key, n_nationkey % 7 AS value, n_nationkey AS ord FROM nation),
+h AS (SELECT source, arg_min(value, ord) AS score FROM (SELECT DISTINCT source FROM docs) JOIN k ON contains(source, lower(key)) OR contains(lower(key), source) GROUP BY 1)
+SELECT doc_id, docs.source, coalesce(h.score, 3)::INTEGER AS score FROM docs LEFT JOIN h ON h.source = docs.source""")
+def source_scores_by_table(spark, sf):
+    n = F.col("n_nationkey")
+    keys = table(spark, sf, "nation").select(F.concat(F.lit("SRC"), n.cast("string")).alias("key"), (n % 7).cast("int").alias("value"), n.alias("ord"))
+    rows = sc.contained_value(docs(spark, sf).select("doc_id", "source"), "source", keys, "score", both_ways=True)
+    return rows.withColumn("score", F.coalesce("score", F.lit(3)))
+
+
 @query("org_match", f"WITH {NORMED}, {ORG_SQL} SELECT doc_id, n, canonical AS org, position FROM orgs")
 def org_match(spark, sf):
     d = materialize(combined(spark, sf), hits=m.phrase_hits(F.col("norm"), ORG_TERMS))
@@ -310,3 +331,11 @@ def token_overlap(spark, sf):
     return out.withColumn("overlap", F.col("overlap").cast("bigint"))
 
 
+@query("annotate_by_tables", f"""WITH {ANNOTATED_SQL} SELECT doc_id, entity, nationality, org_from, org_to FROM scored""")
+def annotate_by_tables(spark, sf):
+    """The annotation with dictionaries that are tables."""
+    people = spark.createDataFrame([(i, n, a["org"], a["nationality"], a["aliases"]) for i, (n, a) in enumerate(p.ENTITIES.items())],
+                                   "ord int, name string, org string, nationality string, aliases array<string>")
+    orgs = spark.createDataFrame([(i, a, c) for i, (a, c) in enumerate(p.ORGS.items())], "ord int, alias string, canonical string")
+    rows = an.annotate(docs(spark, sf), people, orgs, p.CLASSES, p.DEFAULT_CLASS, p.STATUS, p.WORDING, key="doc_id")
+    return rows.select("doc_id", "entity", "nationality", "org_from", "org_to")

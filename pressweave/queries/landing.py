@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pressweave import fixed_values as fv
 from pressweave.operators import catalog as ct
 from pressweave.operators.joins import resolve_images
-from pressweave.plans.views import docs, pages, spread, table
+from pressweave.plans.views import docs, pages, table
 from pressweave.queries import params as p
 from pressweave.queries import sql as s
 from pressweave.queries.annotation import ANNOTATED_SQL, MERGE_IMAGE, RULES, annotated
@@ -71,7 +71,7 @@ def landed_feeds(spark, sf) -> DataFrame:
         return F.concat(F.lit("<item><title>"), esc(F.substring(line, 1, 80)), F.lit("</title><link>"), link, F.lit("</link>"), description, date, picture, F.lit("</item>"))
 
     lines = F.transform(F.split("text", "\n"), item)
-    return spread(table(spark, sf, "documents"), "doc_id").select(
+    return table(spark, sf, "documents").select(
         "doc_id", "source", F.concat(F.lit("<rss><channel><title>f</title>"), F.array_join(lines, ""), F.lit("</channel></rss>")).alias("xml"))
 
 
@@ -159,10 +159,10 @@ def catalog_coaches(spark, sf):
 
 # image cache by person and organisation; page images by url
 IMAGE_ROWS = f"""{ANNOTATED_SQL}, img AS (SELECT doc_id, entity, org_from, org_to, CASE WHEN doc_id % 5 = 0 THEN {MERGE_IMAGE} WHEN doc_id % 5 = 1 THEN 'https://x.example.org/pixel.gif' ELSE '' END AS own,
- 'https://n.example.org/' || (doc_id % 50) AS url FROM scored),
+ 'https://n.example.org/' || doc_id AS url FROM scored),
 cache AS (SELECT key, 'https://c.example.org/' || substr(md5(key), 1, 8) || '.png' AS value FROM (SELECT DISTINCT lower(o_key) AS key FROM (
  SELECT 'player:' || entity AS o_key FROM scored WHERE length(entity) % 2 = 0 UNION ALL SELECT 'badge:' || org_to FROM scored WHERE length(org_to) = 6))),
-pageimg AS (SELECT 'https://n.example.org/' || page_id AS url, 'https://p.example.org/' || page_id || '.jpg' AS image FROM pages WHERE page_id % 2 = 0 AND page_id < 50),
+pageimg AS (SELECT 'https://n.example.org/' || page_id AS url, 'https://p.example.org/' || page_id || '.jpg' AS image FROM pages WHERE page_id % 2 = 0),
 keyed AS (SELECT *, CASE WHEN starts_with(own, 'http') AND NOT {s.contains_any('lower(own)', fv.BAD_IMAGE_MARKERS)} THEN own END AS good,
  CASE WHEN entity NOT IN {s.lst(fv.IMAGE_ENTITY_PLACEHOLDERS)} AND length(entity) >= 3 THEN 'player:' || lower(entity) END AS k1,
  'badge:' || lower(org_to) AS k2, 'badge:' || lower(org_from) AS k3 FROM img)"""
@@ -183,14 +183,16 @@ def image_inputs(spark, sf):
     rows = tb.settle(annotated(spark, sf).select("doc_id", "entity", "org_from", "org_to", "title", "source"), "annotated").select(
         "*",
         F.when(d % 5 == 0, F.expr(MERGE_IMAGE)).when(d % 5 == 1, "https://x.example.org/pixel.gif").otherwise("").alias("image_url"),
-        F.concat(F.lit("https://n.example.org/"), (d % 50).cast("string")).alias("url"))
+        F.concat(F.lit("https://n.example.org/"), d.cast("string")).alias("url"))
     keys = rows.select(F.explode(F.array(
         F.when(F.length("entity") % 2 == 0, F.concat(F.lit("player:"), F.lower("entity"))),
         F.when(F.length("org_to") == 6, F.concat(F.lit("badge:"), F.lower("org_to"))))).alias("key")).filter(F.col("key").isNotNull()).distinct()
     cache = keys.select("key", F.concat(F.lit("https://c.example.org/"), F.substring(F.md5("key"), 1, 8), F.lit(".png")).alias("value"))
-    page_images = table(spark, sf, "pages").filter("page_id % 2 = 0 AND page_id < 50").select(
-        F.concat(F.lit("https://n.example.org/"), F.col("page_id").cast("string")).alias("url"),
-        F.concat(F.lit("https://p.example.org/"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("image_url"))
+    # every other page is given a preview image in its head
+    i = F.col("page_id")
+    head = F.when(i % 2 == 0, F.concat(F.lit('<meta property="og:image" content="https://p.example.org/'), i.cast("string"), F.lit('.jpg">'))).otherwise("")
+    page_images = table(spark, sf, "pages").select(
+        F.concat(F.lit("https://n.example.org/"), i.cast("string")).alias("url"), pg.page_image(F.concat(head, F.col("html"))).alias("image_url"))
     return rows, cache, page_images
 
 

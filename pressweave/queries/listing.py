@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
-from pressweave.functions.text import shorten, tokenize
+from pressweave.functions.text import tokenize
 from pressweave.functions.values import external_key, title_key
 from pressweave.operators import query as qy
 from pressweave.operators import report as rp
@@ -31,7 +31,7 @@ def query(name, sql):
     return register
 
 
-ARTS = f"""{s.DOCS}, arts AS (SELECT doc_id, {s.shorten('title', 120)} AS title, {s.shorten('summary', 400)} AS summary, language, source,
+ARTS = f"""{s.DOCS}, arts AS (SELECT doc_id, title, summary, language, source,
  language AS category, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS TIMESTAMP) AS published_at, {s.CRED} AS credibility FROM docs d)"""
 
 
@@ -210,7 +210,7 @@ def report_raw(spark, sf) -> DataFrame:
         "doc_id", "title", "source", F.when(d % 13 == 0, "null").otherwise(F.col("language")).alias("categorie"),
         F.when(d % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(d % 4 == 1, F.date_format(day, "d/M/yyyy"))
         .when(d % 4 == 2, F.date_format(day, "yyyy/M/d")).otherwise("soon").alias("date"),
-        F.when(d % 6 == 0, F.col("title")).otherwise(shorten(F.col("summary"), 500)).alias("resume"),
+        F.when(d % 6 == 0, F.col("title")).otherwise(F.col("summary")).alias("resume"),
         F.concat(F.lit("https://news.example.org/"), (d % 40).cast("string")).alias("url"),
         F.when(d % 3 == 0, F.concat(F.lit("images/"), F.col("source"), F.lit(".png"))).alias("image"))
     rows = with_credibility(rows, spark, sf)
@@ -219,7 +219,7 @@ def report_raw(spark, sf) -> DataFrame:
 
 REPORT = f"""{s.DOCS}, raw AS (SELECT doc_id, title, source, CASE WHEN doc_id % 13 = 0 THEN 'null' ELSE language END AS categorie,
  CASE doc_id % 4 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN strftime(day, '%-d/%-m/%Y') WHEN 2 THEN strftime(day, '%Y/%-m/%-d') ELSE 'soon' END AS date,
- CASE WHEN doc_id % 4 < 3 THEN day END AS sort_date, CASE WHEN doc_id % 6 = 0 THEN title ELSE {s.shorten('summary', 500)} END AS resume,
+ CASE WHEN doc_id % 4 < 3 THEN day END AS sort_date, CASE WHEN doc_id % 6 = 0 THEN title ELSE summary END AS resume,
  'https://news.example.org/' || CAST(doc_id % 40 AS VARCHAR) AS url, CASE WHEN doc_id % 3 = 0 THEN '/images/' || source || '.png' ELSE '' END AS image,
  CASE WHEN doc_id % 10 = 0 THEN 'n/a' ELSE CAST({s.CRED} AS VARCHAR) END AS credibility
  FROM (SELECT *, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS day FROM docs) d),

@@ -1,34 +1,32 @@
-"""Dictionaries kept as tables: persons, organisations, badges, watch-lists.
+"""Dictionaries kept as tables of any size: persons and organisations as rows of matching terms.
 
-A dictionary that is used inline is a parameter of a job, so its size is
-checked when it is read; larger ones stay DataFrames and are joined.
+They stay tables: matching, attributes and badges are joins.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressweave.operators.match import INLINE_LIMIT
+from pressweave.functions.text import norm_text
+from pressweave.operators.match import MIN_ALIAS
 
 
-def _bounded(df: DataFrame, limit: int):
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"dictionary has more than {limit} rows; join it as a table instead")
-    return rows
+def longest_first(name: Column, order: Column) -> Column:
+    """A rank by which longer names come first, and of equal lengths the one with the smaller order."""
+    return (F.lit(1 << 20) - F.length(name)).cast("long") * F.lit(1 << 40) + order.cast("long")
 
 
-def entities_from(df: DataFrame, limit: int = INLINE_LIMIT) -> dict:
-    """``name, org, nationality, aliases`` (array) in ``ord`` order."""
-    return {r["name"]: {"org": r["org"], "nationality": r["nationality"], "aliases": list(r["aliases"] or [])}
-            for r in sorted(_bounded(df, limit), key=lambda r: r["ord"])}
+def entity_term_rows(entities: DataFrame) -> DataFrame:
+    """(name, aliases, ord) as (rank, term, canonical): normalised spellings, ranked by the name they stand for."""
+    spelled = entities.select(longest_first(F.col("name"), F.col("ord")).alias("rank"), F.col("name").alias("canonical"),
+                              norm_text(F.col("name")).alias("own"),
+                              F.explode_outer(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.lit(""))).alias("alias"))
+    alias = norm_text(F.col("alias"))
+    terms = spelled.select("rank", F.when(F.col("alias") == "", F.col("own")).when(F.length(alias) >= MIN_ALIAS, alias).alias("term"), "canonical")
+    return terms.filter("term <> ''").distinct()
 
 
-def aliases_from(df: DataFrame, limit: int = INLINE_LIMIT) -> dict[str, str]:
-    """``alias, canonical`` in ``ord`` order."""
-    return {r["alias"]: r["canonical"] for r in sorted(_bounded(df, limit), key=lambda r: r["ord"])}
-
-
-def term_rows(df: DataFrame) -> DataFrame:
-    """A table (alias, canonical) of any size as (rank, term, canonical): longer aliases rank first."""
-    return df.select((-F.length("alias")).alias("rank"), F.col("alias").alias("term"), "canonical")
+def org_term_rows(aliases: DataFrame) -> DataFrame:
+    """(alias, canonical, ord) as (rank, term, canonical): aliases as written, longest first."""
+    return aliases.filter(F.trim("alias") != "").select(
+        longest_first(F.col("alias"), F.col("ord")).alias("rank"), F.col("alias").alias("term"), "canonical")

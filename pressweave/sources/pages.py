@@ -116,7 +116,7 @@ def page_metadata(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def page_image(html: Column) -> Column:
     """Usable preview image: og:image, then twitter:image; '' otherwise."""
-    usable = F.filter(F.transform(metas(html, OG_IMAGE, TWITTER_IMAGE), clean_image_url), lambda u: u != "")
+    usable = F.filter(F.transform(metas(html, OG_IMAGE, TWITTER_IMAGE), lambda u: clean_image_url(u)), lambda u: u != "")
     return F.coalesce(F.try_element_at(usable, F.lit(1)), F.lit(""))
 
 

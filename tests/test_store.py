@@ -115,11 +115,12 @@ def test_schema_change_union_and_cache(spark, tmp_path):
     assert {tuple(r) for r in grown.collect()} == {("player:a", "u"), ("badge:b", "v"), ("player:c", "w")}
 
 
-def test_dictionaries_are_bounded(spark):
-    df = spark.createDataFrame([(2, "b", "B"), (1, "a", "A")], "ord int, alias string, canonical string")
-    assert list(dc.aliases_from(df)) == ["a", "b"]
-    with pytest.raises(ValueError):
-        dc.aliases_from(df, limit=1)
+def test_dictionary_rows(spark):
+    orgs = spark.createDataFrame([(2, "bb", "B"), (1, "aa", "A"), (3, "long", "L"), (4, " ", "x")], "ord int, alias string, canonical string")
+    assert [r["term"] for r in dc.org_term_rows(orgs).orderBy("rank").collect()] == ["long", "aa", "bb"]
+    people = spark.createDataFrame([(1, "Élan Vital", ["elan", "ela"]), (2, "Bo", None)], "ord int, name string, aliases array<string>")
+    assert [(r["term"], r["canonical"]) for r in dc.entity_term_rows(people).orderBy("rank", "term").collect()] == [
+        ("elan", "Élan Vital"), ("elan vital", "Élan Vital"), ("bo", "Bo")]
 
 
 def listing(spark):
