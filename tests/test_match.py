@@ -44,9 +44,14 @@ def test_orgs_are_placed_at_their_longest_alias(values):
     assert values(names, ["red x blue x red team", "al-x", "green"]) == [["Blues", "Reds"], [], ["Greens"]]
 
 
-def test_large_dictionaries_are_refused_inline():
+def test_large_dictionaries_match_inline_and_as_tables(spark):
+    terms = [m.Term(f"w{i}", f"c{i}", i) for i in range(6000)]
+    df = spark.createDataFrame([(1, "x w5999 w17 y"), (2, "none"), (3, "")], "id int, norm string")
+    for given in (terms, m.terms_table(spark, terms)):
+        rows = m.with_hits(df, "norm", "hits", given, "id").collect()
+        assert {r["id"]: sorted(h["canonical"] for h in r["hits"]) for r in rows} == {1: ["c17", "c5999"], 2: [], 3: []}
     with pytest.raises(ValueError):
-        m.phrase_hits(F.lit("x"), [m.Term(str(i), "c", i) for i in range(m.INLINE_LIMIT + 1)])
+        m.with_hits(df, "norm", "hits", m.terms_table(spark, terms))
 
 
 @pytest.mark.parametrize("title,current,want", [
