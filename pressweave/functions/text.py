@@ -46,6 +46,12 @@ def bind(c: Column, fn) -> Column:
     return F.get(F.transform(F.array(c), fn), F.lit(0))
 
 
+def unquoted(c: Column) -> Column:
+    """Percent-encoded bytes decoded; a lone % and a + stay as they are."""
+    safe = F.replace(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.when(c.contains("%"), F.coalesce(F.try_url_decode(safe), c)).otherwise(c)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
 from pressweave.functions.text import (contains_any, lit_array, lit_map, materialize, non_empty, norm_text,
-                                       text_or_empty)
+                                       text_or_empty, unquoted)
 from pressweave.functions.values import fee_text, numeric_fee, story_key
 from pressweave.operators.match import best_entity, entity_terms, org_terms, orgs_in_order, phrase_hits, with_hits
 from pressweave.sources.dictionaries import entity_term_rows, org_term_rows
@@ -20,6 +20,11 @@ def classify(norm: Column, classes: dict[str, list[str]] = fv.CLASS_KEYWORDS, de
     return F.coalesce(chosen, F.lit(default))
 
 
+def classify_text(raw: Column, classes: dict[str, list[str]] = fv.CLASS_KEYWORDS, default: str = fv.DEFAULT_LEAGUE) -> Column:
+    """``classify`` of a text as it came, in which characters may be percent-encoded."""
+    return classify(norm_text(unquoted(raw)), classes, default)
+
+
 def lexicon_sentiment(text: Column, up=fv.SENTIMENT_UP_WORDS, down=fv.SENTIMENT_DOWN_WORDS) -> Column:
     low = F.lower(text)
     return (F.when(contains_any(low, up), fv.SENTIMENT_UP)
@@ -142,13 +147,14 @@ def annotate(df: DataFrame, entities: dict | DataFrame, org_aliases: dict[str, s
     step = materialize(step, _direction=direction(
         norm, F.col("_norm_title"), F.try_element_at("_orgs", F.lit(1)), F.try_element_at("_orgs", F.lit(2)),
         F.col("_current"), **(wording or {})))
-    fee = F.coalesce(fee_text(F.concat_ws(" ", title, summary)), F.lit(fv.UNKNOWN_FEE))
+    said = F.concat_ws(" ", title, summary)
+    fee = F.coalesce(fee_text(said), F.lit(fv.UNKNOWN_FEE))
     out = materialize(
         step.drop(*[c for c in ANNOTATED if c in df.columns]),
         entity=F.coalesce("_entity", fallback_entity(title, known_org)),
         nationality=F.coalesce("_nation", F.lit(fv.DEFAULT_NATIONALITY)),
         org_from=F.col("_direction.org_from"), org_to=F.col("_direction.org_to"),
-        status=status_of(title, status_words), league=classify(norm, classes, default_class), fee_text=fee)
+        status=status_of(title, status_words), league=F.when(said.contains("%"), classify_text(said, classes, default_class)).otherwise(classify(norm, classes, default_class)), fee_text=fee)
     out = (out
            .withColumn("sentiment", status_sentiment(F.col("status")))
            .withColumn("fee_numeric", numeric_fee(F.when(F.col("fee_text") != fv.UNKNOWN_FEE, F.col("fee_text"))))
@@ -188,6 +194,11 @@ def bullet_summary(entity: Column, org_from: Column, org_to: Column, fee: Column
 ANNOTATION_FIELDS = ["entity", "org_from", "org_to", "fee_text", "league", "status", "nationality"]
 
 
+def skip_off_topic(rows: DataFrame, external: DataFrame, key: str) -> DataFrame:
+    """Rows that the external annotation does not call off topic; before the local annotation, so nothing is spent on them."""
+    return rows.join(external.filter(~F.col("is_topic")).select(key), key, "left_anti")
+
+
 def merge_annotations(local: DataFrame, external: DataFrame, key: str) -> DataFrame:
     """Prefer an externally computed annotation, with per-field defaults; else the local one.
 

@@ -13,8 +13,9 @@ from pressweave.operators.annotate import attribute
 
 
 def article_filter(category=None, league=None, org=None, status=None, source=None, search=None) -> Column:
-    """Conjunction of the given filters.  Search values are LIKE patterns, % and _ included."""
+    """Conjunction of the given filters.  Search values are LIKE patterns, % and _ included; a backslash is itself."""
     def like(value, *columns):
+        value = value.replace("\\", "\\\\")
         return reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{value}%") for c in columns])
 
     tests = []
@@ -41,6 +42,11 @@ def page_of(df: DataFrame, page: int, page_size: int, key: str) -> DataFrame:
             .offset((page - 1) * page_size).limit(page_size))
 
 
+def find_by(df: DataFrame, column: str, value) -> DataFrame:
+    """The rows of one key: a filter that reaches the scan of a stored table."""
+    return df.filter(F.col(column) == value)
+
+
 def with_source(articles: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
     """Join to the source dimension on ``source_id``; Spark picks the strategy from the sizes."""
     return articles.join(sources, "source_id", how)
@@ -95,12 +101,12 @@ def org_list(df: DataFrame) -> DataFrame:
     return distinct_values(both, "org").orderBy("org")
 
 
-def served(df: DataFrame, nationalities: dict[str, str]) -> DataFrame:
-    """The row as it is served: defaults, recomputed fee, nationality lookup."""
+def served(df: DataFrame, nationalities: dict[str, str], key: str = "id") -> DataFrame:
+    """The row as it is served, named by its key: defaults, recomputed fee, nationality lookup."""
     fee = F.coalesce(F.col("fee_numeric"), F.lit(0.0))
     fee_string = text_or_empty(F.col("fee_text"))
     return df.select(
-        "doc_id", "title",
+        key, "title",
         F.coalesce(F.col("source"), F.lit(fv.UNKNOWN_SOURCE)).alias("source"),
         F.coalesce(non_empty(F.col("category")), F.lit(fv.DEFAULT_SERVED_CATEGORY)).alias("category"),
         F.coalesce(non_empty(F.col("sentiment")), F.lit(fv.DEFAULT_SENTIMENT)).alias("sentiment"),

@@ -9,7 +9,7 @@ from pressweave.functions.text import materialize, non_empty, polish_text, short
 from pressweave.functions.urls import is_http, normalize_image_url
 from pressweave.functions.values import external_key, parse_date, parse_float
 from pressweave.operators.annotate import (annotate, bullet_summary, classify, fill_placeholders, headline,
-                                           lexicon_sentiment, merge_annotations)
+                                           lexicon_sentiment, merge_annotations, skip_off_topic)
 from pressweave.operators.dedup import first_per_group
 from pressweave.operators.joins import resolve_images
 from pressweave.operators.merge import merge_stories
@@ -28,6 +28,8 @@ def annotate_job(items: DataFrame, order: str, rules: TopicRules, entities: dict
                  cache: DataFrame, badges: dict[str, str], pages: DataFrame | None = None,
                  external: DataFrame | None = None, scores: dict[str, int] = fv.SOURCE_SCORES, **lexicon) -> DataFrame:
     """Landed items -> topic filter -> annotation -> image -> story merge -> source score."""
+    if external is not None:
+        items = skip_off_topic(items, external, order)
     rows = keep_on_topic(items, rules, keep_norm=True, key=order)
     rows = annotate(rows, entities, org_aliases, key=order, **lexicon).withColumn("credibility", F.lit(LOCAL_CREDIBILITY))
     if external is not None:

@@ -128,6 +128,15 @@ def classify(spark, sf):
     return combined(spark, sf).select("doc_id", an.classify(F.col("norm"), p.CLASSES, p.DEFAULT_CLASS).alias("class"))
 
 
+@query("classify_encoded", f"WITH {NORMED} SELECT doc_id, {s.classify('norm', p.CLASSES, p.DEFAULT_CLASS)} AS class FROM normed")
+def classify_encoded(spark, sf):
+    """The class does not change if characters of the text are percent-encoded."""
+    raw = F.concat_ws(" ", "title", "summary")
+    for plain, coded in (("%", "%25"), ("ó", "%C3%B3"), ("é", "%c3%a9"), ("q", "%71"), (" d", "%20d")):
+        raw = F.replace(raw, F.lit(plain), F.lit(coded))
+    return docs(spark, sf).select("doc_id", an.classify_text(raw, p.CLASSES, p.DEFAULT_CLASS).alias("class"))
+
+
 @query("sentiment", f"""WITH {s.DOCS}, t AS (SELECT doc_id, lower(title || ' ' || summary) AS t FROM docs)
 SELECT doc_id, CASE WHEN {s.contains_any('t', p.UP_WORDS)} THEN 'Bullish' WHEN {s.contains_any('t', p.DOWN_WORDS)} THEN 'Bearish'
  ELSE 'Neutre' END AS sentiment FROM t""")
@@ -244,8 +253,8 @@ def annotation_merge(spark, sf):
 @query("skip_filter", f"""WITH {s.DOCS} SELECT doc_id, title FROM docs WHERE doc_id NOT IN
  (SELECT doc_id FROM labels WHERE NOT (quality = 1 OR toxic = 0))""")
 def skip_filter(spark, sf):
-    off = table(spark, sf, "labels").filter(~((F.col("quality") == 1) | (F.col("toxic") == 0))).select("doc_id")
-    return docs(spark, sf).select("doc_id", "title").join(off, "doc_id", "left_anti")
+    ext = table(spark, sf, "labels").select("doc_id", ((F.col("quality") == 1) | (F.col("toxic") == 0)).alias("is_topic"))
+    return an.skip_off_topic(docs(spark, sf).select("doc_id", "title"), ext, "doc_id")
 
 
 # rows ready for quality and merge: annotation, image, fee and credibility that vary with the document

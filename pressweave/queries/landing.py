@@ -130,6 +130,33 @@ def page_metadata(spark, sf):
     return pg.page_metadata(pages(spark, sf))
 
 
+def with_head(html, page_id):
+    """A page whose head names a preview image, and a description on every third page."""
+    i = page_id.cast("string")
+    image = F.when(page_id % 2 == 0, F.concat(F.lit('<meta property="og:image" content="https://p.example.org/'), i, F.lit('.jpg">')))
+    text = F.when(page_id % 3 == 0, F.concat(F.lit('<meta name="description" content="Page '), i, F.lit(' &amp; more">')))
+    return F.concat_ws("", image, text, html)
+
+
+@query("feed_page_images", """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'https://i.example.org/own.jpg' WHEN page_id % 2 = 0
+ THEN 'https://p.example.org/' || page_id || '.jpg' ELSE '' END AS image_url FROM pages""")
+def feed_page_images(spark, sf):
+    """Items without a picture take that of their landed page."""
+    i = F.col("page_id")
+    landed = pages(spark, sf).select("page_id", F.concat(F.lit("https://n.example.org/"), i.cast("string")).alias("url"), with_head(F.col("html"), i).alias("html"))
+    items = landed.select("page_id", "url", F.when(i % 5 == 0, "https://i.example.org/own.jpg").otherwise("").alias("image_url"))
+    return fd.fill_from_pages(items, landed.select("url", "html")).select("page_id", "image_url")
+
+
+@query("page_descriptions", """SELECT page_id, 'Page ' || page_id || ' & more' AS summary, CASE WHEN page_id % 2 = 0 THEN 'https://p.example.org/' || page_id || '.jpg' ELSE '' END AS image_url
+FROM pages WHERE page_id % 3 = 0""")
+def page_descriptions(spark, sf):
+    """Pages that state a description and an image themselves."""
+    i = F.col("page_id")
+    described = pg.page_metadata(pages(spark, sf).withColumn("html", with_head(F.col("html"), i))).filter(i % 3 == 0)
+    return described.select("page_id", "summary", "image_url")
+
+
 @query("catalog_expand", f"""WITH n AS (SELECT c_mktsegment AS cat, c_custkey, c_name, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 5 AS chunk FROM customer),
 g AS (SELECT cat, chunk, '(' || string_agg('"' || c_name || '"', ' OR ' ORDER BY c_custkey) || ')' AS names, arg_min(split_part(c_name, '#', 2), c_custkey) AS short FROM n GROUP BY 1, 2),
 cfg AS (SELECT * FROM {s.values([('BUILDING', 'en'), ('BUILDING', 'ar'), ('MACHINERY', 'de')], 'cat, language', 'v')}),

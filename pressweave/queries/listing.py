@@ -139,8 +139,9 @@ SELECT * FROM k WHERE external_key = (SELECT external_key FROM k WHERE doc_id =
 def point_lookup(spark, sf):
     d = docs(spark, sf)
     keyed = d.select("doc_id", "title", external_key(F.col("source"), F.col("title"), F.lit(""), F.lit("")).alias("external_key"))
-    wanted = keyed.select(F.min_by("external_key", "doc_id").alias("external_key"))
-    return keyed.join(wanted, "external_key", "left_semi").orderBy("doc_id").limit(1).select("doc_id", "title", "external_key")
+    smallest = d.agg(F.min("doc_id")).first()[0]
+    wanted = qy.find_by(keyed, "doc_id", smallest).first()["external_key"]
+    return qy.find_by(keyed, "external_key", wanted).orderBy("doc_id").limit(1)
 
 
 @query("distinct_lists", f"""WITH {LISTED} SELECT DISTINCT 'league' AS list, league AS value FROM listed WHERE league <> '' UNION ALL
@@ -163,7 +164,7 @@ def org_list(spark, sf):
  {s.values(list(p.NATIONS.items()), 'name, nationality', 'n')} ON n.name = d.entity""")
 def serve_projection(spark, sf):
     rows = with_credibility(listed(spark, sf).drop("nationality", "summary").withColumn("sentiment", F.lit("")), spark, sf)
-    return qy.served(rows, p.NATIONS)
+    return qy.served(rows, p.NATIONS, "doc_id")
 
 
 @query("needs_enrichment", f"""WITH {s.DOCS}, v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN 'nan' ELSE title END AS summary,
