@@ -8,6 +8,7 @@ from pressweave import fixed_values as fv
 from pressweave.functions.text import materialize, non_empty, strip, text_or_empty, tokenize
 from pressweave.functions.urls import clean_image_url, is_article_like_url, is_wiki_image
 from pressweave.operators.score import first_contained
+from pressweave.sources.tables import settle
 
 
 def needs_summary(summary: Column) -> Column:
@@ -87,7 +88,8 @@ def token_overlap_join(titles: DataFrame, title_key: str, title: str,
     """
     t = titles.select(F.col(title_key), tokenize(F.col(title), stop_words).alias("_tokens"))
     t = materialize(t, (title_key, "_tokens"), _need=needed_overlap(F.size("_tokens"))).filter(F.size("_tokens") > 0)
-    postings = candidates.select(F.col(candidate_key), F.explode(tokenize(F.col(candidate), stop_words)).alias("_token"))
+    # read three times below, so the candidates are scanned and cut into tokens once
+    postings = settle(candidates.select(F.col(candidate_key), F.explode(tokenize(F.col(candidate), stop_words)).alias("_token")), "postings")
 
     frequency = postings.groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
     known = (t.select(title_key, "_need", F.explode("_tokens").alias("_token")).join(frequency, "_token")
