@@ -27,7 +27,7 @@ from pressweave.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 GROWTH = 1.4
-SKETCH_BITS = 1024
+SKETCH_BITS = 256
 DOCS_PER_BUCKET = 2000
 KEYS_PER_BATCH = 2_000_000
 U = np.uint64
@@ -89,9 +89,17 @@ def set_name(found: np.ndarray) -> int:
     return int(mixed(np.array([mixed(found ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + U(len(found))], np.uint64))[0].astype(np.int64))
 
 
-def bit_sketch(found: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+def bit_sketch(found: np.ndarray, least: int = SKETCH_BITS) -> np.ndarray:
+    """One bit per n-gram, in as many bits as the next power of two; the halves of a longer sketch XOR to the shorter one."""
+    bits = max(least, 1 << (len(found) - 1).bit_length())
     at = (mixed(found + U(0x1234567)) % U(bits)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view("<i8")
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
+def folded(sketch: np.ndarray, length: int) -> np.ndarray:
+    while len(sketch) > length:
+        sketch = sketch[:len(sketch) // 2] ^ sketch[len(sketch) // 2:]
+    return sketch
 
 
 class Bands:
@@ -99,8 +107,8 @@ class Bands:
 
     def __init__(self, percent: int = PERCENT, growth: float = GROWTH):
         self.t, self.growth = percent / 100, growth
-        if growth * self.t < 1:
-            raise ValueError("bands must grow by more than 1 / similarity")
+        if percent <= 50 or growth * self.t < 1:
+            raise ValueError("links need more than half of the n-grams, and bands must grow by more than 1 / similarity")
         self.plans: dict[int, tuple[int, int]] = {}
 
     def plan(self, band: int) -> tuple[int, int]:
@@ -215,14 +223,21 @@ def most_difference(a, b, percent: int = PERCENT):
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and bit sketches do not rule out a link; ``sets`` has set_id, n, sketch."""
+    """Rows with a pair (a, b) whose sizes and bit sketches do not rule out a link; ``sets`` has set_id, n, sketch."""
     left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s"))
     right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t"))
     sized = (pairs.join(left, "a").join(right, "b")
              .filter(F.least("_n", "_m") * 100 >= F.greatest("_n", "_m") * percent))
-    apart = F.zip_with("_s", "_t", lambda s, t: F.bit_count(s.bitwiseXOR(t)))
+    halves = {c: (F.size(c) / 2).cast("int") for c in ("_s", "_t")}
+
+    def short(c: str, other: str):
+        """Sizes that may link are within a factor of two, so one fold is enough."""
+        return F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, F.lit(1), halves[c]), F.slice(c, halves[c] + 1, halves[c]),
+                                                            lambda s, t: s.bitwiseXOR(t))).otherwise(F.col(c))
+
+    apart = F.zip_with(short("_s", "_t"), short("_t", "_s"), lambda s, t: F.bit_count(s.bitwiseXOR(t)))
     distance = F.aggregate(apart, F.lit(0), lambda total, n: total + n)
-    return sized.filter(distance * (100 + percent) <= (100 - percent) * (F.col("_n") + F.col("_m"))).select("a", "b")
+    return sized.filter(distance * (100 + percent) <= (100 - percent) * (F.col("_n") + F.col("_m"))).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +266,8 @@ def open_pairs(classes: DataFrame, percent: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("set_id", ignore_index=True)
         names, labels, n = rows["set_id"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy()
-        bits = np.stack(rows["sketch"]).view(np.uint64)
+        shortest = min(map(len, rows["sketch"]))
+        bits = np.stack([folded(x, shortest) for x in rows["sketch"]]).view(np.uint64)
         found = []
         for start in range(1, len(rows), 256):
             part = slice(start, start + 256)
@@ -286,7 +302,7 @@ def link_sets(docs: DataFrame, signs: DataFrame, words: int = WORDS, percent: in
     buckets = max(shuffle_partitions(spark), math.ceil(sets.count() / DOCS_PER_BUCKET))
     found = settled(equal_blocks(block_keys(docs, buckets, words, percent)), "equal-blocks")
     stars = found.filter("x IS NOT NULL").groupBy(F.col("x").alias("a"), F.col("center").alias("b")).agg(F.sum("n").alias("n"))
-    stars = settled(plausible_counts(stars, sets, percent), "stars")
+    stars = settled(plausible(stars, sets, percent), "stars")
     named = stars.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wide = settled(found.filter("members IS NOT NULL").select("members").distinct()
                    .withColumn("class", F.xxhash64("members")), "classes")
@@ -321,10 +337,6 @@ def link_sets(docs: DataFrame, signs: DataFrame, words: int = WORDS, percent: in
     return near
 
 
-def plausible_counts(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return stars.join(plausible(stars.select("a", "b"), sets, percent), ["a", "b"])
-
-
 def labelled(rows: DataFrame, column: str, near: DataFrame) -> DataFrame:
     """Adds ``label``: the component, or the row's own set where it has no link."""
     names = near.select(F.col("node").alias(column), F.col("label").alias("_label"))
