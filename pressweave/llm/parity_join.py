@@ -257,43 +257,54 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
 
 
-def open_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a class that sizes and sketches allow; rows: class, set_id, label, n, sketch.
+def open_pairs(classes: DataFrame, percent: int, low: int, high: int) -> DataFrame:
+    """Untested pairs of classes whose members are in several components; rows: class, set_id, label, n, sketch.
 
-    The pairs of the smallest member have been tested before.  Distances are
-    worked out in tiles, and only pairs that pass leave the task.
+    For each member the others that sizes and sketches allow are put in the order of
+    their distance; its partners at places ``low`` to ``high`` that are in another
+    component give rows (a, b).  A row with ``class`` says that the class has more
+    such pairs beyond.  Distances are worked out in tiles of rows.
     """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("set_id", ignore_index=True)
         names, labels, n = rows["set_id"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy()
         shortest = min(map(len, rows["sketch"]))
         bits = np.stack([folded(x, shortest) for x in rows["sketch"]]).view(np.uint64)
-        found = []
-        for start in range(1, len(rows), 256):
-            part = slice(start, start + 256)
-            a, b = n[part, None], n[None, start:]
-            ok = (labels[part, None] != labels[None, start:]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
-            i, j = np.nonzero(np.triu(ok, 1))
+        found, more = [np.empty((0, 2), np.int64)], False
+        for start in range(0, len(rows), 256):
+            mine, all_n = n[start:start + 256, None], n[None]
+            ok = np.minimum(mine, all_n) * 100 >= np.maximum(mine, all_n) * percent
+            np.fill_diagonal(ok[:, start:], False)
+            i, j = np.nonzero(ok)
+            i += start
             far = np.zeros(len(i), np.int64)
-            for w in range(bits.shape[1]):
-                far += np.bitwise_count(bits[i + start, w] ^ bits[j + start, w])
-                if w % 4 == 3:
-                    near = far * (100 + percent) <= (100 - percent) * (n[i + start] + n[j + start])
+            for w in range(shortest):
+                far += np.bitwise_count(bits[i, w] ^ bits[j, w])
+                if w % 4 == 3 or w == shortest - 1:
+                    near = far * (100 + percent) <= (100 - percent) * (n[i] + n[j])
                     i, j, far = i[near], j[near], far[near]
-            found.append(np.stack([names[j + start], names[i + start]], 1))
-        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame(out, columns=["a", "b"])
+            order = np.lexsort((j, far, i))
+            i, j = i[order], j[order]
+            place, apart = np.arange(len(i)) - np.searchsorted(i, i), labels[i] != labels[j]
+            take = apart & (place >= low) & (place < high)
+            more = more or bool((apart & (place >= high)).any())
+            found.append(np.stack([np.maximum(names[i[take]], names[j[take]]), np.minimum(names[i[take]], names[j[take]])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        out = pd.DataFrame({"a": pd.array(pairs[:, 0], "Int64"), "b": pd.array(pairs[:, 1], "Int64"), "class": pd.array([None] * len(pairs), "Int64")})
+        mark = pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "class": pd.array([rows["class"][0]], "Int64")})
+        return pd.concat([out, mark], ignore_index=True) if more else out
 
-    return classes.groupBy("class").applyInPandas(lambda rows: run(rows), "a long, b long").distinct()
+    return classes.groupBy("class").applyInPandas(lambda rows: run(rows), "a long, b long, class long")
 
 
 def link_sets(docs: DataFrame, signs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, label): components of the sets that link with other sets; docs has doc_id and text, signs is ``sign(docs)``, stored.
 
-    Three steps: each set against the partner with which it shares most blocks; the
-    other smallest partners of its blocks, where components still differ; and in
-    blocks whose members then are still in several components, all pairs that the
-    sketches allow.  Together they test every pair that could join two components.
+    Each set is tested against the partner with which it shares most blocks, then
+    against the other smallest partners of its blocks, where components still
+    differ.  In blocks whose members then are still in several components, pairs that
+    the sketches allow follow, nearest first and sixteen times as many in each round,
+    until none is left between two components: no pair that could join two is left out.
     """
     spark = docs.sparkSession
     sets = signs.filter("n_shingles > 0").groupBy("set_id").agg(
@@ -326,15 +337,25 @@ def link_sets(docs: DataFrame, signs: DataFrame, words: int = WORDS, percent: in
     if not more.isEmpty():
         links = links.unionByName(more)
         near = connected_components(links)
-    members = settled(labelled(wide.select("class", F.explode("members").alias("set_id")), "set_id", near), "members")
-    split = members.groupBy("class").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("class")
-    undecided = settled(open_pairs(members.join(split, "class").join(sets.select("set_id", "n", "sketch"), "set_id"), percent), "open-pairs")
-    if not undecided.isEmpty():
-        names = undecided.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        last = settled(verified(undecided, settled(texts_of(names), "grams"), percent), "links")
-        if not last.isEmpty():
-            near = connected_components(links.unionByName(last))
-    return near
+    members = settled(wide.select("class", F.explode("members").alias("set_id")), "members")
+    low = 0
+    while True:
+        high = 16 * low + 1
+        now = settled(labelled(members, "set_id", near), "members")
+        split = now.groupBy("class").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("class")
+        undecided = settled(open_pairs(now.join(split, "class").join(sets.select("set_id", "n", "sketch"), "set_id"), percent, low, high), "open-pairs")
+        pairs = undecided.filter("a IS NOT NULL").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            names = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(grams, "set_id", "left_anti")
+            known = grams if names.isEmpty() else grams.unionByName(settled(texts_of(names), "grams"))
+            last = settled(verified(pairs, known, percent), "links")
+            if not last.isEmpty():
+                links = links.unionByName(last)
+                near = connected_components(links)
+        going_on = undecided.filter("class IS NOT NULL").select("class")
+        if going_on.isEmpty():
+            return near
+        members, low = now.select("class", "set_id").join(going_on, "class"), high
 
 
 def labelled(rows: DataFrame, column: str, near: DataFrame) -> DataFrame:

@@ -101,3 +101,20 @@ def test_components_of_chains_hubs_and_loops(spark):
     got = {r.node: r.label for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 90 for i in range(80)}, 90: 90}
     assert connected_components(links.limit(0)).count() == 0
+
+
+def test_copies_that_only_their_original_links(spark):
+    """Copies differ from each other by too much; only the original, whose id is not the smallest, is near to all of them."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(9000)]
+    base, rows = rng.choices(words, k=200), []
+    for copy in range(60):
+        text = list(base)
+        for at in rng.sample(range(200), 3):
+            text[at] = f"new{copy}x{at}"
+        rows.append((copy, " ".join(text)))
+    rows.append((77, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == brute(rows)
+    alone = df.filter("doc_id <> 77")
+    assert result(alone) == brute(rows[:-1])
