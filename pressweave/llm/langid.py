@@ -184,7 +184,8 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
     names = [f.split()[0] for f in DECISION.split(", ")]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     decided = docs.select(*rest, decide(F.col(text_column)).alias("_decision"))
-    return decided.select(*rest, "_decision.*")
+    # a generator is a boundary for filters, which would otherwise run the decision twice
+    return decided.select(*rest, F.inline(F.array("_decision")))
 
 
 def held_out(id_column: str | Column = "doc_id") -> Column:
