@@ -45,10 +45,14 @@ class CollisionIndex:
         return low, high
 
     def candidates(self, queries: np.ndarray, k: int, threshold: float = THRESHOLD, width: float = WIDTH, factor: float = FACTOR,
-                   share: float = VERIFY_SHARE) -> list[np.ndarray]:
-        """For queries of length one, the places of the vectors that collide with each often enough."""
+                   share: float = VERIFY_SHARE, own: np.ndarray | int = 0) -> list[np.ndarray]:
+        """For queries of length one, the places of the vectors that collide with each often enough.
+
+        ``own`` vectors of each query's id may be among them and do not count.
+        """
         n, m = len(self.vectors), len(self.sorted)
-        missing, target = m - int(np.ceil(threshold * m)), min(n, max(10 * k, share * n))
+        missing = m - int(np.ceil(threshold * m))
+        target = np.broadcast_to(np.minimum(n, max(10 * k, share * n) + own), len(queries))
         out: list = [None] * len(queries)
         waiting, half = np.arange(len(queries)), width
         while len(waiting):
@@ -60,18 +64,21 @@ class CollisionIndex:
                     outside[line[:a]] += 1
                     outside[line[b:]] += 1
                 out[i] = np.flatnonzero(outside <= missing)
-                if len(out[i]) < target and not (low == 0).all() & (high == n).all():
+                if len(out[i]) < target[i] and not (low == 0).all() & (high == n).all():
                     still.append(i)
             waiting, half = np.array(still, np.int64), half * factor
         return out
 
 
 def collide(ids, data, query_ids, queries, floors, k):
+    """The k best of the rows found for each query; windows miss rows, so none is measured against a floor."""
     rows, at, scores = [], [], []
+    in_order = np.sort(ids)
+    own = np.searchsorted(in_order, query_ids, "right") - np.searchsorted(in_order, query_ids)
     units = queries / np.linalg.norm(queries, axis=1)[:, None]
-    for i, found in enumerate(CollisionIndex(data).candidates(units, k)):
+    for i, found in enumerate(CollisionIndex(data).candidates(units, k, own=own)):
         score = (data[found] * queries[i]).sum(axis=1)
-        keep = (score >= floors[i]) & (ids[found] != query_ids[i])
+        keep = ids[found] != query_ids[i]
         found, score = found[keep], score[keep]
         best = topk(score, ids[found], np.zeros(len(found), np.int64), k)
         rows.append(np.full(len(best), i))
@@ -86,7 +93,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int, id_column: str = "vec_id"
     Vectors that are null, empty, zero or hold null or non-finite components take no
     part, nor do rows without an id; vectors of different lengths do not meet; an
     empty table gives no rows.  Every row is indexed and every score is worked out on the original vectors.
+    A query has k rows wherever k others can meet it.
     """
     vec, identity = F.col(vector_column).cast("array<double>"), F.col(id_column).cast("long")
     good = rows.filter(finite(vec) & identity.isNotNull() & F.exists(vec, lambda x: x != 0)).withColumn("_asked", is_query)
-    return search_in_blocks(good.select(identity.alias("id"), vec.alias("vec"), "_asked"), F.col("_asked"), k, collide)
+    return search_in_blocks(good.select(identity.alias("id"), vec.alias("vec"), "_asked"), F.col("_asked"), k, collide, exact=False)

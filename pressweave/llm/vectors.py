@@ -1,9 +1,10 @@
 """Searches of a query set against all rows, in blocks.
 
 Rows are dealt to blocks of bounded size by a hash, so copies and hot clusters
-spread; every (query block, data block) pair is one group.  Each query carries a
-floor, its k-th best score within a bounded sample of the rows: no row below it can
-be among its k best, so a block sends only what may count.
+spread; every (query block, data block) pair is one group.  For an exact search each
+query carries a floor, its k-th best score within a bounded sample of the rows: no
+row below it can be among its k best, so a block sends only what may count.  A search
+that may miss rows has no floor: its k best found rows may lie below any true score.
 """
 from __future__ import annotations
 
@@ -55,18 +56,20 @@ def floors(queries: DataFrame, sample: DataFrame, k: int, rows: int) -> DataFram
 
 
 def search_in_blocks(data: DataFrame, is_query: Column, k: int, search: Callable, block_rows: int = BLOCK_ROWS,
-                     sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                     sample_rows: int = SAMPLE_ROWS, exact: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows of every query; data has id and vec (doubles).
 
     ``search(ids, vectors, query_ids, query_vectors, floors, k)`` gives the rows,
     query places and scores found in one pair of blocks.  Only vectors of one
-    length meet.  Rows that repeat an id are not candidates of each other.
+    length meet.  Rows that repeat an id are not candidates of each other.  Only an
+    ``exact`` search gets floors; those of others are -inf.
     """
     spark = data.sparkSession
     importable(spark)
     n, nq = data.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     n_blocks, q_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(nq / block_rows))
-    queries = floors(data.filter(is_query).select("id", "vec"), data.select("id", "vec"), k, sample_rows)
+    asked = data.filter(is_query).select("id", "vec")
+    queries = floors(asked, data.select("id", "vec"), k, sample_rows) if exact else asked.withColumn("floor", F.lit(float("-inf")))
     keys = ["size", "block", "query_block"]
     left = data.select("id", "vec", F.size("vec").alias("size"), F.pmod(F.xxhash64("id", F.lit("row")), F.lit(n_blocks)).alias("block"),
                        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("query_block"))

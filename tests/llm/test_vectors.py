@@ -74,3 +74,19 @@ def test_recall(spark):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     want = {(r[0], r[2]) for r in brute([(r.vec_id, r.embedding) for r in rows], 20)}
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_collision_counting_fills_every_query(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    ids = [r.vec_id for r in rows.filter(vectors.finite(F.col("embedding")) & (F.col("vec_id") % 20 == 0)).collect()]
+    found = q.op6_collision_counting(spark, sf).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in found} == {i: 20 for i in ids}
+    copies = [(0, [1.0, 0.0, 0.0], i == 0) for i in range(400)] + [(i, [1.0, i / 100, -1.0], False) for i in range(1, 60)]
+    copies = spark.createDataFrame(copies, "vec_id long, embedding array<double>, asked boolean")
+    got = collision.nearest(copies, F.col("asked"), 20).collect()  # the windows see the query's own copies first
+    assert len({r.vec_id for r in got}) == 20 and 0 not in {r.vec_id for r in got}
+    monkeypatch.setattr(collision, "search_in_blocks", lambda *a, **b: vectors.search_in_blocks(*a, block_rows=15, **b))
+    few = rows.limit(90).filter(vectors.finite(F.col("embedding")))
+    n, asked = few.count(), few.filter("vec_id % 20 = 0").count()
+    assert collision.nearest(few, F.col("vec_id") % 20 == 0, 20).count() == asked * min(20, n - 1)
