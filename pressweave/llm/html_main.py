@@ -2,8 +2,9 @@
 
 Every block of text gives points (for its length and its commas) to the containers
 above it, less the further up; a container's points are discounted by the share of
-its text that stands in links.  The best container and the siblings that come near
-it are kept, without the parts that are marked as something else.
+its text that stands in links.  The article or main element around the best
+container, or else the container itself, and its siblings are kept, without the
+parts that are marked as something else or are mostly links.
 """
 from __future__ import annotations
 
@@ -39,7 +40,8 @@ OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 TAG_POINTS = {"article": 15, "main": 10, "div": 2, "section": 2, "td": 1, "blockquote": 1, "pre": 1, "ul": -2, "ol": -2, "dl": -2,
               "li": -2, "dd": -2, "dt": -2, "h1": -4, "h2": -4, "h3": -4, "h4": -4, "h5": -4, "h6": -4, "th": -4}
 LEVELS = 4
-SIBLING_SHARE = 0.2
+PARAGRAPH_CHARS = 25
+SIBLING_LINKS = 0.25
 MENU_SHARE, MENU_LINKS = 0.66, 3
 
 
@@ -177,7 +179,7 @@ def score_blocks(blocks: list[tuple[Node, str, int, int]]) -> list[Node]:
     """Pass the points of all blocks upwards; the containers, in page order."""
     found: dict[Node, None] = {}
     for element, text, link_chars, links in blocks:
-        points = (1.0 if len(text) >= 25 else 0.0) + text.count(",") + min(len(text) / 100, 3.0) + 0.01
+        points = (1.0 if len(text) >= PARAGRAPH_CHARS else 0.0) + text.count(",") + min(len(text) / 100, 3.0) + 0.01
         node, level = (element.parent or element) if element.tag in TEXT_BLOCKS else element, 0
         up = element
         while up is not None:
@@ -203,20 +205,28 @@ def main_text(html: str | None) -> str:
     containers = score_blocks(page.blocks)
     if not containers:
         return ""
-    best = max(containers, key=lambda n: n.score)
+    best = article_around(max(containers, key=lambda n: n.score))
     above, kept = best.parent, []
     for element, text, link_chars, _ in page.blocks:
         inside = element.within(best)
-        if not inside and above is not None and element.within(above) and element is not above:
-            sibling = element.ancestor(best.depth)
-            share = sibling.link_share
-            inside = (sibling.score >= SIBLING_SHARE * best.score and sibling.tag not in ("ul", "ol")
-                      or sibling.tag == "p" and share < 0.25 and sibling.chars > 80)
+        if not inside and above is not None and element.within(above):
+            share = link_chars / len(text) if element is above else element.ancestor(best.depth).link_share
+            inside = share < SIBLING_LINKS
         if inside and not in_menu(element, best):
             kept.append(text)
     return "\n".join(kept)
 
 
+def article_around(node: Node) -> Node:
+    """The outermost article element that holds the node, else the outermost main element, else the node."""
+    found = {}
+    up = node
+    while up is not None:
+        found[up.tag] = up
+        up = up.parent
+    return found.get("article") or found.get("main") or node
+
+
 def in_menu(element: Node, best: Node) -> bool:
     """Inside the article, a list or a box that is nearly all links is a menu."""
     node = element

@@ -82,6 +82,24 @@ def test_main_text_column(spark):
     assert html_main.extract_main(df.limit(0)).count() == 0
 
 
+PARAGRAPHS = [f"Paragraph {i} of the text, which is long, goes on, and on, " + "with more words in it " * 9 + "to its end." for i in range(12)]
+BODY, LINES = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+LONG_PAGES = [
+    (f"<article><h1>Head</h1><div class=entry-content>{BODY}</div></article>", f"Head\n{LINES}"),
+    (f"<article><header><h1>Head</h1></header><p>Short lead.</p><div>{BODY}</div><figure><img><figcaption>Caption</figcaption></figure>"
+     "<ul><li>one</li><li>two</li></ul></article><div class=related><p>Other, text.</p></div>", f"Head\nShort lead.\n{LINES}\nCaption\none\ntwo"),
+    (f"<article><section>{BODY}</section><section><p>One short paragraph.</p></section></article>", f"{LINES}\nOne short paragraph."),
+    (f"<main><h1>Head</h1><div><div>{BODY}</div></div><div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul></div></main>", f"Head\n{LINES}"),
+    (f"<div><h1>Head</h1><p>Short lead.</p><div class=content>{BODY}</div><p>Last.</p><ul><li>one</li></ul><div><a href=/>more of this</a></div></div>",
+     f"Head\nShort lead.\n{LINES}\nLast.\none"),
+]
+
+
+@pytest.mark.parametrize("html,text", LONG_PAGES)
+def test_main_text_of_long_articles_is_whole(html, text):
+    assert html_main.main_text(html) == text
+
+
 def test_archive_round_trip_of_hard_payloads(spark):
     big = "é" * 600
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"), (4, "u\r\nEvil: 1", None), (5, "", ""),
