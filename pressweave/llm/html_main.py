@@ -4,7 +4,8 @@ Every block of text gives points (for its length and its commas) to the containe
 above it, less the further up; a container's points are discounted by the share of
 its text that stands in links.  The article or main element around the best
 container, or else the container itself, and its siblings are kept, without the
-parts that are marked as something else or are mostly links.
+parts that are marked as something else or are mostly links.  A mark (a name of the
+class or id, a form) does not count on an element that holds the page's article.
 """
 from __future__ import annotations
 
@@ -20,13 +21,15 @@ from pressweave.llm.common import importable
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
-REMOVED = frozenset("script style noscript template svg math iframe object canvas audio video form button select option "
-                    "textarea input fieldset nav aside footer head title menu dialog".split())
+REMOVED = frozenset("script style noscript template svg math iframe object canvas audio video button select option "
+                    "textarea input nav aside footer head title menu dialog".split())
+FORMS = frozenset("form fieldset".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"},
                "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 SCOPES = frozenset("html body article section main div td th li table blockquote figure aside nav form footer header".split())
 TEXT_BLOCKS = frozenset("p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption caption address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_REMOVED = frozenset("html body article main p".split())
 OTHER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -34,8 +37,11 @@ OTHER_NAMES = frozenset(
     "navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended "
     "related replies reply respond share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe "
     "subscription tags toolbar topbar trending widget widgets".split())
-COMMENT_NAMES = frozenset("comment comments disqus discussion replies reply respond shoutbox ad ads advert advertisement sponsored".split())
+COMMENT_NAMES = frozenset("comment comments disqus discussion replies reply respond shoutbox".split())
+AD_NAMES = frozenset("ad ads advert advertisement sponsored".split())
 BODY_NAMES = frozenset("article body content entry main post story text".split())
+NOT_HERE = frozenset("has no not non with without hide".split())
+STATES = frozenset("closed open enabled disabled off".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 TAG_POINTS = {"article": 15, "main": 10, "div": 2, "section": 2, "td": 1, "blockquote": 1, "pre": 1, "ul": -2, "ol": -2, "dl": -2,
               "li": -2, "dd": -2, "dt": -2, "h1": -4, "h2": -4, "h3": -4, "h4": -4, "h5": -4, "h6": -4, "th": -4}
@@ -46,12 +52,20 @@ MENU_SHARE, MENU_LINKS = 0.66, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "removed", "points", "chars", "link_chars", "links", "base")
+    """An element; ``mark`` is the innermost marked element, ``article``, ``main`` and ``body`` the elements of those names, around or at it."""
 
-    def __init__(self, tag: str, parent: Node | None, removed: bool = False, base: float = 0.0):
-        self.tag, self.parent, self.removed, self.base = tag, parent, removed, base
+    __slots__ = ("tag", "parent", "depth", "removed", "points", "chars", "link_chars", "links", "base", "mark", "comment", "article", "main", "body")
+
+    def __init__(self, tag: str, parent: Node | None, kind: str = "", base: float = 0.0, names: frozenset | set = frozenset()):
+        self.tag, self.parent, self.base = tag, parent, base
         self.depth = parent.depth + 1 if parent else 0
         self.points, self.chars, self.link_chars, self.links = 0.0, 0, 0, 0
+        self.removed = kind == "removed" or parent is not None and parent.removed
+        self.comment = kind == "comment" or parent is not None and parent.comment
+        self.mark = self if kind in ("other", "comment") else parent and parent.mark
+        self.article = parent and parent.article or (self if tag == "article" else None)
+        self.main = parent and parent.main or (self if tag == "main" else None)
+        self.body = self if tag in ("article", "main") or names & BODY_NAMES else parent and parent.body
 
     def within(self, other: Node) -> bool:
         return self.ancestor(other.depth) is other
@@ -72,27 +86,33 @@ class Node:
 
 
 def names_of(attributes: list[tuple[str, str | None]]) -> set[str]:
-    marked = " ".join(v for k, v in attributes if k in ("class", "id") and v)
-    return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", marked).lower())) if marked else set()
-
-
-def is_other(tag: str, attributes: list, parent: Node) -> bool:
-    """Whether an element is by its own marks no part of an article."""
+    """The words of class and id; what follows a has-, no- or with-, and names that end in a state (comments-closed), say nothing of the element."""
+    out = set()
+    for name in " ".join(v for k, v in attributes if k in ("class", "id") and v).split():
+        words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+        if len(words) > 1 and words[-1] in STATES:
+            continue
+        out.update(words[:next((i for i, w in enumerate(words) if w in NOT_HERE), len(words))])
+    return out
+
+
+def kind_of(tag: str, attributes: list, parent: Node, names: set[str]) -> str:
+    """Whether an element is ``removed``, by its own marks ``other`` than an article or a ``comment``, or none of them."""
     if tag in REMOVED:
-        return True
-    if tag == "header":
-        return not any(parent.ancestor(d).tag in ("article", "main") for d in range(parent.depth + 1))
-    if not attributes:
-        return False
+        return "removed"
+    if tag == "header" and not (parent.article or parent.main):
+        return "removed"
     marks = dict(attributes)
     if "hidden" in marks or marks.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", marks.get("style") or ""):
-        return True
+        return "removed"
     if (marks.get("role") or "").lower() in OTHER_ROLES:
-        return True
-    names = names_of(attributes)
-    if tag in NEVER_REMOVED:
-        return tag in ("article", "p") and bool(names & COMMENT_NAMES)
-    return bool(names & COMMENT_NAMES) or bool(names & OTHER_NAMES) and not names & BODY_NAMES
+        return "removed"
+    kind, plain = "", tag in NEVER_REMOVED
+    if names & (COMMENT_NAMES | AD_NAMES) and (not plain or tag in ("article", "p")):
+        kind = "comment" if names & COMMENT_NAMES else "other"
+    elif tag in FORMS or names & OTHER_NAMES and not names & BODY_NAMES and not plain:
+        kind = "other"
+    return "removed" if kind and tag in INLINE else kind
 
 
 class Page(HTMLParser):
@@ -145,9 +165,9 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         parent = self.open[-1]
-        removed = parent.removed or is_other(tag, attributes, parent)
-        base = TAG_POINTS.get(tag, 0) + (5 if attributes and names_of(attributes) & BODY_NAMES else 0)
-        self.open.append(Node(tag, parent, removed, base))
+        names = names_of(attributes) if attributes else set()
+        base = TAG_POINTS.get(tag, 0) + (5 if names & BODY_NAMES else 0)
+        self.open.append(Node(tag, parent, kind_of(tag, attributes, parent, names), base, names))
         if tag == "a":
             self.in_link += 1
             self.links += 1
@@ -175,17 +195,82 @@ class Page(HTMLParser):
             self.link_chars += len(data.strip())
 
 
+def points_of(text: str, link_chars: int) -> float:
+    points = (1.0 if len(text) >= PARAGRAPH_CHARS else 0.0) + text.count(",") + min(len(text) / 100, 3.0) + 0.01
+    return points * (1 - link_chars / len(text))
+
+
+def unmarked(blocks: list[tuple[Node, str, int, int]]) -> list[tuple[Node, str, int, int]]:
+    """The blocks outside marked elements, and those inside the marked ones that hold the article.
+
+    An element holds it with most of the paragraphs' points, if an article element is
+    within or no article body is elsewhere; with the page's main element; or with a
+    single article element, if that outweighs what is unmarked.  Comments weigh nothing
+    against other paragraphs, and hold the article only with a body of their own.
+    """
+    if not any(element.mark for element, *_ in blocks):
+        return blocks
+    read = [(element, points_of(text, link_chars) if len(text) >= PARAGRAPH_CHARS else 0.0) for element, text, link_chars, _ in blocks
+            if 2 * link_chars < len(text)]
+    only_comments = all(element.comment for element, points in read if points)
+    holding: set[Node] = set()
+
+    def stays(element: Node) -> bool:
+        mark = element.mark
+        while mark is not None and mark in holding:
+            mark = mark.parent.mark
+        return mark is None
+
+    def body_beside(mark: Node) -> bool:
+        """Whether an article body that stays has more than headings, or if the element is inside it, paragraphs."""
+        return any(element.body and element.tag not in HEADINGS and (points or not mark.within(element.body)) and stays(element)
+                   for element, points in read)
+
+    outside = sum(points for element, points in read if element.mark is None)
+    total, weight = {False: 0.0, True: 0.0}, {}
+    own_bodies, mains, articles = set(), set(), {}
+    for element, points in read:
+        counts = (True,) if element.comment and not only_comments else (True, False)
+        for with_comments in counts:
+            total[with_comments] += points
+        mark = element.mark
+        while mark is not None:
+            held = weight.setdefault(mark, {False: 0.0, True: 0.0})
+            for with_comments in counts:
+                held[with_comments] += points
+            if element.body and element.body.mark is mark and element.body is not mark:
+                own_bodies.add(mark)
+            if element.main and element.main.depth > mark.depth:
+                mains.add(mark)
+            if element.article and element.article.depth > mark.depth and element.article.mark is not element.article:
+                articles.setdefault(mark, set()).add(element.article)
+            mark = mark.parent.mark
+
+    most = {mark for mark, held in weight.items() if 2 * held[mark.comment] > total[mark.comment]}
+
+    def holds(mark: Node) -> bool:
+        if mark in mains:
+            return True
+        if mark.comment:
+            return mark in most and (only_comments or mark in own_bodies) and not body_beside(mark)
+        found = articles.get(mark, ())
+        return bool(found) and (mark in most or len(found) == 1 and weight[mark][True] >= outside and not body_beside(mark))
+
+    holding.update([mark for mark in weight if holds(mark)])
+    holding.update([mark for mark in most if not mark.comment and not body_beside(mark)])
+    return [block for block in blocks if stays(block[0])]
+
+
 def score_blocks(blocks: list[tuple[Node, str, int, int]]) -> list[Node]:
     """Pass the points of all blocks upwards; the containers, in page order."""
     found: dict[Node, None] = {}
     for element, text, link_chars, links in blocks:
-        points = (1.0 if len(text) >= PARAGRAPH_CHARS else 0.0) + text.count(",") + min(len(text) / 100, 3.0) + 0.01
+        points = points_of(text, link_chars)
         node, level = (element.parent or element) if element.tag in TEXT_BLOCKS else element, 0
         up = element
         while up is not None:
             up.chars, up.link_chars, up.links = up.chars + len(text), up.link_chars + link_chars, up.links + links
             up = up.parent
-        points *= 1 - link_chars / len(text)
         while node is not None and level < LEVELS:
             node.points += points / (1, 2, 6, 9)[level]
             found.setdefault(node)
@@ -202,12 +287,13 @@ def main_text(html: str | None) -> str:
     page.close()
     page.pop_to(1)
     page.flush()
-    containers = score_blocks(page.blocks)
+    blocks = unmarked(page.blocks)
+    containers = score_blocks(blocks)
     if not containers:
         return ""
     best = article_around(max(containers, key=lambda n: n.score))
     above, kept = best.parent, []
-    for element, text, link_chars, _ in page.blocks:
+    for element, text, link_chars, _ in blocks:
         inside = element.within(best)
         if not inside and above is not None and element.within(above):
             share = link_chars / len(text) if element is above else element.ancestor(best.depth).link_share

@@ -100,6 +100,40 @@ def test_main_text_of_long_articles_is_whole(html, text):
     assert html_main.main_text(html) == text
 
 
+ARTICLE, READ = f"<article><h1>Head</h1>{BODY}</article>", f"Head\n{LINES}"
+SIDE = "<div class=sidebar><p>Other things, to read, too, and more.</p></div>"
+COMMENTS = "<div id=comments>" + f"<div class=comment><div class=text>{BODY}</div></div>" * 3 + "</div>"
+WRAPPED_PAGES = [
+    (f"<div class='page has-sidebar'>{SIDE}<div class=text>{BODY}</div></div>", LINES),
+    (f"<div class='page sidebar'>{SIDE}<h1>Head</h1>{BODY}</div><div class=footer><p>Some words, at the foot, of it.</p></div>", READ),
+    (f"<div class='content with-ads'>{BODY}<div class=ads><p>Buy this, and that, and more.</p></div></div>", LINES),
+    (f"<article class='post no-comments'><h1>Head</h1>{BODY}</article>{SIDE}", READ),
+    (f"<article class='post comments-closed'><h1>Head</h1>{BODY}<div class=comments><p>A reader says, hello, nice text.</p></div></article>", READ),
+    (f"<form id=aspnetForm action=/><div class=menu><a>x</a></div>{ARTICLE}<input name=q><button>Go</button></form>", READ),
+    (f"<form><fieldset>{BODY}</fieldset></form>", LINES),
+    (f"<div class='layout sidebar'><form><div class='page ads'>{ARTICLE}{SIDE}</div></form></div><p>A plain line, on the page, of some length.</p>", READ),
+    (f"<div class='page overlay'><main><p>A short text, of one line, in all.</p></main></div><div class=cookies>{BODY}</div>", "A short text, of one line, in all."),
+    (f"<div class='page sidebar'><article><p>A short text, of one line, in all.</p></article></div><div class=cookies>{BODY}</div>",
+     "A short text, of one line, in all."),
+    (f"<div class=content><p>A short text, of one line, in all.</p></div><div class=sidebar>{BODY}</div>{COMMENTS}", "A short text, of one line, in all."),
+    (f"<div><p>A short text, of one line, in all.</p></div>{COMMENTS}", "A short text, of one line, in all."),
+    (f"<div id=wrap>{BODY}</div><div class=related><article><p>A short text, of one line, in all.</p></article></div>", LINES),
+    (f"<div class='page sidebar'><article><p>A short text, of one line, in all.</p></article><div class=cookies>{BODY}</div></div>",
+     "A short text, of one line, in all."),
+    (f"<article><h1>A headline of more than a few words</h1><form>{BODY}</form></article>", f"A headline of more than a few words\n{LINES}"),
+    ("<div class=ad>Buy this thing, and that, and more of it.</div><article><h1>Head</h1><p>Short.</p></article>", "Head\nShort."),
+    ("<div class='page sidebar'><article><h1>Head</h1><p>Short.</p></article></div>", "Head\nShort."),
+    (f"<div class=content><p>A short text, of one line, in all.</p></div><div class=sidebar><div class=text>{BODY}</div></div>",
+     "A short text, of one line, in all."),
+    ("<form><label>Name</label><input></form>", ""),
+]
+
+
+@pytest.mark.parametrize("html,text", WRAPPED_PAGES)
+def test_main_text_under_marked_wrappers(html, text):
+    assert html_main.main_text(html) == text
+
+
 def test_archive_round_trip_of_hard_payloads(spark):
     big = "é" * 600
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"), (4, "u\r\nEvil: 1", None), (5, "", ""),
