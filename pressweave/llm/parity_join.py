@@ -30,6 +30,8 @@ GROWTH = 1.4
 SKETCH_BITS = 256
 DOCS_PER_BUCKET = 2000
 KEYS_PER_BATCH = 2_000_000
+TILE_ROWS = 4096
+CELLS = 1 << 20
 U = np.uint64
 SIGNS = "doc_id long, n_shingles long, set_id long, sketch array<long>"
 FOUND = "x long, center long, n long, members array<long>"
@@ -257,44 +259,58 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
 
 
-def open_pairs(classes: DataFrame, percent: int, low: int, high: int) -> DataFrame:
+def tile_pairs(classes: DataFrame, tile_rows: int) -> DataFrame:
+    """Deals the members of each class to tiles of about ``tile_rows`` by hash; a row for each pair (low, high) of tiles that a member is in."""
+    tiles = classes.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
+    dealt = classes.join(tiles, "class").withColumn("tile", F.pmod(F.xxhash64("set_id", F.lit("tile")), F.col("_tiles")).cast("int"))
+    other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    return other.select(*classes.columns, "tile", F.least("tile", "_other").alias("low"), F.greatest("tile", "_other").alias("high"))
+
+
+def open_pairs(classes: DataFrame, percent: int, low: int, high: int, tile_rows: int | None = None) -> DataFrame:
     """Untested pairs of classes whose members are in several components; rows: class, set_id, label, n, sketch.
 
-    For each member the others that sizes and sketches allow are put in the order of
-    their distance; its partners at places ``low`` to ``high`` that are in another
-    component give rows (a, b).  A row with ``class`` says that the class has more
-    such pairs beyond.  Distances are worked out in tiles of rows.
+    The pairs of tiles of a class are groups of their own, of bounded size.  For each
+    member the others of the opposite tile that sizes and sketches allow are put in
+    the order of their distance; its partners at places ``low`` to ``high`` that are in
+    another component give rows (a, b).  A row with ``class`` says that a pair of tiles
+    has more such pairs beyond.  Only ``CELLS`` distances are held at once.
     """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("set_id", ignore_index=True)
         names, labels, n = rows["set_id"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy()
         shortest = min(map(len, rows["sketch"]))
         bits = np.stack([folded(x, shortest) for x in rows["sketch"]]).view(np.uint64)
+        first, last = rows["low"][0], rows["high"][0]
+        one, two = np.flatnonzero(rows["tile"] == first), np.flatnonzero(rows["tile"] == last)
         found, more = [np.empty((0, 2), np.int64)], False
-        for start in range(0, len(rows), 256):
-            mine, all_n = n[start:start + 256, None], n[None]
-            ok = np.minimum(mine, all_n) * 100 >= np.maximum(mine, all_n) * percent
-            np.fill_diagonal(ok[:, start:], False)
-            i, j = np.nonzero(ok)
-            i += start
-            far = np.zeros(len(i), np.int64)
-            for w in range(shortest):
-                far += np.bitwise_count(bits[i, w] ^ bits[j, w])
-                if w % 4 == 3 or w == shortest - 1:
-                    near = far * (100 + percent) <= (100 - percent) * (n[i] + n[j])
-                    i, j, far = i[near], j[near], far[near]
-            order = np.lexsort((j, far, i))
-            i, j = i[order], j[order]
-            place, apart = np.arange(len(i)) - np.searchsorted(i, i), labels[i] != labels[j]
-            take = apart & (place >= low) & (place < high)
-            more = more or bool((apart & (place >= high)).any())
-            found.append(np.stack([np.maximum(names[i[take]], names[j[take]]), np.minimum(names[i[take]], names[j[take]])], 1))
+        for mine, others in [(one, two)] if first == last else [(one, two), (two, one)]:
+            step = max(1, CELLS // max(1, len(others)))
+            for start in range(0, len(mine), step):
+                own = mine[start:start + step]
+                ok = np.minimum(n[own, None], n[None, others]) * 100 >= np.maximum(n[own, None], n[None, others]) * percent
+                ok &= own[:, None] != others[None]
+                i, j = np.nonzero(ok)
+                i, j = own[i], others[j]
+                far = np.zeros(len(i), np.int64)
+                for w in range(shortest):
+                    far += np.bitwise_count(bits[i, w] ^ bits[j, w])
+                    if w % 4 == 3 or w == shortest - 1:
+                        near = far * (100 + percent) <= (100 - percent) * (n[i] + n[j])
+                        i, j, far = i[near], j[near], far[near]
+                order = np.lexsort((j, far, i))
+                i, j = i[order], j[order]
+                place, apart = np.arange(len(i)) - np.searchsorted(i, i), labels[i] != labels[j]
+                take = apart & (place >= low) & (place < high)
+                more = more or bool((apart & (place >= high)).any())
+                found.append(np.stack([np.maximum(names[i[take]], names[j[take]]), np.minimum(names[i[take]], names[j[take]])], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         out = pd.DataFrame({"a": pd.array(pairs[:, 0], "Int64"), "b": pd.array(pairs[:, 1], "Int64"), "class": pd.array([None] * len(pairs), "Int64")})
         mark = pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "class": pd.array([rows["class"][0]], "Int64")})
         return pd.concat([out, mark], ignore_index=True) if more else out
 
-    return classes.groupBy("class").applyInPandas(lambda rows: run(rows), "a long, b long, class long")
+    dealt = tile_pairs(classes, tile_rows or TILE_ROWS)
+    return dealt.groupBy("class", "low", "high").applyInPandas(lambda rows: run(rows), "a long, b long, class long")
 
 
 def link_sets(docs: DataFrame, signs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -352,7 +368,7 @@ def link_sets(docs: DataFrame, signs: DataFrame, words: int = WORDS, percent: in
             if not last.isEmpty():
                 links = links.unionByName(last)
                 near = connected_components(links)
-        going_on = undecided.filter("class IS NOT NULL").select("class")
+        going_on = undecided.filter("class IS NOT NULL").select("class").distinct()
         if going_on.isEmpty():
             return near
         members, low = now.select("class", "set_id").join(going_on, "class"), high

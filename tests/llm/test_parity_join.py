@@ -118,3 +118,38 @@ def test_copies_that_only_their_original_links(spark):
     assert result(df) == brute(rows)
     alone = df.filter("doc_id <> 77")
     assert result(alone) == brute(rows[:-1])
+
+
+def test_wide_classes_meet_in_bounded_tiles(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2 ** 63, 200).astype(np.uint64)
+    rows = []
+    for i in range(300):
+        own = np.concatenate([base[rng.permutation(200)[:192]], rng.integers(0, 2 ** 63, 5).astype(np.uint64)])
+        rows.append((1, i, 0 if i else 7, len(own), p.bit_sketch(own).tolist()))  # member 0 alone is in another component
+    classes = spark.createDataFrame(rows, "class long, set_id long, label long, n long, sketch array<long>")
+    sizes = [r["count"] for r in p.tile_pairs(classes, 40).groupBy("class", "low", "high").count().collect()]
+    assert len(sizes) == 36 and max(sizes) < 150  # 8 tiles
+    want = {(r.a, r.b) for r in p.open_pairs(classes, 80, 0, 300).filter("a IS NOT NULL").collect()}
+    low, got = 0, set()
+    while True:
+        high = 16 * low + 1
+        now = p.open_pairs(classes, 80, low, high, 40).collect()
+        got |= {(r.a, r.b) for r in now if r.a is not None}
+        if all(r["class"] is None for r in now):
+            break
+        low = high
+    assert got == want and all(0 in pair for pair in got) and len(got) > 0
+
+
+def test_wide_classes_give_the_same_components_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(p, "TILE_ROWS", 12)
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for copy in range(30):
+        text = list(base)
+        for at in rng.sample(range(200), 3):
+            text[at] = f"new{copy}x{at}"
+        rows.append((copy, " ".join(text)))
+    rows.append((77, " ".join(base)))
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
