@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressweave.llm import collision, covertree, html_main, langid, mixing, packing, parity_join, sharding, token_codes, vectors, warc
+from pressweave.llm import (
+    best_position,
+    collision,
+    covertree,
+    html_main,
+    langid,
+    mixing,
+    packing,
+    parity_join,
+    sharding,
+    subset_sums,
+    token_codes,
+    vectors,
+    warc,
+)
 from pressweave.llm.common import table
 from pressweave.sources.tables import shared_dir
 
@@ -149,6 +163,50 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_codes(manifest, path, with_ids=False).drop("ids")
 
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+d AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM t WHERE len(terms) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(s.docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+i AS (SELECT p.doc_id, p.term, w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (100 - 50 + (50 * p.n * s.docs) // s.length))) AS impact
+      FROM p JOIN w ON w.term = p.term, s),
+r AS (SELECT q.item_id, i.doc_id, sum(i.impact)::BIGINT AS score FROM q JOIN i ON i.term = q.term GROUP BY ALL HAVING sum(i.impact) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM r QUALIFY rank <= 50
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", label).withColumn("embedding", subset_sums.whole_numbers(F.col("embedding"), 256))
+    return subset_sums.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_html_main_text": (op2_html_main_text, None),
@@ -160,6 +218,8 @@ QUERIES = {
     "op8_parity_join": (op8_parity_join, OP8_SQL),
     "op9_sharding": (op9_sharding, OP9_SQL),
     "op10_token_codes": (op10_token_codes, None),
+    "op11_best_position": (op11_best_position, OP11_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
