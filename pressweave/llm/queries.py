@@ -20,6 +20,7 @@ from pressweave.llm import (
     token_codes,
     vectors,
     warc,
+    zstd_toxicity,
 )
 from pressweave.llm.common import table
 from pressweave.sources.tables import shared_dir
@@ -185,6 +186,14 @@ FROM r QUALIFY rank <= 50
 """
 
 
+def op12_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = zstd_toxicity.train(docs.filter(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id"))
+    scored = zstd_toxicity.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= zstd_toxicity.THRESHOLD).cast("int"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -219,6 +228,7 @@ QUERIES = {
     "op9_sharding": (op9_sharding, OP9_SQL),
     "op10_token_codes": (op10_token_codes, None),
     "op11_best_position": (op11_best_position, OP11_SQL),
+    "op12_zstd_toxicity": (op12_zstd_toxicity, None),
     "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
