@@ -29,6 +29,7 @@ AMBIGUOUS = 0.02
 UNDETERMINED = "und"
 MOST_EXHAUSTIVE = 5
 DECISION = "lang_pred string, score double, ambiguous boolean, runner_up string"
+NAMES = tuple(field.split()[0] for field in DECISION.split(", "))
 
 
 def codewords(n: int, seed: int = 17) -> np.ndarray:
@@ -167,8 +168,8 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return fit(counts)
 
 
-def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """Adds ``lang_pred``, ``score`` (0 to 1), ``ambiguous`` and ``runner_up`` (columns of these names are replaced).
+def identify(docs: DataFrame, model: Model, text_column: str = "text", names: tuple[str, ...] = NAMES) -> DataFrame:
+    """Adds ``lang_pred``, ``score`` (0 to 1), ``ambiguous`` and ``runner_up`` under ``names`` (columns of these names are replaced).
 
     The whole text is read and nothing else.  A text that is null, empty or
     without a letter, and every text where nothing could be learnt, is ``und`` with score 0.
@@ -179,13 +180,13 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
     @F.pandas_udf(DECISION)
     def decide(texts: pd.Series) -> pd.DataFrame:
         known = shared.value
-        return pd.DataFrame([known.decide(t) for t in texts], columns=[f.split()[0] for f in DECISION.split(", ")])
+        return pd.DataFrame([known.decide(t) for t in texts], columns=list(NAMES))
 
-    names = [f.split()[0] for f in DECISION.split(", ")]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     decided = docs.select(*rest, decide(F.col(text_column)).alias("_decision"))
+    named = F.struct(*[F.col("_decision")[own].alias(name) for own, name in zip(NAMES, names)])
     # a generator is a boundary for filters, which would otherwise run the decision twice
-    return decided.select(*rest, F.inline(F.array("_decision")))
+    return decided.select(*rest, F.inline(F.array(named)))
 
 
 def held_out(id_column: str | Column = "doc_id") -> Column:

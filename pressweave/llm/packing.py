@@ -24,6 +24,7 @@ from pressweave.llm.tokens import encoder
 TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 8192
 POOL_TOKENS = 1 << 19
+FRAME_ROWS, FRAME_TOKENS = 4_096, 1 << 18
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long, tier int, step_group long, ids array<int>")
 COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
@@ -39,6 +40,7 @@ class Packer:
         self.steps: dict[int, list[int]] = {}
         self.next_step = 0
         self.rows: list[tuple] = []
+        self.pending = 0
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         """A document of at least one token."""
@@ -115,9 +117,10 @@ class Packer:
                               length, tier, group[0], ids.astype("i4") if self.with_ids else None))
             offset += len(ids)
         self.next_id += 1
+        self.pending += length
 
     def frame(self) -> pd.DataFrame:
-        rows, self.rows = self.rows, []
+        rows, self.rows, self.pending = self.rows, [], 0
         return framed(rows, COLUMNS, "doc_id")
 
 
@@ -144,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
             for doc_id, text in zip(batch["id"], batch["text"]):
                 ids = np.frombuffer(encode.ids(text or "") + end, "<u4")
                 packer.add(whole(doc_id), ids)
-                if len(packer.rows) >= 4096:
+                if len(packer.rows) >= FRAME_ROWS or packer.pending >= FRAME_TOKENS:
                     yield packer.frame()
         packer.close()
         yield packer.frame()

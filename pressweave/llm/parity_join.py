@@ -9,8 +9,10 @@ two sets share cancels out and only their symmetric difference D is left.
   most |D| blocks differ.  A link at similarity t allows |D| <= (1-t)/(1+t) (a+b), so with
   more blocks than that, at least one is equal (pigeonhole).  P is set per size band.
 
-Sets that are equal in a block are candidates; the bit sketch rules out most of the
-wrong ones, and the rest are verified on the n-grams themselves.
+Sets that are equal in a block form a class, whose smallest set is its center; all
+classes of one center are one group, so that every candidate pair meets in a group.
+The bit sketch rules out most wrong pairs, and the rest are verified on the n-grams
+themselves, inside the group: what leaves a group is a forest of links, never its pairs.
 """
 from __future__ import annotations
 
@@ -19,22 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave.llm.common import framed, importable, settled, shuffle_partitions, whole
 from pressweave.llm.components import connected_components
+from pressweave.operators.dedup import first_per_group
 
 WORDS, PERCENT = 5, 80
 GROWTH = 1.4
 SKETCH_BITS = 256
-DOCS_PER_BUCKET = 2000
-KEYS_PER_BATCH = 2_000_000
-TILE_ROWS = 4096
+DOCS_PER_BUCKET = 8_000
+BUCKET_PAIRS = 4_000_000
+KEYS_PER_BATCH = 1_000_000
+TILE_ROWS = 4_096
+TILE_GRAMS = 1 << 20
 CELLS = 1 << 20
 U = np.uint64
-SIGNS = "doc_id long, n_shingles long, set_id long, sketch array<long>"
-FOUND = "x long, center long, n long, members array<long>"
+SIGNS = "doc_id long, row long, n_shingles long, set_id long, sketch array<long>, bucket long, pairs binary"
+PAIR = [("key", "<u4"), ("set", "<i8")]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -148,40 +153,39 @@ class Bands:
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def sign(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch) of every row of (doc_id, text)."""
-    names = [f.split()[0] for f in SIGNS.split(", ")]
+def row_name(id_column: str, text_column: str) -> Column:
+    """A 64-bit name of a row's id and text."""
+    return F.xxhash64(F.col(id_column).cast("long"), F.col(text_column))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                found = shingles(text, words)
-                rows.append((whole(doc_id), len(found), *((set_name(found), bit_sketch(found)) if len(found) else (None, None))))
-            yield framed(rows, names, "doc_id", "set_id")
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, SIGNS)
+def sign(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
+    """Of (doc_id, row, text): a row with the set's name, size and sketch for every document, and rows (bucket, pairs).
 
+    ``pairs`` are the (key, set) pairs of many documents, packed; a task sends each set's once.
+    """
+    names = [f.split()[0] for f in SIGNS.split(", ")]
+    numbers = ("doc_id", "row", "n_shingles", "set_id", "bucket")
 
-def block_keys(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
-    """(bucket, pairs): the (key, set) pairs of many documents, packed; a set is sent once by a task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands, seen, keys, sets, held = Bands(percent), set(), [], [], 0
 
         def packed() -> pd.DataFrame:
             key = np.concatenate(keys)
-            pairs = np.empty(len(key), [("key", "<u4"), ("set", "<i8")])
+            pairs = np.empty(len(key), PAIR)
             pairs["key"], pairs["set"] = key & U(0xFFFFFFFF), np.repeat([s for s, _ in sets], [n for _, n in sets])
             bucket = (((key >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
             parts = np.split(pairs[order], first[1:])
-            return pd.DataFrame({"bucket": found, "pairs": [p.tobytes() for p in parts]})
+            return framed([(None, None, None, None, None, int(b), p.tobytes()) for b, p in zip(found, parts)], names, *numbers)
 
         for batch in batches:
-            for text in batch["text"]:
+            rows = []
+            for doc_id, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
                 found = shingles(text, words)
-                if len(found) and (name := set_name(found)) not in seen:
+                name = set_name(found) if len(found) else None
+                rows.append((whole(doc_id), row, len(found), name, bit_sketch(found) if len(found) else None, None, None))
+                if name is not None and name not in seen:
                     seen.add(name)
                     new = bands.keys(found)
                     if len(new):
@@ -191,16 +195,29 @@ def block_keys(docs: DataFrame, buckets: int, words: int, percent: int) -> DataF
                 if held >= KEYS_PER_BATCH:
                     yield packed()
                     keys, sets, held = [], [], 0
+            yield framed(rows, names, *numbers)
         if held:
             yield packed()
 
-    return docs.select("text").mapInPandas(run, "bucket long, pairs binary")
+    return docs.select(F.col("doc_id").cast("string"), "row", "text").mapInPandas(run, SIGNS)
+
+
+def unpacked(rows: pd.DataFrame) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(rows["pairs"]), PAIR))
 
 
-def equal_blocks(keys: DataFrame) -> DataFrame:
-    """Sets that are equal in a block: a row (x, center, n) per set and its smallest partner, and the members of classes over two."""
+def stars(packs: DataFrame, bucket_pairs: int | None = None) -> DataFrame:
+    """(x, center): every set with the smallest set of each of its classes, once each; ``packs`` has bucket and pairs, stored.
+
+    A bucket is one group.  One that holds more than ``bucket_pairs`` pairs, because a
+    class is very large, is cut into rows, so that Spark combines and splits the class.
+    """
+    held = packs.groupBy("bucket").agg((F.sum(F.octet_length("pairs")) / 12).alias("_held"))
+    sized = packs.join(held, "bucket")
+    small, large = (sized.filter(test).drop("_held") for test in (F.col("_held") <= (bucket_pairs or BUCKET_PAIRS), F.col("_held") > (bucket_pairs or BUCKET_PAIRS)))
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = np.unique(np.frombuffer(b"".join(rows["pairs"]), [("key", "<u4"), ("set", "<i8")]))
+        pairs = unpacked(rows)
         same = pairs["key"][1:] == pairs["key"][:-1]
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         size = np.diff(np.concatenate([first, [len(pairs)]]))
@@ -208,15 +225,18 @@ def equal_blocks(keys: DataFrame) -> DataFrame:
         starts = np.repeat(first, size)
         within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         x, center = pairs["set"][starts + within][within > 0], pairs["set"][starts][within > 0]
-        stars = pd.DataFrame({"x": x, "center": center}).groupby(["x", "center"], as_index=False).size().rename(columns={"size": "n"})
-        stars["members"] = None
-        classes = {pairs["set"][f:f + s].tobytes() for f, s in zip(first[size > 2], size[size > 2])}
-        wide = pd.DataFrame({"members": [np.frombuffer(c, "<i8") for c in sorted(classes)]}, dtype=object)
-        numbers = {"x": "Int64", "center": "Int64", "n": "Int64"}
-        none = pd.DataFrame({c: pd.array([None] * len(wide), "Int64") for c in numbers})
-        return pd.concat([stars.astype(numbers), pd.concat([none, wide], axis=1)], ignore_index=True)
+        return pd.DataFrame({"x": x, "center": center}).drop_duplicates()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bucket, packed in zip(batch["bucket"], batch["pairs"]):
+                pairs = np.frombuffer(packed, PAIR)
+                yield pd.DataFrame({"key": bucket << 32 | pairs["key"].astype(np.int64), "x": pairs["set"]})
 
-    return keys.groupBy("bucket").applyInPandas(lambda rows: run(rows), FOUND)
+    out = small.groupBy("bucket").applyInPandas(lambda rows: run(rows), "x long, center long")
+    rows = large.mapInPandas(cut, "key long, x long")
+    centers = rows.groupBy("key").agg(F.min("x").alias("center"), F.max("x").alias("_last")).filter("center <> _last").drop("_last")
+    return out.unionByName(rows.join(centers, "key").filter("x <> center").select("x", "center")).distinct()
 
 
 def most_difference(a, b, percent: int = PERCENT):
@@ -224,166 +244,229 @@ def most_difference(a, b, percent: int = PERCENT):
     return (100 - percent) * (a + b) / (100 + percent)
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows with a pair (a, b) whose sizes and bit sketches do not rule out a link; ``sets`` has set_id, n, sketch."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t"))
-    sized = (pairs.join(left, "a").join(right, "b")
-             .filter(F.least("_n", "_m") * 100 >= F.greatest("_n", "_m") * percent))
-    halves = {c: (F.size(c) / 2).cast("int") for c in ("_s", "_t")}
+def allowed_pairs(n: np.ndarray, sketches: list[np.ndarray], labels: np.ndarray, mine: np.ndarray, others: np.ndarray,
+                  percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of places in ``mine`` and ``others`` with different labels that sizes and sketches allow to link.
 
-    def short(c: str, other: str):
-        """Sizes that may link are within a factor of two, so one fold is enough."""
-        return F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, F.lit(1), halves[c]), F.slice(c, halves[c] + 1, halves[c]),
-                                                            lambda s, t: s.bitwiseXOR(t))).otherwise(F.col(c))
-
-    apart = F.zip_with(short("_s", "_t"), short("_t", "_s"), lambda s, t: F.bit_count(s.bitwiseXOR(t)))
-    distance = F.aggregate(apart, F.lit(0), lambda total, n: total + n)
-    return sized.filter(distance * (100 + percent) <= (100 - percent) * (F.col("_n") + F.col("_m"))).select(*pairs.columns)
-
-
-def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their n-grams; ``grams`` has set_id and the sorted hashes."""
-    left = grams.select(F.col("set_id").alias("a"), F.col("grams").alias("_g"))
-    right = grams.select(F.col("set_id").alias("b"), F.col("grams").alias("_h"))
+    Each pair comes once, and at most ``CELLS`` are looked at together.  Sizes that may
+    link are within a factor of two, and so are the sketches' lengths.
+    """
+    lengths = np.array([len(s) for s in sketches])
+    for la in np.unique(lengths[mine]):
+        for lb in (la // 2, la, 2 * la):
+            one, two = mine[lengths[mine] == la], others[lengths[others] == lb]
+            if not len(one) or not len(two):
+                continue
+            shared = min(la, lb)
+            left, right = (np.stack([folded(sketches[i], shared) for i in part]).view(np.uint64) for part in (one, two))
+            step = max(1, CELLS // len(two))
+            for start in range(0, len(one), step):
+                own = one[start:start + step]
+                ok = np.minimum(n[own, None], n[None, two]) * 100 >= np.maximum(n[own, None], n[None, two]) * percent
+                ok &= labels[own, None] != labels[None, two]
+                if mine is others:
+                    ok &= own[:, None] < two[None]
+                a, b = np.nonzero(ok)
+                far = np.zeros(len(a), np.int64)
+                for w in range(shared):
+                    far += np.bitwise_count(left[start + a, w] ^ right[b, w])
+                    if w % 4 == 3 or w == shared - 1:
+                        near = far * (100 + percent) <= (100 - percent) * (n[own[a]] + n[two[b]])
+                        a, b, far = a[near], b[near], far[near]
+                yield own[a], two[b], far
+
+
+def sides(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of the rows to be compared: for each center of a group those of side 0 with those of side 1, or all with all."""
+    center, side = rows["center"].to_numpy(), rows["side"].to_numpy()
+    order = np.argsort(center, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(center[order])) + 1):
+        if len(places) and side[places[0]] == 2:
+            yield places, places
+        elif len(places):
+            yield places[side[places] == 0], places[side[places] == 1]
+
+
+def with_partner(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of a group's rows (center, set_id, label, n, sketch, side), the (center, set_id) that have a pair to be verified."""
+    n, labels, sketches = rows["n"].to_numpy(), rows["label"].to_numpy(), list(rows["sketch"])
+    marked = np.zeros(len(rows), bool)
+    for mine, others in sides(rows):
+        for i, j, _ in allowed_pairs(n, sketches, labels, mine, others, percent):
+            marked[i] = marked[j] = True
+    return rows.loc[marked, ["center", "set_id"]].drop_duplicates()
+
+
+def linked(g: np.ndarray, h: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted n-gram hashes link."""
+    g, h = (g, h) if len(g) <= len(h) else (h, g)
+    both = int((h[np.minimum(np.searchsorted(h, g), len(h) - 1)] == g).sum())
+    return 100 * both >= percent * (len(g) + len(h) - both)
+
+
+class Forest:
+    """Labels joined by links; ``roots`` follows many at once."""
+
+    def __init__(self, size: int):
+        self.up = np.arange(size)
+
+    def roots(self, labels: np.ndarray) -> np.ndarray:
+        found = self.up[labels]
+        while (self.up[found] != found).any():
+            found = self.up[found]
+        return found
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = int(self.roots(np.array([a]))[0]), int(self.roots(np.array([b]))[0])
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def spanning_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of a group's rows (center, set_id, label, grams, side), a forest of links between labels.
+
+    For every pair of components the nearest pairs of sets are verified first, and twice
+    as many in each turn; as soon as one links, the others need no test.  A pair that
+    could join two components is never left out.
+    """
+    grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+    n, sketches, names = np.array([len(g) for g in grams]), [bit_sketch(g) for g in grams], rows["set_id"].to_numpy()
+    labels, codes = rows["label"].to_numpy(), pd.factorize(rows["label"])[0]
+    out = []
+    for mine, others in sides(rows):
+        forest = Forest(codes.max() + 1 if len(codes) else 0)
+        for i, j, far in allowed_pairs(n, sketches, labels, mine, others, percent):
+            order = np.argsort(far, kind="stable")
+            i, j, turn = i[order], j[order], 1
+            while len(i):
+                a, b = forest.roots(codes[i]), forest.roots(codes[j])
+                i, j, a, b = i[a != b], j[a != b], a[a != b], b[a != b]
+                pair = np.minimum(a, b) * len(codes) + np.maximum(a, b)
+                order = np.argsort(pair, kind="stable")  # nearest first within a pair of components
+                i, j, pair = i[order], j[order], pair[order]
+                test = np.arange(len(pair)) - np.searchsorted(pair, pair) < turn
+                for x, y in zip(i[test], j[test]):
+                    if forest.up[codes[x]] != forest.up[codes[y]] and linked(grams[x], grams[y], percent) and forest.join(codes[x], codes[y]):
+                        out.append((names[x], names[y]))
+                i, j, turn = i[~test], j[~test], 2 * turn
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def dealt(members: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """Members (center, set_id, label, ...) in groups of bounded weight: adds ``group``, ``first``, ``second`` and ``side``.
+
+    Small centers share a group.  Of a large one, the members that link with the center
+    (side 1) and the others (side 0) are dealt to tiles by hash; every tile of others
+    meets every tile, so linked members are never compared among themselves.
+    """
+    rows = members.withColumn("_w", weight).withColumn("_in", (F.col("label") == F.col("center")).cast("int"))
+    totals = settled(rows.groupBy("center").agg(F.sum("_w").alias("_all"), F.sum(F.col("_w") * F.col("_in")).alias("_linked")), "weights")
+    small = totals.filter(F.col("_all") <= limit).agg(F.ceil(F.sum("_all") / limit).cast("long")).first()[0] or 1
+    rows = rows.join(totals, "center")
+    whole_group = rows.filter(F.col("_all") <= limit).select(
+        *members.columns, F.pmod(F.xxhash64("center"), F.lit(small)).alias("group"), F.lit(-1).alias("first"), F.lit(-1).alias("second"), F.lit(2).alias("side"))
+    tiles = {"_in": F.ceil(F.col("_linked") / limit), "_out": F.ceil((F.col("_all") - F.col("_linked")) / limit)}
+    wide = rows.filter(F.col("_all") > limit).withColumns({"_ti": tiles["_in"].cast("int"), "_to": F.greatest(tiles["_out"], F.lit(1)).cast("int")})
+    wide = wide.withColumn("_own", F.pmod(F.xxhash64("set_id", F.lit("tile")), F.when(F.col("_in") == 1, F.col("_ti")).otherwise(F.col("_to"))).cast("int"))
+    every = {c: F.sequence(F.lit(0), F.col(c) - 1) for c in ("_ti", "_to")}
+    # first: a tile of others; second: a tile of linked members, numbered after those of the others, or another tile of others
+    met = (F.when(F.col("_in") == 1, F.transform(every["_to"], lambda o: F.struct(o.alias("first"), (F.col("_to") + F.col("_own")).alias("second"), F.lit(1).alias("side"))))
+           .otherwise(F.concat(
+               F.when(F.col("_ti") > 0, F.transform(every["_ti"], lambda i: F.struct(F.col("_own").alias("first"), (F.col("_to") + i).alias("second"), F.lit(0).alias("side"))))
+               .otherwise(F.array().cast("array<struct<first:int,second:int,side:int>>")),
+               F.transform(every["_to"], lambda o: F.struct(F.least(o, F.col("_own")).alias("first"), F.greatest(o, F.col("_own")).alias("second"),
+                                                            F.when(o == F.col("_own"), 2).when(o > F.col("_own"), 0).otherwise(1).alias("side"))))))
+    spread = wide.select(*members.columns, F.col("center").alias("group"), F.inline(met))
+    return whole_group.unionByName(spread.select(*whole_group.columns))
+
+
+def link_sets(docs: DataFrame, packs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(node, label): components of the sets that link with other sets.
+
+    docs has row and text; packs are the stored rows (bucket, pairs) of ``sign``; sets
+    has set_id, rep (the name of a row), n and sketch, stored.  Each set is tested
+    against the centers of its classes; then the groups of the centers are searched for
+    further links, first by sketches, which leave few members, then by n-grams.
+    """
+    found = settled(stars(packs), "centers")
+    left = sets.select(F.col("set_id").alias("x"), F.col("n").alias("_n"), F.col("sketch").alias("_s"))
+    right = sets.select(F.col("set_id").alias("center"), F.col("n").alias("_m"), F.col("sketch").alias("_t"))
+    likely = found.join(left, "x").join(right, "center").filter(F.least("_n", "_m") * 100 >= F.greatest("_n", "_m") * percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
-            for g, h in zip(batch["_g"], batch["_h"]):
-                g, h = np.frombuffer(g, np.uint64), np.frombuffer(h, np.uint64)
-                both = len(np.intersect1d(g, h, assume_unique=True))
-                keep.append(100 * both >= percent * (len(g) + len(h) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            for n, m, s, t in zip(batch["_n"], batch["_m"], batch["_s"], batch["_t"]):
+                length = min(len(s), len(t))
+                far = int(np.bitwise_count((folded(s, length) ^ folded(t, length)).view(np.uint64)).sum())
+                keep.append(far <= most_difference(n, m, percent))
+            yield batch.loc[keep, ["x", "center"]]
 
-    return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
+    likely = settled(likely.mapInPandas(near, "x long, center long"), "likely-stars")
 
+    def texts_of(names: DataFrame) -> DataFrame:
+        """(set_id, grams) of named sets, from the text of one row of each."""
+        wanted = names.join(sets.select("set_id", "rep"), "set_id").select("set_id", F.col("rep").alias("row"))
 
-def tile_pairs(classes: DataFrame, tile_rows: int) -> DataFrame:
-    """Deals the members of each class to tiles of about ``tile_rows`` by hash; a row for each pair (low, high) of tiles that a member is in."""
-    tiles = classes.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
-    dealt = classes.join(tiles, "class").withColumn("tile", F.pmod(F.xxhash64("set_id", F.lit("tile")), F.col("_tiles")).cast("int"))
-    other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    return other.select(*classes.columns, "tile", F.least("tile", "_other").alias("low"), F.greatest("tile", "_other").alias("high"))
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set = set()
+            for batch in batches:
+                rows = []
+                for name, text in zip(batch["set_id"], batch["text"]):
+                    if name not in seen:
+                        seen.add(name)
+                        rows.append((name, shingles(text, words).tobytes()))
+                yield pd.DataFrame(rows, columns=["set_id", "grams"])
 
+        grams = docs.join(wanted, "row").select("set_id", "text").mapInPandas(run, "set_id long, grams binary")
+        return settled(first_per_group(grams, ["set_id"], ["set_id"]), "grams")
 
-def open_pairs(classes: DataFrame, percent: int, low: int, high: int, tile_rows: int | None = None) -> DataFrame:
-    """Untested pairs of classes whose members are in several components; rows: class, set_id, label, n, sketch.
+    named = likely.select(F.explode(F.array("x", "center")).alias("set_id")).distinct()
+    grams = texts_of(named)
 
-    The pairs of tiles of a class are groups of their own, of bounded size.  For each
-    member the others of the opposite tile that sizes and sketches allow are put in
-    the order of their distance; its partners at places ``low`` to ``high`` that are in
-    another component give rows (a, b).  A row with ``class`` says that a pair of tiles
-    has more such pairs beyond.  Only ``CELLS`` distances are held at once.
-    """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("set_id", ignore_index=True)
-        names, labels, n = rows["set_id"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy()
-        shortest = min(map(len, rows["sketch"]))
-        bits = np.stack([folded(x, shortest) for x in rows["sketch"]]).view(np.uint64)
-        first, last = rows["low"][0], rows["high"][0]
-        one, two = np.flatnonzero(rows["tile"] == first), np.flatnonzero(rows["tile"] == last)
-        found, more = [np.empty((0, 2), np.int64)], False
-        for mine, others in [(one, two)] if first == last else [(one, two), (two, one)]:
-            step = max(1, CELLS // max(1, len(others)))
-            for start in range(0, len(mine), step):
-                own = mine[start:start + step]
-                ok = np.minimum(n[own, None], n[None, others]) * 100 >= np.maximum(n[own, None], n[None, others]) * percent
-                ok &= own[:, None] != others[None]
-                i, j = np.nonzero(ok)
-                i, j = own[i], others[j]
-                far = np.zeros(len(i), np.int64)
-                for w in range(shortest):
-                    far += np.bitwise_count(bits[i, w] ^ bits[j, w])
-                    if w % 4 == 3 or w == shortest - 1:
-                        near = far * (100 + percent) <= (100 - percent) * (n[i] + n[j])
-                        i, j, far = i[near], j[near], far[near]
-                order = np.lexsort((j, far, i))
-                i, j = i[order], j[order]
-                place, apart = np.arange(len(i)) - np.searchsorted(i, i), labels[i] != labels[j]
-                take = apart & (place >= low) & (place < high)
-                more = more or bool((apart & (place >= high)).any())
-                found.append(np.stack([np.maximum(names[i[take]], names[j[take]]), np.minimum(names[i[take]], names[j[take]])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        out = pd.DataFrame({"a": pd.array(pairs[:, 0], "Int64"), "b": pd.array(pairs[:, 1], "Int64"), "class": pd.array([None] * len(pairs), "Int64")})
-        mark = pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "class": pd.array([rows["class"][0]], "Int64")})
-        return pd.concat([out, mark], ignore_index=True) if more else out
-
-    dealt = tile_pairs(classes, tile_rows or TILE_ROWS)
-    return dealt.groupBy("class", "low", "high").applyInPandas(lambda rows: run(rows), "a long, b long, class long")
-
-
-def link_sets(docs: DataFrame, signs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, label): components of the sets that link with other sets; docs has doc_id and text, signs is ``sign(docs)``, stored.
-
-    Each set is tested against the partner with which it shares most blocks, then
-    against the other smallest partners of its blocks, where components still
-    differ.  In blocks whose members then are still in several components, pairs that
-    the sketches allow follow, nearest first and sixteen times as many in each round,
-    until none is left between two components: no pair that could join two is left out.
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [linked(np.frombuffer(g, np.uint64), np.frombuffer(h, np.uint64), percent) for g, h in zip(batch["_g"], batch["_h"])]
+            yield batch.loc[keep, ["x", "center"]]
+
+    one, other = (grams.select(F.col("set_id").alias(c), F.col("grams").alias(g)) for c, g in (("x", "_g"), ("center", "_h")))
+    links = settled(likely.join(other, "center").join(one, "x").mapInPandas(verified, "x long, center long"), "star-links")
+
+    joined = found.join(links.withColumn("_linked", F.lit(True)), ["x", "center"], "left")
+    members = joined.select("center", F.col("x").alias("set_id"), F.when(F.col("_linked"), F.col("center")).otherwise(F.col("x")).alias("label"))
+    open_centers = members.filter("label <> center").select("center").distinct()
+    members = settled(members.unionByName(found.select("center").distinct().select("center", F.col("center").alias("set_id"), F.col("center").alias("label")))
+                      .join(open_centers, "center"), "members")
+    sketched = members.join(sets.select("set_id", "n", "sketch"), "set_id")
+    keys = ["group", "first", "second"]
+    marked = (dealt(sketched, F.lit(1), TILE_ROWS).groupBy(*keys).applyInPandas(lambda rows: with_partner(rows, percent), "center long, set_id long"))
+    marked = settled(marked.distinct().join(members, ["center", "set_id"]), "open-members")
+    missing = marked.select("set_id").distinct().join(named, "set_id", "left_anti")
+    known = grams.unionByName(texts_of(missing))
+    held = marked.join(known, "set_id")
+    forest = (dealt(held, F.greatest(F.octet_length("grams") / 8, F.lit(TILE_GRAMS // TILE_ROWS)), TILE_GRAMS).groupBy(*keys)
+              .applyInPandas(lambda rows: spanning_links(rows, percent), "a long, b long"))
+    return connected_components(links.select(F.col("x").alias("a"), F.col("center").alias("b")).unionByName(forest))
+
+
+def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, row, n_shingles, label) for every row: rows with one label are linked; ``row`` is ``row_name`` of the row.
+
+    An empty set's label is that of the row alone, which it shares with rows of the same id and text.
     """
     spark = docs.sparkSession
-    sets = signs.filter("n_shingles > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    sets = settled(sets, "sets")
-    buckets = max(shuffle_partitions(spark), math.ceil(sets.count() / DOCS_PER_BUCKET))
-    found = settled(equal_blocks(block_keys(docs, buckets, words, percent)), "equal-blocks")
-    stars = found.filter("x IS NOT NULL").groupBy(F.col("x").alias("a"), F.col("center").alias("b")).agg(F.sum("n").alias("n"))
-    stars = settled(plausible(stars, sets, percent), "stars")
-    named = stars.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wide = settled(found.filter("members IS NOT NULL").select("members").distinct()
-                   .withColumn("class", F.xxhash64("members")), "classes")
-
-    def texts_of(names: DataFrame) -> DataFrame:
-        wanted = names.join(sets, "set_id").select("set_id", F.col("rep").alias("doc_id"))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [shingles(t, words) for t in batch["text"]]
-                rows = pd.DataFrame({"set_id": batch["set_id"], "grams": [g.tobytes() for g in found]})
-                yield rows[[len(g) > 0 and set_name(g) == name for g, name in zip(found, batch["set_id"])]]
-        return docs.join(wanted, "doc_id").select("set_id", "text").mapInPandas(run, "set_id long, grams binary").dropDuplicates(["set_id"])
-
-    grams = settled(texts_of(named), "grams")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    links = settled(verified(best, grams, percent), "links")
-    near = connected_components(links)
-    rest = between(stars.select("a", "b"), near).join(best, ["a", "b"], "left_anti")
-    more = settled(verified(rest, grams, percent), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        near = connected_components(links)
-    members = settled(wide.select("class", F.explode("members").alias("set_id")), "members")
-    low = 0
-    while True:
-        high = 16 * low + 1
-        now = settled(labelled(members, "set_id", near), "members")
-        split = now.groupBy("class").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("class")
-        undecided = settled(open_pairs(now.join(split, "class").join(sets.select("set_id", "n", "sketch"), "set_id"), percent, low, high), "open-pairs")
-        pairs = undecided.filter("a IS NOT NULL").select("a", "b").distinct()
-        if not pairs.isEmpty():
-            names = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(grams, "set_id", "left_anti")
-            known = grams if names.isEmpty() else grams.unionByName(settled(texts_of(names), "grams"))
-            last = settled(verified(pairs, known, percent), "links")
-            if not last.isEmpty():
-                links = links.unionByName(last)
-                near = connected_components(links)
-        going_on = undecided.filter("class IS NOT NULL").select("class").distinct()
-        if going_on.isEmpty():
-            return near
-        members, low = now.select("class", "set_id").join(going_on, "class"), high
-
-
-def labelled(rows: DataFrame, column: str, near: DataFrame) -> DataFrame:
-    """Adds ``label``: the component, or the row's own set where it has no link."""
-    names = near.select(F.col("node").alias(column), F.col("label").alias("_label"))
-    return rows.join(names, column, "left").withColumn("label", F.coalesce("_label", column)).drop("_label")
-
-
-def between(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    ends = labelled(pairs, "a", near).withColumnRenamed("label", "_la")
-    return labelled(ends, "b", near).filter(F.col("_la") != F.col("label")).select("a", "b")
+    importable(spark)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), row_name(id_column, text_column).alias("row"))
+    buckets = max(shuffle_partitions(spark), math.ceil(rows.count() / DOCS_PER_BUCKET))
+    signed = settled(sign(rows, buckets, words, percent), "signs")
+    signs, packs = signed.filter("bucket IS NULL").drop("bucket", "pairs"), signed.filter("bucket IS NOT NULL").select("bucket", "pairs")
+    full = signs.filter("n_shingles > 0")
+    sets = settled(full.groupBy("set_id").agg(F.min("row").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    near = link_sets(rows.select("row", "text"), packs, sets, words, percent)
+    named = sets.select("set_id").join(near.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
+    named = settled(named.select("set_id", F.coalesce("label", "set_id").alias("label")), "labelled")
+    empty = signs.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.xxhash64("row", F.lit("empty")).alias("label"))
+    return full.join(named, "set_id").select("doc_id", "row", "n_shingles", "label").unionByName(empty)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS,
@@ -391,20 +474,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(doc_id, n_shingles, component_id): ``component_id`` is the smallest id that links reach.
 
     A text that is null or has no word has an empty set, links with nothing and is
-    its own component, as is one whose id is null.  Equal texts link whatever their
-    length.  Rows that repeat an id count as one document each in the result and
-    share its texts' components; an empty table gives no rows; other columns are
-    not read.  N-grams are compared by 64-bit hashes.
+    its own component.  Equal texts link whatever their length.  A row whose id is null
+    passes links on, but is no component's smallest id and has none itself.  Rows that
+    repeat an id count as one document each in the result; an empty table gives no
+    rows; other columns are not read.  N-grams are compared by 64-bit hashes.
     """
-    importable(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signs = settled(sign(rows, words), "signs")
-    near = link_sets(rows, signs, words, percent)
-    full = signs.filter("n_shingles > 0")
-    reps = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    joined = settled(labelled(reps, "set_id", near), "labelled")
-    smallest = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_set = joined.join(smallest, "label").select("set_id", "component_id")
-    out = full.join(by_set, "set_id").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    empty = signs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty)
+    rows = settled(components(docs, id_column, text_column, words, percent), "components")
+    smallest = rows.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    full = rows.filter("n_shingles > 0").join(smallest, "label")
+    out = full.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

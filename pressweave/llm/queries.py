@@ -1,7 +1,6 @@
 """Registered queries of the subpackage: the operators over their whole tables, with production parameters."""
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pressweave.llm import (
     mixing,
     packing,
     parity_join,
+    pipeline,
     sharding,
     subset_sums,
     token_codes,
@@ -188,8 +188,7 @@ FROM r QUALIFY rank <= 50
 
 def op12_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = zstd_toxicity.train(docs.filter(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id"))
+    model = zstd_toxicity.train(docs.filter(~F.col("held_out")).select("doc_id", "text"), table(spark, sf_dir, "labels"))
     scored = zstd_toxicity.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= zstd_toxicity.THRESHOLD).cast("int"))
 
@@ -230,7 +229,7 @@ QUERIES = {
     "op11_best_position": (op11_best_position, OP11_SQL),
     "op12_zstd_toxicity": (op12_zstd_toxicity, None),
     "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
-    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+    "pipeline": (pipeline.run, pipeline.ORACLE_SQL),
 }
 
 

@@ -1,6 +1,6 @@
 """Token ids of whole texts by a ``tokenizers`` file.
 
-A worker keeps the ids of the words it has seen (a bounded table), so the merge
+A worker keeps the ids of the words it has seen, in tables of bounded bytes, so the merge
 model runs once per new word.  Words are cut by an expression that agrees with
 the tokenizer's own on a checked set of characters; a text with any other
 character, or with a special token in it, goes to the library as a whole.
@@ -15,7 +15,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
-LEARNT_WORDS = 500_000
+LEARNT_BYTES = 24 << 20
+ENTRY_BYTES = 240  # of a table's entry, beside the characters and the ids
 LONG_WORD = 64
 
 # The two cutting rules for which a quick equivalent is known, as the tokenizer files state them.
@@ -49,14 +50,18 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Learnt(dict):
-    """Ids by word; an unknown word is worked out when it is first asked for. Long words are not kept."""
+    """Ids by word; an unknown word is worked out when it is first asked for. Long words are not kept, and a full table starts anew."""
 
-    def __init__(self, work):
-        self.work = work
+    def __init__(self, work, limit: int):
+        self.work, self.limit, self.held = work, limit, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.work(word)
         if len(word) <= LONG_WORD:
+            self.held += ENTRY_BYTES + len(word) + len(ids)
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
             self[word] = ids
         return ids
 
@@ -67,10 +72,10 @@ class Learnt(dict):
 class Encoder:
     """``ids(text)``: little-endian unsigned 32-bit ids as bytes, without added special tokens."""
 
-    def __init__(self, path: str, learnt_words: int = LEARNT_WORDS):
+    def __init__(self, path: str, learnt_bytes: int = LEARNT_BYTES):
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
-        self.model, self.limit, self.alphabet = self.whole.model, learnt_words, byte_alphabet()
+        self.model, self.alphabet = self.whole.model, byte_alphabet()
         spec = json.loads(self.whole.to_str())
         self.marks = [t["content"] for t in spec["added_tokens"]]
         rule = json.dumps([spec["normalizer"], spec["pre_tokenizer"], spec["model"].get("dropout")])
@@ -82,9 +87,9 @@ class Encoder:
                 {"type": "Split", "pattern": {"Regex": WORD_RULE}, "behavior": "Removed", "invert": True},
                 {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}, None])
         self.quick = {byte_rule: self.spaced, word_rule: self.folded}.get(rule)
-        self.pieces = Learnt(self.piece)
-        self.chunks = Learnt(lambda chunk: self.pieces.of(QUICK_BYTE.findall(f" {chunk}")))
-        self.words = Learnt(lambda word: self.pieces.of(QUICK_WORD.findall(word)))
+        self.pieces = Learnt(self.piece, learnt_bytes)
+        self.chunks = Learnt(lambda chunk: self.pieces.of(QUICK_BYTE.findall(f" {chunk}")), learnt_bytes)
+        self.words = Learnt(lambda word: self.pieces.of(QUICK_WORD.findall(word)), learnt_bytes)
 
     def piece(self, piece: str) -> bytes:
         shown = piece.encode().decode("latin-1").translate(self.alphabet)
@@ -106,9 +111,6 @@ class Encoder:
             return b""
         if self.quick is None or UNCHECKED.search(text) or any(m in text for m in self.marks):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        for known in (self.pieces, self.chunks, self.words):
-            if len(known) > self.limit:
-                known.clear()
         return self.quick(text)
 
 

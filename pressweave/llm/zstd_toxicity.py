@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressweave.llm.common import importable, settled
+from pressweave.operators.dedup import first_per_group
 
 WINDOW_WORDS = 6
 PIECE_BYTES = 64
@@ -162,28 +163,33 @@ def recurring(fit: DataFrame) -> list[tuple[bytes, int]]:
     return [(bytes(r.unit), r.n) for r in likely if r.n >= rate * ordinary.get(bytes(r.unit), 0)][:UNITS]
 
 
-def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic_column: str = "toxic",
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic_column: str = "toxic",
           toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """Fit on at most ``toxic_rows`` and ``ordinary_rows`` rows of the classes, chosen by a hash of the id.
-
-    Rows with a null text or label are left out.  One row in ``CALIBRATION_SHARE`` is
-    kept for the calibration.  Counting runs in Spark; the driver gets at most
-    ``CANDIDATES`` words and stems, ``ORDINARY_WINDOWS`` windows and one number per
-    calibration row.  Without rows of both classes nothing is learnt and every score is 0.
+    """Fit on at most ``toxic_rows`` and ``ordinary_rows`` documents of the classes, chosen by a hash of the id.
+
+    ``labels`` may name an id several times: one toxic label makes it toxic.  Null
+    texts, ids and labels are left out, and of rows that repeat an id one is learnt from.  One row in
+    ``CALIBRATION_SHARE`` is kept for the calibration.  Only ids meet the labels; the
+    texts of the chosen ids are picked out of the documents in one scan.  Counting runs
+    in Spark; the driver gets at most ``CANDIDATES`` words and stems,
+    ``ORDINARY_WINDOWS`` windows and one number per calibration row.  Without rows of
+    both classes nothing is learnt and every score is 0.
     """
-    importable(labelled.sparkSession)
-    rows = labelled.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), (F.col(toxic_column) > 0).alias("toxic"))
-    rows = rows.filter("text IS NOT NULL AND toxic IS NOT NULL")
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    importable(docs.sparkSession)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    known = labels.select(F.col(id_column).alias("id"), (F.col(toxic_column) > 0).alias("toxic")).filter("toxic IS NOT NULL")
+    known = settled(known.groupBy("id").agg(F.max("toxic").alias("toxic")).join(rows.select("id"), "id", "left_semi"), "labelled")
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model(b"", b"")
     place = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     most = F.when(F.col("toxic"), toxic_rows).otherwise(ordinary_rows)
     share = F.when(F.col("toxic"), 2.0 * toxic_rows / sizes[True]).otherwise(2.0 * ordinary_rows / sizes[False])
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id", F.lit("sample")), "id", F.xxhash64("text"))
-    sample = rows.filter(place < share).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
-    sample = sample.select("toxic", "text", (F.col("_n") % CALIBRATION_SHARE == 0).alias("spare")).repartition(F.xxhash64("text"))
-    sample = settled(sample, "toxicity-sample")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id", F.lit("sample")), "id")
+    chosen = known.filter(place < share).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    chosen = settled(chosen.select("id", "toxic", (F.col("_n") % CALIBRATION_SHARE == 0).alias("spare")), "toxicity-ids")
+    picked = rows.join(F.broadcast(chosen), "id")  # at most toxic_rows + ordinary_rows ids
+    sample = settled(first_per_group(picked, ["id"], [F.xxhash64("text")]).repartition(F.xxhash64("text")), "toxicity-sample")
     fit = sample.filter(~F.col("spare"))
 
     said = [unit for unit, n in recurring(fit) for _ in range(min(n, REPEATS))]

@@ -3,8 +3,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pressweave.llm import parity_join as p
 from pressweave.llm.components import connected_components
@@ -120,36 +123,92 @@ def test_copies_that_only_their_original_links(spark):
     assert result(alone) == brute(rows[:-1])
 
 
-def test_wide_classes_meet_in_bounded_tiles(spark):
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 2 ** 63, 200).astype(np.uint64)
-    rows = []
-    for i in range(300):
-        own = np.concatenate([base[rng.permutation(200)[:192]], rng.integers(0, 2 ** 63, 5).astype(np.uint64)])
-        rows.append((1, i, 0 if i else 7, len(own), p.bit_sketch(own).tolist()))  # member 0 alone is in another component
-    classes = spark.createDataFrame(rows, "class long, set_id long, label long, n long, sketch array<long>")
-    sizes = [r["count"] for r in p.tile_pairs(classes, 40).groupBy("class", "low", "high").count().collect()]
-    assert len(sizes) == 36 and max(sizes) < 150  # 8 tiles
-    want = {(r.a, r.b) for r in p.open_pairs(classes, 80, 0, 300).filter("a IS NOT NULL").collect()}
-    low, got = 0, set()
-    while True:
-        high = 16 * low + 1
-        now = p.open_pairs(classes, 80, low, high, 40).collect()
-        got |= {(r.a, r.b) for r in now if r.a is not None}
-        if all(r["class"] is None for r in now):
-            break
-        low = high
-    assert got == want and all(0 in pair for pair in got) and len(got) > 0
-
-
-def test_wide_classes_give_the_same_components_in_small_tiles(spark, monkeypatch):
-    monkeypatch.setattr(p, "TILE_ROWS", 12)
-    rng = random.Random(9)
-    base, rows = [f"w{i}" for i in range(200)], []
-    for copy in range(30):
+def near_copies(n, rng, changes=3, words=200):
+    base, rows = [f"w{i}" for i in range(words)], []
+    for copy in range(n):
         text = list(base)
-        for at in rng.sample(range(200), 3):
+        for at in rng.sample(range(words), changes):
             text[at] = f"new{copy}x{at}"
         rows.append((copy, " ".join(text)))
-    rows.append((77, " ".join(base)))
+    return rows + [(n + 17, " ".join(base))]
+
+
+@pytest.mark.parametrize("changes", [3, 4, 5])
+def test_small_tiles_and_cut_buckets_give_the_same_components(spark, monkeypatch, changes):
+    monkeypatch.setattr(p, "TILE_ROWS", 7)
+    monkeypatch.setattr(p, "TILE_GRAMS", 7 * 196)
+    monkeypatch.setattr(p, "BUCKET_PAIRS", 40)
+    monkeypatch.setattr(p, "CELLS", 16)
+    rows = near_copies(30, random.Random(9), changes)
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_groups_of_a_large_center_are_bounded_and_hold_every_pair_of_labels(spark):
+    rows = [(1, i, 1 if i < 200 else i) for i in range(260)] + [(1000, 1000, 1000), (1000, 1001, 1001)]
+    members = spark.createDataFrame(rows, "center long, set_id long, label long")
+    groups = {}
+    for r in p.dealt(members, F.lit(1), 20).collect():
+        groups.setdefault((r.group, r.first, r.second), []).append(r)
+    assert max(map(len, groups.values())) < 80
+    met = set()
+    for g in groups.values():
+        frame = pd.DataFrame([r.asDict() for r in g])
+        for mine, others in p.sides(frame):
+            met |= {tuple(sorted((frame.set_id[i], frame.set_id[j]))) for i in mine for j in others if frame.label[i] != frame.label[j]}
+    want = {(a, b) for a in range(260) for b in range(200, 260) if a < b and (a < 200 or a >= 200)} | {(1000, 1001)}
+    assert met == want
+    assert sum(len(g) for g in groups.values()) < 3 * 260 * 4  # linked members are copied for the tiles of the others alone
+
+
+def frame_of(sets, labels=None):
+    return pd.DataFrame({"center": 1, "set_id": range(len(sets)), "label": labels or list(range(len(sets))), "side": 2, "n": [len(s) for s in sets],
+                         "sketch": [p.bit_sketch(s) for s in sets], "grams": [s.tobytes() for s in sets]})
+
+
+def test_a_group_sends_a_forest_and_never_its_pairs():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2 ** 63, 200).astype(np.uint64)
+    close = [np.unique(np.concatenate([base[rng.permutation(200)[:196]], rng.integers(0, 2 ** 63, 2).astype(np.uint64)])) for _ in range(120)]
+    apart = [np.unique(np.concatenate([base[rng.permutation(200)[:174]], rng.integers(0, 2 ** 63, 26).astype(np.uint64)])) for _ in range(60)]
+    rows = frame_of(close + apart)
+    assert len(p.with_partner(rows, 80)) <= len(rows)
+    links = p.spanning_links(rows, 80)
+    sets = [set(s.tolist()) for s in close + apart]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    joined = p.Forest(len(sets))
+    for a, b in links.itertuples(index=False):
+        assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        assert joined.join(a, b)  # no link closes a circle
+    assert len(links) == len(sets) - len({find(i) for i in range(len(sets))})
+    assert len({find(i) for i in range(len(sets))}) > 1
+    assert len(p.spanning_links(frame_of(close + apart, [7] * len(sets)), 80)) == 0
+
+
+def test_one_id_on_many_texts_and_links_through_rows_without_id(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(9000)]
+    rows = [(5, " ".join(rng.choices(words, k=12))) for _ in range(1000)]
+    base = [f"c{i}" for i in range(100)]
+    near, far = list(base), list(base)
+    near[0], near[1], far[-1], far[-2] = "x", "y", "z", "u"
+    near2, far2 = near[2:], far[:-2]
+    near2[:0], far2[len(far2):] = ["k", "l", "m", "n"], ["o", "p", "q", "r"]
+    rows += [(2001, " ".join(near2)), (2002, " ".join(far2)), (None, " ".join(base)), (None, " ".join(near)), (None, " ".join(far)),
+             (7, rows[0][1]), (3, "one two"), (3, "three four"), (8, "three FOUR")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = result(df), brute(rows)
+    assert got == want
+    assert {c for d, _, c in got if d in (2001, 2002)} == {2001}  # joined by rows whose id is null
+    assert {c for d, _, c in got if d == 8} == {3}
+    found = p.components(df).collect()
+    assert len(found) == len(rows) and len({r.row for r in found}) == len(rows)

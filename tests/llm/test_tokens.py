@@ -17,7 +17,7 @@ from pressweave.sources.tables import shared_dir
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-ENCODERS = {p: Encoder(p, learnt_words=50) for p in (BYTE, WORD)}
+ENCODERS = {p: Encoder(p, learnt_bytes=20_000) for p in (BYTE, WORD)}
 PLAIN = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
 
 
