@@ -1,59 +1,2 @@
-"""A corpus pipeline of four stages; each stage's result is stored and read again as the next one's documents.
-
-Language identification drops what has no language, near-duplicate groups keep one
-document, sources are mixed to their targets, and the mix is packed into windows.
-"""
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from pressweave.llm import langid, mixing, packing, parity_join
-from pressweave.llm.common import importable, settled
-from pressweave.operators.dedup import first_per_group
-
-UNDECIDED_CHARS = 200
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those of some length whose language stays ambiguous; a missing language is filled in."""
-    learnt = docs.filter(~langid.held_out() & F.col("doc_id").isNotNull())
-    decided = langid.identify(docs, langid.train(learnt))
-    rejected = (F.col("lang_pred") == langid.UNDETERMINED) | (F.col("ambiguous") & (F.length("text") >= UNDECIDED_CHARS))
-    kept = decided.filter(~rejected).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return kept.select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id stays; documents without id stay, rows that repeat an id count once."""
-    found = parity_join.near_duplicates(docs)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = first_per_group(docs.join(first, "doc_id", "left_semi"), ["doc_id"], [F.xxhash64("text")])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for; a fractional repetition ends after its words."""
-    mixed = mixing.mixed_documents(docs)
-    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-
-
-def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document in windows of up to 1024 tokens, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [("language_id", identify_language), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_windows)]
-
-#: Learning, the tokenizer and packing cannot be written in SQL; tests hold each stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    importable(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = settled(stage(spark, docs, sf_dir), name)
-    return docs
+"""The corpus pipeline; its stages live in the subpackage for training data."""
+from pressweave.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
