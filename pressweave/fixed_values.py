@@ -177,9 +177,12 @@ STOP_WORDS = [
     "football", "fr", "il", "in", "la", "le", "les", "ligue", "live", "monde", "news", "of", "on",
     "ou", "par", "pour", "pro", "sport", "sports", "sur", "the", "to", "uefa", "un", "une", "video",
 ]
+# places where glued text is parted by a blank: after a mark, between aB, 1x and x1
+GLUED_PATTERNS = ["([,;:!?])([^\\s])", "([a-zà-öø-ÿ])([A-ZÀ-ÖØ-Þ])", "([0-9])([A-Za-zÀ-ÿ])", "([A-Za-zÀ-ÿ])([0-9])"]
 FRENCH_WORDS = ["le", "la", "les", "du", "des", "un", "une", "et", "en", "au", "aux"]
 BAD_IMAGE_MARKERS = ["pixel", "tracking", "1x1", "spacer", "blank.gif", "favicon", "default-avatar",
                      "user_icon", "spinner", "badge-placeholder", "no-image", "empty."]
+PLACEHOLDER_IMAGE_PATTERN = "pixel|spacer|blank"
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp", ".gif"]
 WIKI_HOSTS = ["wikipedia.org", "wikimedia.org"]
 NO_PAGE_IMAGE_HOST = "news.google.com"

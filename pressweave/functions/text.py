@@ -91,10 +91,8 @@ def polish_text(c: Column, cleaned: bool = False) -> Column:
     ``cleaned`` says that the value already went through ``clean_value``.
     """
     t = collapse(c if cleaned else clean_value(c))
-    t = F.regexp_replace(t, "([,;:!?])([^" + WS[1:-1] + "])", "$1 $2")
-    t = F.regexp_replace(t, "([a-zà-öø-ÿ])([A-ZÀ-ÖØ-Þ])", "$1 $2")
-    t = F.regexp_replace(t, "([0-9])([A-Za-zÀ-ÿ])", "$1 $2")
-    t = F.regexp_replace(t, "([A-Za-zÀ-ÿ])([0-9])", "$1 $2")
+    for pattern in fv.GLUED_PATTERNS:
+        t = F.regexp_replace(t, pattern, "$1 $2")
     return strip(t)
 
 

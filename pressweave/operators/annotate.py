@@ -1,6 +1,9 @@
 """Annotation of an article: entity, organisations, direction, status, class, sentiment, fee."""
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,13 +108,14 @@ def attribute(name: Column, table: dict[str, str]) -> Column:
     return F.element_at(lit_map(table), name) if table else F.lit(None).cast("string")
 
 
-ANNOTATED = ["entity", "nationality", "org_from", "org_to", "status", "league", "fee_text"]
+ANNOTATED = ["entity", "nationality", "org_from", "org_to", "status", "league", "fee_text", "sentiment", "fee_numeric", "story_key"]
+BASES = {"sentiment": ["status"], "fee_numeric": ["fee_text"], "story_key": ["entity", "org_from", "org_to"]}
 
 
 def annotate(df: DataFrame, entities: dict | DataFrame, org_aliases: dict[str, str] | DataFrame,
              classes: dict[str, list[str]] = fv.CLASS_KEYWORDS, default_class: str = fv.DEFAULT_LEAGUE,
              status_words: dict[str, list[str]] = fv.STATUS_WORDS, wording: dict[str, list[str]] | None = None,
-             keep_norm: bool = False, key: str | None = None) -> DataFrame:
+             keep_norm: bool = False, key: str | None = None, fields: Iterable[str] = ANNOTATED) -> DataFrame:
     """Add the local annotation to rows with ``title`` and ``summary``.
 
     ``entities``: ``{name: {"org": current, "nationality": text, "aliases": [..]}}``.
@@ -119,46 +123,65 @@ def annotate(df: DataFrame, entities: dict | DataFrame, org_aliases: dict[str, s
     With dictionaries that are parameters it is row-local: no join and no shuffle.
     Both may instead be tables of any size, (name, org, nationality, aliases, ord)
     and (alias, canonical, ord), which are joined; rows then need a unique ``key``.
+    ``fields`` names the columns that are wanted; nothing is worked out for others.
     """
+    wanted = set(fields)
+    if wanted - set(ANNOTATED):
+        raise ValueError(f"unknown fields {sorted(wanted - set(ANNOTATED))}")
+    made = wanted.union(*[BASES.get(f, []) for f in wanted])
+    directed, named = bool(made & {"org_from", "org_to"}), bool(made & {"entity", "nationality"})
     title, summary = text_or_empty(F.col("title")), text_or_empty(F.col("summary"))
-    step = df if "_norm" in df.columns else materialize(df, _norm=norm_text(F.concat_ws(" ", title, summary)))
-    norm = F.col("_norm")
+    norm, said = F.col("_norm"), F.concat_ws(" ", title, summary)
+    step = df
+    if "_norm" not in df.columns and (directed or named or "league" in made):
+        step = materialize(df, _norm=norm_text(said))
     listed = not isinstance(org_aliases, DataFrame)
-    step = with_hits(step, "_norm", "_hits", org_terms(org_aliases) if listed else org_term_rows(org_aliases), key)
-    if isinstance(entities, DataFrame):
-        step = with_hits(step, "_norm", "_found", entity_term_rows(entities), key)
-        known = entities.select(F.col("name").alias("_entity"), non_empty(F.col("org")).alias("_current"), non_empty(F.col("nationality")).alias("_nation"))
-        step = step.withColumn("_entity", best_entity(F.col("_found"))).drop("_found").join(known, "_entity", "left")
-    else:
-        step = materialize(step, _entity=best_entity(phrase_hits(norm, entity_terms(entities))))
-        step = step.withColumns({f"_{to}": attribute(F.col("_entity"), {n: a[c] for n, a in entities.items() if a.get(c)})
-                                 for to, c in (("current", "org"), ("nation", "nationality"))})
-    step = materialize(step, _norm_title=norm_text(title), _orgs=orgs_in_order(F.col("_hits"), norm))
-    if listed:
+    if directed:
+        step = with_hits(step, "_norm", "_hits", org_terms(org_aliases) if listed else org_term_rows(org_aliases), key)
+    if directed or named:
+        if isinstance(entities, DataFrame):
+            step = with_hits(step, "_norm", "_found", entity_term_rows(entities), key)
+            known = entities.select(F.col("name").alias("_entity"), non_empty(F.col("org")).alias("_current"), non_empty(F.col("nationality")).alias("_nation"))
+            step = step.withColumn("_entity", best_entity(F.col("_found"))).drop("_found").join(known, "_entity", "left")
+        else:
+            step = materialize(step, _entity=best_entity(phrase_hits(norm, entity_terms(entities))))
+            step = step.withColumns({f"_{to}": attribute(F.col("_entity"), {n: a[c] for n, a in entities.items() if a.get(c)})
+                                     for to, c in (("current", "org"), ("nation", "nationality"))})
+    if directed:
+        step = materialize(step, _norm_title=norm_text(title), _orgs=orgs_in_order(F.col("_hits"), norm))
+        step = materialize(step, _direction=direction(
+            norm, F.col("_norm_title"), F.try_element_at("_orgs", F.lit(1)), F.try_element_at("_orgs", F.lit(2)),
+            F.col("_current"), **(wording or {})))
+    if "entity" in made and listed:
         def known_org(pair: Column) -> Column:
             return F.array_contains(lit_array(org_aliases), pair)
-    else:
+    elif "entity" in made:
         step = step.withColumn("_pair", F.lower(name_pair(title)))
         names = org_aliases.select(F.col("alias").alias("_pair"), F.lit(True).alias("_is_org")).distinct()
         step = step.join(names, "_pair", "left").drop("_pair")
 
         def known_org(pair: Column) -> Column:
             return F.coalesce("_is_org", F.lit(False))
-    step = materialize(step, _direction=direction(
-        norm, F.col("_norm_title"), F.try_element_at("_orgs", F.lit(1)), F.try_element_at("_orgs", F.lit(2)),
-        F.col("_current"), **(wording or {})))
-    said = F.concat_ws(" ", title, summary)
-    fee = F.coalesce(fee_text(said), F.lit(fv.UNKNOWN_FEE))
-    out = materialize(
-        step.drop(*[c for c in ANNOTATED if c in df.columns]),
-        entity=F.coalesce("_entity", fallback_entity(title, known_org)),
-        nationality=F.coalesce("_nation", F.lit(fv.DEFAULT_NATIONALITY)),
-        org_from=F.col("_direction.org_from"), org_to=F.col("_direction.org_to"),
-        status=status_of(title, status_words), league=F.when(said.contains("%"), classify_text(said, classes, default_class)).otherwise(classify(norm, classes, default_class)), fee_text=fee)
-    out = (out
-           .withColumn("sentiment", status_sentiment(F.col("status")))
-           .withColumn("fee_numeric", numeric_fee(F.when(F.col("fee_text") != fv.UNKNOWN_FEE, F.col("fee_text"))))
-           .withColumn("story_key", story_key(F.col("entity"), F.col("org_from"), F.col("org_to"))))
+    columns = {}
+    if "entity" in made:
+        columns["entity"] = F.coalesce("_entity", fallback_entity(title, known_org))
+    if "nationality" in made:
+        columns["nationality"] = F.coalesce("_nation", F.lit(fv.DEFAULT_NATIONALITY))
+    columns |= {f: F.col("_direction")[f] for f in ("org_from", "org_to") if f in made}
+    if "status" in made:
+        columns["status"] = status_of(title, status_words)
+    if "league" in made:
+        columns["league"] = F.when(said.contains("%"), classify_text(said, classes, default_class)).otherwise(classify(norm, classes, default_class))
+    if "fee_text" in made:
+        columns["fee_text"] = F.coalesce(fee_text(said), F.lit(fv.UNKNOWN_FEE))
+    out = step.drop(*[c for c in made if c in df.columns])
+    out = materialize(out, **columns) if columns else out
+    if "sentiment" in made:
+        out = out.withColumn("sentiment", status_sentiment(F.col("status")))
+    if "fee_numeric" in made:
+        out = out.withColumn("fee_numeric", numeric_fee(F.when(F.col("fee_text") != fv.UNKNOWN_FEE, F.col("fee_text"))))
+    if "story_key" in made:
+        out = out.withColumn("story_key", story_key(F.col("entity"), F.col("org_from"), F.col("org_to")))
     drop = ["_norm_title", "_entity", "_hits", "_orgs", "_current", "_nation", "_is_org", "_direction"]
     return out.drop(*drop, *([] if keep_norm else ["_norm"]))
 
@@ -229,10 +252,18 @@ def merge_annotations(local: DataFrame, external: DataFrame, key: str) -> DataFr
     return out.drop("_ext", "_topic", "_story_key", "_fee_numeric", "_credibility", *["_" + f for f in ANNOTATION_FIELDS])
 
 
-def fill_placeholders(df: DataFrame, entities: dict, org_aliases: dict[str, str]) -> DataFrame:
-    """Replace empty or placeholder fields of stored rows by the local annotation."""
+def fill_placeholders(df: DataFrame, entities: dict | DataFrame, org_aliases: dict[str, str] | DataFrame, key: str | None = None) -> DataFrame:
+    """Replace empty or placeholder fields of stored rows by the local annotation.
+
+    Only those fields are worked out, and a row without a gap is annotated as an empty text.
+    """
     fields = ["entity", "org_from", "org_to", "status", "fee_text"]
-    done = annotate(df.select("*", *[F.col(f).alias("_in_" + f) for f in fields]), entities, org_aliases)
-    filled = {f: F.when(F.col("_in_" + f).isNull() | F.col("_in_" + f).isin(*fv.PLACEHOLDERS.get(f, []), "", "nan"),
-                        F.col(f)).otherwise(F.col("_in_" + f)) for f in fields}
-    return done.withColumns(filled).drop(*["_in_" + f for f in fields])
+    gaps = {f: F.col("_in_" + f).isNull() | F.col("_in_" + f).isin(*fv.PLACEHOLDERS.get(f, []), "", "nan") for f in fields}
+    rows = df.select("*", *[F.col(f).alias("_in_" + f) for f in fields])
+    rows = rows.withColumn("_gap", reduce(lambda a, b: a | b, gaps.values()))
+    rows = rows.withColumns({"_in_title": F.col("title"), "_in_summary": F.col("summary")}).withColumns(
+        {c: F.when(F.col("_gap"), F.col(c)).otherwise("") for c in ("title", "summary", *(["_norm"] if "_norm" in df.columns else []))})
+    done = annotate(rows, entities, org_aliases, key=key, fields=fields)
+    filled = {f: F.when(gap, F.col(f)).otherwise(F.col("_in_" + f)) for f, gap in gaps.items()}
+    kept = {c: F.col("_in_" + c) for c in ("title", "summary")}
+    return done.withColumns(filled | kept).drop("_gap", *["_in_" + c for c in (*fields, "title", "summary")])

@@ -9,8 +9,10 @@ Two plans give the same rows:
   row.  Words of the text that start some term are found with one hash
   intersection, and only the terms behind those words are looked up.
 * ``phrase_hits_join`` takes a dictionary table of any size: word n-grams of the
-  text are equi-joined to it.  The join's strategy follows the table's size, and
-  adaptive execution splits frequent n-grams.
+  text are equi-joined to it.  A filter of fixed size over the terms' first words,
+  lengths and whole terms is applied before an n-gram is made and before it is
+  shuffled.  The join's strategy follows the table's size, and adaptive execution
+  splits frequent n-grams.
 
 ``with_hits`` adds the hits by the plan that fits what it is given.
 """
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressweave.functions.text import lit_array, materialize, norm_text, norm_words
+from pressweave.operators.keyfilter import distinct_values, key_filter, may_hold
 
 MIN_ALIAS = 4
 
@@ -112,25 +115,25 @@ def with_hits(df: DataFrame, norm: str, into: str, terms: list[Term] | DataFrame
         return materialize(df, **{into: phrase_hits(F.col(norm), terms)})
     if key is None:
         raise ValueError("a dictionary table needs the key of the rows")
-    longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    hits = phrase_hits_join(df, key, norm, terms, longest)
+    hits = phrase_hits_join(df, key, norm, terms)
     gathered = hits.groupBy(key).agg(F.collect_list(F.struct(
         F.col("rank").cast("long").alias("rank"), "term", "canonical", norm_text(F.col("canonical")).alias("plain"))).alias(into))
     return df.join(gathered, key, "left").withColumn(into, F.coalesce(into, F.array().cast(HITS)))
 
 
-def phrase_hits_join(texts: DataFrame, key: str, norm: str, terms: DataFrame, max_words: int) -> DataFrame:
+def phrase_hits_join(texts: DataFrame, key: str, norm: str, terms: DataFrame) -> DataFrame:
     """(key, rank, term, canonical, word_position) per matched term, first position in the text.
 
-    Only the key, a position and the n-gram leave the row, never the text.
+    A word is followed up only where some term starts with it, at the lengths of such
+    terms, and an n-gram leaves the row only where the filter knows it.  Only the key,
+    a position and the n-gram leave the row, never the text.
     """
-    words = texts.select(key, F.split(norm, " ").alias("w"))
-    following = [F.slice("w", n, F.size("w")).alias(f"w{n}") for n in range(2, max_words + 1)]
-    columns = ["word_position", "w1", *[f"w{n}" for n in range(2, max_words + 1)]]
-    rows = words.select(key, F.inline(F.arrays_zip(
-        F.sequence(F.lit(0), F.size("w") - 1), F.col("w").alias("w1"), *following)).alias(*columns))
-    grams = F.array(*[F.concat_ws(" ", *columns[1:n + 1]) if n == 1 else
-                      F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *columns[1:n + 1])) for n in range(1, max_words + 1)])
-    exploded = rows.select(key, "word_position", F.explode(grams).alias("gram"))
-    return (exploded.join(terms, F.col("gram") == F.col("term"))
+    sized = terms.select("term", F.split("term", " ").alias("_w")).select("term", F.get("_w", F.lit(0)).alias("_first"), F.size("_w").alias("_n"))
+    known = key_filter(sized.select(F.explode(F.array(F.xxhash64("_first"), F.xxhash64("_first", "_n"), F.xxhash64("term"))).alias("h")))
+    words = texts.select(key, F.split(norm, " ").alias("_w"))
+    starts = words.select(key, "_w", F.posexplode("_w").alias("_at", "_first")).filter(may_hold(known, F.xxhash64("_first")))
+    spans = starts.select("*", F.explode(distinct_values(sized, F.col("_n"))).alias("_n")).filter(
+        (F.col("_at") + F.col("_n") <= F.size("_w")) & may_hold(known, F.xxhash64("_first", "_n")))
+    grams = spans.select(key, F.col("_at").alias("word_position"), F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " ").alias("_gram"))
+    return (grams.filter(may_hold(known, F.xxhash64("_gram"))).join(terms, F.col("_gram") == F.col("term"))
             .groupBy(key, "rank", "term", "canonical").agg(F.min("word_position").alias("word_position")))

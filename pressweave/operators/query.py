@@ -12,9 +12,15 @@ from pressweave.functions.values import numeric_fee
 from pressweave.operators.annotate import attribute
 
 
-def article_filter(category=None, league=None, org=None, status=None, source=None, search=None) -> Column:
-    """Conjunction of the given filters.  Search values are LIKE patterns, % and _ included; a backslash is itself."""
+def article_filter(category=None, league=None, org=None, status=None, source=None, search=None, collation: str | None = None) -> Column:
+    """Conjunction of the given filters.  Search values are LIKE patterns, % and _ included; a backslash is itself.
+
+    With a ``collation`` (``UNICODE_CI_AI``: neither case nor accents count) search
+    values are plain text that has to be contained under that collation.
+    """
     def like(value, *columns):
+        if collation:
+            return reduce(lambda a, b: a | b, [F.contains(F.collate(F.col(c), collation), F.lit(value)) for c in columns])
         value = value.replace("\\", "\\\\")
         return reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{value}%") for c in columns])
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pressweave import fixed_values as fv
 from pressweave.functions.text import lit_array, strip, text_or_empty
 from pressweave.functions.values import total
+from pressweave.operators.keyfilter import distinct_values, key_filter, may_hold, substrings_of
+
 
 def quality_score(df: DataFrame, placeholders=fv.QUALITY_PLACEHOLDERS) -> Column:
     """Completeness of an annotated row; higher is better."""
@@ -51,27 +53,35 @@ def first_contained(name: Column, table: dict[str, str]) -> Column:
     return F.when(low == "", "").otherwise(F.coalesce(F.get(found, F.lit(0))["value"], F.lit("")))
 
 
-def substrings(c: Column) -> Column:
-    """All distinct substrings of a short text."""
-    n = F.length(c)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda size: F.substring(c, i, size)))))
-
-
 def contained_value(df: DataFrame, column: str, table: DataFrame, into: str, both_ways: bool = False) -> DataFrame:
     """Adds the value of the first key (by ``ord``) of a table (key, value, ord) that the column contains; NULL when none is.
 
     With ``both_ways`` also keys that contain the column.  Containment becomes an
     equi-join of substrings, over distinct names only, so neither side is limited.
+    Only substrings as long as some key are made, one at a time, and a filter over
+    the keys rules out nearly all of them before the join.
     """
     names = df.select(F.lower(text_or_empty(F.col(column))).alias("_name")).filter("_name <> ''").distinct()
     keys = table.select(F.lower("key").alias("_key"), F.col("value").alias("_value"), F.col("ord").alias("_ord")).filter("_key <> ''")
-    hits = names.select("_name", F.explode(substrings(F.col("_name"))).alias("_key")).join(keys, "_key").select("_name", "_value", "_ord")
+
+    def inside(texts: DataFrame, text: str, wanted: DataFrame, key: str) -> DataFrame:
+        parts = substrings_of(texts, text, distinct_values(wanted, F.length(key)), "_part")
+        likely = parts.filter(may_hold(key_filter(wanted.select(F.xxhash64(key))), F.xxhash64("_part"))).distinct()
+        return likely.join(wanted, F.col("_part") == F.col(key)).select("_name", "_value", "_ord")
+
+    hits = inside(names, "_name", keys, "_key")
     if both_ways:
-        parts = keys.select(F.explode(substrings(F.col("_key"))).alias("_name"), "_value", "_ord")
-        hits = hits.unionByName(names.join(parts, "_name").select("_name", "_value", "_ord"))
+        hits = hits.unionByName(inside(keys, "_key", names, "_name"))
     first = hits.groupBy("_name").agg(F.min_by("_value", "_ord").alias(into))
-    return (df.withColumn("_name", F.lower(text_or_empty(F.col(column)))).join(first, "_name", "left").drop("_name"))
+    return df.withColumn("_name", F.lower(text_or_empty(F.col(column)))).join(first, "_name", "left").drop("_name")
+
+
+def with_source_score(df: DataFrame, scores: dict[str, int] | DataFrame, default: int = fv.DEFAULT_SOURCE_SCORE, into: str = "credibility") -> DataFrame:
+    """Adds the score of ``source``, from a parameter table or a table (key, value, ord) of any size."""
+    if isinstance(scores, DataFrame):
+        rows = contained_value(df, "source", scores, "_score", both_ways=True)
+        return rows.withColumn(into, F.coalesce(F.col("_score").cast("double"), F.lit(float(default)))).drop("_score")
+    return df.withColumn(into, source_score(F.col("source"), scores, default).cast("double"))
 
 
 def age_hours(published: Column, as_of: Column) -> Column:

@@ -1,28 +1,24 @@
-"""Upserts and versions of stored tables.
+"""Upserts into stored tables.
 
-An article table is a folder of data files that never change and of manifests.  A
-manifest names, for each publication date, the folder that holds its rows now; the
-manifest with the highest number is the table.  A write adds data folders and then
-one manifest, created under its final name in one step, so readers see the old table or the new one.
-
-The article key is a hash that includes the publication date, so equal keys have
-equal dates: a batch reads and rewrites only the dates it has rows for.
+An article table is a Parquet folder partitioned by publication date.  The article key
+is a hash that includes the date, so equal keys have equal dates: a batch reads and
+rewrites only the dates it has rows for.  The merged dates are written beside the table
+first and then replace the old ones by Spark's dynamic partition overwrite.  A table has
+one writer at a time.
 """
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pressweave.functions.text import non_empty, text_or_empty
 from pressweave.operators.dedup import first_per_group
-from pressweave.sources.tables import remove
+from pressweave.sources.tables import exists, remove
 
 PARTITION = "published_date"
-UNDATED = "__HIVE_DEFAULT_PARTITION__"
 
 
 def upsert(existing: DataFrame, batch: DataFrame, key: str, keep_existing=("created_at",), op: str = "op",
@@ -82,15 +78,25 @@ def upsert_sources(existing: DataFrame, rolled_up: DataFrame) -> DataFrame:
         *rest)
 
 
+def write_counted(df: DataFrame, path: str, mode: str = "error", **counters: Column) -> dict:
+    """Write rows and return aggregates over them, counted by the same pass that writes them."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(name) for name, c in counters.items()]).write.mode(mode).parquet(path)
+    return seen.get
+
+
 def by_date(df: DataFrame) -> DataFrame:
     """Gather rows by date for writing: few files per date, and a date with many rows is split."""
     return df.hint("rebalance", F.col(PARTITION))
 
 
+def has_key() -> Column:
+    return F.coalesce(F.col("external_key") != "", F.lit(False))
+
+
 def usable(batch: DataFrame) -> DataFrame:
     """Rows with a key, with their date."""
-    rows = batch.filter(F.col("external_key").isNotNull() & (F.col("external_key") != ""))
-    return rows.withColumn(PARTITION, F.to_date("published_at"))
+    return batch.filter(has_key()).withColumn(PARTITION, F.to_date("published_at"))
 
 
 def newest(batch: DataFrame, version: str = "updated_at") -> DataFrame:
@@ -98,79 +104,31 @@ def newest(batch: DataFrame, version: str = "updated_at") -> DataFrame:
     return first_per_group(batch, ["external_key"], [F.desc(version), F.xxhash64(*batch.columns)])
 
 
-def manifests(spark: SparkSession, path: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    return sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table as it is now, all columns that any batch brought; None where nothing is stored."""
+    try:
+        rows = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException:
+        if exists(spark, path) and any_file(spark, path):
+            raise
+        return None
+    return rows.withColumn(PARTITION, F.col(PARTITION).cast("date")) if PARTITION in rows.columns else rows
 
 
-def current(spark: SparkSession, path: str) -> dict | None:
-    """The manifest that is the table now; None if there is no table."""
-    names = manifests(spark, path)
-    if not names:
-        return None
-    text = spark.read.text(f"{path}/_manifests/{names[-1]}", wholetext=True).first()
-    return json.loads(text["value"])
-
-
-def publish(spark: SparkSession, path: str, manifest: dict) -> None:
-    """Create the next manifest; it fails if another writer has published that version meanwhile."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/{manifest['version']:012d}.json")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/.{uuid.uuid4().hex}")
-    out = fs.create(draft, False)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
-    if fs.exists(target) or not fs.rename(draft, target):
-        fs.delete(draft, False)
-        raise RuntimeError(f"version {manifest['version']} of {path} has been written by another job")
-
-
-def rows_of(spark: SparkSession, path: str, manifest: dict, dates: list[str] | None = None) -> DataFrame:
-    """The rows of the table, or of some of its dates."""
-    schema = T.StructType.fromJson(manifest["schema"])
-    wanted = [d for d in manifest["dates"] if dates is None or d in dates]
-    if not wanted:
-        return spark.createDataFrame([], schema)
-    folders = [f"{path}/data/{manifest['dates'][d]['batch']}/{PARTITION}={d}" for d in wanted]
-    full = T.StructType([*schema.fields, *([] if PARTITION in schema.names else [T.StructField(PARTITION, T.DateType())])])
-    return spark.read.schema(full).option("basePath", f"{path}/data").parquet(*folders).select(*schema.names)
+def any_file(spark: SparkSession, path: str) -> bool:
+    return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """The table as it is now, all columns that any batch brought."""
-    manifest = current(spark, path)
-    if manifest is None:
+    rows = stored_table(spark, path)
+    if rows is None:
         raise FileNotFoundError(path)
-    return rows_of(spark, path, manifest)
-
-
-def land(spark: SparkSession, path: str, rows: DataFrame) -> tuple[str, dict, dict]:
-    """Write rows (with ``op``) as a data folder; its name, the rows per date, and the rows per kind of change."""
-    name = f"batch={uuid.uuid4().hex}"
-    by_date(rows).write.partitionBy(PARTITION).parquet(f"{path}/data/{name}")
-    stored = spark.read.schema(rows.schema).parquet(f"{path}/data/{name}")
-    dates, kinds = {}, {}
-    for r in stored.groupBy(PARTITION, "op").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per day and kind
-        day = UNDATED if r[PARTITION] is None else str(r[PARTITION])
-        dates[day] = {"batch": name, "rows": dates.get(day, {"rows": 0})["rows"] + r["n"]}
-        kinds[r["op"]] = kinds.get(r["op"], 0) + r["n"]
-    return name, dates, kinds
-
-
-def stored_schema(df: DataFrame) -> dict:
-    return T.StructType([f for f in df.schema if f.name != "op"]).jsonValue()
+    return rows
 
 
 def write_articles(df: DataFrame, path: str) -> None:
     """Drop and reload: the table is written anew; rows without a key are left out."""
-    spark = df.sparkSession
-    before = current(spark, path)
-    rows = usable(df).withColumn("op", F.lit("insert"))
-    _, dates, _ = land(spark, path, rows)
-    publish(spark, path, {"version": (before or {"version": 0})["version"] + 1, "schema": stored_schema(rows), "dates": dates, "last": None})
+    by_date(usable(df)).write.mode("overwrite").partitionBy(PARTITION).parquet(path)
 
 
 def upsert_articles(spark: SparkSession, path: str, batch: DataFrame, batch_id: str | int | None = None) -> DataFrame:
@@ -179,53 +137,39 @@ def upsert_articles(spark: SparkSession, path: str, batch: DataFrame, batch_id:
     The newest ``updated_at`` wins, inside the batch and against the stored row, so
     the table does not depend on how rows fall into batches.  Rows without a key are
     left out and counted as ``skipped``; stored columns that the batch lacks stay.
-    A batch whose id is that of the last one published changes nothing and returns the counters stored with it.
+    What a batch with an id has merged is kept beside the table until it is in place,
+    and its counters for good: repeating the batch, wherever it stopped, changes
+    nothing more and returns the same counters.
     """
-    manifest = current(spark, path) or {"version": 0, "schema": None, "dates": {}, "last": None}
-    last = manifest["last"]
-    if batch_id is None or not last or last["id"] != str(batch_id):
-        staging = f"{path}/staging/{uuid.uuid4().hex}"
+    staging = f"{path}.staging/batch={uuid.uuid4().hex if batch_id is None else batch_id}"
+    landed, merged_at, counters_at, done = (f"{staging}/{name}" for name in ("landed", "merged", "counters", "done"))
+    if not exists(spark, f"{counters_at}/_SUCCESS"):
         # the batch is used more than once below, so it is computed once and written
-        batch.withColumn(PARTITION, F.to_date("published_at")).write.parquet(staging)
-        written = spark.read.parquet(staging)
-        rows = newest(usable(written))
-        skipped = written.count() - usable(written).count()
-        days = [UNDATED if r[0] is None else str(r[0]) for r in usable(written).select(PARTITION).distinct().collect()]
-        if manifest["schema"] is None:
-            merged = rows.withColumn("op", F.lit("insert"))
-        else:
-            # only the dates of the batch are read and written again
-            merged = upsert(rows_of(spark, path, manifest, days), rows, "external_key", version="updated_at")
-        _, dates, kinds = land(spark, path, merged)
-        manifest["dates"].update(dates)
-        counters = {"inserted": kinds.get("insert", 0), "updated": kinds.get("update", 0), "skipped": skipped,
-                    "total": sum(d["rows"] for d in manifest["dates"].values())}
-        last = {"id": str(batch_id), "counters": counters}
-        publish(spark, path, {"version": manifest["version"] + 1, "schema": stored_schema(merged), "dates": manifest["dates"], "last": last})
-        remove(spark, staging)
-    return spark.createDataFrame([tuple(last["counters"][c] for c in ("inserted", "updated", "skipped", "total"))],
-                                 "inserted long, updated long, skipped long, total long")
-
-
-def vacuum(spark: SparkSession, path: str) -> int:
-    """Remove the date folders and manifests that the table no longer uses; for times without readers of old versions."""
-    manifest, names = current(spark, path), manifests(spark, path)
-    used = {f"{d['batch']}/{PARTITION}={day}" for day, d in manifest["dates"].items()}
-    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/batch=*/{PARTITION}=*")
-    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
-    folders = [f"{f.getPath().getParent().getName()}/{f.getPath().getName()}" for f in found]
-    old = [f for f in folders if f not in used]
-    for name in old:
-        remove(spark, f"{path}/data/{name}")
-    for name in names[:-1]:
-        remove(spark, f"{path}/_manifests/{name}")
-    return len(old)
+        got = write_counted(batch.withColumn(PARTITION, F.to_date("published_at")), landed, "overwrite", skipped=F.count_if(~has_key()))
+        rows = newest(usable(spark.read.parquet(landed)))
+        stored, before = stored_table(spark, path), 0
+        merged = rows.withColumn("op", F.lit("insert"))
+        if stored is not None:
+            before = stored.count()
+            days = [r[0] for r in rows.select(PARTITION).distinct().collect()]  # a value per day
+            touched = F.col(PARTITION).isin([d for d in days if d]) | (F.col(PARTITION).isNull() & F.lit(None in days))
+            merged = upsert(stored.filter(touched), rows, "external_key", version="updated_at")
+        kinds = write_counted(merged, merged_at, "overwrite", inserted=F.count_if(F.col("op") == "insert"), updated=F.count_if(F.col("op") == "update"))
+        counters = (kinds["inserted"], kinds["updated"], got["skipped"], before + kinds["inserted"])
+        (spark.createDataFrame([counters], "inserted long, updated long, skipped long, total long").coalesce(1).write.mode("overwrite").parquet(counters_at))
+    if not exists(spark, f"{done}/_SUCCESS"):
+        rows = spark.read.parquet(merged_at).drop("op")
+        by_date(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(done)
+        remove(spark, landed)
+        remove(spark, merged_at)
+    return spark.read.parquet(counters_at)
 
 
 def import_if_empty(spark: SparkSession, path: str, batch: DataFrame) -> bool:
     """Bootstrap: write the batch only when the table is missing or has no row."""
-    manifest = current(spark, path)
-    if manifest and any(d["rows"] for d in manifest["dates"].values()):
+    stored = stored_table(spark, path)
+    if stored is not None and not stored.isEmpty():
         return False
     write_articles(batch, path)
     return True
@@ -233,5 +177,7 @@ def import_if_empty(spark: SparkSession, path: str, batch: DataFrame) -> bool:
 
 def find_article(spark: SparkSession, path: str, key: str, published: str | None = None) -> DataFrame:
     """The row of a key; with its date only that date's files are read."""
-    manifest = current(spark, path)
-    return rows_of(spark, path, manifest, None if published is None else [published]).filter(F.col("external_key") == key)
+    rows = read_articles(spark, path)
+    if published is not None:
+        rows = rows.filter(F.col(PARTITION) == F.lit(published).cast("date"))
+    return rows.filter(F.col("external_key") == key)

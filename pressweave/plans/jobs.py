@@ -16,7 +16,7 @@ from pressweave.operators.merge import merge_stories
 from pressweave.operators.query import article_filter, page_of
 from pressweave.operators.report import (cards, category_digest, category_kpis, in_report_order, report_index,
                                          report_rows)
-from pressweave.operators.score import source_score
+from pressweave.operators.score import with_source_score
 from pressweave.operators.topic import TopicRules, keep_on_topic
 from pressweave.sources.aliases import first_by_alias
 from pressweave.sources.tables import settle
@@ -24,28 +24,31 @@ from pressweave.sources.tables import settle
 LOCAL_CREDIBILITY = 4.0
 
 
-def annotate_job(items: DataFrame, order: str, rules: TopicRules, entities: dict, org_aliases: dict[str, str],
-                 cache: DataFrame, badges: dict[str, str], pages: DataFrame | None = None,
-                 external: DataFrame | None = None, scores: dict[str, int] = fv.SOURCE_SCORES, **lexicon) -> DataFrame:
-    """Landed items -> topic filter -> annotation -> image -> story merge -> source score."""
+def annotate_job(items: DataFrame, order: str, rules: TopicRules, entities: dict | DataFrame, org_aliases: dict[str, str] | DataFrame,
+                 cache: DataFrame, badges: dict[str, str] | DataFrame, pages: DataFrame | None = None,
+                 external: DataFrame | None = None, scores: dict[str, int] | DataFrame = fv.SOURCE_SCORES, **lexicon) -> DataFrame:
+    """Landed items -> topic filter -> annotation -> image -> story merge -> source score.
+
+    ``order`` is a unique column of whole numbers; ``pages`` has url and image_url.
+    Every dictionary may be a parameter or a table of any size.
+    """
     if external is not None:
         items = skip_off_topic(items, external, order)
     rows = keep_on_topic(items, rules, keep_norm=True, key=order)
     rows = annotate(rows, entities, org_aliases, key=order, **lexicon).withColumn("credibility", F.lit(LOCAL_CREDIBILITY))
     if external is not None:
         rows = merge_annotations(rows, external, order)
-    rows = resolve_images(rows, cache, badges, pages)
+    rows = resolve_images(rows, order, cache, badges, pages)
     rows = rows.withColumn("image_url", F.col("best_image")).drop("best_image")
     fields = [F.col(c) for c in ("status", "entity", "org_from", "org_to", "fee_text", "title")]
     status, entity, org_from, org_to, fee, title = fields
     rows = (rows.withColumn("_headline", headline(status, entity, org_from, org_to, fee, title))
             .withColumn("summary", bullet_summary(entity, org_from, org_to, fee, title))
             .withColumn("title", F.col("_headline")).drop("_headline"))
-    merged = merge_stories(rows, order)
-    return merged.withColumn("credibility", source_score(F.col("source"), scores).cast("double"))
+    return with_source_score(merge_stories(rows, order), scores)
 
 
-def normalize_import(raw: DataFrame, order: str, rules: TopicRules, entities: dict, org_aliases: dict[str, str],
+def normalize_import(raw: DataFrame, order: str, rules: TopicRules, entities: dict | DataFrame, org_aliases: dict[str, str] | DataFrame,
                      classes: dict[str, list[str]] = fv.CLASS_KEYWORDS, default_class: str = fv.DEFAULT_LEAGUE) -> DataFrame:
     """Rows of a CSV with drifting columns as article rows, first row of each key."""
     def pick(*aliases):
@@ -67,14 +70,14 @@ def normalize_import(raw: DataFrame, order: str, rules: TopicRules, entities: di
                        credibility=parse_float(F.col("credibility")),
                        **{c: polish_text(F.col(c), cleaned=True) for c in polished})
     rows = rows.withColumn("source", F.coalesce(non_empty(F.col("source")), F.lit(fv.UNKNOWN_SOURCE)))
-    rows = keep_on_topic(rows.filter(F.col("title") != ""), rules, keep_norm=True)
+    rows = keep_on_topic(rows.filter(F.col("title") != ""), rules, keep_norm=True, key="ord")
     said = F.concat_ws(" ", "title", "summary")
     rows = materialize(
         rows, [c for c in rows.columns if c not in ("category", "summary", "sentiment")],
         category=F.coalesce(non_empty(F.col("category")), classify(F.col("_norm"), classes, default_class)),
         summary=F.coalesce(non_empty(F.col("summary")), shorten(F.col("title"), 220)),
         _sentiment=F.coalesce(non_empty(F.col("sentiment")), lexicon_sentiment(said)))
-    rows = fill_placeholders(rows, entities, org_aliases)
+    rows = fill_placeholders(rows, entities, org_aliases, key="ord")
     rows = (rows
             .withColumn("league", F.coalesce(non_empty(F.col("_league")), F.col("category")))
             .withColumn("sentiment", F.col("_sentiment"))
@@ -100,24 +103,20 @@ def report_job(raw: DataFrame, order: str) -> dict[str, DataFrame]:
             "digest": category_digest(rows), "index": report_index(rows)}
 
 
-def reannotate(stored: DataFrame, rules: TopicRules, entities: dict, org_aliases: dict[str, str], cache: DataFrame,
-               badges: dict[str, str], pages: DataFrame | None = None, **lexicon) -> DataFrame:
-    """Drop off-topic rows, recompute entity, organisations, status and image of the rest."""
-    kept = keep_on_topic(stored.withColumn("_none", F.lit("")), rules, source="_none", keep_norm=True).drop("_none")
-    fresh = annotate(kept.select("*", *[F.col(c).alias("_in_" + c) for c in ("league", "sentiment", "fee_text",
-                                                                            "fee_numeric", "story_key", "nationality")
-                                        if c in stored.columns]), entities, org_aliases, **lexicon)
-    for c in [c for c in fresh.columns if c.startswith("_in_")]:
-        fresh = fresh.withColumn(c[4:], F.col(c)).drop(c)
-    fresh = resolve_images(fresh, cache, badges, pages)
+def reannotate(stored: DataFrame, key: str, rules: TopicRules, entities: dict | DataFrame, org_aliases: dict[str, str] | DataFrame, cache: DataFrame,
+               badges: dict[str, str] | DataFrame, pages: DataFrame | None = None, **lexicon) -> DataFrame:
+    """Drop off-topic rows, recompute entity, organisations, status and image of the rest; other columns stay."""
+    kept = keep_on_topic(stored.withColumn("_none", F.lit("")), rules, source="_none", keep_norm=True, key=key).drop("_none")
+    fresh = annotate(kept, entities, org_aliases, key=key, fields=["entity", "org_from", "org_to", "status"], **lexicon)
+    fresh = resolve_images(fresh, key, cache, badges, pages)
     return fresh.withColumn("image_url", F.col("best_image")).select(*stored.columns)
 
 
-def backfill_images(stored: DataFrame, cache: DataFrame, badges: dict[str, str], pages: DataFrame | None = None) -> DataFrame:
+def backfill_images(stored: DataFrame, key: str, cache: DataFrame, badges: dict[str, str] | DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Fill the image of rows without a good one; other rows stay as they are."""
     current = text_or_empty(F.col("image_url"))
-    bad = ~current.startswith("http") | F.lower(current).rlike("pixel|spacer|blank")
-    done = resolve_images(stored, cache, badges, pages)
+    bad = ~current.startswith("http") | F.lower(current).rlike(fv.PLACEHOLDER_IMAGE_PATTERN)
+    done = resolve_images(stored, key, cache, badges, pages)
     return done.withColumn("image_url", F.when(bad & (F.col("best_image") != ""), F.col("best_image"))
                            .otherwise(F.col("image_url"))).select(*stored.columns)
 

@@ -56,7 +56,7 @@ def entity_match(spark, sf):
 @query("entity_match_join", f"WITH {NORMED}, {ENTITY_SQL} SELECT doc_id, name AS entity FROM entity")
 def entity_match_join(spark, sf):
     terms = m.terms_table(spark, ENTITY_TERMS)
-    hits = m.phrase_hits_join(combined(spark, sf), "doc_id", "norm", terms, max(len(t.term.split()) for t in ENTITY_TERMS))
+    hits = m.phrase_hits_join(combined(spark, sf), "doc_id", "norm", terms)
     return hits.groupBy("doc_id").agg(F.min_by("canonical", "rank").alias("entity"))
 
 
@@ -67,7 +67,7 @@ def dictionary_match(spark, sf):
     """A dictionary that grows with the corpus: every word of a title."""
     rows = materialize(combined(spark, sf), norm_title=norm_text(F.col("title")))
     words = rows.select(F.explode(F.split("norm_title", " ")).alias("term")).filter(F.length("term") >= 4).distinct()
-    hits = m.phrase_hits_join(rows, "doc_id", "norm", words.select(F.lit(0).cast("long").alias("rank"), "term", F.col("term").alias("canonical")), 1)
+    hits = m.phrase_hits_join(rows, "doc_id", "norm", words.select(F.lit(0).cast("long").alias("rank"), "term", F.col("term").alias("canonical")))
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.min_by("term", F.struct(-F.length("term"), "term")).alias("longest"))
 
 
@@ -188,15 +188,14 @@ scored AS (SELECT *, CASE WHEN fee_text = 'Non communiqué' THEN 0.0 ELSE {s.num
  {s.story_key('entity', 'org_from', 'org_to')} AS story_key FROM annotated)"""
 
 
-def annotated(spark, sf, rows: DataFrame | None = None) -> DataFrame:
-    """Documents with the local annotation."""
-    return an.annotate(docs(spark, sf) if rows is None else rows, p.ENTITIES, p.ORGS, p.CLASSES, p.DEFAULT_CLASS,
-                       p.STATUS, p.WORDING)
+def annotated(spark, sf, fields=an.ANNOTATED) -> DataFrame:
+    """Documents with the local annotation, or some fields of it."""
+    return an.annotate(docs(spark, sf), p.ENTITIES, p.ORGS, p.CLASSES, p.DEFAULT_CLASS, p.STATUS, p.WORDING, fields=fields)
 
 
 @query("direction", f"WITH {ANNOTATED_SQL} SELECT doc_id, org_from, org_to FROM scored")
 def direction(spark, sf):
-    return annotated(spark, sf).select("doc_id", "org_from", "org_to")
+    return annotated(spark, sf, ["org_from", "org_to"]).select("doc_id", "org_from", "org_to")
 
 
 @query("annotate", f"""WITH {ANNOTATED_SQL} SELECT doc_id, entity, nationality, org_from, org_to, status, league, fee_text,
@@ -221,7 +220,7 @@ BULLETS_SQL = """concat_ws(chr(10) || chr(10), CASE WHEN entity <> '' AND org_to
 @query("headlines", f"WITH {ANNOTATED_SQL} SELECT doc_id, {HEADLINE_SQL} AS headline, {BULLETS_SQL} AS bullets FROM scored")
 def headlines(spark, sf):
     c = [F.col(x) for x in ("entity", "org_from", "org_to", "fee_text", "title")]
-    return annotated(spark, sf).select("doc_id", an.headline(F.col("status"), *c).alias("headline"),
+    return annotated(spark, sf, ["status", "entity", "org_from", "org_to", "fee_text"]).select("doc_id", an.headline(F.col("status"), *c).alias("headline"),
                                        an.bullet_summary(*c).alias("bullets"))
 
 
@@ -245,7 +244,7 @@ def annotation_merge(spark, sf):
         F.when(d % 3 == 0, "Org").otherwise("").alias("org_from"),
         F.when(d % 4 == 0, F.concat(F.lit("K-"), (d % 7).cast("string"))).otherwise("").alias("story_key"),
         F.when(d % 5 == 0, 3.5).alias("credibility"))
-    local = annotated(spark, sf).drop("summary").withColumn("credibility", F.lit(4.0))
+    local = annotated(spark, sf, [f for f in an.ANNOTATED if f != "sentiment"]).drop("summary").withColumn("credibility", F.lit(4.0))
     return an.merge_annotations(local, ext, "doc_id").select(
         "doc_id", "entity", "org_from", "org_to", "league", "credibility", "story_key", "annotated_by")
 
@@ -274,7 +273,7 @@ quality AS (SELECT *, CASE WHEN trim(entity) IN {s.lst(fv.QUALITY_PLACEHOLDERS['
 
 
 def stories(spark, sf) -> DataFrame:
-    rows = annotated(spark, sf).select(
+    rows = annotated(spark, sf, ["entity", "org_from", "org_to", "nationality", "league", "status", "story_key"]).select(
         "doc_id", "title", "summary", "source", "entity", "org_from", "org_to", "nationality", "league", "status", "story_key",
         F.expr(MERGE_IMAGE).alias("image_url"), F.expr(MERGE_FEE).alias("fee_text"),
         F.when(F.col("doc_id") % 4 == 0, (F.col("n_chars") % 60).cast("double")).otherwise(0.0).alias("fee_numeric"))
@@ -318,7 +317,25 @@ def source_score(spark, sf):
 
 @query("badge_lookup", f"""WITH {ANNOTATED_SQL} SELECT doc_id, org_to, CASE {' '.join(f"WHEN contains(lower(org_to), {s.q(k.lower())}) THEN {s.q(v)}" for k, v in p.BADGES.items())} ELSE '' END AS badge FROM scored""")
 def badge_lookup(spark, sf):
-    return annotated(spark, sf).select("doc_id", "org_to", sc.first_contained(F.col("org_to"), p.BADGES).alias("badge"))
+    return annotated(spark, sf, ["org_to"]).select("doc_id", "org_to", sc.first_contained(F.col("org_to"), p.BADGES).alias("badge"))
+
+
+@query("badge_by_table", f"""WITH {ANNOTATED_SQL} SELECT doc_id, org_to, coalesce(CASE {' '.join(f"WHEN contains(lower(org_to), {s.q(k.lower())}) THEN {s.q(v)}" for k, v in p.BADGES.items())} END, '') AS badge FROM scored""")
+def badge_by_table(spark, sf):
+    """Badges that are a table of any size."""
+    badges = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(p.BADGES.items())], "key string, value string, ord int")
+    rows = sc.contained_value(annotated(spark, sf, ["org_to"]).select("doc_id", "org_to"), "org_to", badges, "badge")
+    return rows.withColumn("badge", F.coalesce("badge", F.lit("")))
+
+
+@query("names_in_titles", f"""WITH {s.DOCS}, k AS (SELECT lower(substr(trim(text), 1, 4)) AS key, min(item_id) AS ord FROM benchmark GROUP BY 1),
+h AS (SELECT t, arg_min(key, ord) AS name FROM (SELECT DISTINCT lower(title) AS t FROM docs WHERE title <> '') JOIN k ON contains(t, key) GROUP BY 1)
+SELECT doc_id, h.name FROM docs LEFT JOIN h ON h.t = lower(title)""")
+def names_in_titles(spark, sf):
+    """Keys that come from a table, looked for in every title whatever its length."""
+    key = F.lower(F.substring(F.trim("text"), 1, 4))
+    keys = table(spark, sf, "benchmark").groupBy(key.alias("key")).agg(F.min("item_id").alias("ord")).withColumn("value", F.col("key"))
+    return sc.contained_value(docs(spark, sf).select("doc_id", "title"), "title", keys, "name").select("doc_id", "name")
 
 
 @query("nationality_lookup", f"""WITH {NORMED}, {ENTITY_SQL} SELECT doc_id, e.name AS entity, n.nationality FROM entity e

@@ -11,6 +11,7 @@ from pressweave.plans.views import docs, pages, table
 from pressweave.queries import params as p
 from pressweave.queries import sql as s
 from pressweave.queries.annotation import ANNOTATED_SQL, MERGE_IMAGE, RULES, annotated
+from pressweave.sources import cardtree as ct_pages
 from pressweave.sources import feeds as fd
 from pressweave.sources import pages as pg
 from pressweave.sources import tables as tb
@@ -76,7 +77,7 @@ def landed_feeds(spark, sf) -> DataFrame:
 
 
 FEED = f"""lines AS (SELECT doc_id, source, lang, text_lines[i] AS line, i - 1 AS i FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS text_lines,
-  unnest(range(1, least(len(text_lines), 25) + 1)) AS i FROM documents)),
+  unnest(range(1, len(text_lines) + 1)) AS i FROM documents)),
 f0 AS (SELECT *, {s.strip(s.collapse("substr(line, 1, 80)"))} AS title, 'https://n.example.org/' || doc_id || '/' || i AS url,
  'https://i.example.org/' || i || '.jpg' AS img, {s.strip(s.collapse('line'))} AS body FROM lines),
 items AS (SELECT doc_id, source, lang, i AS position, title, url, CASE WHEN i % 3 = 0 THEN 'Tue, 02 Jan 2024' ELSE '{p.TODAY}' END AS raw_date,
@@ -85,47 +86,81 @@ items AS (SELECT doc_id, source, lang, i AS position, title, url, CASE WHEN i %
 
 @query("feed_items", f"WITH {FEED} SELECT doc_id, position, title, url, raw_date, md5(summary) AS summary FROM items")
 def feed_items(spark, sf):
-    items = fd.feed_items(landed_feeds(spark, sf), p.TODAY, keep=("doc_id",))
+    items = fd.feed_items(landed_feeds(spark, sf), p.TODAY, keep=("doc_id",), limit=None)
     return items.select("doc_id", F.col("position").cast("bigint").alias("position"), "title", "url", "raw_date", F.md5("summary").alias("summary"))
 
 
 @query("feed_images", f"WITH {FEED} SELECT url, image_url FROM items")
 def feed_images(spark, sf):
-    return fd.feed_items(landed_feeds(spark, sf), p.TODAY, keep=("doc_id",)).select("url", "image_url")
+    return fd.feed_items(landed_feeds(spark, sf), p.TODAY, keep=("doc_id",), limit=None).select("url", "image_url")
 
 
 @query("feed_landing", f"""WITH {FEED}, n AS (SELECT *, {s.norm("title || ' ' || summary")} AS norm FROM items)
-SELECT url, source, lang AS language, substr(summary, 1, 400) AS summary FROM n WHERE norm <> '' AND NOT {s.contains_any(s.norm('source'), p.BLOCKED)}
+SELECT url, source, lang AS language, summary FROM n WHERE norm <> '' AND NOT {s.contains_any(s.norm('source'), p.BLOCKED)}
 AND ({s.hit('norm', RULES.entities + RULES.orgs)} OR (({s.any_pattern('norm', p.TOPIC)} OR {s.contains_any("(title || ' ' || summary)", p.TOPIC_RAW)}) AND NOT {s.any_pattern('norm', p.OFF_TOPIC)}))""")
 def feed_landing(spark, sf):
     catalog = table(spark, sf, "documents").select(
         F.col("doc_id").alias("feed"), F.col("source").alias("name"), F.col("lang").alias("language"), F.col("lang").alias("category"))
+    items = fd.feed_items(landed_feeds(spark, sf).withColumnRenamed("doc_id", "feed"), p.TODAY, limit=None)
+    return fd.land_items(items, catalog, RULES, summary_limit=None).select("url", "source", "language", "summary")
+
+
+@query("feed_unknown", f"""WITH {FEED} SELECT url, CASE WHEN doc_id % 2 = 0 THEN source END AS source, CASE WHEN doc_id % 2 = 0 THEN lang END AS language, md5(substr(summary, 1, 400)) AS summary
+FROM items WHERE position < 25""")
+def feed_unknown(spark, sf):
+    """The limits of a landing run, and feeds that the catalog lacks."""
+    catalog = table(spark, sf, "documents").filter("doc_id % 2 = 0").select(
+        F.col("doc_id").alias("feed"), F.col("source").alias("name"), F.col("lang").alias("language"), F.col("lang").alias("category"))
     items = fd.feed_items(landed_feeds(spark, sf).withColumnRenamed("doc_id", "feed"), p.TODAY)
-    return fd.land_items(items, catalog, RULES).select("url", "source", "language", "summary")
+    return fd.land_items(items, catalog).select("url", "source", "language", F.md5("summary").alias("summary"))
 
 
 BASE = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 
 
-@query("page_cards", f"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g') AS h FROM pages),
+CARDS_SQL = f"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g') AS h FROM pages),
 l AS (SELECT page_id, url, unnest(regexp_extract_all(h, '(?is)<li\\b[^>]*>.*?</li\\s*>')[:30]) AS e, generate_subscripts(regexp_extract_all(h, '(?is)<li\\b[^>]*>.*?</li\\s*>')[:30], 1) AS i FROM b),
 t AS (SELECT page_id, url, i, trim(regexp_replace(regexp_extract(e, '(?is)<a\\b[^>]*>(.*?)</a\\s*>', 1), '<[^>]*>', '', 'g')) AS title, regexp_extract(e, 'href="([^"]*)"', 1) AS href FROM l),
 u AS (SELECT *, row_number() OVER (PARTITION BY page_id, title ORDER BY i) AS k FROM t WHERE length(title) >= 10 AND href <> '')
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS position, title, CASE WHEN starts_with(href, 'http') THEN href ELSE {BASE} || '/' || ltrim(href, '/') END AS url,
- '{p.TODAY}' AS date FROM u WHERE k = 1""")
+ '{p.TODAY}' AS date FROM u WHERE k = 1"""
+
+
+@query("page_cards", CARDS_SQL)
 def page_cards(spark, sf):
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     cards = pg.page_cards(pages(spark, sf), base, base, p.TODAY, containers=("li",), titles=("a",))
     return cards.select("page_id", F.col("position").cast("bigint").alias("position"), "title", "url", "date")
 
 
-@query("page_metadata", f"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+@query("page_cards_tree", CARDS_SQL)
+def page_cards_tree(spark, sf):
+    """The same cards from a parsed page."""
+    base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    cards = ct_pages.page_cards(pages(spark, sf), base, base, p.TODAY, containers=("li",), titles=("a",), enough=0)
+    return cards.select("page_id", F.col("position").cast("bigint").alias("position"), "title", "url", "date")
+
+
+@query("page_cards_headings", f"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1) AS hs FROM pages),
+t AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(hs[i], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM (SELECT page_id, hs, unnest(range(1, least(len(hs), 40) + 1)) AS i FROM h))
+SELECT page_id, title, 'https://n.example.org/p/' || page_id AS url, '{p.TODAY}' AS date FROM t WHERE length(title) >= 10
+QUALIFY row_number() OVER (PARTITION BY page_id, title ORDER BY i) = 1""")
+def page_cards_headings(spark, sf):
+    """Headings deep inside a link: the page's body stands in one."""
+    linked = pages(spark, sf).withColumn("html", F.concat(F.lit('<a href="/p/'), F.col("page_id").cast("string"), F.lit('"><div>'), "html", F.lit("</div></a>")))
+    base = F.lit("https://n.example.org")
+    return ct_pages.page_cards(linked, base, base, p.TODAY, containers=("none",)).filter("by_heading").select("page_id", "title", "url", "date")
+
+
+PARAGRAPH_SQL = f"""b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?is)<nav\\b[^>]*>.*?</nav\\s*>', ' ', 'g'),
  '(?is)<header\\b[^>]*>.*?</header\\s*>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g'), '(?is)<aside\\b[^>]*>.*?</aside\\s*>', ' ', 'g') AS h FROM pages),
 l AS (SELECT page_id, url, regexp_extract_all(h, '(?is)<p\\b[^>]*>(.*?)</p\\s*>', 1) AS ps FROM b),
 t AS (SELECT page_id, url, list_filter(list_transform(ps, lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: length(x) > 60) AS ts FROM l),
-f AS (SELECT page_id, url, CASE WHEN length(coalesce(ts[1], '')) > 300 THEN substr(ts[1], 1, 300) || '...' ELSE coalesce(ts[1], '') END AS summary FROM t)
-SELECT page_id, url, summary, '' AS image_url, summary AS image_caption FROM f""")
+f AS (SELECT page_id, url, CASE WHEN length(coalesce(ts[1], '')) > 300 THEN substr(ts[1], 1, 300) || '...' ELSE coalesce(ts[1], '') END AS summary FROM t)"""
+
+
+@query("page_metadata", f"WITH {PARAGRAPH_SQL} SELECT page_id, url, summary, '' AS image_url, summary AS image_caption FROM f")
 def page_metadata(spark, sf):
     return pg.page_metadata(pages(spark, sf))
 
@@ -148,13 +183,12 @@ def feed_page_images(spark, sf):
     return fd.fill_from_pages(items, landed.select("url", "html")).select("page_id", "image_url")
 
 
-@query("page_descriptions", """SELECT page_id, 'Page ' || page_id || ' & more' AS summary, CASE WHEN page_id % 2 = 0 THEN 'https://p.example.org/' || page_id || '.jpg' ELSE '' END AS image_url
-FROM pages WHERE page_id % 3 = 0""")
+@query("page_descriptions", f"""WITH {PARAGRAPH_SQL} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Page ' || page_id || ' & more' ELSE summary END AS summary,
+ CASE WHEN page_id % 2 = 0 THEN 'https://p.example.org/' || page_id || '.jpg' ELSE '' END AS image_url FROM f""")
 def page_descriptions(spark, sf):
-    """Pages that state a description and an image themselves."""
+    """Pages that state a description or an image themselves, and pages that do not."""
     i = F.col("page_id")
-    described = pg.page_metadata(pages(spark, sf).withColumn("html", with_head(F.col("html"), i))).filter(i % 3 == 0)
-    return described.select("page_id", "summary", "image_url")
+    return pg.page_metadata(pages(spark, sf).withColumn("html", with_head(F.col("html"), i))).select("page_id", "summary", "image_url")
 
 
 @query("catalog_expand", f"""WITH n AS (SELECT c_mktsegment AS cat, c_custkey, c_name, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 5 AS chunk FROM customer),
@@ -226,5 +260,5 @@ def image_inputs(spark, sf):
 @query("image_resolve", f"WITH {IMAGE_ROWS} SELECT doc_id, {IMAGE_SQL} AS image FROM {IMAGE_FROM}")
 def image_resolve(spark, sf):
     rows, cache, page_images = image_inputs(spark, sf)
-    return resolve_images(rows, cache, p.BADGES, page_images).select("doc_id", F.col("best_image").alias("image"))
+    return resolve_images(rows, "doc_id", cache, p.BADGES, page_images).select("doc_id", F.col("best_image").alias("image"))
 

@@ -102,7 +102,8 @@ def stats(spark, sf):
 
 def listed(spark, sf) -> DataFrame:
     """Annotated listing rows with credibility and dates."""
-    rows = annotated(spark, sf).select(
+    fields = ["entity", "org_from", "org_to", "status", "league", "nationality", "sentiment"]
+    rows = annotated(spark, sf, fields).select(
         "doc_id", "source", "language", "title", "summary", "entity", "org_from", "org_to", "status", "league", "nationality",
         "sentiment", F.col("language").alias("category"), published().alias("published_at"), published().alias("created_at"),
         F.expr(MERGE_FEE).alias("fee_text"), F.lit(0.0).alias("fee_numeric"))
@@ -123,6 +124,17 @@ def articles_page(spark, sf):
     return page.select("doc_id", "title", "source", "status", "published_at")
 
 
+ACCENTLESS = ["title", "summary", "entity", "org_from", "org_to"]
+
+
+@query("search_accents", f"""WITH {s.DOCS}, v AS (SELECT doc_id, title, source AS summary, language AS entity, source AS org_from, '' AS org_to FROM docs)
+SELECT doc_id, title FROM v WHERE {' OR '.join(f"contains(strip_accents(lower({c})), 'rcion')" for c in ACCENTLESS)}""")
+def search_accents(spark, sf):
+    """A search in which neither case nor accents count."""
+    rows = docs(spark, sf).select("doc_id", "title", F.col("source").alias("summary"), F.col("language").alias("entity"), F.col("source").alias("org_from"), F.lit("").alias("org_to"))
+    return rows.filter(qy.article_filter(search=" RCIÓN ", collation="UNICODE_CI_AI")).select("doc_id", "title")
+
+
 @query("search_total", f"WITH {LISTED} SELECT count(*) AS total FROM listed WHERE {LISTING}")
 def search_total(spark, sf):
     return query_job(listed(spark, sf), "doc_id", **FILTERS)[1]

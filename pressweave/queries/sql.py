@@ -49,7 +49,7 @@ def clean_value(x: str) -> str:
 
 def polish(x: str) -> str:
     t = collapse(clean_value(x))
-    for pattern in ("([,;:!?])([^\\s])", "([a-zà-öø-ÿ])([A-ZÀ-ÖØ-Þ])", "([0-9])([A-Za-zÀ-ÿ])", "([A-Za-zÀ-ÿ])([0-9])"):
+    for pattern in fv.GLUED_PATTERNS:
         t = f"regexp_replace({t}, {q(pattern)}, '\\1 \\2', 'g')"
     return strip(t)
 

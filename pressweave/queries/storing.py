@@ -14,7 +14,7 @@ from pressweave.queries import sql as s
 from pressweave.queries.annotation import (ANNOTATED_SQL, BULLETS_SQL, HEADLINE_SQL, NORMED, RULES, TOPIC_SQL, first_good)
 from pressweave.queries.landing import IMAGE_FROM, IMAGE_ROWS, IMAGE_SQL, badge_case, image_inputs
 from pressweave.queries.listing import REPORT, report_raw
-from pressweave.sources.tables import ARTICLE, add_columns, read_preferred, shared_dir
+from pressweave.sources.tables import ARTICLE, add_columns, read_merged, read_preferred, shared_dir
 from pressweave.streaming import ingest
 
 QUERIES: dict = {}
@@ -101,16 +101,17 @@ def purge(spark, sf):
 @query("run_counters", f"""WITH {REPORT} SELECT count(*) AS articles, count(*) FILTER (image <> '') AS with_image,
  count(*) FILTER (coalesce(resume, '') <> '') AS with_summary FROM raw""")
 def run_counters(spark, sf):
-    raw = report_raw(spark, sf)
-    return raw.agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.coalesce("image", F.lit("")) != "").alias("with_image"),
-                   F.count_if(F.coalesce("resume", F.lit("")) != "").alias("with_summary"))
+    """Counted by the pass that writes the rows."""
+    got = st.write_counted(report_raw(spark, sf), shared_dir(spark, "report"), articles=F.count(F.lit(1)),
+                           with_image=F.count_if(F.coalesce("image", F.lit("")) != ""), with_summary=F.count_if(F.coalesce("resume", F.lit("")) != ""))
+    return spark.createDataFrame([(got["articles"], got["with_image"], got["with_summary"])], "articles long, with_image long, with_summary long")
 
 
 @query("image_backfill", f"""WITH {IMAGE_ROWS}, best AS (SELECT d.doc_id, own, {IMAGE_SQL} AS image FROM {IMAGE_FROM})
-SELECT doc_id, CASE WHEN (NOT starts_with(own, 'http') OR regexp_matches(lower(own), 'pixel|spacer|blank')) AND image <> '' THEN image ELSE own END AS image_url FROM best""")
+SELECT doc_id, CASE WHEN (NOT starts_with(own, 'http') OR regexp_matches(lower(own), '{fv.PLACEHOLDER_IMAGE_PATTERN}')) AND image <> '' THEN image ELSE own END AS image_url FROM best""")
 def image_backfill(spark, sf):
     rows, cache, page_images = image_inputs(spark, sf)
-    return jobs.backfill_images(rows, cache, p.BADGES, page_images).select("doc_id", "image_url")
+    return jobs.backfill_images(rows, "doc_id", cache, p.BADGES, page_images).select("doc_id", "image_url")
 
 
 LEXICON = {"classes": p.CLASSES, "default_class": p.DEFAULT_CLASS, "status_words": p.STATUS, "wording": p.WORDING}
@@ -132,7 +133,7 @@ FROM scored LEFT JOIN cache c ON c.key = 'player:' || lower(entity) WHERE {TOPIC
 def reannotate(spark, sf):
     stored = docs(spark, sf).select("doc_id", "title", "summary", "source", *[F.lit("old").alias(c) for c in ("entity", "org_from", "org_to", "status")],
                                     F.lit("kept").alias("league"), F.lit("").alias("image_url"), F.lit("").alias("url"))
-    out = jobs.reannotate(stored, RULES, p.ENTITIES, p.ORGS, image_cache(spark, sf), p.BADGES, **LEXICON)
+    out = jobs.reannotate(stored, "doc_id", RULES, p.ENTITIES, p.ORGS, image_cache(spark, sf), p.BADGES, **LEXICON)
     return out.select("doc_id", "entity", "org_from", "org_to", "status", "league", "image_url")
 
 
@@ -222,6 +223,31 @@ def stream_fresh(spark, sf):
     return spark.read.schema(rows.schema).parquet(base + "/out")
 
 
+@query("stream_distinct_daily", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
+def stream_distinct_daily(spark, sf):
+    """Landed week by week, with a watermark: batches meet the keys of their own dates only."""
+    base, events = shared_dir(spark, "daily"), table(spark, sf, "events")
+    week = F.floor((F.dayofmonth("ts") - 1) / 8)
+    for k in range(4):  # files are taken in the order they land; a month has four parts
+        events.filter(week == k).coalesce(1).write.mode("append").parquet(base + "/in")
+    rows = ingest.landing(spark, base + "/in", events.schema, files_per_batch=1)
+    ingest.distinct_by_date(rows, ["user_id", "event_type"], "ts", base + "/out", base + "/checkpoint").awaitTermination()
+    return spark.read.parquet(base + "/out").select("user_id", "event_type", "day")
+
+
+@query("stream_fresh_late", "SELECT event_id, user_id, ts FROM events")
+def stream_fresh_late(spark, sf):
+    """Files out of order: kept and late rows together are all that landed, and the counters say so."""
+    base = shared_dir(spark, "late")
+    rows = landed(spark, table(spark, sf, "events"), "events")
+    ingest.fresh_stream(rows, "ts", base + "/kept", base + "/late", base + "/status", base + "/checkpoint").awaitTermination()
+    counts = ingest.run_status(spark, base + "/status").agg(F.sum("landed"), F.sum("kept"), F.sum("late")).first()
+    both = [spark.read.schema(rows.schema).parquet(base + part) for part in ("/kept", "/late")]
+    if counts[0] != counts[1] + counts[2] or [df.count() for df in both] != [counts[1], counts[2]]:
+        raise AssertionError(f"the counters {tuple(counts)} do not fit the rows")
+    return both[0].unionByName(both[1]).select("event_id", "user_id", "ts")
+
+
 @query("stream_event_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS articles FROM events GROUP BY 1, 2")
 def stream_event_counts(spark, sf):
     """Hourly counts over all batches."""
@@ -249,6 +275,16 @@ def schema_change(spark, sf):
     return wide.select("doc_id", "language", "status", "fee_numeric")
 
 
+@query("schema_merge", """SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE lang END AS status, CASE WHEN doc_id % 2 = 0 THEN CAST(0 AS DOUBLE)
+ ELSE CAST(n_chars AS DOUBLE) END AS fee_numeric FROM documents""")
+def schema_merge(spark, sf):
+    """Old files without two columns and new files with them, read as one table."""
+    path, rows = shared_dir(spark, "merge"), table(spark, sf, "documents")
+    rows.filter("doc_id % 2 = 0").select("doc_id", "source").write.parquet(path)
+    rows.filter("doc_id % 2 <> 0").select("doc_id", "source", F.col("lang").alias("status"), F.col("n_chars").cast("double").alias("fee_numeric")).write.mode("append").parquet(path)
+    return read_merged(spark, path, ARTICLE, {"status": "new", "fee_numeric": 0.0}).select("doc_id", "source", "status", "fee_numeric")
+
+
 @query("preferred_table", "SELECT doc_id, source FROM documents")
 def preferred_table(spark, sf):
     """Of two CSV tables in a folder the preferred one is read, whose files differ in the order of their columns."""

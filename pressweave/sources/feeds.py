@@ -1,7 +1,7 @@
 """Items out of landed feed documents.
 
 A feed document is one landed file (or one row of text).  Its items are taken
-inside the row, in document order, so the per-feed limit needs no shuffle.
+inside the row, in document order, so a limit per feed needs no shuffle.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pressweave.functions.text import bind, clean_html, materialize, non_empty,
 from pressweave.operators.topic import TopicRules, keep_on_topic
 from pressweave.sources.pages import feed_page_image
 
+# defaults of the arguments below; None takes everything
 ITEM_LIMIT = 25
 SUMMARY_LIMIT = 400
 
@@ -56,9 +57,11 @@ def item_image(item: Column, description: Column) -> Column:
     return unescape(F.coalesce(F.get(enclosure, F.lit(0)), F.get(linked, F.lit(0)), F.lit("")))
 
 
-def feed_items(feeds: DataFrame, today: str, keep=("feed",)) -> DataFrame:
-    """First 25 items of each feed document; items without title or link are dropped."""
-    items = F.slice(F.regexp_extract_all("xml", F.lit(r"(?is)(<item\b.*?</item\s*>)"), 1), 1, ITEM_LIMIT)
+def feed_items(feeds: DataFrame, today: str, keep=("feed",), limit: int | None = ITEM_LIMIT) -> DataFrame:
+    """The first ``limit`` items of each feed document, all with ``None``; items without title or link are dropped."""
+    items = F.regexp_extract_all("xml", F.lit(r"(?is)(<item\b.*?</item\s*>)"), 1)
+    if limit is not None:
+        items = F.slice(items, 1, limit)
     rows = feeds.select(*keep, F.posexplode(items).alias("position", "_item"))
     item = F.col("_item")
     children = F.transform(F.array(*[_child(item, t) for t in ("title", "link", "description", "pubDate")]), _text)
@@ -74,16 +77,17 @@ def feed_items(feeds: DataFrame, today: str, keep=("feed",)) -> DataFrame:
                     F.when(F.col("_bare"), title).otherwise(summary).alias("summary"), "image_url"))
 
 
-def land_items(items: DataFrame, catalog: DataFrame, rules: TopicRules | None = None) -> DataFrame:
-    """Items with the language, category and name of their feed, on topic, summary cut at 400.
+def land_items(items: DataFrame, catalog: DataFrame, rules: TopicRules | None = None, summary_limit: int | None = SUMMARY_LIMIT) -> DataFrame:
+    """Items with the language, category and name of their feed, on topic, summary cut at ``summary_limit`` (``None``: whole).
 
-    The topic test sees the whole summary; the cut comes after it.
+    The topic test sees the whole summary; the cut comes after it.  Items of a feed
+    that the catalog lacks stay, with null source, language and category.
     """
     catalog = catalog.select(F.col("feed"), F.col("name").alias("source"), "language", "category")
-    rows = items.join(catalog, "feed")
+    rows = items.join(catalog, "feed", "left")
     if rules is not None:
         rows = keep_on_topic(rows, rules)
-    return rows.withColumn("summary", F.substring("summary", 1, SUMMARY_LIMIT))
+    return rows if summary_limit is None else rows.withColumn("summary", F.substring("summary", 1, summary_limit))
 
 
 def fill_from_pages(items: DataFrame, pages: DataFrame) -> DataFrame:

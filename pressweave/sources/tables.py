@@ -129,6 +129,12 @@ def add_columns(df: DataFrame, schema: T.StructType, defaults: dict | None = Non
                       *[c for c in df.columns if c not in schema.names])
 
 
+def read_merged(spark: SparkSession, path: str, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
+    """A stored table whose files have older and newer columns, read as one; what a file lacks, or holds as null, gets its default."""
+    rows = add_columns(spark.read.option("mergeSchema", True).parquet(path), schema, defaults)
+    return rows.fillna({c: v for c, v in (defaults or {}).items() if v is not None})
+
+
 def append_missing(df: DataFrame, seeds: DataFrame) -> DataFrame:
     """Union by name; columns that one side lacks become NULL."""
     return df.unionByName(seeds, allowMissingColumns=True)

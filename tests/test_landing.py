@@ -8,6 +8,7 @@ from pressweave.operators.joins import resolve_images
 from pressweave.operators.topic import TopicRules
 from pressweave.operators.match import org_terms
 from pressweave.plans import jobs
+from pressweave.sources import cardtree as ctree
 from pressweave.sources import feeds as fd
 from pressweave.sources import pages as pg
 from pressweave.operators import store as st
@@ -38,9 +39,9 @@ def test_feed_items(spark, tmp_path):
     catalog = spark.createDataFrame([("f1", "Feed One", "en", "c")], "feed string, name string, language string, category string")
     rules = TopicRules(orgs=org_terms({"blue": "Blues"}), patterns=[])
     landed = fd.land_items(items, catalog, rules)
-    assert {r["url"][-1] for r in landed.collect()} == {"1", "2", "3", "4", "6"} and one[0]["title"] == "Blue & x"
+    assert {r["url"][-1] for r in landed.filter("source IS NOT NULL").collect()} == {"1", "2", "3", "4", "6"} and one[0]["title"] == "Blue & x"
     pages = spark.createDataFrame([("https://a.b/6", '<img class="a" src="https://i/logo.png">'), ("https://a.b/6", '<meta property="og:image" content="https://i/6.jpg">')], "url string, html string")
-    assert fd.fill_from_pages(landed, pages).filter("url like '%6'").first()["image_url"] == "https://i/6.jpg"
+    assert fd.fill_from_pages(landed, pages).filter("url = 'https://a.b/6'").first()["image_url"] == "https://i/6.jpg"
 
 
 def test_page_metadata(spark):
@@ -62,13 +63,29 @@ def test_page_cards(spark):
     assert len([r for r in cards if r["page_id"] == 2]) == 30
 
 
+def test_cards_of_a_parsed_page(spark):
+    nested = "<article><div><article><h2>An inner card &amp; more</h2><a href=/in>x</a></article></div><h2>The outer card title</h2><a href='/out'>y</a></article>"
+    # the outer container's first title and link are the inner ones, a title counts once, and a heading without a link gives none
+    assert ctree.cards_of(nested, "T") == [("An inner card & more", "/in", "T", False)]
+    deep = "<a href='/outer'><section><div><h2>A heading <b>deep</b> inside</h2></div></section></a><h3><span><a href=/own>Its own link here</a></span></h3><h1>No link at all here</h1>"
+    assert ctree.cards_of(deep, "T") == [("A heading deep inside", "/outer", "T", True), ("Its own link here", "/own", "T", True)]
+    dated = "<li><script>var a = '<a href=no>'</script><a href=' /x '>Ten letters long</a><time datetime=2024-05-06T10:00></time></li>" * 2
+    assert ctree.cards_of(dated, "T", ("li",), ("a",)) == [("Ten letters long", "/x", "2024-05-06", False)]
+    many = "".join(f"<article><h2>Title number {i:03d}</h2><a href={i}>x</a></article>" for i in range(60))
+    assert len(ctree.cards_of(many, "T")) == 30 and len(ctree.cards_of(many, "T", max_containers=None)) == 60
+    assert ctree.cards_of("<div>" * 20_000 + "<h1>A heading far down</h1>" + "</p></div>" * 20_000, "T") == []
+    df = spark.createDataFrame([(1, nested), (2, None), (3, ""), (4, deep)], "page_id int, html string")
+    rows = ctree.page_cards(df, F.lit("S"), F.lit("https://b/"), "T").collect()
+    assert {(r["page_id"], r["url"]) for r in rows} >= {(1, "https://b/in"), (4, "https://b/outer"), (4, "https://b/own")} and {r["page_id"] for r in rows} == {1, 4}
+
+
 def test_image_priority(spark):
     rows = [(1, "https://x/ok.jpg", "Ana", "Real X", "", "u1"), (2, "https://x/pixel.png", "Ana", "Real X", "", "u1"), (3, "", "Joueur Star", "Real X", "", "u1"),
             (4, None, "Zed", "Club Cible", "Foo", "u1"), (5, "", "", "", "", "http://p/1"), (6, "", "", "", "", "none")]
     df = spark.createDataFrame(rows, "id int, image_url string, entity string, org_to string, org_from string, url string")
     cache = spark.createDataFrame([("player:ana", "http://c/ana"), ("badge:foo", "http://c/foo")], "key string, value string")
     pages = spark.createDataFrame([("http://p/1", "http://p/1.jpg")], "url string, image_url string")
-    got = [r["best_image"] for r in resolve_images(df, cache, {"real": "http://b/real"}, pages).orderBy("id").collect()]
+    got = [r["best_image"] for r in resolve_images(df, "id", cache, {"real": "http://b/real"}, pages).orderBy("id").collect()]
     assert got == ["https://x/ok.jpg", "http://c/ana", "http://b/real", "http://c/foo", "http://p/1.jpg", ""]
 
 
@@ -142,6 +159,66 @@ def test_streams_do_not_depend_on_batches(spark):
     assert seen[0] == seen[1] and len(seen[0][0]) == 7 and sum(n for _, n in seen[0][1]) == len(rows)
 
 
+def land_in_turn(spark, path, parts, schema):
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+
+
+def test_distinct_by_date(spark):
+    base, hour = tb.shared_dir(spark, "d"), dt.timedelta(hours=1)
+    start, schema = dt.datetime(2024, 1, 1), "k string, ts timestamp_ntz, n int"
+    parts = [[("a", start, 1), ("a", start + hour, 2), ("b", start, 3)], [("a", start + 30 * hour, 4), ("b", start + 8 * hour, 5)],
+             [("c", start + 90 * hour, 6), ("a", start + 31 * hour, 7), (None, start + 89 * hour, 8)], [("a", start + 92 * hour, 9), ("c", start + 91 * hour, 9)]]
+
+    def run():
+        stream = ingest.landing(spark, base + "/in", spark.createDataFrame([], schema).schema, files_per_batch=1)
+        ingest.distinct_by_date(stream, ["k"], "ts", base + "/out", base + "/cp").awaitTermination()
+        return sorted((str(r["k"]), r["day"].day) for r in spark.read.parquet(base + "/out").collect())
+
+    land_in_turn(spark, base + "/in", parts[:2], schema)
+    assert run() == [("a", 1), ("a", 2), ("b", 1)]
+    land_in_turn(spark, base + "/in", parts[2:], schema)
+    assert run() == [("None", 4), ("a", 1), ("a", 2), ("a", 4), ("b", 1), ("c", 4)]
+
+
+def test_late_rows_are_kept_apart_and_counted(spark):
+    base, hour = tb.shared_dir(spark, "l"), dt.timedelta(hours=1)
+    start, schema = dt.datetime(2024, 1, 1), "k int, ts timestamp_ntz"
+    parts = [[(1, start), (2, start + 30 * hour)], [(3, start + 7 * hour), (4, start + 5 * hour), (5, None)], [(6, start + 60 * hour), (7, start + 36 * hour)]]
+    land_in_turn(spark, base + "/in", parts, schema)
+    stream = ingest.landing(spark, base + "/in", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    ingest.fresh_stream(stream, "ts", base + "/kept", base + "/late", base + "/status", base + "/cp").awaitTermination()
+    kept, late = ({r["k"] for r in spark.read.parquet(base + part).collect()} for part in ("/kept", "/late"))
+    assert (kept, late) == ({2, 3, 6, 7}, {1, 4, 5})
+    status = ingest.run_status(spark, base + "/status").orderBy("batch_id").collect()
+    assert [(r["landed"], r["kept"], r["late"]) for r in status] == [(2, 1, 1), (3, 1, 2), (2, 2, 0)]
+    assert status[1]["newest"] == start + 30 * hour
+
+
+def test_feed_limits_and_unknown_feeds(spark):
+    items = "".join(f"<item><title>t{i}</title><link>u{i}</link><description>{'d' * 500}</description></item>" for i in range(40))
+    feeds = spark.createDataFrame([("known", f"<rss>{items}</rss>"), ("other", "<rss><item><title>x</title><link>y</link></item></rss>")], "feed string, xml string")
+    catalog = spark.createDataFrame([("known", "K", "fr", "c")], "feed string, name string, language string, category string")
+    assert fd.feed_items(feeds, "today").count() == 26 and fd.feed_items(feeds, "today", limit=None).count() == 41
+    rows = fd.land_items(fd.feed_items(feeds, "today", limit=None), catalog, summary_limit=None).collect()
+    assert len(rows) == 41 and {len(r["summary"]) for r in rows if r["source"]} == {500}
+    assert [(r["url"], r["source"], r["language"]) for r in rows if not r["source"]] == [("y", None, None)]
+    assert max(len(r["summary"]) for r in fd.land_items(fd.feed_items(feeds, "today"), catalog).collect()) == 400
+
+
+def test_images_of_repeated_keys_and_by_tables(spark):
+    rows = [(1, "", "Ana", "Real X", "", "p"), (2, "", "", "", "Real Y", "http://p/1"), (3, "", "Zed", "", "", "http://p/1"), (4, "", None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, image_url string, entity string, org_to string, org_from string, url string")
+    cache = spark.createDataFrame([("player:ana", "http://c/2"), ("player:ana", "http://c/1"), ("player:ana", ""), (None, "http://n")], "key string, value string")
+    shown = spark.createDataFrame([("http://p/1", "http://p/b.jpg"), ("http://p/1", "http://p/a.jpg"), ("http://p/1", None)], "url string, image_url string")
+    badges = spark.createDataFrame([("real", "http://b/r", 1), ("al y", "http://b/y", 0)], "key string, value string, ord int")
+    want = {1: "http://c/1", 2: "http://b/y", 3: "http://p/a.jpg", 4: ""}
+    assert {r["id"]: r["best_image"] for r in resolve_images(df, "id", cache, badges, shown).collect()} == want
+    want[2] = "http://b/r"
+    assert {r["id"]: r["best_image"] for r in resolve_images(df, "id", cache, {"real": "http://b/r"}, shown).collect()} == want
+
+
 @pytest.mark.parametrize("limit", [1])
 def test_fresh(spark, limit):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 11),), (dt.datetime(2023, 12, 30),)], "ts timestamp_ntz")

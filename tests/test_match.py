@@ -24,7 +24,7 @@ def test_phrases_equal_word_boundary_patterns(spark):
     got = {r["id"]: {h["term"] for h in r["h"]} for r in df.select("id", m.phrase_hits(F.col("norm"), terms).alias("h")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == {x.term for x in terms if re.search(r"\b" + re.escape(x.term) + r"\b", t)}
-    joined = m.phrase_hits_join(df, "id", "norm", m.terms_table(spark, terms), 2).collect()
+    joined = m.phrase_hits_join(df, "id", "norm", m.terms_table(spark, terms)).collect()
     for i, t in enumerate(texts):
         mine = {(r["term"], len(" ".join(t.split()[:r["word_position"]])) + (r["word_position"] > 0)) for r in joined if r["id"] == i}
         assert mine == {(x.term, re.search(r"\b" + re.escape(x.term) + r"\b", t).start()) for x in terms if x.term in got[i]}
@@ -117,3 +117,69 @@ def test_token_overlap_join_equals_all_pairs(spark):
     assert got == want and want
     pairs = spark.createDataFrame([(a, b, match(a, b)) for _, a in titles for _, b in cands[:5]], "a string, b string, m boolean")
     assert pairs.filter(title_matches(F.col("a"), F.col("b")) != F.col("m")).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ngrams_are_filtered_before_the_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(1, "a b c d")], "id int, norm string")
+        plan = plan_of(m.phrase_hits_join(df, "id", "norm", m.terms_table(spark, [m.Term("b c", "X", 0)])))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = plan[plan.index("SortMergeJoin"):]
+    exchange = below.index("Exchange hashpartitioning(_gram")
+    assert below.index("Filter", exchange) < below.index("Generate", exchange) and "getbit" in below[exchange:]
+
+
+def test_a_saturated_filter_only_lets_more_pass(spark, monkeypatch):
+    from pressweave.operators import keyfilter
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=12))) for i in range(100)], "id int, norm string")
+    terms = [m.Term(" ".join(rng.choices(words, k=n)), f"c{i}", i) for i, n in enumerate([1] * 5 + [2] * 60 + [3] * 60 + [7, 13])]
+
+    def hits():
+        return sorted(tuple(r) for r in m.phrase_hits_join(df, "id", "norm", m.terms_table(spark, terms)).collect())
+    whole = hits()
+    for fn in (m.key_filter, m.may_hold):
+        monkeypatch.setattr(m, fn.__name__, lambda *a, fn=fn: fn(*a, bits=7))
+    assert hits() == whole and len(whole) > 50
+    assert m.phrase_hits_join(df, "id", "norm", m.terms_table(spark, terms).limit(0)).count() == 0
+    assert keyfilter.FILTER_BITS == 22
+
+
+def pairs_of(titles, candidates):
+    from pressweave import fixed_values as fv
+    cut = {k: {w for w in re.findall(r"[a-z0-9]{3,}", t.lower())} - set(fv.STOP_WORDS) for k, t in (*titles, *candidates)}
+    out = []
+    for i, _ in titles:
+        n = len(cut[i])
+        need = n if n <= 2 else 2 if n <= 4 else max(2, n // 3)
+        out += [(i, j, len(cut[i] & cut[j])) for j, _ in candidates if n and len(cut[i] & cut[j]) >= need]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("salt", [10_000, 3])
+def test_overlap_join_equals_all_pairs_with_frequent_tokens(spark, salt):
+    rng = random.Random(8)
+    words = [f"tok{i}" for i in range(30)]
+    titles = [(i, " ".join(rng.sample(words, rng.randint(0, 9)))) for i in range(60)]
+    candidates = [(1000 + i, " ".join([*(["tok0"] if i % 2 else []), *rng.sample(words, rng.randint(0, 14))])) for i in range(120)]
+    t, c = (spark.createDataFrame(rows, "k long, text string") for rows in (titles, candidates))
+    got = token_overlap_join(t.withColumnRenamed("k", "a"), "a", "text", c.withColumnRenamed("k", "b"), "b", "text", salt_rows=salt)
+    assert sorted(tuple(r) for r in got.collect()) == pairs_of(titles, candidates)
+
+
+def test_a_frequent_token_is_dealt_to_several_keys(spark, monkeypatch):
+    from pressweave.operators import joins
+    seen = {}
+    monkeypatch.setattr(joins, "settle", lambda df, name, real=joins.settle: seen.setdefault(name, real(df, name)))
+    c = spark.range(2000).selectExpr("id b", "concat('hottoken rare', id) text")
+    t = spark.createDataFrame([(1, "hottoken"), (2, "hottoken rare7")], "a long, text string")
+    got = token_overlap_join(t, "a", "text", c, "b", "text", salt_rows=100)
+    assert got.count() == 2001
+    assert {r["_salts"] for r in seen["title-tokens"].filter("_token = 'hottoken'").collect()} == {20}

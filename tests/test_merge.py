@@ -1,11 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
 from pressweave.operators.dedup import dense_positions, first_per_group
-from pressweave.operators.merge import merge_stories
-from pressweave.operators.score import (article_credibility, engagement_score, first_contained, quality_score, ranking_score,
+from pressweave.operators.merge import merge_stories, order_at, place_of
+from pressweave.operators.score import (article_credibility, contained_value, engagement_score, first_contained, quality_score, ranking_score,
                                         recency_score, source_score)
 
 COLUMNS = "ord int, story_key string, entity string, org_from string, org_to string, fee_text string, nationality string, league string, " \
@@ -78,6 +79,50 @@ def test_merge_does_not_depend_on_row_order(spark):
     assert comparable([r.asDict() for r in a]) == comparable([r.asDict() for r in b])
 
 
+def test_merge_is_hashed(spark, monkeypatch):
+    """Neither the aggregate nor the fetching of values sorts rows to aggregate them."""
+    from pressweave.operators import merge
+    plans = []
+    monkeypatch.setattr(merge, "settle", lambda df, name, real=merge.settle: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    plans.append(merge_stories(spark.createDataFrame(random_rows(50), COLUMNS), "ord")._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3 and not any("SortAggregate" in plan for plan in plans) and "HashAggregate" in plans[1]
+
+
+def test_places_are_exact_for_large_and_negative_orders(spark):
+    rows = [(-5, 3.5), (7, 3.5), (2 ** 62, 3.5), (-2 ** 62, 9.25), (1, -4.0), (3, 1e9), (4, float(2 ** -20))]
+    df = spark.createDataFrame(rows, "o long, q double").select("o", "q", place_of(F.col("q"), F.col("o")).alias("p"))
+    got = df.select("o", "q", "p", order_at(F.col("p")).alias("back")).orderBy("p").collect()
+    assert [r.o for r in got] == [o for o, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert all(r.back == r.o for r in got)
+
+
+def test_a_name_of_any_length_is_looked_through(spark):
+    """Only substrings as long as a key are made, piece by piece."""
+    long = "é" * 99_000 + "Real Sociedad" + "x" * 1_000
+    rows = [(1, long), (2, "real"), (3, "soc"), (4, ""), (5, None), (6, "zzz"), (7, "REAL SOCIEDAD"), (8, long)]
+    df = spark.createDataFrame(rows, "id int, name string")
+    keys = spark.createDataFrame([("Real Sociedad", "a", 2), ("Real", "b", 1), ("x" * 400, "c", 0), ("", "d", -1)], "key string, value string, ord int")
+    got = {r.id: r.v for r in contained_value(df, "name", keys, "v").collect()}
+    assert got == {1: "c", 2: "b", 3: None, 4: None, 5: None, 6: None, 7: "b", 8: "c"}
+    both = {r.id: r.v for r in contained_value(df, "name", keys, "v", both_ways=True).collect()}
+    assert both == got | {3: "a"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_containment_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names = ["".join(rng.choices("abC ", k=rng.randint(0, 700))) for _ in range(40)]
+    keys = ["".join(rng.choices("abc ", k=rng.randint(1, 9))) for _ in range(60)] + [names[0][:300]]
+    table = spark.createDataFrame([(k, str(i), i) for i, k in enumerate(keys)], "key string, value string, ord int")
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    for both in (False, True):
+        got = {r.id: r.v for r in contained_value(df, "name", table, "v", both_ways=both).collect()}
+        for i, n in enumerate(names):
+            low = n.lower()
+            want = next((str(j) for j, k in enumerate(keys) if k and low and (k.lower() in low or both and low in k.lower())), None)
+            assert got[i] == want
+
+
 def test_strict_merge_keeps_unknown_entities_apart(spark):
     row = ("joueur_star__unknown__unknown", "Joueur Star", "", "", "", "", "", 0.0, 1.0, "odd", "", "")
     df = spark.createDataFrame([(1, *row), (2, *row)], COLUMNS)

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressweave.operators import query as qy
@@ -25,19 +26,61 @@ def test_upsert_table(spark):
     first = batch(spark, [("a", "A", D1, 1, 1), ("b", "B", D2, 1, 1), ("c", "C", None, 1, 1), ("b", "B2", D2, 1, 2), (None, "x", D1, 1, 1), ("", "y", D1, 1, 1)])
     assert counters(st.upsert_articles(spark, path, first)) == (3, 0, 2, 3)
     second = batch(spark, [("b", "new", D2, 2, 2), ("d", "D", D2, 2, 2), (None, "x", D1, 1, 1)])
-    folder = st.current(spark, path)["dates"]["2024-01-01"]
+    before = files(spark, path, "2024-01-01")
     assert counters(st.upsert_articles(spark, path, second, 7)) == (1, 1, 1, 4)
     read = {r["external_key"]: (r["title"], r["created_at"]) for r in st.read_articles(spark, path).collect()}
     assert read == {"a": ("A", 1), "b": ("new", 1), "c": ("C", 1), "d": ("D", 2)}
-    assert st.current(spark, path)["dates"]["2024-01-01"] == folder  # a date without new rows is not rewritten
-    # a replay of the batch that was published last, wherever the run stopped, gives the same table and the same counters
-    version = st.current(spark, path)["version"]
-    assert counters(st.upsert_articles(spark, path, second, 7)) == (1, 1, 1, 4) and st.current(spark, path)["version"] == version
+    assert files(spark, path, "2024-01-01") == before  # a date without new rows is not rewritten
+    # a repeated batch gives the same table and the same counters
+    now = files(spark, path, "2024-01-02")
+    assert counters(st.upsert_articles(spark, path, second, 7)) == (1, 1, 1, 4) and files(spark, path, "2024-01-02") == now
     undated = batch(spark, [("c", "C2", None, 5, 5)])
     assert counters(st.upsert_articles(spark, path, undated)) == (0, 1, 0, 4)
     assert st.read_articles(spark, path).count() == 4
     assert [r["title"] for r in st.find_article(spark, path, "b", "2024-01-02").collect()] == ["new"]
-    assert st.vacuum(spark, path) > 0 and st.read_articles(spark, path).count() == 4
+    plan = st.find_article(spark, path, "b", "2024-01-02")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(published_date" in plan
+
+
+def files(spark, path, day):
+    rows = spark.read.parquet(path).filter(F.col("published_date") == day).select("_metadata.file_path").distinct()
+    return {r[0] for r in rows.collect()}
+
+
+@pytest.mark.parametrize("step", ["merged", "counters", "table", "done"])
+def test_a_batch_that_stopped_anywhere_is_repeated(spark, monkeypatch, step):
+    path = tb.shared_dir(spark, "t")
+    st.upsert_articles(spark, path, batch(spark, [("a", "A", D1, 1, 1), ("b", "B", D2, 1, 1)]), 0)
+    rows = batch(spark, [("b", "new", D2, 2, 2), ("d", "D", D2, 2, 2)])
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        raise Stop
+
+    with monkeypatch.context() as patch:
+        if step == "merged":
+            patch.setattr(st, "upsert", stop)
+        elif step == "counters":
+            patch.setattr(spark, "createDataFrame", stop)
+        elif step == "table":
+            patch.setattr(st, "by_date", stop)
+        else:
+            patch.setattr(spark, "range", stop)
+        with pytest.raises(Stop):
+            st.upsert_articles(spark, path, rows, 1)
+    for _ in range(2):
+        assert counters(st.upsert_articles(spark, path, rows, 1)) == (1, 1, 0, 3)
+        assert {r["external_key"]: r["title"] for r in st.read_articles(spark, path).collect()} == {"a": "A", "b": "new", "d": "D"}
+
+
+def test_counters_come_from_the_pass_that_writes(spark):
+    """The rows are computed once: an accumulator in them sees each once."""
+    path, seen = tb.shared_dir(spark, "c"), spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "long")
+    got = st.write_counted(spark.range(50).select(count("id").alias("id")), path, n=F.count(F.lit(1)), odd=F.count_if(F.col("id") % 2 == 1))
+    assert got == {"n": 50, "odd": 25} and seen.value == 50 and spark.read.parquet(path).count() == 50
 
 
 def test_upsert_does_not_depend_on_batches(spark):
@@ -60,13 +103,6 @@ def test_narrow_batch_keeps_stored_columns(spark):
     assert got == {"a": ("A2", "A!", None), "b": ("B", "B!", None), "z": ("Z", None, 5)}
 
 
-def test_a_second_writer_of_a_version_fails(spark):
-    path = tb.shared_dir(spark, "t")
-    st.write_articles(batch(spark, [("a", "A", D1, 1, 1)]), path)
-    with pytest.raises(RuntimeError):
-        st.publish(spark, path, st.current(spark, path))
-
-
 def test_bootstrap_and_reload(spark):
     path = tb.shared_dir(spark, "t")
     rows = batch(spark, [("a", "A", D1, 1, 1), (None, "x", D1, 1, 1), ("", "y", D1, 1, 1)])
@@ -115,6 +151,23 @@ def test_schema_change_union_and_cache(spark, tmp_path):
     assert {tuple(r) for r in grown.collect()} == {("player:a", "u"), ("badge:b", "v"), ("player:c", "w")}
 
 
+def test_old_and_new_files_are_one_table(spark):
+    path = tb.shared_dir(spark, "m")
+    spark.createDataFrame([("a",)], "external_key string").write.parquet(path)
+    spark.createDataFrame([("b", "s", None), ("c", None, 2.0)], "external_key string, status string, fee_numeric double").write.mode("append").parquet(path)
+    rows = tb.read_merged(spark, path, tb.ARTICLE, {"status": "new", "fee_numeric": 0.0, "language": "fr"})
+    assert rows.columns == tb.ARTICLE.names
+    assert {(r.external_key, r.status, r.fee_numeric, r.language) for r in rows.collect()} == {("a", "new", 0.0, "fr"), ("b", "s", 0.0, "fr"), ("c", "new", 2.0, "fr")}
+
+
+def test_search_under_a_collation(spark):
+    df = spark.createDataFrame([(1, "Élément"), (2, "ELEMENT!"), (3, "l-ment"), (4, None)], "id int, title string").select(
+        "*", *[F.lit("").alias(c) for c in ("summary", "entity", "org_from", "org_to")])
+    assert {r["id"] for r in df.filter(qy.article_filter(search=" éleMENT", collation="UNICODE_CI_AI")).collect()} == {1, 2}
+    assert {r["id"] for r in df.filter(qy.article_filter(search="element")).collect()} == {2}
+    assert df.filter(qy.article_filter(org="%", collation="UNICODE_CI_AI")).count() == 0
+
+
 def test_dictionary_rows(spark):
     orgs = spark.createDataFrame([(2, "bb", "B"), (1, "aa", "A"), (3, "long", "L"), (4, " ", "x")], "ord int, alias string, canonical string")
     assert [r["term"] for r in dc.org_term_rows(orgs).orderBy("rank").collect()] == ["long", "aa", "bb"]
