@@ -106,10 +106,12 @@ def newest(batch: DataFrame, version: str = "updated_at") -> DataFrame:
 
 def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table as it is now, all columns that any batch brought; None where nothing is stored."""
+    if not exists(spark, path):
+        return None
     try:
         rows = spark.read.option("mergeSchema", True).parquet(path)
     except AnalysisException:
-        if exists(spark, path) and any_file(spark, path):
+        if any_file(spark, path):
             raise
         return None
     return rows.withColumn(PARTITION, F.col(PARTITION).cast("date")) if PARTITION in rows.columns else rows
