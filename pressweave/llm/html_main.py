@@ -4,8 +4,9 @@ Every block of text gives points (for its length and its commas) to the containe
 above it, less the further up; a container's points are discounted by the share of
 its text that stands in links.  The article or main element around the best
 container, or else the container itself, and its siblings are kept, without the
-parts that are marked as something else or are mostly links.  A mark (a name of the
-class or id, a form) does not count on an element that holds the page's article.
+parts that are marked as something else or are mostly links.  Beside an article or
+main element only headings are kept.  A mark (a name of the class or id, a form) does
+not count on an element that holds the page's article.
 """
 from __future__ import annotations
 
@@ -33,13 +34,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_REMOVED = frozenset("html body article main p".split())
 OTHER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "copyright disclaimer disqus discussion dropdown footer gdpr header headerbar login masthead menu menubar modal nav navbar "
+    "copyright disclaimer disqus discussion dropdown feedback footer gdpr header headerbar login masthead menu menubar modal nav navbar "
     "navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended "
     "related replies reply respond share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe "
     "subscription tags toolbar topbar trending widget widgets".split())
-COMMENT_NAMES = frozenset("comment comments disqus discussion replies reply respond shoutbox".split())
+COMMENT_NAMES = frozenset("comment comments disqus discussion feedback replies reply respond shoutbox".split())
 AD_NAMES = frozenset("ad ads advert advertisement sponsored".split())
 BODY_NAMES = frozenset("article body content entry main post story text".split())
+HEADER_NAMES = frozenset("header banner masthead".split())
+STRONG_NAMES = OTHER_NAMES - HEADER_NAMES
 NOT_HERE = frozenset("has no not non with without hide".split())
 STATES = frozenset("closed open enabled disabled off".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
@@ -56,7 +59,7 @@ class Node:
 
     __slots__ = ("tag", "parent", "depth", "removed", "points", "chars", "link_chars", "links", "base", "mark", "comment", "article", "main", "body")
 
-    def __init__(self, tag: str, parent: Node | None, kind: str = "", base: float = 0.0, names: frozenset | set = frozenset()):
+    def __init__(self, tag: str, parent: Node | None, kind: str = "", base: float = 0.0, is_body: bool = False):
         self.tag, self.parent, self.base = tag, parent, base
         self.depth = parent.depth + 1 if parent else 0
         self.points, self.chars, self.link_chars, self.links = 0.0, 0, 0, 0
@@ -65,7 +68,7 @@ class Node:
         self.mark = self if kind in ("other", "comment") else parent and parent.mark
         self.article = parent and parent.article or (self if tag == "article" else None)
         self.main = parent and parent.main or (self if tag == "main" else None)
-        self.body = self if tag in ("article", "main") or names & BODY_NAMES else parent and parent.body
+        self.body = self if tag in ("article", "main") or is_body else parent and parent.body
 
     def within(self, other: Node) -> bool:
         return self.ancestor(other.depth) is other
@@ -85,22 +88,31 @@ class Node:
         return (self.points + (self.base if self.points > 0 else 0)) * (1 - self.link_share)
 
 
-def names_of(attributes: list[tuple[str, str | None]]) -> set[str]:
-    """The words of class and id; what follows a has-, no- or with-, and names that end in a state (comments-closed), say nothing of the element."""
-    out = set()
+def names_of(attributes: list[tuple[str, str | None]]) -> list[set[str]]:
+    """The words of each name in class and id; what follows a has-, no- or with-, and names that end in a state (comments-closed), say nothing of the element."""
+    out = []
     for name in " ".join(v for k, v in attributes if k in ("class", "id") and v).split():
         words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
         if len(words) > 1 and words[-1] in STATES:
             continue
-        out.update(words[:next((i for i, w in enumerate(words) if w in NOT_HERE), len(words))])
+        out.append(set(words[:next((i for i, w in enumerate(words) if w in NOT_HERE), len(words))]))
     return out
 
 
-def kind_of(tag: str, attributes: list, parent: Node, names: set[str]) -> str:
-    """Whether an element is ``removed``, by its own marks ``other`` than an article or a ``comment``, or none of them."""
+def names_body(names: list[set[str]]) -> bool:
+    """Whether a name says that the element is a text's body; in a name like story-tags the mark says what it is."""
+    return any(words & BODY_NAMES and not words & STRONG_NAMES for words in names)
+
+
+def kind_of(tag: str, attributes: list, parent: Node, names: list[set[str]]) -> str:
+    """Whether an element is ``removed``, by its own marks ``other`` than an article or a ``comment``, or none of them.
+
+    Inside an article a header is part of it, whether by its element or by its name.
+    """
+    in_text = parent.article or parent.main
     if tag in REMOVED:
         return "removed"
-    if tag == "header" and not (parent.article or parent.main):
+    if tag == "header" and not in_text:
         return "removed"
     marks = dict(attributes)
     if "hidden" in marks or marks.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", marks.get("style") or ""):
@@ -108,9 +120,10 @@ def kind_of(tag: str, attributes: list, parent: Node, names: set[str]) -> str:
     if (marks.get("role") or "").lower() in OTHER_ROLES:
         return "removed"
     kind, plain = "", tag in NEVER_REMOVED
-    if names & (COMMENT_NAMES | AD_NAMES) and (not plain or tag in ("article", "p")):
-        kind = "comment" if names & COMMENT_NAMES else "other"
-    elif tag in FORMS or names & OTHER_NAMES and not names & BODY_NAMES and not plain:
+    said = set().union(*names)
+    if said & (COMMENT_NAMES | AD_NAMES) and (not plain or tag in ("article", "p")):
+        kind = "comment" if said & COMMENT_NAMES else "other"
+    elif tag in FORMS or said & (STRONG_NAMES if in_text else OTHER_NAMES) and not names_body(names) and (not plain or tag == "p"):
         kind = "other"
     return "removed" if kind and tag in INLINE else kind
 
@@ -165,9 +178,10 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         parent = self.open[-1]
-        names = names_of(attributes) if attributes else set()
-        base = TAG_POINTS.get(tag, 0) + (5 if names & BODY_NAMES else 0)
-        self.open.append(Node(tag, parent, kind_of(tag, attributes, parent, names), base, names))
+        names = names_of(attributes) if attributes else []
+        is_body = names_body(names)
+        base = TAG_POINTS.get(tag, 0) + (5 if is_body else 0)
+        self.open.append(Node(tag, parent, kind_of(tag, attributes, parent, names), base, is_body))
         if tag == "a":
             self.in_link += 1
             self.links += 1
@@ -292,12 +306,12 @@ def main_text(html: str | None) -> str:
     if not containers:
         return ""
     best = article_around(max(containers, key=lambda n: n.score))
-    above, kept = best.parent, []
+    above, named, kept = best.parent, best.tag in ("article", "main"), []
     for element, text, link_chars, _ in blocks:
         inside = element.within(best)
         if not inside and above is not None and element.within(above):
             share = link_chars / len(text) if element is above else element.ancestor(best.depth).link_share
-            inside = share < SIBLING_LINKS
+            inside = share < SIBLING_LINKS and (not named or element is not above and element.tag in HEADINGS and element.parent is above)
         if inside and not in_menu(element, best):
             kept.append(text)
     return "\n".join(kept)

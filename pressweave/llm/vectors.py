@@ -1,7 +1,7 @@
 """Searches of a query set against all rows, in blocks.
 
-Rows are dealt to blocks of bounded size by a hash, so copies and hot clusters
-spread; every (query block, data block) pair is one group.  For an exact search each
+Rows are dealt to blocks of bounded size by a hash of id and vector, so hot ids and
+clusters spread; every (query block, data block) pair is one group.  For an exact search each
 query carries a floor, its k-th best score within a bounded sample of the rows: no
 row below it can be among its k best, so a block sends only what may count.  A search
 that may miss rows has no floor: its k best found rows may lie below any true score.
@@ -71,11 +71,11 @@ def search_in_blocks(data: DataFrame, is_query: Column, k: int, search: Callable
     asked = data.filter(is_query).select("id", "vec")
     queries = floors(asked, data.select("id", "vec"), k, sample_rows) if exact else asked.withColumn("floor", F.lit(float("-inf")))
     keys = ["size", "block", "query_block"]
-    left = data.select("id", "vec", F.size("vec").alias("size"), F.pmod(F.xxhash64("id", F.lit("row")), F.lit(n_blocks)).alias("block"),
+    left = data.select("id", "vec", F.size("vec").alias("size"), F.pmod(F.xxhash64("id", "vec", F.lit("row")), F.lit(n_blocks)).alias("block"),
                        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("query_block"))
     right = queries.select("id", "vec", "floor", F.size("vec").alias("size"),
                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"),
-                           F.pmod(F.xxhash64("id", F.lit("query")), F.lit(q_blocks)).cast("int").alias("query_block"))
+                           F.pmod(F.xxhash64("id", "vec", F.lit("query")), F.lit(q_blocks)).cast("int").alias("query_block"))
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):

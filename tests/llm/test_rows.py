@@ -126,6 +126,12 @@ WRAPPED_PAGES = [
     (f"<div class=content><p>A short text, of one line, in all.</p></div><div class=sidebar><div class=text>{BODY}</div></div>",
      "A short text, of one line, in all."),
     ("<form><label>Name</label><input></form>", ""),
+    (f"<div><div>Sign up for our letter, it is free, and good.</div>{ARTICLE}<div>Some rights, of some kind, are kept.</div></div>", READ),
+    (f"<div><h1>Above it</h1><article>{BODY}</article><article><h2>Another story</h2><p>A teaser, of one line, for it.</p></article></div>", f"Above it\n{LINES}"),
+    (f"<main><article>{BODY}</article></main><div class=related-story><p>Other, text, of a story.</p></div>", LINES),
+    (f"<article><div class=header><h1>Head</h1></div>{BODY}<div class=story-tags><p>one, two, three</p></div><p class=share>Share this, with all, now.</p></article>", READ),
+    (f"<article><div class=article-header><h1>Head</h1></div>{BODY}<div class='reader-feedback'><p>I liked it, a lot, really.</p></div></article>", READ),
+    (f"<div class='main-menu'><p>Home, news, and sport.</p></div><div class=story>{BODY}</div>", LINES),
 ]
 
 

@@ -86,7 +86,29 @@ def test_collision_counting_fills_every_query(spark, monkeypatch):
     copies = spark.createDataFrame(copies, "vec_id long, embedding array<double>, asked boolean")
     got = collision.nearest(copies, F.col("asked"), 20).collect()  # the windows see the query's own copies first
     assert len({r.vec_id for r in got}) == 20 and 0 not in {r.vec_id for r in got}
-    monkeypatch.setattr(collision, "search_in_blocks", lambda *a, **b: vectors.search_in_blocks(*a, block_rows=15, **b))
+    monkeypatch.setattr(collision, "BLOCK_ROWS", 15)
     few = rows.limit(90).filter(vectors.finite(F.col("embedding")))
     n, asked = few.count(), few.filter("vec_id % 20 = 0").count()
     assert collision.nearest(few, F.col("vec_id") % 20 == 0, 20).count() == asked * min(20, n - 1)
+
+
+@pytest.mark.parametrize("kind", ["normal", "unit", "clustered"])
+def test_recall_of_full_blocks(kind):
+    """16,384 vectors in blocks of the size that a search uses."""
+    rng, k, rows = np.random.default_rng(0), 20, 16_384
+    data = rng.standard_normal((rows, 64))
+    if kind == "unit":
+        data /= np.linalg.norm(data, axis=1)[:, None]
+    if kind == "clustered":
+        data += 2 * rng.standard_normal((50, 64))[rng.integers(0, 50, rows)]
+    ids, asked = np.arange(rows), np.arange(0, rows, 200)
+    found = [set() for _ in asked]
+    for start in range(0, rows, collision.BLOCK_ROWS):
+        block = slice(start, start + collision.BLOCK_ROWS)
+        at, places, _ = collision.collide(ids[block], data[block], asked, data[asked], None, k)
+        for a, place in zip(at, places):
+            found[place].add(start + a)
+    scores = data[asked] @ data.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :k]
+    assert np.mean([len(f & set(b.tolist())) for f, b in zip(found, best)]) >= 0.9 * k
