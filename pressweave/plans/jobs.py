@@ -1,7 +1,7 @@
 """The four jobs, each one lazy plan."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave import fixed_values as fv
@@ -17,8 +17,11 @@ from pressweave.operators.query import article_filter, page_of
 from pressweave.operators.report import (cards, category_digest, category_kpis, in_report_order, report_index,
                                          report_rows)
 from pressweave.operators.score import with_source_score
+from pressweave.operators.store import read_articles, upsert_articles
 from pressweave.operators.topic import TopicRules, keep_on_topic
 from pressweave.sources.aliases import first_by_alias
+from pressweave.sources.feeds import ITEM_LIMIT, SUMMARY_LIMIT, feed_items, land_items
+from pressweave.sources.pages import page_image
 from pressweave.sources.tables import settle
 
 LOCAL_CREDIBILITY = 4.0
@@ -48,6 +51,28 @@ def annotate_job(items: DataFrame, order: str, rules: TopicRules, entities: dict
     return with_source_score(merge_stories(rows, order), scores)
 
 
+def daily_run(feeds: DataFrame, catalog: DataFrame, today: str, path: str, rules: TopicRules, entities: dict | DataFrame, org_aliases: dict[str, str] | DataFrame,
+              cache: DataFrame, badges: dict[str, str] | DataFrame, pages: DataFrame | None = None, external: DataFrame | None = None,
+              item: Column | None = None, batch_id: str | int | None = None, item_limit: int | None = ITEM_LIMIT, summary_limit: int | None = SUMMARY_LIMIT,
+              **rest) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Landed feeds to stored articles and their report: (counters, report tables).
+
+    ``item`` names an item by a whole number (a hash of feed and position unless
+    given); ``external`` has it as ``item``.  ``pages`` are landed pages (url, html) that give images.
+    """
+    found = feed_items(feeds, today, limit=item_limit).withColumn("item", F.xxhash64("feed", "position") if item is None else item)
+    landed = land_items(found, catalog, None, summary_limit)
+    shown = None if pages is None else pages.select("url", page_image(text_or_empty(F.col("html"))).alias("image_url"))
+    articles = annotate_job(landed, "item", rules, entities, org_aliases, cache, badges, shown, external, **rest)
+    now = F.current_timestamp().cast("timestamp_ntz")
+    articles = articles.withColumns({
+        "external_key": external_key(*[F.col(c) for c in ("source", "title", "url", "raw_date")]),
+        "published_at": parse_date(F.col("raw_date"), rfc822=True), "created_at": now, "updated_at": now})
+    counters = upsert_articles(articles.sparkSession, path, articles, batch_id)
+    stored = read_articles(articles.sparkSession, path)
+    return counters, report_job(stored.withColumn("date", F.date_format("published_at", "yyyy-MM-dd")), "item")
+
+
 def normalize_import(raw: DataFrame, order: str, rules: TopicRules, entities: dict | DataFrame, org_aliases: dict[str, str] | DataFrame,
                      classes: dict[str, list[str]] = fv.CLASS_KEYWORDS, default_class: str = fv.DEFAULT_LEAGUE) -> DataFrame:
     """Rows of a CSV with drifting columns as article rows, first row of each key."""

@@ -12,7 +12,7 @@ from pressweave.plans.views import docs, published, table, with_credibility
 from pressweave.queries import params as p
 from pressweave.queries import sql as s
 from pressweave.queries.annotation import (ANNOTATED_SQL, BULLETS_SQL, HEADLINE_SQL, NORMED, RULES, TOPIC_SQL, first_good)
-from pressweave.queries.landing import IMAGE_FROM, IMAGE_ROWS, IMAGE_SQL, badge_case, image_inputs
+from pressweave.queries.landing import FEED, IMAGE_FROM, IMAGE_ROWS, IMAGE_SQL, badge_case, image_inputs, landed_feeds, with_head
 from pressweave.queries.listing import REPORT, report_raw
 from pressweave.sources.tables import ARTICLE, add_columns, read_merged, read_preferred, shared_dir
 from pressweave.streaming import ingest
@@ -159,6 +159,47 @@ def annotate_job(spark, sf):
     return out.select("doc_id", "title", F.md5("summary").alias("summary"), "entity", "org_from", "org_to", "league", "status", "image_url", "credibility")
 
 
+ITEM_ROWS = f"""{FEED}, docs AS (SELECT doc_id * 100000 + position AS doc_id, title, summary, lang AS language, source, CAST(length(summary) AS BIGINT) AS n_chars, image_url AS own, url FROM items)"""
+PLACEHOLDER = {c: s.lst(fv.QUALITY_PLACEHOLDERS[c]) for c in ("entity", "org_from", "org_to", "fee_text")}
+
+
+def external_or(own, other):
+    return f"CASE WHEN x.e IS NULL THEN {own} ELSE {other} END AS {own}"
+
+
+@query("daily_run", f"""WITH {ANNOTATED_SQL.replace(s.DOCS, ITEM_ROWS)}, cache AS ({ENTITY_CACHE}),
+ext AS (SELECT doc_id * 100000 AS doc_id, quality = 1 OR toxic = 0 AS is_topic, CASE WHEN doc_id % 2 = 0 THEN 'Ext ' || CAST(doc_id % 5 AS VARCHAR) ELSE '' END AS e,
+ CASE WHEN doc_id % 3 = 0 THEN 'Org' ELSE '' END AS f FROM labels),
+pageimg AS (SELECT 'https://n.example.org/' || page_id || '/4' AS url, 'https://p.example.org/' || page_id || '.jpg' AS image FROM pages WHERE page_id % 2 = 0),
+joined AS (SELECT t.doc_id, t.title, t.source, t.language, t.own, t.url, {external_or('entity', 'x.e')}, {external_or('org_from', 'x.f')}, {external_or('org_to', "''")},
+ {external_or('fee_text', "'Non communiqué'")}, {external_or('fee_numeric', '0.0')}, {external_or('status', s.q(fv.STATUS_RUMOUR))}, {external_or('story_key', s.story_key('x.e', 'x.f', "''"))}
+ FROM (SELECT * FROM scored WHERE {TOPIC_SQL}) t LEFT JOIN ext x ON x.doc_id = t.doc_id WHERE coalesce(x.is_topic, true)),
+done AS (SELECT doc_id, source, language, entity, org_from, org_to, status, fee_text, fee_numeric, story_key, {HEADLINE_SQL} AS title, {BULLETS_SQL} AS summary,
+ coalesce(nullif(own, ''), {JOB_IMAGE.replace(", '')", ", p.image, '')")}) AS image_url
+ FROM joined LEFT JOIN cache c ON c.key = 'player:' || lower(entity) LEFT JOIN pageimg p ON p.url = joined.url),
+q AS (SELECT *, {' + '.join(f"CASE WHEN trim({c}) IN {PLACEHOLDER[c]} THEN 0.0 ELSE {w} END" for c, w in (('entity', 3.0), ('org_from', 2.0), ('org_to', 2.0), ('fee_text', 2.0)))}
+ + CASE WHEN fee_numeric > 0 THEN 1.0 ELSE 0.0 END + CASE WHEN starts_with(image_url, 'http') THEN 1.5 ELSE 0.0 END + 4.0
+ + CASE WHEN contains(status, 'OFFICIEL') THEN 2.0 WHEN contains(status, 'HERE WE GO') THEN 1.5 WHEN contains(status, 'NEGOCIATION') THEN 0.5 ELSE 0.0 END
+ + least(CAST(length(summary) AS DOUBLE) / 200.0, 2.0) AS quality FROM done),
+k AS (SELECT *, coalesce(CASE WHEN trim(story_key) NOT IN {s.lst(fv.INVALID_STORY_KEYS)} AND trim(entity) NOT IN {s.lst(fv.PLACEHOLDERS['entity'] + ['unknown'])}
+ THEN nullif({s.key_text('story_key')}, '') END, chr(1) || doc_id) AS k, row_number() OVER (ORDER BY round(quality, 9) DESC, doc_id) AS o FROM q),
+merged AS (SELECT arg_min(language, o) AS category, arg_min(source, o) AS source,
+ coalesce(arg_min(image_url, o) FILTER (starts_with(image_url, 'http')), arg_min(image_url, o)) AS image_url FROM k GROUP BY k)
+SELECT category, count(*) AS articles, count(DISTINCT source) AS sources, count(*) FILTER (image_url <> '') AS images FROM merged GROUP BY 1""")
+def daily_run(spark, sf):
+    """Feeds, pages and an external annotation through to the stored table and its report."""
+    d, i = F.col("doc_id"), F.col("page_id")
+    catalog = table(spark, sf, "documents").select(d.alias("feed"), F.col("source").alias("name"), F.col("lang").alias("language"), F.col("lang").alias("category"))
+    external = table(spark, sf, "labels").select(
+        (d * 100000).alias("item"), ((F.col("quality") == 1) | (F.col("toxic") == 0)).alias("is_topic"),
+        F.when(d % 2 == 0, F.concat(F.lit("Ext "), (d % 5).cast("string"))).otherwise("").alias("entity"), F.when(d % 3 == 0, "Org").otherwise("").alias("org_from"))
+    landed_pages = table(spark, sf, "pages").select(F.concat(F.lit("https://n.example.org/"), i.cast("string"), F.lit("/4")).alias("url"), with_head(F.col("html"), i).alias("html"))
+    feeds = landed_feeds(spark, sf).withColumnRenamed("doc_id", "feed")
+    _, report = jobs.daily_run(feeds, catalog, p.TODAY, shared_dir(spark, "daily-articles"), RULES, p.ENTITIES, p.ORGS, image_cache(spark, sf), p.BADGES, landed_pages, external,
+                               item=F.col("feed") * 100000 + F.col("position"), batch_id=1, item_limit=None, summary_limit=None, scores=p.SOURCE_SCORES, **LEXICON)
+    return report["kpis"].select("category", "articles", "sources", "images")
+
+
 @query("import_job", f"""WITH {REPORT}, v AS (SELECT doc_id, title, source, category, date, sort_date, summary, url, image, coalesce(try_cast(credibility AS DOUBLE), 0.0) AS credibility FROM
  (SELECT n.* REPLACE ({s.polish('r.resume')} AS summary, CASE WHEN {s.polish('r.categorie')} = '' THEN NULL ELSE {s.polish('r.categorie')} END AS category) FROM norm0 n JOIN raw r USING (doc_id)) WHERE title <> ''),
 n AS (SELECT *, {s.norm("title || ' ' || summary")} AS norm FROM v), kept AS (SELECT * FROM n WHERE {TOPIC_SQL}),
