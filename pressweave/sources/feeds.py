@@ -17,6 +17,10 @@ from pressweave.sources.pages import feed_page_image
 ITEM_LIMIT = 25
 SUMMARY_LIMIT = 400
 
+CHILDREN = ("title", "link", "description", "pubDate")
+CORRUPT = "_corrupt"
+ITEM = ", ".join(f"{name} string" for name in (*CHILDREN, CORRUPT))
+
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """(feed, xml): one row per landed file; the file name without extension names the feed."""
@@ -57,24 +61,32 @@ def item_image(item: Column, description: Column) -> Column:
     return unescape(F.coalesce(F.get(enclosure, F.lit(0)), F.get(linked, F.lit(0)), F.lit("")))
 
 
-def feed_items(feeds: DataFrame, today: str, keep=("feed",), limit: int | None = ITEM_LIMIT) -> DataFrame:
-    """The first ``limit`` items of each feed document, all with ``None``; items without title or link are dropped."""
+def feed_items(feeds: DataFrame, today: str, keep=("feed",), limit: int | None = ITEM_LIMIT, broken: str | None = None) -> DataFrame:
+    """The first ``limit`` items of each feed document, all with ``None``; items without title or link are dropped.
+
+    An item is cut out of its document by its tags and parsed by itself, so one broken
+    item does not cost a feed; ``broken`` names a column that says which were no XML.
+    """
     items = F.regexp_extract_all("xml", F.lit(r"(?is)(<item\b.*?</item\s*>)"), 1)
     if limit is not None:
         items = F.slice(items, 1, limit)
     rows = feeds.select(*keep, F.posexplode(items).alias("position", "_item"))
     item = F.col("_item")
-    children = F.transform(F.array(*[_child(item, t) for t in ("title", "link", "description", "pubDate")]), _text)
-    rows = materialize(rows, _children=children)
+    rows = materialize(rows, _parsed=F.from_xml(item, ITEM, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    # an item that is no well-formed XML is read by patterns
+    parsed, faulty = F.col("_parsed"), F.col("_parsed").isNull() | F.col(f"_parsed.{CORRUPT}").isNotNull()
+    children = F.array(*[F.when(faulty, _text(_child(item, t))).otherwise(F.coalesce(parsed[t], F.lit(""))) for t in CHILDREN])
+    rows = materialize(rows, (*keep, "position", "_item"), _children=children, _broken=faulty)
     title, link, description, date = (F.element_at("_children", i) for i in (1, 2, 3, 4))
     rows = materialize(
-        rows, (*keep, "position"), _clean=F.transform(F.array(title, description), clean_html), url=strip(link),
+        rows, (*keep, "position", "_broken"), _clean=F.transform(F.array(title, description), clean_html), url=strip(link),
         raw_date=F.coalesce(non_empty(strip(date)), F.lit(today)), _bare=description == "",
         image_url=item_image(item, description))
     title, summary = F.element_at("_clean", 1), F.element_at("_clean", 2)
     return (rows.filter((title != "") & (F.col("url") != ""))
             .select(*keep, "position", title.alias("title"), "url", "raw_date",
-                    F.when(F.col("_bare"), title).otherwise(summary).alias("summary"), "image_url"))
+                    F.when(F.col("_bare"), title).otherwise(summary).alias("summary"), "image_url",
+                    *([F.col("_broken").alias(broken)] if broken else [])))
 
 
 def land_items(items: DataFrame, catalog: DataFrame, rules: TopicRules | None = None, summary_limit: int | None = SUMMARY_LIMIT) -> DataFrame:

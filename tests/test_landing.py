@@ -207,6 +207,17 @@ def test_feed_limits_and_unknown_feeds(spark):
     assert max(len(r["summary"]) for r in fd.land_items(fd.feed_items(feeds, "today"), catalog).collect()) == 400
 
 
+def test_items_are_parsed_and_broken_ones_read_by_patterns(spark):
+    items = [("<item><title><![CDATA[A & <b>bold</b>]]></title><media:title>not this</media:title><link>u1</link><dc:date>x</dc:date><description>one &lt;i&gt;two&lt;/i&gt; &#233;</description></item>", "A & bold", "u1", "one two é", False),
+             ("<item><title>Fish & chips &eacute;</title><link>u2</link><description>a < b</description></item>", "Fish & chips é", "u2", None, True),
+             ("<item xmlns:z='q' a='1'><z:x/><title lang='fr'>Attributed</title><link type='t'> u3 </link><description/></item>", "Attributed", "u3", "Attributed", False),
+             ("<item><title>Nested <em>mark</em>up</title><link>u4</link><description><p>para <b>x</b></p></description></item>", "Nested markup", "u4", "para x", False)]
+    feeds = spark.createDataFrame([("f", "<rss xmlns:media='m'>" + "".join(i[0] for i in items) + "</rss>")], "feed string, xml string")
+    rows = fd.feed_items(feeds, "T", broken="bad").orderBy("position").collect()
+    assert [(r["title"], r["url"], r["bad"]) for r in rows] == [(t, u, bad) for _, t, u, _, bad in items]
+    assert all(want is None or r["summary"] == want for r, (_, _, _, want, _) in zip(rows, items))
+
+
 def test_images_of_repeated_keys_and_by_tables(spark):
     rows = [(1, "", "Ana", "Real X", "", "p"), (2, "", "", "", "Real Y", "http://p/1"), (3, "", "Zed", "", "", "http://p/1"), (4, "", None, None, None, None)]
     df = spark.createDataFrame(rows, "id int, image_url string, entity string, org_to string, org_from string, url string")
