@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressweave.llm.common import framed, importable, whole
-from pressweave.llm.tokens import encoder
+from pressweave.llm.tokens import LEARNT_BYTES, encoder
 
 TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 8192
@@ -125,11 +125,12 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 0,
-         tiers=TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = True) -> DataFrame:
+         tiers=TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = True, learnt_bytes: int = LEARNT_BYTES) -> DataFrame:
     """One row per piece of a document in a sequence, with the piece's ids.
 
     ``tiers`` are powers of two.  A null text is empty: its document is the end id
-    alone.  A null id is kept as null; repeated rows are packed each by itself; an
+    alone.  A worker keeps the ids of frequent words in tables of twice ``learnt_bytes``.
+    A null id is kept as null; repeated rows are packed each by itself; an
     empty table gives no rows; other columns are not read.  Sequence and step ids
     are made of the task's number, so reading the same files gives the same ids;
     ``docs`` should be a stored table, as a task that runs again must see the same rows.
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, learnt_bytes)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens, with_ids)
         for batch in batches:
             for doc_id, text in zip(batch["id"], batch["text"]):

@@ -14,6 +14,7 @@ from pressweave.llm.common import importable, settled
 from pressweave.operators.dedup import first_per_group
 
 UNDECIDED_CHARS = 200
+LEARNT_BYTES = 12 << 20  # beside what earlier stages leave in a worker
 DECIDED = ("_lang_pred", "_lang_score", "_lang_ambiguous", "_lang_runner_up")
 
 
@@ -48,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document in windows of up to 1024 tokens, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), learnt_bytes=LEARNT_BYTES)
 
 
 STAGES = [("language_id", identify_language), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_windows)]

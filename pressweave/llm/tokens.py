@@ -15,7 +15,7 @@ from array import array
 
 from tokenizers import Tokenizer
 
-LEARNT_BYTES = 24 << 20
+LEARNT_BYTES = 128 << 20
 ENTRY_BYTES = 240  # of a table's entry, beside the characters and the ids
 LONG_WORD = 64
 
@@ -50,16 +50,23 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Learnt(dict):
-    """Ids by word; an unknown word is worked out when it is first asked for. Long words are not kept, and a full table starts anew."""
+    """Ids by word; an unknown word is worked out when it is first asked for.
+
+    Long words are not kept.  A full table becomes the old one, which frequent words
+    come back from, so at most twice ``limit`` bytes are held.
+    """
 
     def __init__(self, work, limit: int):
-        self.work, self.limit, self.held = work, limit, 0
+        self.work, self.limit, self.held, self.old = work, limit, 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.work(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.work(word)
         if len(word) <= LONG_WORD:
             self.held += ENTRY_BYTES + len(word) + len(ids)
             if self.held > self.limit:
+                self.old = dict(self)
                 self.clear()
                 self.held = 0
             self[word] = ids
@@ -88,8 +95,12 @@ class Encoder:
                 {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}, None])
         self.quick = {byte_rule: self.spaced, word_rule: self.folded}.get(rule)
         self.pieces = Learnt(self.piece, learnt_bytes)
-        self.chunks = Learnt(lambda chunk: self.pieces.of(QUICK_BYTE.findall(f" {chunk}")), learnt_bytes)
-        self.words = Learnt(lambda word: self.pieces.of(QUICK_WORD.findall(word)), learnt_bytes)
+        self.chunks = Learnt(lambda chunk: self.joined(QUICK_BYTE.findall(f" {chunk}")), learnt_bytes)
+        self.words = Learnt(lambda word: self.joined(QUICK_WORD.findall(word)), learnt_bytes)
+
+    def joined(self, parts: list[str]) -> bytes:
+        """A word that is one piece is kept as a word alone."""
+        return self.piece(parts[0]) if len(parts) == 1 else self.pieces.of(parts)
 
     def piece(self, piece: str) -> bytes:
         shown = piece.encode().decode("latin-1").translate(self.alphabet)
@@ -114,9 +125,10 @@ class Encoder:
         return self.quick(text)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file, with the words it has learnt."""
+def encoder(path: str, learnt_bytes: int = LEARNT_BYTES) -> Encoder:
+    """One encoder per worker process, with the words it has learnt."""
     kept = sys.modules[__name__].__dict__.setdefault("_kept", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, learnt_bytes) not in kept:
+        kept.clear()
+        kept[path, learnt_bytes] = Encoder(path, learnt_bytes)
+    return kept[path, learnt_bytes]

@@ -140,6 +140,84 @@ def test_main_text_under_marked_wrappers(html, text):
     assert html_main.main_text(html) == text
 
 
+NOISE = [
+    "<nav><ul><li><a href=/>Home, sweet</a><li><a href=/n>News, all</a></ul></nav>", "<script>var p = '<p>Not, a, text</p>'</script>", "<style>p, q {}</style>",
+    "<aside><p>Read this, and that, as well.</p></aside>", "<div class='ad-box'><p>Buy it, now, for less, today.</p></div>", "<!-- <p>gone, long, ago</p> -->",
+    "<div id=cookie-notice><p>We use cookies, and more, really.</p><button>OK</button></div>", "<form><label>Mail, please</label><input><button>Go</button></form>",
+    "<div class=newsletter><p>Our letter, every week, for free.</p></div>", "<div class='related-story'><p>Another, older, story.</p></div>",
+    "<div class=comments><div class=comment><p>A reader says, hello, nice, and so on.</p></div></div>", "<div role=navigation><a>more</a> of it, here</div>",
+]
+INLINE = ["plain {}", "<b>{}</b> bold", "<a href=/x>{}</a> linked, as words go, in a longer line of text", "{}&nbsp;&amp; <i>more</i>", "{}<br>below"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_main_text_of_pages_put_together(seed):
+    """An article of known blocks among everything that is not the article: its blocks come back, in order, and nothing else."""
+    rng = np.random.default_rng(seed)
+    words = [f"word{i}" for i in range(300)]
+    blocks, shown = ["<h1>The headline of it</h1>"], ["The headline of it"]
+    for i in range(int(rng.integers(3, 9))):
+        said = ", ".join(" ".join(rng.choice(words, 6)) for _ in range(int(rng.integers(3, 8)))) + "."
+        form = INLINE[int(rng.integers(len(INLINE)))].format(said)
+        tag = ["p", "blockquote", "h2", "pre"][min(3, int(rng.exponential(0.7)))]
+        blocks.append(f"<{tag}>{form}</{tag}>")
+        shown.append(" ".join(re.sub(r"<[^>]*>", "", form.replace("<br>", " ").replace("&nbsp;", "\u00a0").replace("&amp;", "&")).split()))
+
+    def some(n):
+        return "".join(NOISE[int(i)] for i in rng.integers(0, len(NOISE), n))
+
+    inside = "".join(block + (some(1) if rng.random() < 0.3 else "") for block in blocks)
+    article = [f"<article>{inside}</article>", f"<main><div class=entry-content>{inside}</div></main>", f"<div class='post body'>{inside}</div>"][seed % 3]
+    page = f"<html><head><title>No</title></head><body><header><p>The site, its name, and more.</p></header>{some(2)}<div id=wrap>{article}</div>{some(3)}<footer>(c), all, rights</footer></body></html>"
+    assert html_main.main_text(page) == "\n".join(shown)
+
+
+def plain_grams(text):
+    text = "".join(c if c.isalpha() else " " for c in text.lower())
+    text = f" {' '.join(text.split())} " + " " * text.endswith(" ")  # a run that ends the text counts beside the end
+    return [text[i:i + n] for n in langid.ORDERS for i in range(len(text) - n + 1)] if text.strip() else []
+
+
+def plain_bucket(gram):
+    h = 0
+    for c in gram:
+        h = (h + ord(c) + len(gram)) * 0x9E3779B97F4A7C15 % 2 ** 64
+    return (h >> 40) % langid.BUCKETS
+
+
+def test_language_decisions_equal_a_plain_computation(spark):
+    """Counts, codewords, bit classifiers and loss-weighted decoding once more, with dictionaries and loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model, rows = langid.train(docs.filter(~langid.held_out())), docs.collect()
+    counts = {}
+    for r in docs.filter(~langid.held_out()).collect():
+        counts.setdefault(r.lang, Counter()).update(plain_bucket(g) for g in plain_grams(r.text))
+    names = sorted(counts)
+    assert model.languages == names
+    share = {n: (lambda b, total=sum(counts[n].values()) + langid.SMOOTHING * langid.BUCKETS, c=counts[n]: (c[b] + langid.SMOOTHING) / total) for n in names}
+    bits = model.codes.shape[1]
+
+    def odds(bucket, bit):
+        ones, zeros = ([n for n, code in zip(names, model.codes) if (code[bit] > 0) == side] for side in (True, False))
+        return np.log(np.mean([share[n](bucket) for n in ones]) / np.mean([share[n](bucket) for n in zeros]))
+
+    known = {}
+    for r in rows[::7]:
+        found = [plain_bucket(g) for g in plain_grams(r.text or "")]
+        if not found:
+            assert model.decide(r.text)[0] == "und"
+            continue
+        margins = []
+        for bit in range(bits):
+            total = sum(known.setdefault((b, bit), odds(b, bit)) for b in found)
+            margins.append(total / len(found) * model.scale[bit])
+        losses = [sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust, code, margins)) for code in model.codes]
+        best = int(np.argmin(losses))
+        name, score, ambiguous, second = model.decide(r.text)
+        assert name == names[best] and score == pytest.approx(1 / sum(np.exp(losses[best] - x) for x in losses), abs=1e-4)
+        assert second == names[int(np.argsort(losses)[1])] and ambiguous == (sorted(losses)[1] - losses[best] < langid.AMBIGUOUS * model.trust.sum())
+
+
 def test_archive_round_trip_of_hard_payloads(spark):
     big = "é" * 600
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"), (4, "u\r\nEvil: 1", None), (5, "", ""),
