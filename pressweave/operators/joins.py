@@ -34,8 +34,10 @@ def resolve_images(df: DataFrame, key: str, cache: DataFrame, badges: dict[str,
     case; of a key that repeats the smallest value counts, as with pages of one url.
     ``badges`` are a parameter table or a table (key, value, ord) of any size.  Only
     the keys of rows without an image of their own travel, all kinds in one join, and
-    one narrow row per hit comes back.
+    one narrow row per hit comes back.  The rows are written once to the shared folder,
+    as every kind of lookup reads them and the result does.
     """
+    df = settle(df, "image-rows")
     entity = strip(text_or_empty(F.col("entity")))
     entity = F.when(~entity.isin(fv.IMAGE_ENTITY_PLACEHOLDERS) & (F.length(entity) >= 3), F.lower(entity))
 

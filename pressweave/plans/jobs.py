@@ -1,4 +1,4 @@
-"""The four jobs, each one lazy plan."""
+"""The four jobs.  Rows that several steps read are computed once and stored (``settle``)."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -41,13 +41,14 @@ def annotate_job(items: DataFrame, order: str, rules: TopicRules, entities: dict
     rows = annotate(rows, entities, org_aliases, key=order, **lexicon).withColumn("credibility", F.lit(LOCAL_CREDIBILITY))
     if external is not None:
         rows = merge_annotations(rows, external, order)
-    rows = resolve_images(rows, order, cache, badges, pages)
-    rows = rows.withColumn("image_url", F.col("best_image")).drop("best_image")
     fields = [F.col(c) for c in ("status", "entity", "org_from", "org_to", "fee_text", "title")]
     status, entity, org_from, org_to, fee, title = fields
     rows = (rows.withColumn("_headline", headline(status, entity, org_from, org_to, fee, title))
             .withColumn("summary", bullet_summary(entity, org_from, org_to, fee, title))
             .withColumn("title", F.col("_headline")).drop("_headline"))
+    # the texts have given way to headline and bullets, so the rows that images are looked up for are narrow
+    rows = resolve_images(rows, order, cache, badges, pages)
+    rows = rows.withColumn("image_url", F.col("best_image")).drop("best_image")
     return with_source_score(merge_stories(rows, order), scores)
 
 

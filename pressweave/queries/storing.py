@@ -153,7 +153,7 @@ SELECT arg_min(doc_id, o) AS doc_id, arg_min(title, o) AS title, md5(arg_min(sum
  arg_min(status, o - sp * CAST(1000000000 AS BIGINT)) AS status, coalesce(arg_min(image_url, o) FILTER (starts_with(image_url, 'http')), arg_min(image_url, o)) AS image_url,
  arg_min({SCORES_SQL}, o) AS credibility FROM k GROUP BY k""")
 def annotate_job(spark, sf):
-    """Landed items to merged stories, one lazy plan."""
+    """Landed items to merged stories."""
     items = docs(spark, sf).select("doc_id", "title", "summary", "source", F.lit("").alias("image_url"), F.lit("").alias("url"))
     out = jobs.annotate_job(items, "doc_id", RULES, p.ENTITIES, p.ORGS, image_cache(spark, sf), p.BADGES, scores=p.SOURCE_SCORES, **LEXICON)
     return out.select("doc_id", "title", F.md5("summary").alias("summary"), "entity", "org_from", "org_to", "league", "status", "image_url", "credibility")

@@ -234,3 +234,12 @@ def test_images_of_repeated_keys_and_by_tables(spark):
 def test_fresh(spark, limit):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 11),), (dt.datetime(2023, 12, 30),)], "ts timestamp_ntz")
     assert ingest.fresh(df, "ts", F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")).count() == limit
+
+
+def test_rows_are_worked_out_once_for_all_image_lookups(spark):
+    rows = spark.createDataFrame([(1, "laer", "sdeR"), (2, "enon", "")], "id int, e string, o string").select(
+        "id", F.reverse("e").alias("entity"), F.reverse("o").alias("org_to"), F.lit("").alias("org_from"), F.lit("").alias("image_url"), F.lit("").alias("url"))
+    cache = spark.createDataFrame([("player:real", "http://c/real")], "key string, value string")
+    got = resolve_images(rows, "id", cache, {"red": "http://b/r"})
+    assert {r["id"]: r["best_image"] for r in got.collect()} == {1: "http://c/real", 2: ""}
+    assert "reverse(" not in got._jdf.queryExecution().optimizedPlan().toString()
