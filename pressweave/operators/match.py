@@ -11,7 +11,7 @@ Two plans give the same rows:
 * ``phrase_hits_join`` takes a dictionary table of any size: word n-grams of the
   text are equi-joined to it.  A filter of fixed size over the terms' first words,
   lengths and whole terms is applied before an n-gram is made and before it is
-  shuffled.  The join's strategy follows the table's size, and adaptive execution
+  shuffled.  The join sorts, so no side need fit in memory, and adaptive execution
   splits frequent n-grams.
 
 ``with_hits`` adds the hits by the plan that fits what it is given.
@@ -122,18 +122,27 @@ def with_hits(df: DataFrame, norm: str, into: str, terms: list[Term] | DataFrame
 
 
 def phrase_hits_join(texts: DataFrame, key: str, norm: str, terms: DataFrame) -> DataFrame:
-    """(key, rank, term, canonical, word_position) per matched term, first position in the text.
+    """(key, rank, term, canonical, word_position) per matched term, first position in the text; ``key`` is unique.
 
     A word is followed up only where some term starts with it, at the lengths of such
-    terms, and an n-gram leaves the row only where the filter knows it.  Only the key,
-    a position and the n-gram leave the row, never the text.
+    terms, and an n-gram leaves the row once, and only where the filter knows it.  Only
+    the key, the n-gram and, where it is asked for, its position leave the row, never
+    the text.  N-grams outnumber what Spark expects of the texts, so they are never the
+    side that is broadcast or hashed: the join sorts, and spills.
     """
     sized = terms.select("term", F.split("term", " ").alias("_w")).select("term", F.get("_w", F.lit(0)).alias("_first"), F.size("_w").alias("_n"))
     known = key_filter(sized.select(F.explode(F.array(F.xxhash64("_first"), F.xxhash64("_first", "_n"), F.xxhash64("term"))).alias("h")))
-    words = texts.select(key, F.split(norm, " ").alias("_w"))
-    starts = words.select(key, "_w", F.posexplode("_w").alias("_at", "_first")).filter(may_hold(known, F.xxhash64("_first")))
-    spans = starts.select("*", F.explode(distinct_values(sized, F.col("_n"))).alias("_n")).filter(
+    lengths = distinct_values(sized, F.col("_n"))
+    words = texts.select(key, F.col(norm).alias("_norm"), F.split(norm, " ").alias("_w"))
+    # where all terms are single words, a word is tried once and its place is looked up only if it is asked for
+    single = F.array_max(lengths) == 1
+    starts = words.select("*", F.posexplode(F.when(single, F.array_distinct("_w")).otherwise(F.col("_w"))).alias("_at", "_first")).filter(may_hold(known, F.xxhash64("_first")))
+    spans = starts.select("*", F.explode(lengths).alias("_n")).filter(
         (F.col("_at") + F.col("_n") <= F.size("_w")) & may_hold(known, F.xxhash64("_first", "_n")))
-    grams = spans.select(key, F.col("_at").alias("word_position"), F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " ").alias("_gram"))
-    return (grams.filter(may_hold(known, F.xxhash64("_gram"))).join(terms, F.col("_gram") == F.col("term"))
-            .groupBy(key, "rank", "term", "canonical").agg(F.min("word_position").alias("word_position")))
+    gram = F.when(F.col("_n") == 1, F.col("_first")).otherwise(F.array_join(F.slice("_w", F.col("_at") + 1, F.col("_n")), " "))
+    before = F.call_function("substring_index", F.concat(F.lit(" "), "_norm", F.lit(" ")), F.concat(F.lit(" "), "_gram", F.lit(" ")), F.lit(1))
+    place = F.size(F.split(before, " ")) - 1
+    grams = (spans.select(key, "_norm", "_at", gram.alias("_gram")).filter(may_hold(known, F.xxhash64("_gram")))
+             .filter(single | (F.col("_at") == place)).select(key, place.alias("word_position"), "_gram"))
+    entries = terms.select("rank", "term", "canonical").distinct()
+    return grams.join(entries.hint("merge"), F.col("_gram") == F.col("term")).select(key, "rank", "term", "canonical", "word_position")

@@ -183,3 +183,12 @@ def test_a_frequent_token_is_dealt_to_several_keys(spark, monkeypatch):
     got = token_overlap_join(t, "a", "text", c, "b", "text", salt_rows=100)
     assert got.count() == 2001
     assert {r["_salts"] for r in seen["title-tokens"].filter("_token = 'hottoken'").collect()} == {20}
+
+
+def test_ngrams_are_never_the_broadcast_side_and_leave_a_text_once(spark):
+    df = spark.createDataFrame([(1, "b a b a b"), (2, "")], "id int, norm string")
+    for words, want in ((["a", "b"], [(1, "a", 1), (1, "b", 0)]), (["a", "b a", "a b a"], [(1, "a", 1), (1, "a b a", 1), (1, "b a", 0)])):
+        terms = m.terms_table(spark, [m.Term(w, w, i) for i, w in enumerate(words)])
+        hits = m.phrase_hits_join(df, "id", "norm", terms.unionByName(terms))
+        assert sorted((r["id"], r["term"], r["word_position"]) for r in hits.collect()) == want
+        assert "BroadcastHashJoin [_gram" not in plan_of(hits)
