@@ -13,6 +13,7 @@ from pressweave.functions.text import (contains_any, lit_array, lit_map, materia
 from pressweave.functions.values import fee_text, numeric_fee, story_key
 from pressweave.operators.match import best_entity, entity_terms, org_terms, orgs_in_order, phrase_hits, with_hits
 from pressweave.sources.dictionaries import entity_term_rows, org_term_rows
+from pressweave.sources.tables import settle
 
 
 def classify(norm: Column, classes: dict[str, list[str]] = fv.CLASS_KEYWORDS, default: str = fv.DEFAULT_LEAGUE) -> Column:
@@ -136,6 +137,8 @@ def annotate(df: DataFrame, entities: dict | DataFrame, org_aliases: dict[str, s
     if "_norm" not in df.columns and (directed or named or "league" in made):
         step = materialize(df, _norm=norm_text(said))
     listed = not isinstance(org_aliases, DataFrame)
+    if directed and not listed or (directed or named) and isinstance(entities, DataFrame):
+        step = settle(step, "normalised")  # each dictionary reads the normalised texts, and so does the result
     if directed:
         step = with_hits(step, "_norm", "_hits", org_terms(org_aliases) if listed else org_term_rows(org_aliases), key)
     if directed or named:

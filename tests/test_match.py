@@ -192,3 +192,12 @@ def test_ngrams_are_never_the_broadcast_side_and_leave_a_text_once(spark):
         hits = m.phrase_hits_join(df, "id", "norm", terms.unionByName(terms))
         assert sorted((r["id"], r["term"], r["word_position"]) for r in hits.collect()) == want
         assert "BroadcastHashJoin [_gram" not in plan_of(hits)
+
+
+def test_texts_are_normalised_once_for_dictionaries_that_are_tables(spark):
+    df = spark.createDataFrame([(1, "eulb sniof titeP", "")], "id int, t string, summary string").select("id", F.reverse("t").alias("title"), "summary")
+    people = spark.createDataFrame([(0, "Jean Petit", "Reds", "FR", ["petit"])], "ord int, name string, org string, nationality string, aliases array<string>")
+    orgs = spark.createDataFrame([(0, "blue", "Blues")], "ord int, alias string, canonical string")
+    got = an.annotate(df, people, orgs, key="id")
+    assert [r["entity"] for r in got.collect()] == ["Jean Petit"]
+    assert "reverse(" not in got._jdf.queryExecution().optimizedPlan().toString()
